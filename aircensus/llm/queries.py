@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import secret_scan
+from . import pii_scan, secret_scan
 
 QUERIES = {
+    "op10_pii_scan": pii_scan.op10_pii_scan,
     "op5_secret_scan": secret_scan.op5_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
