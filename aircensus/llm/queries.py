@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import pii_scan, secret_scan
+from . import decontaminate, pii_scan, secret_scan
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op10_pii_scan": pii_scan.op10_pii_scan,
     "op5_secret_scan": secret_scan.op5_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE,
+}
