@@ -67,7 +67,7 @@ def find_runs(docs: DataFrame, length: int) -> DataFrame:
 
 def find_edges(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Single edges of the runs named by ``wanted`` (rk, lo); a few more may come along."""
-    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(_named(wanted), "h"))
+    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(spans.named(wanted), "h"))
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -85,17 +85,6 @@ def find_edges(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return docs.filter("doc_id is not null").mapInArrow(emit, _EDGES)
 
 
-def _named(wanted: DataFrame) -> DataFrame:
-    """h: spans.occurrence_key of (rk, lo)."""
-
-    def name(it):
-        for batch in it:
-            h = spans.occurrence_key(batch["rk"].to_numpy(zero_copy_only=False), batch["lo"].to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(common.signed(h))], ["h"])
-
-    return wanted.select("rk", "lo").mapInArrow(name, "h long")
-
-
 def repeated_spans(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     """rk, start, end: word spans of each row that a smaller document holds too."""
     kept = spans.repeated(common.materialize(find_runs(docs, length), "words-runs"), by_document=True)

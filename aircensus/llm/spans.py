@@ -79,6 +79,17 @@ def occurrence_key(rk: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return tk.mix(rk.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lo.astype(np.uint64) + np.uint64(1))
 
 
+def named(wanted: DataFrame) -> DataFrame:
+    """h: occurrence_key of (rk, lo)."""
+
+    def name(it):
+        for batch in it:
+            h = occurrence_key(batch["rk"].to_numpy(zero_copy_only=False), batch["lo"].to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(common.signed(h))], ["h"])
+
+    return wanted.select("rk", "lo").mapInArrow(name, "h long")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, rk: rows are told apart by id and text, so rows that repeat an id keep their own spans."""
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"))
