@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dedup_bytes, dedup_words, jaccard_join, pii_scan, secret_scan
+from . import decontaminate, dedup_bytes, dedup_words, jaccard_join, pii_scan, quality_rank, secret_scan, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_suffix_dedup": dedup_bytes.op3_suffix_dedup,
     "op8_substring_dedup": dedup_words.op8_substring_dedup,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op7_quality_rank": quality_rank.op7_quality_rank,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op10_pii_scan": pii_scan.op10_pii_scan,
     "op5_secret_scan": secret_scan.op5_secret_scan,
 }
