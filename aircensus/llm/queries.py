@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dedup_bytes, dedup_words, jaccard_join, pii_scan, quality_rank, secret_scan, toxicity
+from . import decontaminate, dedup_bytes, dedup_words, jaccard_join, pii_scan, quality_rank, quality_rules, secret_scan, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op7_quality_rank": quality_rank.op7_quality_rank,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op10_pii_scan": pii_scan.op10_pii_scan,
     "op5_secret_scan": secret_scan.op5_secret_scan,
 }
