@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: log2 of the bits in a fixed-size membership bitmap (8 MB whatever the input).
 BITMAP_LOG2 = 26
+#: Bytes of an Arrow batch that a Python task gets at once.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +39,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table that no later step reads."""
+    spark, path = df.sparkSession, df._written_to
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +56,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id and the text, under those names, whatever else the table has."""
+    """Only the id and the text, under those names, whatever else the table has.
+
+    Python tasks get Arrow batches of at most ``BATCH_BYTES``: the default bound
+    of 10,000 rows says nothing about texts.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key, "67108864b").rstrip("b")) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

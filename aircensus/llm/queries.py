@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dedup_bytes, dedup_words, jaccard_join, pii_scan, quality_rank, quality_rules, secret_scan, toxicity
+from . import decontaminate, dedup_bytes, dedup_words, jaccard_join, mixing, pii_scan, quality_rank, quality_rules, secret_scan, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_quality_rank": quality_rank.op7_quality_rank,
     "op4_toxicity": toxicity.op4_toxicity,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op6_mixing": mixing.op6_mixing,
     "op10_pii_scan": pii_scan.op10_pii_scan,
     "op5_secret_scan": secret_scan.op5_secret_scan,
 }

@@ -104,6 +104,7 @@ def repeated(runs: DataFrame, by_document: bool) -> DataFrame:
 
     Counting combines in the map tasks; what survives is told to the tasks that
     filter by a bitmap of fixed size, whose false hits later steps tolerate.
+    ``runs`` must be materialised; it is deleted.
     """
     several = F.min("doc_id") < F.max("doc_id") if by_document else F.count("*") > 1
     buckets = runs.groupBy("m").agg(several.alias("several")).filter("several")
@@ -114,7 +115,9 @@ def repeated(runs: DataFrame, by_document: bool) -> DataFrame:
             m = batch["m"].to_numpy(zero_copy_only=False).view(np.uint64)
             yield batch.filter(pa.array(common.in_bitmap(bits.value, m)))
 
-    return common.materialize(runs.mapInArrow(keep, RUNS), "span-kept")
+    kept = common.materialize(runs.mapInArrow(keep, RUNS), "span-kept")
+    common.discard(runs)
+    return kept
 
 
 def with_intervals(docs: DataFrame, intervals: DataFrame, finish, schema: str) -> DataFrame:
