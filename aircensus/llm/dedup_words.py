@@ -6,8 +6,10 @@ edges of one document form a nonbranching path inside a bucket: one row.  Spark
 joins compact the repeated paths: equal paths of many documents collapse into
 one class with its smallest document, and a copy in a larger document goes
 whole.  Where a bucket holds several classes the graph branches; the paths of
-the classes' first documents are then cut into single edges, and an edge's
-smallest document decides.  Source coordinates (row, word position) carry every
+the classes' first documents are then cut into single edges, told apart by
+128-bit digests, and an edge's smallest document decides.  Tasks get blocks of
+whole buckets; the edges of a bucket with over ``MAX_CLASSES`` classes never meet
+in one task, their smallest document is found by a combined aggregation.  Source coordinates (row, word position) carry every
 verdict back, and the texts are only read again to apply it.
 
 A word goes if a window that covers it also starts in a document with a smaller
@@ -31,7 +33,11 @@ from . import common, spans
 from . import textkit as tk
 
 WINDOW, MINIMISER = 50, 8
+#: Bytes of digests in a block; most classes of a bucket that one task handles.
+BLOCK, MAX_CLASSES = 1 << 20, 8192
 
+_PATHS = "m long, doc_id long, rk long, lo long, crowded boolean, edges binary"
+_PATHS_ARROW = pa.schema([*((c, pa.int64()) for c in ("m", "doc_id", "rk", "lo")), ("crowded", pa.bool_()), ("edges", pa.binary())])
 _EDGES = "w1 long, w2 long, doc_id long, rk long, at long"
 _EDGES_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in _EDGES.split(", ")])
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -59,45 +65,83 @@ def find_runs(docs: DataFrame, length: int) -> DataFrame:
                 if len(doc):
                     f = spans.digests(raw, starts[lo], ends[lo + n + length - 2])
                     own = row + doc
-                    columns = (common.signed(grams[at]), f[:, 0], f[:, 1], ids[own], keys[own], lo - firsts[doc], n)
+                    columns = (common.signed(grams[at]), f[:, 0], ids[own], keys[own], lo - firsts[doc], n)
                     yield from pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=spans.RUNS_ARROW).to_batches(50_000)
 
     return docs.filter("doc_id is not null").mapInArrow(emit, spans.RUNS)
 
 
-def find_edges(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Single edges of the runs named by ``wanted`` (rk, lo); a few more may come along."""
-    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(spans.named(wanted), "h"))
+def find_paths(docs: DataFrame, wanted: DataFrame, buckets: DataFrame, length: int) -> DataFrame:
+    """The runs named by ``wanted`` (rk, lo) with the digests of their edges; a few more may come along."""
+    bits, crowded = spans.wanted_runs(wanted, buckets, MAX_CLASSES)
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             ids, keys = _ids(batch)
-            for row, raw, starts, ends, firsts, _, (doc, lo, n, _at) in _paths(batch, length):
+            for row, raw, starts, ends, firsts, grams, (doc, lo, n, at) in _paths(batch, length):
                 hit = common.in_bitmap(bits.value, spans.occurrence_key(keys[row + doc], lo - firsts[doc]))
-                doc, lo, n = doc[hit], lo[hit], n[hit]
+                doc, lo, n, m = doc[hit], lo[hit], n[hit], grams[at[hit]]
                 if len(doc):
-                    own = np.repeat(doc, n)
-                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                    f = spans.digests(raw, starts[at], ends[at + length - 1])
-                    columns = (f[:, 0], f[:, 1], ids[row + own], keys[row + own], at - firsts[own])
-                    yield from pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_EDGES_ARROW).to_batches(50_000)
+                    each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+                    f = spans.digests(raw, starts[each], ends[each + length - 1])
+                    edges = [part.tobytes() for part in np.split(f, np.cumsum(n)[:-1])]
+                    columns = (common.signed(m), ids[row + doc], keys[row + doc], lo - firsts[doc], common.in_bitmap(crowded.value, m), edges)
+                    yield from pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _PATHS_ARROW)], schema=_PATHS_ARROW).to_batches(5000)
+
+    return docs.filter("doc_id is not null").mapInArrow(emit, _PATHS)
+
+
+def _later_edges(block: list[tuple]) -> list[np.ndarray]:
+    """For each path of a block, which of its edges a smaller document of the bucket holds too."""
+    m, doc, _, _, edges = zip(*block)
+    f = [np.frombuffer(e, dtype=np.int64).reshape(-1, 2) for e in edges]
+    n = np.array([len(x) for x in f])
+    w = np.concatenate(f)
+    buckets, docs = np.repeat(np.array(m), n), np.repeat(np.array(doc), n)
+    order = np.lexsort((docs, w[:, 1], w[:, 0], buckets))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (w[order][1:] != w[order][:-1]).any(axis=1) | (buckets[order][1:] != buckets[order][:-1])
+    least = docs[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    later = np.empty(len(order), dtype=bool)
+    later[order] = docs[order] > least
+    return np.split(later, np.cumsum(n)[:-1])
+
+
+def _compactor(length: int):
+    def finish(block: list[tuple]) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for (_, _, rk, lo, _), later in zip(block, _later_edges(block)):
+            rows += [(rk, lo + a, lo + b + length - 1) for a, b in spans.true_runs(later)]
+        return spans.found_batch(rows)
+
+    return spans.in_blocks(finish, 4, BLOCK)
+
 
-    return docs.filter("doc_id is not null").mapInArrow(emit, _EDGES)
+def _single_edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for doc, rk, lo, edges in zip(*(batch[c].to_pylist() for c in ("doc_id", "rk", "lo", "edges"))):
+            f = np.frombuffer(edges, dtype=np.int64).reshape(-1, 2)
+            fill = lambda v: np.full(len(f), v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (f[:, 0], f[:, 1], fill(doc), fill(rk), lo + np.arange(len(f)))], schema=_EDGES_ARROW)
 
 
 def repeated_spans(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     """rk, start, end: word spans of each row that a smaller document holds too."""
     kept = spans.repeated(common.materialize(find_runs(docs, length), "words-runs"), by_document=True)
-    path = ["m", "f1", "f2"]
-    classes = common.materialize(kept.groupBy(*path).agg(F.min("doc_id").alias("first_doc")), "words-classes")
-    branching = classes.groupBy("m").agg(F.count("*").alias("k")).filter("k > 1").select("m")
-    placed = kept.join(classes, path)
+    classes = common.materialize(kept.groupBy("m", "f").agg(F.min("doc_id").alias("first_doc")), "words-classes")
+    branching = common.materialize(classes.groupBy("m").agg(F.count("*").alias("k")).filter("k > 1"), "words-branching")
+    placed = kept.join(classes, ["m", "f"])
     whole = placed.filter("doc_id > first_doc").select("rk", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + length - 1).alias("end"))
     firsts = placed.filter("doc_id = first_doc").join(branching, "m", "left_semi")
-    edges = common.materialize(find_edges(docs, firsts, length), "words-edges")
+    paths = common.materialize(find_paths(docs, firsts, branching, length), "words-paths")
+    blocks = (
+        paths.filter("not crowded").select("m", "doc_id", "rk", "lo", "edges").repartition("m").sortWithinPartitions("m")
+        .mapInArrow(_compactor(length), "rk long, start long, end long")
+    )
+    edges = paths.filter("crowded").mapInArrow(_single_edges, _EDGES)
     owners = edges.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
     single = edges.join(owners, ["w1", "w2"]).filter("doc_id > first_doc").select("rk", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
-    return whole.unionByName(single)
+    return whole.unionByName(blocks).unionByName(single)
 
 
 def _finish(ids: pa.Array, texts: pa.Array, removed: list[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:

@@ -95,7 +95,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"))
 
 
-RUNS = "m long, f1 long, f2 long, doc_id long, rk long, lo long, n long"
+#: A run: bucket, 64 bits of its content's digest (with the bucket's own hash, 128 bits), document, row, first window, windows.
+RUNS = "m long, f long, doc_id long, rk long, lo long, n long"
 RUNS_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in RUNS.split(", ")])
 
 
@@ -120,6 +121,46 @@ def repeated(runs: DataFrame, by_document: bool) -> DataFrame:
     return kept
 
 
+def wanted_runs(wanted: DataFrame, buckets: DataFrame, most: int):
+    """Broadcast bitmaps of the occurrences (rk, lo) to read again and of the buckets (m, k) with over ``most`` classes."""
+    context = wanted.sparkSession.sparkContext
+    return context.broadcast(common.bitmap(named(wanted), "h")), context.broadcast(common.bitmap(buckets.filter(F.col("k") > most), "m"))
+
+
+def in_blocks(finish, weight: int, limit: int):
+    """mapInArrow function over rows sorted by their first column: finish(rows) for each block of whole buckets.
+
+    A block closes at the first new bucket after ``limit`` bytes of column ``weight``.
+    """
+
+    def run(it):
+        block, size = [], 0
+        for batch in it:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if size >= limit and row[0] != block[-1][0]:
+                    yield finish(block)
+                    block, size = [], 0
+                block.append(row)
+                size += len(row[weight])
+        if block:
+            yield finish(block)
+
+    return run
+
+
+FOUND_ARROW = pa.schema([("rk", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+
+
+def found_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 3)], schema=FOUND_ARROW)
+
+
+def true_runs(hit: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of each maximal run of True."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
 def with_intervals(docs: DataFrame, intervals: DataFrame, finish, schema: str) -> DataFrame:
     """finish(text column, list of (starts, ends)) -> columns, for each document with its intervals (rk, start, end).
 
