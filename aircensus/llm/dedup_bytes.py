@@ -39,11 +39,10 @@ from . import textkit as tk
 
 WINDOW, MINIMISER = 200, 24
 #: Period of the difference cover, a square; bytes of a block; most classes of a sorted bucket.
-COVER, BLOCK, MAX_CLASSES = 64, 1 << 20, 2000
+COVER, BLOCK, MAX_CLASSES = 64, 1 << 20, 8192
 
-_CONTEXT = "m long, rk long, lo long, off int, body binary"
-_CONTEXT_ARROW = pa.schema([("m", pa.int64()), ("rk", pa.int64()), ("lo", pa.int64()), ("off", pa.int32()), ("body", pa.binary())])
-_FOUND_ARROW = pa.schema([("rk", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_CONTEXT = "m long, rk long, lo long, off int, crowded boolean, body binary"
+_CONTEXT_ARROW = pa.schema([("m", pa.int64()), ("rk", pa.int64()), ("lo", pa.int64()), ("off", pa.int32()), ("crowded", pa.bool_()), ("body", pa.binary())])
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -68,15 +67,15 @@ def find_runs(docs: DataFrame, length: int) -> DataFrame:
             for row, raw, bounds, grams, (doc, lo, n, at) in _runs(batch["text"], length):
                 if len(doc):
                     f = spans.digests(raw, lo, lo + n + length - 1)
-                    columns = (common.signed(grams[at]), f[:, 0], f[:, 1], np.zeros(len(doc), np.int64), keys[row + doc], lo - bounds[doc], n)
+                    columns = (common.signed(grams[at]), f[:, 0], np.zeros(len(doc), np.int64), keys[row + doc], lo - bounds[doc], n)
                     yield from pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=spans.RUNS_ARROW).to_batches(50_000)
 
     return docs.mapInArrow(emit, spans.RUNS)
 
 
-def find_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+def find_contexts(docs: DataFrame, wanted: DataFrame, buckets: DataFrame, length: int) -> DataFrame:
     """Bytes of the runs named by ``wanted`` (rk, lo); a few more may come along."""
-    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(spans.named(wanted), "h"))
+    bits, crowded = spans.wanted_runs(wanted, buckets, MAX_CLASSES)
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -86,7 +85,7 @@ def find_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 doc, lo, n, at = doc[hit], lo[hit], n[hit], at[hit]
                 if len(doc):
                     body = [raw[a:b] for a, b in zip(lo.tolist(), (lo + n + length - 1).tolist())]
-                    columns = (common.signed(grams[at]), keys[row + doc], lo - bounds[doc], at - lo, body)
+                    columns = (common.signed(grams[at]), keys[row + doc], lo - bounds[doc], at - lo, common.in_bitmap(crowded.value, grams[at]), body)
                     yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CONTEXT_ARROW)], schema=_CONTEXT_ARROW).to_batches(10_000)
 
     return docs.mapInArrow(emit, _CONTEXT)
@@ -170,33 +169,15 @@ def sort_block(bodies: list[bytes], offs: np.ndarray, buckets: np.ndarray, lengt
     return np.split(hit, np.cumsum(n)[:-1]) if len(n) else []
 
 
-def _true_runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-    return edges[::2], edges[1::2]
-
-
 def _sorter(length: int):
     def finish(block: list[tuple]) -> pa.RecordBatch:
         m, rk, lo, off, bodies = zip(*block)
         rows: list[tuple] = []
         for key, first, hit in zip(rk, lo, sort_block(list(bodies), np.array(off), np.array(m), length)):
-            if hit.any():
-                rows += [(key, first + a, first + b + length - 1) for a, b in zip(*(x.tolist() for x in _true_runs(hit)))]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 3)], schema=_FOUND_ARROW)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = [], 0
-        for batch in it:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= BLOCK and row[0] != block[-1][0]:
-                    yield finish(block)
-                    block, size = [], 0
-                block.append(row)
-                size += len(row[4])
-        if block:
-            yield finish(block)
+            rows += [(key, first + a, first + b + length - 1) for a, b in spans.true_runs(hit)]
+        return spans.found_batch(rows)
 
-    return run
+    return spans.in_blocks(finish, 4, BLOCK)
 
 
 def _window_digests(length: int):
@@ -220,20 +201,20 @@ def _window_digests(length: int):
 def repeated_spans(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     """rk, start, end: byte spans of each row whose windows start elsewhere too."""
     kept = spans.repeated(common.materialize(find_runs(docs, length), "bytes-runs"), by_document=False)
-    run = ["m", "f1", "f2"]
-    classes = common.materialize(kept.groupBy(*run).agg(F.count("*").alias("copies"), F.min(F.struct("rk", "lo")).alias("one")), "bytes-classes")
-    whole = kept.join(classes.filter("copies > 1"), run).select("rk", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + length - 1).alias("end"))
+    classes = common.materialize(kept.groupBy("m", "f").agg(F.count("*").alias("copies"), F.min(F.struct("rk", "lo")).alias("one")), "bytes-classes")
+    copied = classes.filter("copies > 1").select("m", "f")
+    whole = kept.join(copied, ["m", "f"], "left_semi").select("rk", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + length - 1).alias("end"))
     mixed = common.materialize(classes.groupBy("m").agg(F.count("*").alias("k")).filter("k > 1"), "bytes-mixed")
-    chosen = classes.join(mixed, "m").select("m", "one.rk", "one.lo")
-    contexts = common.materialize(find_contexts(docs, chosen, length).join(mixed, "m").dropDuplicates(["rk", "lo"]), "bytes-contexts")
+    chosen = classes.join(mixed, "m", "left_semi").select("one.rk", "one.lo")
+    contexts = common.materialize(find_contexts(docs, chosen, mixed, length), "bytes-contexts")
     blocks = (
-        contexts.filter(F.col("k") <= MAX_CLASSES).select("m", "rk", "lo", "off", "body").repartition("m").sortWithinPartitions("m")
+        contexts.filter("not crowded").select("m", "rk", "lo", "off", "body").repartition("m").sortWithinPartitions("m")
         .mapInArrow(_sorter(length), "rk long, start long, end long")
     )
-    crowded = contexts.filter(F.col("k") > MAX_CLASSES).mapInArrow(_window_digests(length), "w1 long, w2 long, rk long, at long")
-    twice = crowded.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1")
-    spread = crowded.join(twice, ["w1", "w2"]).select("rk", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
-    return whole.unionByName(blocks).unionByName(spread)
+    spread_out = contexts.filter("crowded").mapInArrow(_window_digests(length), "w1 long, w2 long, rk long, at long")
+    twice = spread_out.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1")
+    single = spread_out.join(twice, ["w1", "w2"]).select("rk", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    return whole.unionByName(blocks).unionByName(single)
 
 
 def _finish(ids: pa.Array, texts: pa.Array, removed: list[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
