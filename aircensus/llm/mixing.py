@@ -36,7 +36,7 @@ TARGETS = {"good_clean": 0.92, "good_toxic": 0.03, "bad_clean": 0.04, "bad_toxic
 #: Most labelled rows of the classifier, hash buckets, units of a nat, pseudo-tokens per domain.
 SAMPLE_ROWS, BUCKETS, UNIT, SMOOTH = 20_000, 1 << 13, 1024, 500.0
 #: Most iterations; largest miss, as a share of all tokens, at which they stop; iterations between written states.
-ITERATIONS, TOLERANCE, WRITE_EVERY = 60, 1e-4, 15
+ITERATIONS, TOLERANCE, WRITE_EVERY = 200, 1e-4, 15
 
 
 def _domain(quality: Column, toxic: Column) -> Column:
