@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
 Voters: single terms of a fixed lexicon, terms induced from labelled rows of the
-learning folds (whole words and word beginnings, so inflected forms count), and
-style patterns.  A voter fires or abstains on a document.  A generative label
-model (one hidden label, a firing rate of each voter under either label)
+learning folds (whole words and word beginnings, so inflected forms count),
+style patterns, and one voter that fires where no term does.  A voter fires or
+abstains on a document; abstaining says nothing, as each language has terms of
+its own.  A generative label model (one hidden label, a firing rate of each voter under either label)
 estimates the voters' accuracies by expectation-maximisation over the corpus'
 vote patterns; pairs of voters that fire together more than the label explains
 are correlated and share their weight.  The posterior labels of a bounded sample
@@ -37,7 +38,7 @@ LEXICON = (
     "dumm", "idioten", "abschaum", "arschloch", "versager", "imbécile", "connard", "ordure", "crétin", "estúpido", "idiota", "basura", "imbécil",
 )
 #: Induced voters and linear-model terms at most; least support; least share of positives among a voter's documents.
-VOTERS, TERMS, SUPPORT, PRECISION = 64, 256, 4, 0.5
+VOTERS, TERMS, SUPPORT, PRECISION = 64, 256, 4, 0.8
 #: Code points of the word beginnings that count as terms.
 BEGINNINGS = (4, 5)
 #: Rounds of expectation-maximisation, before and after correlations are known; prior share of toxic documents.
@@ -74,17 +75,17 @@ def word_term(word: str) -> int:
     return int(tk.mix(tk.word_hashes(raw, np.array([0]), np.array([len(raw)])) ^ _WORD_SEED)[0])
 
 
-PATTERNS = ("shouting", "exclaiming")
+PATTERNS = ("shouting", "exclaiming", "no_term")
 
 
-def patterns(x: np.ndarray) -> np.ndarray:
-    """(documents, PATTERNS) whether each style voter fires."""
+def patterns(x: np.ndarray, any_term: np.ndarray) -> np.ndarray:
+    """(documents, PATTERNS) whether each style voter, and the one for no term, fires."""
     at = ft.STYLE.index
-    return np.column_stack([x[:, at("upper_words")] > 0.3, x[:, at("exclaim")] > 0.2])
+    return np.column_stack([x[:, at("upper_words")] > 0.3, x[:, at("exclaim")] > 0.2, ~any_term])
 
 
-def induce(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Terms that mark positive rows of the sample, best first, and whether each is fit to vote."""
+def induce(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms that mark positive rows of the sample, best first; whether each is fit to vote; the lexicon's terms that the sample does not refute."""
     schema = pa.schema([("term", pa.int64()), ("pos", pa.int64()), ("all", pa.int64())])
     table = docs.join(F.broadcast(chosen), "doc_id").select("text", "label")  # a bounded sample
 
@@ -106,23 +107,23 @@ def induce(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ddl = "term long, pos long, all long"
     total = lambda df: df.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("all").alias("all"))
     frequent = common.materialize(total(table.filter("label = 1").mapInArrow(counted(None), ddl)).filter(F.col("pos") >= SUPPORT), "tox-frequent")
-    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(frequent, "term"))
-    ranked = (
-        total(table.mapInArrow(counted(bits), ddl)).join(frequent.select("term"), "term", "left_semi")
-        .withColumn("share", F.col("pos") / F.col("all"))
-        .orderBy(F.desc(F.col("share") * F.sqrt("pos")), "term").limit(TERMS).toArrow()
-    )
+    fixed = [int(common.signed(np.array([word_term(w)], dtype=np.uint64))[0]) for w in LEXICON]
+    known = frequent.select("term").unionByName(docs.sparkSession.createDataFrame([(t,) for t in fixed], "term long")).distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(known, "term"))
+    counts = total(table.mapInArrow(counted(bits), ddl)).join(known, "term", "left_semi").withColumn("share", F.col("pos") / F.col("all"))
+    counts = common.materialize(counts, "tox-terms")
+    ranked = counts.filter(F.col("pos") >= SUPPORT).orderBy(F.desc(F.col("share") * F.sqrt("pos")), "term").limit(TERMS).toArrow()
+    refuted = {r.term for r in counts.filter(F.col("term").isin(fixed) & (F.col("all") >= SUPPORT) & (F.col("share") < PRECISION)).collect()}
     found = ranked["term"].to_numpy().view(np.uint64)
-    return found, ranked["share"].to_numpy() >= PRECISION
+    kept = np.array([t for t in fixed if t not in refuted], dtype=np.int64).view(np.uint64)
+    return found, ranked["share"].to_numpy() >= PRECISION, kept
 
 
 class Voters:
     """Known terms (sorted hashes) and the voter, if any, behind each."""
 
-    def __init__(self, found: np.ndarray, fit: np.ndarray):
-        voting = found[fit][:VOTERS]
-        fixed = np.array([word_term(w) for w in LEXICON], dtype=np.uint64)
-        self.voters = np.unique(np.concatenate([voting, fixed]))
+    def __init__(self, found: np.ndarray, fit: np.ndarray, lexicon: np.ndarray):
+        self.voters = np.unique(np.concatenate([found[fit][:VOTERS], lexicon]))
         self.terms = np.unique(np.concatenate([self.voters, found]))
         self.voter_of = np.full(len(self.terms), -1)
         self.voter_of[np.searchsorted(self.terms, self.voters)] = np.arange(len(self.voters))
@@ -141,7 +142,7 @@ class Voters:
         at, o = self.present(data, bounds)
         voter = self.voter_of[at]
         out[o[voter >= 0], voter[voter >= 0]] = True
-        out[:, len(self.voters) :] = patterns(ft.style(data, bounds))
+        out[:, len(self.voters) :] = patterns(ft.style(data, bounds), out.any(axis=1))
         return out
 
     def vectors(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -171,14 +172,14 @@ class LabelModel:
 
     def __init__(self, voters: int, prior: float):
         self.prior = prior
-        self.rate = np.vstack([np.full(voters, 0.01), np.full(voters, 0.2)])  # under label 0, 1
+        self.rate = np.vstack([np.full(voters, 0.001), np.full(voters, 0.05)])  # under label 0, 1
+        self.rate[:, -len(PATTERNS) : -1] = 0.02  # style alone is no evidence until it goes with terms
+        self.rate[:, -1] = 0.9, 0.05  # the voter for no term
         self.weight = np.ones(voters)
 
     def parts(self) -> tuple[float, np.ndarray]:
         """Log odds without any vote, and what each firing voter adds."""
-        silent = self.weight * (np.log1p(-self.rate[1]) - np.log1p(-self.rate[0]))
-        fired = self.weight * (np.log(self.rate[1]) - np.log(self.rate[0]))
-        return float(np.log(self.prior / (1 - self.prior)) + silent.sum()), fired - silent
+        return float(np.log(self.prior / (1 - self.prior))), self.weight * (np.log(self.rate[1]) - np.log(self.rate[0]))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         base, add = self.parts()
@@ -201,10 +202,10 @@ class LabelModel:
         for v, n, p in fired:
             counts[:, v] = n - p, p
         size = np.array([[total - toxic], [toxic]])
-        # A few pseudo-documents keep rates off 0 and 1, and a voter more frequent among toxic documents.
+        # A few pseudo-documents keep rates off 0 and 1; a term is never evidence against its label.
         self.rate = np.clip((counts + np.array([[0.05], [1.0]])) / (size + 10), 1e-5, 0.95)
-        self.rate[1] = np.maximum(self.rate[1], self.rate[0])
-        self.prior = float(np.clip(toxic / total, 1e-3, 0.5))
+        terms_only = slice(0, len(self.weight) - len(PATTERNS))
+        self.rate[1, terms_only] = np.maximum(self.rate[1, terms_only], self.rate[0, terms_only])
 
     def correlate(self, table: DataFrame) -> None:
         """Share weight among voters that fire together beyond what the label explains."""
@@ -251,25 +252,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = FOLD, held: i
 
 
 def _train(table: DataFrame, chosen: DataFrame, voters, model: LabelModel) -> np.ndarray:
-    """Weights of the linear classifier, from the sample's posterior labels.
-
-    Each task reduces its rows to a Gram-like summary only after the posterior
-    is known, so what reaches the driver are the sample's sparse rows.
-    """
-    schema = pa.schema([("known", pa.list_(pa.int32())), ("style", pa.list_(pa.float64())), ("p", pa.float64())])
+    """Weights of the linear classifier, from the posterior labels of the bounded sample."""
+    schema = pa.schema([("known", pa.list_(pa.int32())), ("style", pa.list_(pa.float64())), ("p", pa.float64()), ("label", pa.int32())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for _, data, bounds in tk.chunks(batch["text"]):
+            for row, data, bounds in tk.chunks(batch["text"]):
                 v = voters.value
                 at, o = v.present(data, bounds)
                 cuts = np.searchsorted(o, np.arange(len(bounds)))
                 known = [at[a:b].astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:])]
                 p = model.posterior(v.votes(data, bounds))
-                yield pa.RecordBatch.from_arrays([pa.array(known, schema.field(0).type), pa.array(list(ft.style(data, bounds)), schema.field(1).type), pa.array(p)], schema=schema)
+                arrays = [pa.array(known, schema.field(0).type), pa.array(list(ft.style(data, bounds)), schema.field(1).type), pa.array(p), batch["label"].slice(row, len(p))]
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    sample = table.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("text")  # a bounded sample
-    got = sample.mapInArrow(run, "known array<int>, style array<double>, p double").toArrow()
+    sample = table.join(F.broadcast(chosen), "doc_id").select("text", "label")  # a bounded sample
+    got = sample.mapInArrow(run, "known array<int>, style array<double>, p double, label int").toArrow()
     style = np.array(got["style"].to_pylist(), dtype=float).reshape(-1, len(ft.STYLE))
     x = np.zeros((len(style), 1 + len(voters.value.terms) + len(ft.STYLE) - 1))
     x[:, 0] = 1
@@ -281,7 +279,12 @@ def _train(table: DataFrame, chosen: DataFrame, voters, model: LabelModel) -> np
         w = np.zeros(x.shape[1])
         w[0] = np.log(PRIOR / (1 - PRIOR))
         return w
-    return ft.fit_logistic(x, p, np.ones(len(p)), 1.0)
+    w = ft.fit_logistic(x, p, np.ones(len(p)), 1.0)
+    # The labels of the learning folds set the scale of the scores, two numbers.
+    a = ft.fit_logistic(np.column_stack([np.ones(len(x)), x @ w]), ft.to_numpy(got["label"]), np.ones(len(x)), 0.1)
+    w = w * max(a[1], 0.1)
+    w[0] += a[0]
+    return w
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
