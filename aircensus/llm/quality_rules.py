@@ -27,7 +27,7 @@ from . import native_text as nt
 #: n-gram orders, hash buckets, least count added to each bucket's expectation.
 ORDERS, BUCKETS, SMOOTH = (1, 2), 1 << 14, 0.5
 #: Most labelled rows of the trusted target; units of a nat; least mean ratio kept.
-TARGET_ROWS, UNIT, THRESHOLD = 20_000, 1024, -0.2
+TARGET_ROWS, UNIT, THRESHOLD = 20_000, 1024, -0.1
 #: Bits of a packed key that hold a word's place.
 _PLACE = 20
 
