@@ -4,14 +4,20 @@ A document is its set of ``GRAM``-word shingles.  All shingles have one global
 order, rare ones first: how often a shingle's hash bucket occurs in the corpus,
 then its hash.  Copies with one set are one node.
 
+The buckets are many, so that chance neighbours in a bucket hide little of a
+shingle's own frequency; counts travel compressed.
+
 Candidates: two sets that reach the threshold share a shingle among the first
 ``n - ceil(t n) + 1`` of each, at places that leave enough shingles behind
-(prefix, length and positional bounds; none of them loses a pair).  First only
-neighbours in each shingle's list (ordered by size) and the list's head are
-compared, which links a large group of copies with linearly many pairs.  Then
-the pairs of a list that lie in different components so far are compared; those
-in one component need no comparison, as only components are asked for.
-
+(prefix, length and positional bounds; none of them loses a pair).  First each
+set is compared with the heads of its rarest and its commonest list (lists are
+ordered by size) and with the set before it in its rarest one, which links a
+large group of copies with at most four pairs for each.  Then the pairs of a list that lie in different
+components so far are compared; those in one component need no comparison, as
+only components are asked for.
+
+A parity sketch (each shingle flips one of about 2n bits) bounds the symmetric
+difference of a pair from below and drops hopeless candidates without loss.
 Verification is vertical: the global order is cut into ``FRAGMENTS`` even
 fragments, each candidate set into its segments; the overlap of a pair is
 counted in each fragment separately and summed per pair.
@@ -26,6 +32,7 @@ by their own sets.  Other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +49,12 @@ from .components import connected_components
 
 GRAM, PERCENT = 4, 85
 #: Buckets of the global order (a power of two), the rows they travel in, fragments of the order.
-BUCKETS, SLICES, FRAGMENTS = 1 << 18, 64, 8
+BUCKETS, SLICES, FRAGMENTS = 1 << 22, 64, 8
 #: Lists expected to be longer than this are walked in salted parts.
 LONG_LIST = 4096
 
-_SETS = "doc_id long, rk long, nid long, n long, prefix array<long>, parts array<int>"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("nid", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32()))])
+_SETS = "doc_id long, rk long, nid long, n long, prefix array<long>, parts array<int>, sketch array<long>"
+_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("nid", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("sketch", pa.list_(pa.int64()))])
 _SEGMENTS = "nid long, fragment int, grams array<long>"
 _SEGMENTS_ARROW = pa.schema([("nid", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
@@ -79,23 +86,23 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
                 starts, ends, firsts = tk.words(low, bounds, ~tk.SPACE_LUT[low])
                 grams = tk.gram_hashes(tk.word_hashes(low, starts, ends), GRAM)
                 owner_end = np.repeat(firsts[1:], np.diff(firsts))[: len(grams)]
-                total += np.bincount((grams[np.arange(len(grams)) + GRAM <= owner_end] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                np.add.at(total, (grams[np.arange(len(grams)) + GRAM <= owner_end] % np.uint64(BUCKETS)).astype(np.int64), 1)
         if total.any():
             salt = TaskContext.get().partitionId() % 64
-            rows = [total[i * width : (i + 1) * width].tobytes() for i in range(SLICES)]
+            rows = [zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in range(SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array(rows, pa.binary())], schema=schema)
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(width, dtype=np.int64)
         for row in group["counts"]:
-            total += np.frombuffer(row.as_py(), dtype=np.int64)
-        return pa.table([group["slice"][:1].combine_chunks(), group["salt"][:1].combine_chunks(), pa.array([total.tobytes()], pa.binary())], schema=schema)
+            total += np.frombuffer(zlib.decompress(row.as_py()), dtype=np.int64)
+        return pa.table([group["slice"][:1].combine_chunks(), group["salt"][:1].combine_chunks(), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], schema=schema)
 
     ddl = "slice int, salt int, counts binary"
     parts = docs.select("text").mapInArrow(count, ddl).groupBy("slice", "salt").applyInArrow(add, ddl).groupBy("slice").applyInArrow(add, ddl)
     out = np.zeros(BUCKETS, dtype=np.int64)
     for row in parts.collect():  # SLICES rows
-        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.int64)
+        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
     return out
 
 
@@ -103,16 +110,16 @@ class GlobalOrder:
     """The order of shingles: bucket count, then hash; and its even cuts."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts = np.minimum(counts, (1 << 20) - 1).astype(np.uint64)
-        by_count = np.bincount(self.counts.astype(np.int64), weights=counts, minlength=1)
+        self.counts = np.minimum(counts, (1 << 20) - 1).astype(np.uint32)
+        by_count = np.bincount(self.counts, weights=counts, minlength=1)
         total = max(by_count.sum(), 1)
         self.width = by_count / total
         self.base = np.cumsum(self.width) - self.width
         expected = counts.mean() + 6 * counts.std() if counts.std() < 3 * counts.mean() else 2 * counts.mean()
-        self.parts = np.maximum(1, (counts - expected) / LONG_LIST).astype(np.int64)
+        self.parts = np.clip((counts - expected) / LONG_LIST, 1, (1 << 31) - 1).astype(np.int32)
 
     def key(self, grams: np.ndarray) -> np.ndarray:
-        return (self.counts[(grams % np.uint64(BUCKETS)).astype(np.int64)] << np.uint64(44)) | (grams >> np.uint64(20))
+        return (self.counts[(grams % np.uint64(BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20))
 
     def fragment(self, grams: np.ndarray) -> np.ndarray:
         count = self.counts[(grams % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int64)
@@ -123,6 +130,28 @@ class GlobalOrder:
         return (np.uint64(nid & ((1 << 63) - 1)).astype(np.int64) % self.parts[(grams % np.uint64(BUCKETS)).astype(np.int64)]).astype(np.int32)
 
 
+def parity_sketch(own: np.ndarray) -> np.ndarray:
+    """Bits that an odd number of the set's hashes fall on; a power of two from 256 and about 2n on."""
+    bits = 256
+    while bits < 2 * len(own):
+        bits *= 2
+    slot = (own >> np.uint64(3)) % np.uint64(bits)
+    odd = np.bincount(slot.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_be_similar(s, t, n, m, percent: int):
+    """Does the sketches' distance, a lower bound of the symmetric difference, leave the threshold in reach?"""
+
+    def fold(a, b):  # the longer one is halved until both have the same length
+        half = lambda x: F.transform(F.sequence(F.lit(0), (F.size(x) / 2).cast("int") - 1), lambda i: F.get(x, i).bitwiseXOR(F.get(x, i + (F.size(x) / 2).cast("int"))))
+        return F.when(F.size(a) > F.size(b), half(a)).otherwise(a)
+
+    distance = F.aggregate(F.zip_with(fold(s, t), fold(t, s), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    # overlap = (n + m - difference) / 2; sizes that differ so much that one fold is not enough are out of reach anyway
+    return (F.greatest(F.size(s), F.size(t)) > 2 * F.least(F.size(s), F.size(t))) | _similar((n + m - distance) / 2, n, m, percent)
+
+
 def shingle_sets(docs: DataFrame, order, percent: int) -> DataFrame:
     """doc_id, rk, nid (names the set), n and the set's ordered prefix; nid is null for an empty set."""
 
@@ -132,6 +161,7 @@ def shingle_sets(docs: DataFrame, order, percent: int) -> DataFrame:
             nids, sizes = [None] * rows, [0] * rows
             prefixes: list = [()] * rows
             parts: list = [()] * rows
+            sketches: list = [()] * rows
             for row, grams in _shingles(batch["text"]):
                 own = np.unique(grams)
                 n = len(own)
@@ -139,9 +169,9 @@ def shingle_sets(docs: DataFrame, order, percent: int) -> DataFrame:
                 take = n - (percent * n + 99) // 100 + 1
                 first = own[np.argsort(order.value.key(own), kind="stable")[:take]]
                 nids[row], sizes[row] = nid - (1 << 64) if nid >> 63 else nid, n
-                prefixes[row], parts[row] = common.signed(first), order.value.lists(first, nid)
+                prefixes[row], parts[row], sketches[row] = common.signed(first), order.value.lists(first, nid), parity_sketch(own)
             for lo in range(0, rows, 2000):
-                columns = (nids, sizes, prefixes, parts)
+                columns = (nids, sizes, prefixes, parts, sketches)
                 arrays = [pa.array(c[lo : lo + 2000], f.type) for c, f in zip(columns, list(_SETS_ARROW)[2:])]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, 2000), batch["rk"].slice(lo, 2000), *arrays], schema=_SETS_ARROW)
 
@@ -181,18 +211,22 @@ def possible(n, p, m, q, percent: int):
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, order, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose overlaps, summed over the fragments, reach the threshold."""
-    pairs = common.materialize(pairs.distinct(), "jac-pairs")
+    side = lambda c: nodes.select(F.col("nid").alias(c), F.struct("n", "sketch").alias(f"_{c}"))
+    sized = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    likely = sized.filter(_may_be_similar(F.col("_a.sketch"), F.col("_b.sketch"), F.col("_a.n"), F.col("_b.n"), percent))
+    pairs = common.materialize(likely.select("a", "b", F.col("_a.n").alias("n"), F.col("_b.n").alias("m")), "jac-pairs")
     named = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    found = common.materialize(segments(docs, nodes.join(named, "nid", "left_semi"), order).dropDuplicates(["nid", "fragment"]), "jac-segments")
+    found = common.materialize(segments(docs, nodes.join(named, "nid", "left_semi"), order), "jac-segments")
     left = found.select(F.col("nid").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = found.select(F.col("nid").alias("b"), "fragment", F.col("grams").alias("gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
-    overlap = partial.groupBy("a", "b").agg(F.sum("o").alias("o"))
-    size = nodes.select("nid", "n")
-    return (
-        overlap.join(size.select(F.col("nid").alias("a"), F.col("n").alias("n")), "a").join(size.select(F.col("nid").alias("b"), F.col("n").alias("m")), "b")
-        .filter(_similar(F.col("o"), F.col("n"), F.col("m"), percent)).select("a", "b")
-    )
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n", "m", "fragment", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
+    # Rows that repeat give a segment twice; the greatest counts it once.
+    once = partial.groupBy("a", "b", "n", "m", "fragment").agg(F.max("o").alias("o"))
+    overlap = once.groupBy("a", "b", "n", "m").agg(F.sum("o").alias("o"))
+    links = common.materialize(overlap.filter(_similar(F.col("o"), F.col("n"), F.col("m"), percent)).select("a", "b"), "jac-links")
+    common.discard(found)
+    common.release(docs.sparkSession)
+    return links
 
 
 def _pair(a, b):
@@ -201,12 +235,15 @@ def _pair(a, b):
 
 def near_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Candidates of the first round from rows with their list's head and the row before."""
-    out = None
-    for other in ("before", "head", "above"):
+
+    def fit(other: str) -> DataFrame:
         o = F.col(other)
-        some = lists.filter(o.isNotNull() & (o["nid"] != F.col("nid")) & possible(F.col("n"), F.col("pos"), o["n"], o["pos"], percent)).select(*_pair(F.col("nid"), o["nid"]))
-        out = some if out is None else out.unionByName(some)
-    return out
+        return lists.filter(o.isNotNull() & (o["nid"] != F.col("nid")) & possible(F.col("n"), F.col("pos"), o["n"], o["pos"], percent))
+
+    def one(other: str, pick) -> DataFrame:
+        return fit(other).groupBy("nid").agg(pick(f"{other}.nid", "pos").alias("o")).select(*_pair(F.col("nid"), F.col("o")))
+
+    return one("before", F.min_by).unionByName(one("head", F.min_by)).unionByName(one("head", F.max_by)).unionByName(one("above", F.min_by))
 
 
 def far_pairs(lists: DataFrame, component: DataFrame, percent: int) -> DataFrame:
@@ -234,30 +271,32 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = spans.keyed(docs)
     order = docs.sparkSession.sparkContext.broadcast(GlobalOrder(bucket_counts(rows)))
     sets = common.materialize(shingle_sets(rows, order, percent), "jac-sets")
-    nodes = common.materialize(
-        sets.filter("nid is not null").groupBy("nid")
-        .agg(F.min("doc_id").alias("doc_id"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")),
-        "jac-nodes",
-    )
-    cells = nodes.select("nid", "n", F.posexplode(F.arrays_zip("prefix", "parts"))).select("nid", "n", F.col("pos"), F.col("col.prefix").alias("gram"), F.col("col.parts").alias("part"))
+    members = common.materialize(sets.select("doc_id", "nid", "n"), "jac-members")
+    first = {c: F.first(c).alias(c) for c in ("n", "prefix", "parts", "sketch")}
+    full = common.materialize(sets.filter("nid is not null").groupBy("nid").agg(F.min("doc_id").alias("doc_id"), F.min("rk").alias("rk"), *first.values()), "jac-full")
+    common.discard(sets)
+    nodes = common.materialize(full.select("nid", "doc_id", "rk", "n", "sketch"), "jac-nodes")
+    common.release(docs.sparkSession)
+    cells = full.select("nid", "n", F.posexplode(F.arrays_zip("prefix", "parts"))).select("nid", "n", F.col("pos"), F.col("col.prefix").alias("gram"), F.col("col.parts").alias("part"))
     me = F.struct("nid", "n", "pos")
     walk = W.partitionBy("gram", "part").orderBy("n", "nid")
     walked = cells.select("*", F.lag(me).over(walk).alias("before"), F.first(me).over(walk).alias("head"), F.lead("nid").over(walk).alias("after"))
     salted = F.col("part") > 0
     lists = common.materialize(walked.filter(F.col("before").isNotNull() | F.col("after").isNotNull() | salted).drop("after"), "jac-lists")
+    common.discard(full)
+    common.release(docs.sparkSession)
     heads = lists.filter("before is null").select("gram", "part", me.alias("mine"))
     tops = heads.groupBy("gram").agg(F.min("part").alias("part"), F.min_by("mine", "part").alias("above"))
     linked = lists.join(tops.select("gram", "above"), "gram", "left") if not lists.filter(salted).isEmpty() else lists.withColumn("above", F.lit(None).cast("struct<nid:long,n:long,pos:int>"))
-    size = nodes.select("nid", "n", "rk")
-    near = common.materialize(verify(near_pairs(linked, percent), size, rows, order, percent), "jac-near")
+    near = verify(near_pairs(linked, percent), nodes, rows, order, percent)
     first = common.materialize(connected_components(near), "jac-first").withColumnRenamed("node", "nid")
-    far = verify(far_pairs(lists, first, percent), size, rows, order, percent)
+    far = verify(far_pairs(lists, first, percent), nodes, rows, order, percent)
     final = connected_components(near.unionByName(far)).withColumnRenamed("node", "nid")
     least = nodes.select("nid", "doc_id").join(final, "nid").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked_sets = final.join(least, "component").select("nid", "component_id")
     own = nodes.select("nid", F.col("doc_id").alias("own_id"))
     found = own.join(linked_sets, "nid", "left").select("nid", F.coalesce("component_id", "own_id").alias("component_id"))
-    out = sets.select("doc_id", "nid", "n").join(found, "nid", "left")
+    out = members.join(found, "nid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
