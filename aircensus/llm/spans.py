@@ -118,6 +118,7 @@ def repeated(runs: DataFrame, by_document: bool) -> DataFrame:
 
     kept = common.materialize(runs.mapInArrow(keep, RUNS), "span-kept")
     common.discard(runs)
+    common.release(runs.sparkSession)
     return kept
 
 
@@ -167,6 +168,7 @@ def with_intervals(docs: DataFrame, intervals: DataFrame, finish, schema: str) -
     Only documents that may have intervals are shuffled to meet them.
     """
     intervals = common.materialize(intervals, "span-intervals")
+    common.release(docs.sparkSession)
     bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(intervals.select(F.xxhash64("rk").alias("h")), "h"))
 
     def touched(wanted: bool):
