@@ -127,7 +127,9 @@ class GlobalOrder:
         return np.minimum((place * FRAGMENTS).astype(np.int32), FRAGMENTS - 1)
 
     def lists(self, grams: np.ndarray, nid: int) -> np.ndarray:
-        return (np.uint64(nid & ((1 << 63) - 1)).astype(np.int64) % self.parts[(grams % np.uint64(BUCKETS)).astype(np.int64)]).astype(np.int32)
+        """The part of each gram's list that the set walks in: 0 for an unsalted list, 1 and on for the parts of a salted one."""
+        parts = self.parts[(grams % np.uint64(BUCKETS)).astype(np.int64)]
+        return np.where(parts > 1, 1 + np.uint64(nid & ((1 << 63) - 1)).astype(np.int64) % parts, 0).astype(np.int32)
 
 
 def parity_sketch(own: np.ndarray) -> np.ndarray:
@@ -281,7 +283,7 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     me = F.struct("nid", "n", "pos")
     walk = W.partitionBy("gram", "part").orderBy("n", "nid")
     walked = cells.select("*", F.lag(me).over(walk).alias("before"), F.first(me).over(walk).alias("head"), F.lead("nid").over(walk).alias("after"))
-    salted = F.col("part") > 0
+    salted = F.col("part") > 0  # a row alone in its part may have others in the list's other parts
     lists = common.materialize(walked.filter(F.col("before").isNotNull() | F.col("after").isNotNull() | salted).drop("after"), "jac-lists")
     common.discard(full)
     common.release(docs.sparkSession)

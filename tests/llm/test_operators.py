@@ -394,6 +394,16 @@ def test_jaccard_join_of_a_large_near_group(spark, monkeypatch):
     assert result(jaccard_join.jaccard_join(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == brute_jaccard(rows)
 
 
+def test_jaccard_join_of_many_copies_and_one_near_copy(spark):
+    rng = random.Random(5)
+    copies = 2 * jaccard_join.LONG_LIST + 100  # the lists have two parts, two sets each
+    texts = [prose(rng, 60, 5000) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "g long, text string").crossJoin(spark.range(copies).withColumnRenamed("id", "i"))
+    docs = docs.selectExpr(f"g * {copies} + i AS doc_id", "text").unionByName(frame(spark, [((1 << 40) + g, t + " zz") for g, t in enumerate(texts)]).select("doc_id", "text"))
+    near = jaccard_join.jaccard_join(docs).filter(f"doc_id >= {1 << 40}").collect()
+    assert {r.doc_id - (1 << 40): r.component_id for r in near} == {g: g * copies for g in range(6)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 105), (105, 102), (200, 200)]
     got = dict(components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
