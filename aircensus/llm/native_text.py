@@ -41,11 +41,6 @@ def weigh(buckets: Column, values: list[int]) -> Column:
     return F.aggregate(buckets, F.lit(0).cast("long"), lambda s, b: s + F.get(constant, b))
 
 
-def labelled_sample(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Documents with the columns of a bounded sample of ids; null where a document is not in it."""
-    return docs.join(F.broadcast(chosen), "doc_id", "left")
-
-
 def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (null becomes empty), words."""
     plain = common.texts(docs, id_col, text_col)

@@ -6,9 +6,9 @@ labelled good) and the raw corpus.  A document's score is the sum of its
 n-grams' log ratios over their number; every document at or above the threshold
 is kept, without any draw.
 
-The target is counted on a bounded sample of labelled rows (``TARGET_ROWS``, the
-first by hash of their id), the raw corpus on all documents.  Ratios are whole
-numbers of 1/1024 nat, so sums do not depend on their order.
+The target is counted on all documents labelled good, the raw corpus on all
+documents.  Ratios are whole numbers of 1/1024 nat, so sums do not depend on
+their order.
 
 Nulls and empty texts have no words, and base_failed like all short texts.  Each
 row gives one row, repeated rows and null ids included; without labels the ratio
@@ -26,8 +26,8 @@ from . import native_text as nt
 
 #: n-gram orders, hash buckets, least count added to each bucket's expectation.
 ORDERS, BUCKETS, SMOOTH = (1, 2), 1 << 14, 0.5
-#: Most labelled rows of the trusted target; units of a nat; least mean ratio kept.
-TARGET_ROWS, UNIT, THRESHOLD = 20_000, 1024, -0.1
+#: Units of a nat; least mean ratio kept.
+UNIT, THRESHOLD = 1024, -0.1
 #: Bits of a packed key that hold a word's place.
 _PLACE = 20
 
@@ -92,17 +92,18 @@ def base_measures(df: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def ratios(prepared: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS) -> list[list[int]]:
+def ratios(prepared: DataFrame, labels: DataFrame) -> list[list[int]]:
     """For each order, the log ratio of each bucket in whole units; all counting is on the executors."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality = 1")
-    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("target", F.lit(1))
-    marked = nt.labelled_sample(prepared, chosen).select("words", F.coalesce("target", F.lit(0)).alias("target"))
+    # Only the texts labelled good are shuffled; their words are made after the join.
+    good = prepared.select("doc_id", "text").join(usable.select("doc_id"), "doc_id", "left_semi").withColumn("words", nt.words(F.col("text")))
+    marked = prepared.select("words", F.lit(0).alias("target")).unionByName(good.select("words", F.lit(1).alias("target")))
 
     def shifted(buckets: Column, by: int) -> Column:
         return F.transform(buckets, lambda b: b + by)
 
     grams = F.concat(*(shifted(nt.gram_buckets(F.col("words"), n, BUCKETS), k * BUCKETS) for k, n in enumerate(ORDERS)))
-    counts = marked.select("target", F.explode(grams).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("target").alias("target")).collect()
+    counts = marked.select("target", F.explode(grams).alias("b")).groupBy("b").agg(F.sum(1 - F.col("target")).alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.zeros((2, len(ORDERS) * BUCKETS))
     for b, r, t in counts:  # at most one row per bucket
         raw[b], target[b] = r, t

@@ -10,6 +10,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aircensus.llm import common, components, dedup_bytes, dedup_words, decontaminate, jaccard_join, mixing, pii_scan, quality_rank, quality_rules, secret_scan, spans, toxicity
@@ -136,6 +137,13 @@ def test_quality_rules(spark, corpus):
     assert {r.ratio for r in quality_rules.apply_rules(frame(spark, rows), none).collect()} == {0}
 
 
+def test_quality_rules_target_counts_all_good_rows(spark):
+    ids = [r.id for r in spark.range(25_000).orderBy(F.xxhash64("id")).collect()]
+    docs = frame(spark, [(i, "late texts say this" if k >= 20_000 else "early ones have that") for k, i in enumerate(ids)])
+    labels = spark.range(25_000).selectExpr("id AS doc_id", "1 AS quality")
+    assert quality_rules.apply_rules(docs, labels).agg(F.min("ratio")).first()[0] > 0
+
+
 def test_repeats_when_hash_places_do_not_fit(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "_PLACE", 4)
     text = "a b c d a b c " + " ".join(map(str, range(40))) + " a b c"
