@@ -12,8 +12,13 @@ with n_d the document's tokens, p_dk its posteriors and T_k the target tokens of
 domain k.  In the metric weighted by n_d a document's gradient is
 sum_k p_dk (A_k - T_k) / T_k, so one iteration is one aggregation of K totals and
 a clipped update of each row; the step is one over the largest eigenvalue of the
-K x K Gram matrix.  The driver sees K numbers an iteration, however many
-documents there are.
+K x K Gram matrix.  Steps start from a point carried on by momentum (restarted
+where the loss grows), whose totals follow from those of the two last iterates.
+The driver sees K + 1 numbers an iteration, however many documents there are.
+
+Iterations end when all targets are met, or when the loss is provably near its
+least value (duality gap): then a target is out of reach, and a warning gives
+the shares that were reached.  A fit that reaches neither raises.
 
 Nulls and empty texts have no tokens and keep the prior as posterior; they get a
 rate like any other row.  Each row gives one row, repeated rows and null ids
@@ -23,6 +28,8 @@ empty result.  Other columns are not read.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +37,17 @@ from pyspark.sql import functions as F
 from . import common
 from . import native_text as nt
 
+log = logging.getLogger(__name__)
+
 #: Domains as (quality, toxic) and the share of all tokens that each should get.
 DOMAINS = {"good_clean": (1, 0), "good_toxic": (1, 1), "bad_clean": (0, 0), "bad_toxic": (0, 1)}
 TARGETS = {"good_clean": 0.92, "good_toxic": 0.03, "bad_clean": 0.04, "bad_toxic": 0.01}
 #: Most labelled rows of the classifier, hash buckets, units of a nat, pseudo-tokens per domain.
 SAMPLE_ROWS, BUCKETS, UNIT, SMOOTH = 20_000, 1 << 13, 1024, 500.0
-#: Most iterations; largest miss, as a share of all tokens, at which they stop; iterations between written states.
-ITERATIONS, TOLERANCE, WRITE_EVERY = 200, 1e-4, 15
+#: Largest miss and largest gap to the optimum, as shares of all tokens, at which iterations stop; iterations between written states.
+TOLERANCE, GAP, WRITE_EVERY = 1e-4, 1e-5, 15
+#: Iterations after which a fit that met neither bound is an error.
+MOST = 5000
 
 
 def _domain(quality: Column, toxic: Column) -> Column:
@@ -81,7 +92,7 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit_rates(members: DataFrame, targets: list[float]) -> DataFrame:
-    """Adds rate: nonnegative, with expected domain totals at the targets (shares of all tokens)."""
+    """Adds rate: nonnegative, with expected domain totals at the targets (shares of all tokens) or, out of reach, closest to them."""
     ks = range(len(targets))
     n = F.col("n_tokens").cast("double")
     gram = members.agg(
@@ -94,17 +105,49 @@ def fit_rates(members: DataFrame, targets: list[float]) -> DataFrame:
         return members.withColumn("rate", F.lit(1.0))
     scale = np.where(live, 1 / np.sqrt(np.where(live, want, 1)), 0)
     step = 1 / np.linalg.eigvalsh(g * np.outer(scale, scale)).max()
-    state, rate = members.withColumn("rate", F.lit(1.0)), F.col("rate")
-    for i in range(ITERATIONS):
-        have = np.array(state.agg(*(F.sum(rate * n * F.col(f"p{k}")) for k in ks)).first(), dtype=float)
-        miss = np.where(live, have - want, 0)
-        if np.abs(miss).max() <= TOLERANCE * total:
+
+    def weigh(weights: np.ndarray) -> Column:
+        return sum((F.col(f"p{k}") * F.lit(float(weights[k])) for k in ks), F.lit(0.0))
+
+    def lack(have: np.ndarray) -> np.ndarray:
+        return np.where(live, (have - want) / np.where(live, want, 1), 0)
+
+    def loss(have: np.ndarray) -> float:
+        return float((lack(have) ** 2 * want).sum() / 2)
+
+    state, written = members.withColumns({"rate": F.lit(1.0), "_last": F.lit(1.0)}), None
+    inside, last, pull, momentum = weigh(live), None, None, 1.0
+    for i in range(MOST):
+        # The least gradient at the iterate before bounds what is left to gain there.
+        least = F.min(F.when((n > 0) & (inside > 0), weigh(pull) / inside)) if i else F.lit(0.0)
+        row = state.agg(*(F.sum(F.col("rate") * n * F.col(f"p{k}")) for k in ks), least).first()
+        have = np.array(row[:-1], dtype=float)
+        if np.abs(np.where(live, have - want, 0)).max() <= TOLERANCE * total:
             break
-        pull = np.where(live, miss / np.where(live, want, 1), 0) * step
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p{k}") * F.lit(float(pull[k])) for k in ks), F.lit(0.0)))
+        if i:
+            most = want[live].sum() + np.sqrt(2 * loss(last) * want[live].sum())  # tokens of the live domains at the optimum
+            gap = (pull * last).sum() + max(0.0, -row[-1]) * most
+            if gap <= GAP * total:
+                log.warning("targets out of reach: shares %s for %s", (have / total).round(5).tolist(), targets)
+                break
+        else:
+            last = have
+        if loss(have) > loss(last):
+            momentum = 1.0
+        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        beta, momentum = (momentum - 1) / following, following
+        ahead = have + beta * (have - last)
+        moved = F.greatest(F.lit(0.0), F.col("rate") * (1 + beta) - F.col("_last") * beta - weigh(lack(ahead) * step))
+        state = state.select(*members.columns, moved.alias("rate"), F.col("rate").alias("_last"))
+        last, pull = have, lack(have)
         if (i + 1) % WRITE_EVERY == 0:
-            state, rate = common.materialize(state.withColumn("rate", rate), "mix-rates"), F.col("rate")
-    return state.withColumn("rate", rate)
+            before, written = written, common.materialize(state, "mix-rates")
+            state = written
+            if before is not None:
+                common.discard(before)
+    else:
+        raise RuntimeError(f"rates did not converge in {MOST} iterations: shares {(have / total).tolist()} for {targets}")
+    return state.drop("_last")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
