@@ -349,27 +349,6 @@ def test_mixing_meets_targets(spark):
     assert np.abs((got - best) * n).sum() < 0.02 * (best * n).sum()
 
 
-def test_mixing_converges_slowly_or_says_out_of_reach(spark, caplog):
-    rng = np.random.default_rng(1)
-    n, p = rng.integers(50, 400, 400), rng.dirichlet([60, 2, 6, 0.6], 400)
-
-    def reached(targets):
-        table = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(400)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double, p3 double")
-        got = np.array([r.rate for r in mixing.fit_rates(table, targets).orderBy("doc_id").collect()])
-        assert (got >= 0).all()
-        return (got * n) @ p / n.sum()
-
-    targets = [0.88, 0.04, 0.07, 0.01]
-    plain = (brute_rates(n.astype(float), p, targets, 200) * n) @ p / n.sum()
-    assert np.abs(plain - targets).max() > mixing.TOLERANCE  # 200 plain steps do not do
-    assert np.abs(reached(targets) - targets).max() <= mixing.TOLERANCE and not caplog.records
-    p = np.where(np.arange(400)[:, None] % 2, [0.9, 0.1, 0, 0], [0.8, 0.2, 0, 0])
-    far = [0.5, 0.5, 0, 0]
-    best = (brute_rates(n.astype(float), p, far) * n) @ p / n.sum()
-    assert np.abs(reached(far) - best).max() <= 2e-3
-    assert "out of reach" in caplog.text
-
-
 def test_mixing_edges(spark, corpus):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(10)] + [(11, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = mixing.mix(frame(spark, corpus), labels).collect()
