@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: log2 of the bits in a fixed-size membership bitmap (8 MB whatever the input).
 BITMAP_LOG2 = 26
+#: Most keys that are told to all tasks, as a bitmap of 16 bits a key (16 MB).
+MOST_KEYS = 1 << 23
 #: Bytes of an Arrow batch that a Python task gets at once.
 BATCH_BYTES = 4 << 20
 
@@ -45,11 +47,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a materialised table that no later step reads."""
-    spark, path = df.sparkSession, df._written_to
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later step reads."""
+    for df in tables:
+        spark, path = df.sparkSession, df._written_to
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -106,6 +109,63 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
 
+def _told(keys: DataFrame, column: str):
+    """(bits of a bitmap, its broadcast) of a column of 64-bit keys; None if there are over ``MOST_KEYS``."""
+    count = keys.count()
+    if count > MOST_KEYS:
+        return None
+    log2 = max(16, min(BITMAP_LOG2 + 1, (16 * count).bit_length()))
+    rows = (
+        keys.select(F.shiftrightunsigned(F.xxhash64(column), 64 - log2).alias("_s"))
+        .groupBy(F.shiftright("_s", 6).alias("_w"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(_s & 63 as int))")).alias("_b"))
+        .toArrow()
+    )
+    bits = np.zeros(1 << (log2 - 6), dtype=np.uint64)
+    if rows.num_rows:
+        bits[rows["_w"].to_numpy()] = rows["_b"].to_numpy().view(np.uint64)
+    return log2, keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def _sieved(df: DataFrame, column: str, log2: int, bits, wanted: bool) -> DataFrame:
+    names = df.columns
+
+    def keep(it):
+        for batch in it:
+            slot = batch["_h"].to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - log2)
+            hit = (bits.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+            yield batch.filter(pa.array(hit == wanted)).select(names)
+
+    return df.withColumn("_h", F.xxhash64(column)).mapInArrow(keep, df.schema)
+
+
+def semi(df: DataFrame, keys: DataFrame, column: str, exact: bool = False) -> DataFrame:
+    """Rows of ``df`` whose 64-bit ``column`` is among ``keys``; a few more unless ``exact``.
+
+    Up to ``MOST_KEYS`` keys are told to the tasks as a bitmap of 16 bits a key,
+    so only rows that stay are shuffled, if any; more keys are joined.
+    """
+    keys = keys.select(column).distinct()
+    told = _told(keys, column)
+    few = df if told is None else _sieved(df, column, *told, True)
+    return few.join(keys, column, "left_semi").select(df.columns) if exact or told is None else few
+
+
+def split(df: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame | None, DataFrame]:
+    """(rows that are surely not among ``keys`` or None, all others): only the second need a join."""
+    told = _told(keys.select(column).distinct(), column)
+    if told is None:
+        return None, df
+    return _sieved(df, column, *told, False), _sieved(df, column, *told, True)
+
+
+def anti(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is not among ``keys``; only rows that may be are shuffled."""
+    clear, doubtful = split(df, keys, column)
+    left = doubtful.join(keys.select(column).distinct(), column, "left_anti").select(df.columns)
+    return left if clear is None else clear.unionByName(left)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -1,29 +1,30 @@
 """Exact n-gram Jaccard join by vertical partitioning.
 
-A document is its set of ``GRAM``-word shingles.  All shingles have one global
-order, rare ones first: how often a shingle's hash bucket occurs in the corpus,
-then its hash.  Copies with one set are one node.
-
-The buckets are many, so that chance neighbours in a bucket hide little of a
-shingle's own frequency; counts travel compressed.
-
-Candidates: two sets that reach the threshold share a shingle among the first
-``n - ceil(t n) + 1`` of each, at places that leave enough shingles behind
-(prefix, length and positional bounds; none of them loses a pair).  First each
-set is compared with the heads of its rarest and its commonest list (lists are
-ordered by size) and with the set before it in its rarest one, which links a
-large group of copies with at most four pairs for each.  Then the pairs of a list that lie in different
-components so far are compared; those in one component need no comparison, as
-only components are asked for.
+A document is its set of ``GRAM``-word shingles.  Documents with one set are one
+node, named by a 128-bit digest of the set.
+
+1. Sieve.  A set can only link if at least ``PERCENT`` % of its shingles occur in
+   another set.  A fixed share of all shingles, chosen by hash, is counted over
+   the whole corpus; a set with more shingles of its own among them than a link
+   allows leaves.  Nothing that can link is lost, and most texts end here.
+2. Order.  The shingles of the sets that are left are counted exactly; those of
+   one set alone leave.  All others have one global order, rare ones first, ties
+   by hash.
+3. Candidates.  Two sets that reach the threshold share a shingle among the first
+   ``n - ceil(t n) + 1`` of each, at places that leave enough shingles behind
+   (prefix, length and positional bounds; none of them loses a pair).  First each
+   set is compared with the heads of its rarest and its commonest list (lists are
+   ordered by size) and with the set before it in its rarest one, which links a
+   large group of copies with at most four pairs for each.  Then the pairs of a
+   list that lie in different components so far are compared; those in one
+   component need no comparison, as only components are asked for.
+4. Verification is vertical: the global order is cut into ``FRAGMENTS`` even
+   fragments, each candidate set into its segments; the overlap of a pair is
+   counted in each fragment separately and summed per pair.
 
 A parity sketch (each shingle flips one of about 2n bits) bounds the symmetric
-difference of a pair from below and drops hopeless candidates without loss.
-Verification is vertical: the global order is cut into ``FRAGMENTS`` even
-fragments, each candidate set into its segments; the overlap of a pair is
-counted in each fragment separately and summed per pair.
-
-What goes to all tasks is of fixed size: the bucket counts and a bitmap.
-Shingles and sets are told apart by 64-bit hashes.
+difference of a pair from below and drops hopeless candidates without loss,
+inside the join of the lists.  Shingles are told apart by 64-bit hashes.
 
 Nulls and texts without words have an empty set and link with nothing.  Rows
 with a null doc_id get a null component.  Rows that repeat a doc_id are judged
@@ -32,14 +33,12 @@ by their own sets.  Other columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,88 +47,49 @@ from . import textkit as tk
 from .components import connected_components
 
 GRAM, PERCENT = 4, 85
-#: Buckets of the global order (a power of two), the rows they travel in, fragments of the order.
-BUCKETS, SLICES, FRAGMENTS = 1 << 22, 64, 8
-#: Lists expected to be longer than this are walked in salted parts.
+#: Fragments of the global order.
+FRAGMENTS = 8
+#: Lists longer than this are walked in salted parts.
 LONG_LIST = 4096
+#: Sixteenths of all shingles in the sieve, for each share of a set that may miss in a link.
+SIEVE = 1.5
 
-_SETS = "doc_id long, rk long, nid long, n long, prefix array<long>, parts array<int>, sketch array<long>"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("nid", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("sketch", pa.list_(pa.int64()))])
-_SEGMENTS = "nid long, fragment int, grams array<long>"
-_SEGMENTS_ARROW = pa.schema([("nid", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
+_SETS = "doc_id long, rk long, n1 long, n2 long, n long, sample array<long>"
+_SETS_ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "rk", "n1", "n2", "n")), ("sample", pa.list_(pa.int64()))])
+_GRAMS = "n1 long, n2 long, grams array<long>, sketch array<long>"
+_GRAMS_ARROW = pa.schema([("n1", pa.int64()), ("n2", pa.int64()), ("grams", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
-def _shingles(texts: pa.Array):
-    """(row, shingle hashes) of each text with a word, duplicates included."""
+def _sets(texts: pa.Array, gram: int):
+    """(row, sorted distinct shingle hashes, two halves of the set's digest) of each text with a word."""
     for row, data, bounds in tk.chunks(texts):
         low = tk.LOWER_LUT[data]
         starts, ends, firsts = tk.words(low, bounds, ~tk.SPACE_LUT[low])
         words = tk.word_hashes(low, starts, ends)
-        grams = tk.gram_hashes(words, GRAM)
+        grams = tk.gram_hashes(words, gram)
         for d, (lo, hi) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist())):
-            if hi - lo >= GRAM:
-                yield row + d, grams[lo : hi - GRAM + 1]
-            elif hi > lo:
-                yield row + d, tk.gram_hashes(words[lo:hi], hi - lo)
+            if hi > lo:
+                own = np.unique(grams[lo : hi - gram + 1] if hi - lo >= gram else tk.gram_hashes(words[lo:hi], hi - lo))
+                yield row + d, own, np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype=np.int64).tolist()
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of all documents' shingles per hash bucket; summed on the executors, ``BUCKETS`` numbers in all."""
-    schema = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
-    width = BUCKETS // SLICES
+def shingle_sets(docs: DataFrame, gram: int, percent: int) -> DataFrame:
+    """doc_id, rk, the set's name (n1, n2; null for an empty set), its size and its shingles in the sieve."""
+    share = np.uint64(min(16, int(np.ceil(16 * SIEVE * (100 - percent) / 100))))
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
+    def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for _, data, bounds in tk.chunks(batch["text"]):
-                low = tk.LOWER_LUT[data]
-                starts, ends, firsts = tk.words(low, bounds, ~tk.SPACE_LUT[low])
-                grams = tk.gram_hashes(tk.word_hashes(low, starts, ends), GRAM)
-                owner_end = np.repeat(firsts[1:], np.diff(firsts))[: len(grams)]
-                np.add.at(total, (grams[np.arange(len(grams)) + GRAM <= owner_end] % np.uint64(BUCKETS)).astype(np.int64), 1)
-        if total.any():
-            salt = TaskContext.get().partitionId() % 64
-            rows = [zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in range(SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array(rows, pa.binary())], schema=schema)
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(width, dtype=np.int64)
-        for row in group["counts"]:
-            total += np.frombuffer(zlib.decompress(row.as_py()), dtype=np.int64)
-        return pa.table([group["slice"][:1].combine_chunks(), group["salt"][:1].combine_chunks(), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], schema=schema)
-
-    ddl = "slice int, salt int, counts binary"
-    parts = docs.select("text").mapInArrow(count, ddl).groupBy("slice", "salt").applyInArrow(add, ddl).groupBy("slice").applyInArrow(add, ddl)
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    for row in parts.collect():  # SLICES rows
-        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
-    return out
-
-
-class GlobalOrder:
-    """The order of shingles: bucket count, then hash; and its even cuts."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = np.minimum(counts, (1 << 20) - 1).astype(np.uint32)
-        by_count = np.bincount(self.counts, weights=counts, minlength=1)
-        total = max(by_count.sum(), 1)
-        self.width = by_count / total
-        self.base = np.cumsum(self.width) - self.width
-        expected = counts.mean() + 6 * counts.std() if counts.std() < 3 * counts.mean() else 2 * counts.mean()
-        self.parts = np.clip((counts - expected) / LONG_LIST, 1, (1 << 31) - 1).astype(np.int32)
-
-    def key(self, grams: np.ndarray) -> np.ndarray:
-        return (self.counts[(grams % np.uint64(BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20))
-
-    def fragment(self, grams: np.ndarray) -> np.ndarray:
-        count = self.counts[(grams % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int64)
-        place = self.base[count] + self.width[count] * (grams.astype(np.float64) / 2.0**64)
-        return np.minimum((place * FRAGMENTS).astype(np.int32), FRAGMENTS - 1)
-
-    def lists(self, grams: np.ndarray, nid: int) -> np.ndarray:
-        """The part of each gram's list that the set walks in: 0 for an unsalted list, 1 and on for the parts of a salted one."""
-        parts = self.parts[(grams % np.uint64(BUCKETS)).astype(np.int64)]
-        return np.where(parts > 1, 1 + np.uint64(nid & ((1 << 63) - 1)).astype(np.int64) % parts, 0).astype(np.int32)
+            rows = batch.num_rows
+            names, sizes, samples = [(None, None)] * rows, [0] * rows, [()] * rows
+            for row, own, name in _sets(batch["text"], gram):
+                names[row], sizes[row] = name, len(own)
+                samples[row] = common.signed(own[(own & np.uint64(15)) < share])
+            first, second = zip(*names) if rows else ((), ())
+            for lo in range(0, rows, 2000):
+                arrays = [pa.array(c[lo : lo + 2000], f.type) for c, f in zip((first, second, sizes, samples), list(_SETS_ARROW)[2:])]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, 2000), batch["rk"].slice(lo, 2000), *arrays], schema=_SETS_ARROW)
+
+    return docs.mapInArrow(emit, _SETS)
 
 
 def parity_sketch(own: np.ndarray) -> np.ndarray:
@@ -142,6 +102,22 @@ def parity_sketch(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def whole_sets(docs: DataFrame, alive: DataFrame, gram: int) -> DataFrame:
+    """nid, n, grams, sketch of the sets of ``alive``, read again from the row that stands for each."""
+
+    def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for lo in range(0, batch.num_rows, 500):
+                out = [(*name, common.signed(own), parity_sketch(own)) for _, own, name in _sets(batch["text"].slice(lo, 500), gram)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _GRAMS_ARROW)], schema=_GRAMS_ARROW)
+
+    rows = common.semi(docs, alive.select("rk"), "rk")
+    # Rows that repeat their id and text have one key; each set is taken once.
+    found = rows.select("text").mapInArrow(emit, _GRAMS).join(alive.select("nid", "n1", "n2", "n"), ["n1", "n2"])
+    return found.groupBy("nid").agg(*(F.first(c).alias(c) for c in ("n", "grams", "sketch")))
+
+
 def _may_be_similar(s, t, n, m, percent: int):
     """Does the sketches' distance, a lower bound of the symmetric difference, leave the threshold in reach?"""
 
@@ -154,80 +130,72 @@ def _may_be_similar(s, t, n, m, percent: int):
     return (F.greatest(F.size(s), F.size(t)) > 2 * F.least(F.size(s), F.size(t))) | _similar((n + m - distance) / 2, n, m, percent)
 
 
-def shingle_sets(docs: DataFrame, order, percent: int) -> DataFrame:
-    """doc_id, rk, nid (names the set), n and the set's ordered prefix; nid is null for an empty set."""
+def _similar(overlap, n, m, percent: int):
+    return 100 * overlap >= percent * (n + m - overlap)
 
-    def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            rows = batch.num_rows
-            nids, sizes = [None] * rows, [0] * rows
-            prefixes: list = [()] * rows
-            parts: list = [()] * rows
-            sketches: list = [()] * rows
-            for row, grams in _shingles(batch["text"]):
-                own = np.unique(grams)
-                n = len(own)
-                nid = xxhash.xxh3_64_intdigest(own.tobytes())
-                take = n - (percent * n + 99) // 100 + 1
-                first = own[np.argsort(order.value.key(own), kind="stable")[:take]]
-                nids[row], sizes[row] = nid - (1 << 64) if nid >> 63 else nid, n
-                prefixes[row], parts[row], sketches[row] = common.signed(first), order.value.lists(first, nid), parity_sketch(own)
-            for lo in range(0, rows, 2000):
-                columns = (nids, sizes, prefixes, parts, sketches)
-                arrays = [pa.array(c[lo : lo + 2000], f.type) for c, f in zip(columns, list(_SETS_ARROW)[2:])]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, 2000), batch["rk"].slice(lo, 2000), *arrays], schema=_SETS_ARROW)
 
-    return docs.mapInArrow(emit, _SETS)
+def possible(n, p, m, q, percent: int):
+    """Can sets of n and m shingles that first meet at places p and q reach the threshold?"""
+    most = F.least(n - p, m - q)
+    return _similar(most, n, m, percent) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
 
-def segments(docs: DataFrame, wanted: DataFrame, order) -> DataFrame:
-    """nid, fragment, grams: the segments of the sets of ``wanted`` rows (rk); a few more may come along."""
-    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(wanted.select(F.xxhash64("rk").alias("h")), "h"))
+def _misses(n: Column, percent: int) -> Column:
+    """Most shingles of a set of n that the other set of a link may lack."""
+    return n - F.ceil(n * percent / F.lit(100)).cast("long")
 
-    def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            batch = batch.filter(pa.array(common.in_bitmap(bits.value, batch["h"].to_numpy(zero_copy_only=False).view(np.uint64))))
-            for lo in range(0, batch.num_rows, 500):
-                out: list[tuple] = []
-                for _, grams in _shingles(batch["text"].slice(lo, 500)):
-                    own = np.unique(grams)
-                    nid = xxhash.xxh3_64_intdigest(own.tobytes())
-                    nid = nid - (1 << 64) if nid >> 63 else nid
-                    fragment = order.value.fragment(own)
-                    out += [(nid, f, common.signed(own[fragment == f])) for f in np.unique(fragment).tolist()]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SEGMENTS_ARROW)], schema=_SEGMENTS_ARROW)
 
-    return docs.select("text", F.xxhash64("rk").alias("h")).mapInArrow(emit, _SEGMENTS)
+def surviving(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The nodes that the sieve leaves."""
+    sampled = sets.select("n1", F.explode("sample").alias("gram"))
+    # The first half of the name tells sets apart here: only two similar sets that share it could be misjudged.
+    alone = sampled.groupBy("gram").agg(F.min("n1").alias("n1"), F.max("n1").alias("_last")).filter("n1 = _last")
+    own = alone.groupBy("n1").agg(F.count("*").alias("own"))
+    return nodes.join(own, "n1", "left").filter(F.coalesce("own", F.lit(0)) <= _misses(F.col("n"), percent)).drop("own")
 
 
-def _similar(overlap, n, m, percent: int):
-    return 100 * overlap >= percent * (n + m - overlap)
+def ordered(whole: DataFrame, percent: int) -> DataFrame:
+    """nid, n, cells: the shingles (c, gram) that other sets have too, in the global order; sets that can link only."""
+    cells = whole.select("nid", F.explode("grams").alias("gram"))
+    counts = cells.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = cells.join(counts, "gram").groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("cells"))
+    both = whole.select("nid", "n", "sketch").join(shared, "nid")
+    return both.filter(F.col("n") - F.size("cells") <= _misses(F.col("n"), percent))
 
 
-def possible(n, p, m, q, percent: int):
-    """Can sets of n and m shingles that first meet at places p and q reach the threshold?"""
-    most = 1 + F.least(n - p, m - q) - 1
-    return _similar(most, n, m, percent) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+def fragment_cuts(sets: DataFrame) -> list[tuple[int, int]]:
+    """(c, gram) bounds that cut the global order into ``FRAGMENTS`` about even parts."""
+    place = lambda c, g: F.col(c) + (F.col(g) / 2.0**64 + 0.5)
+    cells = sets.select(F.explode("cells").alias("x")).select("x.c", "x.gram")
+    parts = [i / FRAGMENTS for i in range(1, FRAGMENTS)]
+    cuts = cells.agg(F.percentile_approx(place("c", "gram"), F.array(*map(F.lit, parts)), F.lit(1000)).alias("p")).first()["p"] or []
+    return [(int(x), int(min(max((x - int(x) - 0.5) * 2.0**64, -(2.0**63)), 2.0**63 - 1024))) for x in cuts]
+
+
+def segments(sets: DataFrame, wanted: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+    """nid, fragment, grams: the segments of the sets of ``wanted``."""
+    fragment = lambda x: sum((F.when((x["c"] > c) | ((x["c"] == c) & (x["gram"] >= g)), 1).otherwise(0) for c, g in cuts), F.lit(0))
+    cells = sets.join(wanted, "nid", "left_semi").select("nid", F.transform("cells", lambda x: F.struct(fragment(x).alias("f"), x["gram"].alias("gram"))).alias("cells"))
+    numbers = F.array_distinct(F.col("cells.f"))
+    return cells.select("nid", "cells", F.explode(numbers).alias("fragment")).select(
+        "nid", "fragment", F.transform(F.filter("cells", lambda x: x["f"] == F.col("fragment")), lambda x: x["gram"]).alias("grams")
+    )
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, order, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, cuts: list[tuple[int, int]], percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose overlaps, summed over the fragments, reach the threshold."""
-    side = lambda c: nodes.select(F.col("nid").alias(c), F.struct("n", "sketch").alias(f"_{c}"))
+    side = lambda c: sets.select(F.col("nid").alias(c), F.struct("n", "sketch").alias(f"_{c}"))
     sized = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
     likely = sized.filter(_may_be_similar(F.col("_a.sketch"), F.col("_b.sketch"), F.col("_a.n"), F.col("_b.n"), percent))
     pairs = common.materialize(likely.select("a", "b", F.col("_a.n").alias("n"), F.col("_b.n").alias("m")), "jac-pairs")
     named = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    found = common.materialize(segments(docs, nodes.join(named, "nid", "left_semi"), order), "jac-segments")
+    found = common.materialize(segments(sets, named, cuts), "jac-segments")
     left = found.select(F.col("nid").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = found.select(F.col("nid").alias("b"), "fragment", F.col("grams").alias("gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n", "m", "fragment", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
-    # Rows that repeat give a segment twice; the greatest counts it once.
-    once = partial.groupBy("a", "b", "n", "m", "fragment").agg(F.max("o").alias("o"))
-    overlap = once.groupBy("a", "b", "n", "m").agg(F.sum("o").alias("o"))
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n", "m", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
+    overlap = partial.groupBy("a", "b", "n", "m").agg(F.sum("o").alias("o"))
     links = common.materialize(overlap.filter(_similar(F.col("o"), F.col("n"), F.col("m"), percent)).select("a", "b"), "jac-links")
-    common.discard(found)
-    common.release(docs.sparkSession)
+    common.discard(found, pairs)
     return links
 
 
@@ -235,21 +203,38 @@ def _pair(a, b):
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def walked_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (gram, part, nid, n, pos) of the prefixes, each with its list's head and the row before."""
+    own = F.col("n") - F.size("cells")
+    prefix = F.slice("cells", 1, (_misses(F.col("n"), percent) + 1 - own).cast("int"))
+    rows = sets.select("nid", "n", own.alias("own"), F.posexplode(prefix).alias("i", "x"))
+    parts = F.floor(F.col("x.c") / LONG_LIST)
+    part = F.when(parts > 1, 1 + F.pmod(F.xxhash64("nid"), parts)).otherwise(0).cast("int")
+    rows = rows.select(F.col("x.gram").alias("gram"), part.alias("part"), "nid", "n", (F.col("own") + F.col("i")).alias("pos"))
+    me = F.struct("nid", "n", "pos")
+    walk = W.partitionBy("gram", "part").orderBy("n", "nid")
+    walked = rows.select("*", F.lag(me).over(walk).alias("before"), F.first(me).over(walk).alias("head"), F.lead("nid").over(walk).alias("after"))
+    # A row alone in its salted part may have others in the list's other parts.
+    return walked.filter(F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("part") > 0)).drop("after")
+
+
 def near_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Candidates of the first round from rows with their list's head and the row before."""
-
-    def fit(other: str) -> DataFrame:
-        o = F.col(other)
-        return lists.filter(o.isNotNull() & (o["nid"] != F.col("nid")) & possible(F.col("n"), F.col("pos"), o["n"], o["pos"], percent))
+    me = F.struct("nid", "n", "pos")
+    heads = lists.filter("before is null and part > 0").select("gram", "part", me.alias("mine"))
+    tops = heads.groupBy("gram").agg(F.min_by("mine", "part").alias("above"))
+    lists = lists.join(tops, "gram", "left")
 
     def one(other: str, pick) -> DataFrame:
-        return fit(other).groupBy("nid").agg(pick(f"{other}.nid", "pos").alias("o")).select(*_pair(F.col("nid"), F.col("o")))
+        o = F.col(other)
+        fit = lists.filter(o.isNotNull() & (o["nid"] != F.col("nid")) & possible(F.col("n"), F.col("pos"), o["n"], o["pos"], percent))
+        return fit.groupBy("nid").agg(pick(f"{other}.nid", "pos").alias("o")).select(*_pair(F.col("nid"), F.col("o")))
 
     return one("before", F.min_by).unionByName(one("head", F.min_by)).unionByName(one("head", F.max_by)).unionByName(one("above", F.min_by))
 
 
-def far_pairs(lists: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Candidates of the second round: pairs of a list in different components.
+def far_pairs(lists: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Candidates of the second round: pairs of a list in different components whose sketches leave the threshold in reach.
 
     A list's largest component is paired with the others, the others among
     themselves; what lies inside a component is never paired.
@@ -258,52 +243,46 @@ def far_pairs(lists: DataFrame, component: DataFrame, percent: int) -> DataFrame
     rows = common.materialize(rows, "jac-rows")
     sizes = rows.groupBy("gram", "component").agg(F.count("*").alias("c"))
     open_lists = sizes.groupBy("gram").agg(F.count("*").alias("k"), F.max_by("component", F.struct("c", "component")).alias("main")).filter("k > 1").select("gram", "main")
-    rows = common.materialize(rows.join(open_lists, "gram"), "jac-open")
-    x = rows.filter("component <> main").select("gram", *(F.col(c).alias(f"x_{c}") for c in ("nid", "n", "pos", "component")))
+    rows = common.materialize(rows.join(open_lists, "gram").join(sets.select("nid", "sketch"), "nid"), "jac-open")
+    x = rows.filter("component <> main").select("gram", *(F.col(c).alias(f"x_{c}") for c in ("nid", "n", "pos", "component", "sketch")))
     once = (F.col("component") == F.col("main")) | (F.col("x_nid") < F.col("nid"))
+    fits = possible(F.col("x_n"), F.col("x_pos"), F.col("n"), F.col("pos"), percent)
     return (
         x.join(rows, "gram")
-        .filter((F.col("x_component") != F.col("component")) & once & possible(F.col("x_n"), F.col("x_pos"), F.col("n"), F.col("pos"), percent))
+        .filter((F.col("x_component") != F.col("component")) & once & fits)
+        .filter(_may_be_similar(F.col("x_sketch"), F.col("sketch"), F.col("x_n"), F.col("n"), percent))
         .select(*_pair(F.col("x_nid"), F.col("nid")))
     )
 
 
-def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document."""
+def similar_sets(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFrame:
+    """doc_id, rk, n_shingles, component_id of each document."""
     rows = spans.keyed(docs)
-    order = docs.sparkSession.sparkContext.broadcast(GlobalOrder(bucket_counts(rows)))
-    sets = common.materialize(shingle_sets(rows, order, percent), "jac-sets")
-    members = common.materialize(sets.select("doc_id", "nid", "n"), "jac-members")
-    first = {c: F.first(c).alias(c) for c in ("n", "prefix", "parts", "sketch")}
-    full = common.materialize(sets.filter("nid is not null").groupBy("nid").agg(F.min("doc_id").alias("doc_id"), F.min("rk").alias("rk"), *first.values()), "jac-full")
+    sets = common.materialize(shingle_sets(rows, gram, percent), "jac-sets")
+    members = common.materialize(sets.select("doc_id", "rk", "n1", "n2", "n"), "jac-members")
+    every = members.filter("n1 is not null").groupBy("n1", "n2").agg(F.min("doc_id").alias("doc_id"), F.min("rk").alias("rk"), F.min("n").alias("n"))
+    nodes = common.materialize(every.withColumn("nid", F.monotonically_increasing_id()), "jac-nodes")
+    alive = common.materialize(surviving(sets, nodes, percent), "jac-alive")
     common.discard(sets)
-    nodes = common.materialize(full.select("nid", "doc_id", "rk", "n", "sketch"), "jac-nodes")
-    common.release(docs.sparkSession)
-    cells = full.select("nid", "n", F.posexplode(F.arrays_zip("prefix", "parts"))).select("nid", "n", F.col("pos"), F.col("col.prefix").alias("gram"), F.col("col.parts").alias("part"))
-    me = F.struct("nid", "n", "pos")
-    walk = W.partitionBy("gram", "part").orderBy("n", "nid")
-    walked = cells.select("*", F.lag(me).over(walk).alias("before"), F.first(me).over(walk).alias("head"), F.lead("nid").over(walk).alias("after"))
-    salted = F.col("part") > 0  # a row alone in its part may have others in the list's other parts
-    lists = common.materialize(walked.filter(F.col("before").isNotNull() | F.col("after").isNotNull() | salted).drop("after"), "jac-lists")
-    common.discard(full)
-    common.release(docs.sparkSession)
-    heads = lists.filter("before is null").select("gram", "part", me.alias("mine"))
-    tops = heads.groupBy("gram").agg(F.min("part").alias("part"), F.min_by("mine", "part").alias("above"))
-    linked = lists.join(tops.select("gram", "above"), "gram", "left") if not lists.filter(salted).isEmpty() else lists.withColumn("above", F.lit(None).cast("struct<nid:long,n:long,pos:int>"))
-    near = verify(near_pairs(linked, percent), nodes, rows, order, percent)
-    first = common.materialize(connected_components(near), "jac-first").withColumnRenamed("node", "nid")
-    far = verify(far_pairs(lists, first, percent), nodes, rows, order, percent)
-    final = connected_components(near.unionByName(far)).withColumnRenamed("node", "nid")
+    whole = common.materialize(whole_sets(rows, alive, gram), "jac-whole")
+    linkable = common.materialize(ordered(whole, percent), "jac-ordered")
+    common.discard(whole)
+    cuts = fragment_cuts(linkable)
+    lists = common.materialize(walked_lists(linkable, percent), "jac-lists")
+    near = verify(near_pairs(lists, percent), linkable, cuts, percent)
+    first = connected_components(near).withColumnRenamed("node", "nid")
+    far = verify(far_pairs(lists, linkable, first, percent), linkable, cuts, percent)
+    final = first if far.isEmpty() else connected_components(near.unionByName(far)).withColumnRenamed("node", "nid")
     least = nodes.select("nid", "doc_id").join(final, "nid").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked_sets = final.join(least, "component").select("nid", "component_id")
-    own = nodes.select("nid", F.col("doc_id").alias("own_id"))
-    found = own.join(linked_sets, "nid", "left").select("nid", F.coalesce("component_id", "own_id").alias("component_id"))
-    out = members.join(found, "nid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    linked = final.join(least, "component").select("nid", "component_id")
+    found = nodes.select("nid", "n1", "n2", F.col("doc_id").alias("own_id")).join(linked, "nid", "left")
+    out = members.join(found.select("n1", "n2", F.coalesce("component_id", "own_id").alias("component_id")), ["n1", "n2"], "left")
+    return out.select("doc_id", "rk", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    return similar_sets(common.texts(docs, id_col, text_col), percent)
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_shingles, component_id of each document."""
+    return similar_sets(common.texts(docs, id_col, text_col), percent, gram).drop("rk")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -386,6 +386,8 @@ def test_jaccard_join(spark, corpus):
     got = jaccard_join.jaccard_join(frame(spark, corpus))
     assert result(got, "doc_id", "n_shingles", "component_id") == brute_jaccard(corpus)
     assert jaccard_join.jaccard_join(frame(spark, [])).count() == 0
+    five = jaccard_join.jaccard_join(frame(spark, corpus), percent=80, gram=5)
+    assert result(five, "doc_id", "n_shingles", "component_id") == brute_jaccard(corpus, 5, 80)
 
 
 def test_jaccard_join_of_a_large_near_group(spark, monkeypatch):
