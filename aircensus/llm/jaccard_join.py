@@ -12,17 +12,17 @@ node, named by a 128-bit digest of the set.
    by hash.
 3. Candidates.  Two sets that reach the threshold share a shingle among the first
    ``n - ceil(t n) + 1`` of each, at places that leave enough shingles behind
-   (prefix, length and positional bounds; none of them loses a pair).  First each
-   set is compared with the heads of its rarest and its commonest list (lists are
-   ordered by size) and with the set before it in its rarest one, which links a
-   large group of copies with at most four pairs for each.  Then the pairs of a
-   list that lie in different components so far are compared; those in one
-   component need no comparison, as only components are asked for.
+   (prefix, length and positional bounds; none of them loses a pair).  In a few
+   turns each set tries some sets before it in its lists that are not in its
+   component yet, and the nearest by sketch is verified; this links large groups
+   of copies with few pairs.  Then all pairs of a list that still lie in
+   different components are compared; those in one component need no comparison,
+   as only components are asked for.
 4. Verification is vertical: the global order is cut into ``FRAGMENTS`` even
    fragments, each candidate set into its segments; the overlap of a pair is
    counted in each fragment separately and summed per pair.
 
-A parity sketch (each shingle flips one of about 2n bits) bounds the symmetric
+A parity sketch (each shingle flips one of 8n bits or more) bounds the symmetric
 difference of a pair from below and drops hopeless candidates without loss,
 inside the join of the lists.  Shingles are told apart by 64-bit hashes.
 
@@ -51,6 +51,8 @@ GRAM, PERCENT = 4, 85
 FRAGMENTS = 8
 #: Lists longer than this are walked in salted parts.
 LONG_LIST = 4096
+#: Turns of the first round; rows before a set that it looks at in each list, and pairs that it tries, in a turn.
+TURNS, LAGS, TRIES = 3, 3, 8
 #: Sixteenths of all shingles in the sieve, for each share of a set that may miss in a link.
 SIEVE = 1.5
 
@@ -93,9 +95,9 @@ def shingle_sets(docs: DataFrame, gram: int, percent: int) -> DataFrame:
 
 
 def parity_sketch(own: np.ndarray) -> np.ndarray:
-    """Bits that an odd number of the set's hashes fall on; a power of two from 256 and about 2n on."""
+    """Bits that an odd number of the set's hashes fall on; a power of two from 256 and 8n on."""
     bits = 256
-    while bits < 2 * len(own):
+    while bits < 8 * len(own):
         bits *= 2
     slot = (own >> np.uint64(3)) % np.uint64(bits)
     odd = np.bincount(slot.astype(np.int64), minlength=bits) & 1
@@ -118,15 +120,19 @@ def whole_sets(docs: DataFrame, alive: DataFrame, gram: int) -> DataFrame:
     return found.groupBy("nid").agg(*(F.first(c).alias(c) for c in ("n", "grams", "sketch")))
 
 
-def _may_be_similar(s, t, n, m, percent: int):
-    """Does the sketches' distance, a lower bound of the symmetric difference, leave the threshold in reach?"""
+def _distance(s: Column, t: Column) -> Column:
+    """Differing bits of two sketches, a lower bound of the sets' symmetric difference; the longer one is folded once."""
 
-    def fold(a, b):  # the longer one is halved until both have the same length
+    def fold(a, b):
         half = lambda x: F.transform(F.sequence(F.lit(0), (F.size(x) / 2).cast("int") - 1), lambda i: F.get(x, i).bitwiseXOR(F.get(x, i + (F.size(x) / 2).cast("int"))))
         return F.when(F.size(a) > F.size(b), half(a)).otherwise(a)
 
-    distance = F.aggregate(F.zip_with(fold(s, t), fold(t, s), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    # overlap = (n + m - difference) / 2; sizes that differ so much that one fold is not enough are out of reach anyway
+    return F.aggregate(F.zip_with(fold(s, t), fold(t, s), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+
+
+def _in_reach(distance: Column, s: Column, t: Column, n: Column, m: Column, percent: int) -> Column:
+    """Does the distance leave the threshold in reach?  overlap = (n + m - difference) / 2."""
+    # Sizes that differ so much that one fold is not enough are out of reach anyway.
     return (F.greatest(F.size(s), F.size(t)) > 2 * F.least(F.size(s), F.size(t))) | _similar((n + m - distance) / 2, n, m, percent)
 
 
@@ -173,25 +179,22 @@ def fragment_cuts(sets: DataFrame) -> list[tuple[int, int]]:
 
 
 def segments(sets: DataFrame, wanted: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
-    """nid, fragment, grams: the segments of the sets of ``wanted``."""
+    """nid, n, fragment, grams: the segments of the sets of ``wanted``."""
     fragment = lambda x: sum((F.when((x["c"] > c) | ((x["c"] == c) & (x["gram"] >= g)), 1).otherwise(0) for c, g in cuts), F.lit(0))
-    cells = sets.join(wanted, "nid", "left_semi").select("nid", F.transform("cells", lambda x: F.struct(fragment(x).alias("f"), x["gram"].alias("gram"))).alias("cells"))
+    cells = sets.join(wanted, "nid", "left_semi").select("nid", "n", F.transform("cells", lambda x: F.struct(fragment(x).alias("f"), x["gram"].alias("gram"))).alias("cells"))
     numbers = F.array_distinct(F.col("cells.f"))
-    return cells.select("nid", "cells", F.explode(numbers).alias("fragment")).select(
-        "nid", "fragment", F.transform(F.filter("cells", lambda x: x["f"] == F.col("fragment")), lambda x: x["gram"]).alias("grams")
+    return cells.select("nid", "n", "cells", F.explode(numbers).alias("fragment")).select(
+        "nid", "n", "fragment", F.transform(F.filter("cells", lambda x: x["f"] == F.col("fragment")), lambda x: x["gram"]).alias("grams")
     )
 
 
 def verify(pairs: DataFrame, sets: DataFrame, cuts: list[tuple[int, int]], percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose overlaps, summed over the fragments, reach the threshold."""
-    side = lambda c: sets.select(F.col("nid").alias(c), F.struct("n", "sketch").alias(f"_{c}"))
-    sized = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    likely = sized.filter(_may_be_similar(F.col("_a.sketch"), F.col("_b.sketch"), F.col("_a.n"), F.col("_b.n"), percent))
-    pairs = common.materialize(likely.select("a", "b", F.col("_a.n").alias("n"), F.col("_b.n").alias("m")), "jac-pairs")
+    pairs = common.materialize(pairs, "jac-pairs")
     named = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
     found = common.materialize(segments(sets, named, cuts), "jac-segments")
-    left = found.select(F.col("nid").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = found.select(F.col("nid").alias("b"), "fragment", F.col("grams").alias("gb"))
+    left = found.select(F.col("nid").alias("a"), "n", "fragment", F.col("grams").alias("ga"))
+    right = found.select(F.col("nid").alias("b"), F.col("n").alias("m"), "fragment", F.col("grams").alias("gb"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n", "m", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
     overlap = partial.groupBy("a", "b", "n", "m").agg(F.sum("o").alias("o"))
     links = common.materialize(overlap.filter(_similar(F.col("o"), F.col("n"), F.col("m"), percent)).select("a", "b"), "jac-links")
@@ -203,58 +206,80 @@ def _pair(a, b):
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def walked_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (gram, part, nid, n, pos) of the prefixes, each with its list's head and the row before."""
+def prefix_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (gram, c, nid, n, pos) of the prefixes."""
     own = F.col("n") - F.size("cells")
     prefix = F.slice("cells", 1, (_misses(F.col("n"), percent) + 1 - own).cast("int"))
     rows = sets.select("nid", "n", own.alias("own"), F.posexplode(prefix).alias("i", "x"))
-    parts = F.floor(F.col("x.c") / LONG_LIST)
-    part = F.when(parts > 1, 1 + F.pmod(F.xxhash64("nid"), parts)).otherwise(0).cast("int")
-    rows = rows.select(F.col("x.gram").alias("gram"), part.alias("part"), "nid", "n", (F.col("own") + F.col("i")).alias("pos"))
-    me = F.struct("nid", "n", "pos")
-    walk = W.partitionBy("gram", "part").orderBy("n", "nid")
-    walked = rows.select("*", F.lag(me).over(walk).alias("before"), F.first(me).over(walk).alias("head"), F.lead("nid").over(walk).alias("after"))
-    # A row alone in its salted part may have others in the list's other parts.
-    return walked.filter(F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("part") > 0)).drop("after")
-
+    return rows.select(F.col("x.gram").alias("gram"), F.col("x.c").alias("c"), "nid", "n", (F.col("own") + F.col("i")).alias("pos"))
 
-def near_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Candidates of the first round from rows with their list's head and the row before."""
-    me = F.struct("nid", "n", "pos")
-    heads = lists.filter("before is null and part > 0").select("gram", "part", me.alias("mine"))
-    tops = heads.groupBy("gram").agg(F.min_by("mine", "part").alias("above"))
-    lists = lists.join(tops, "gram", "left")
 
-    def one(other: str, pick) -> DataFrame:
-        o = F.col(other)
-        fit = lists.filter(o.isNotNull() & (o["nid"] != F.col("nid")) & possible(F.col("n"), F.col("pos"), o["n"], o["pos"], percent))
-        return fit.groupBy("nid").agg(pick(f"{other}.nid", "pos").alias("o")).select(*_pair(F.col("nid"), F.col("o")))
+def open_rows(lists: DataFrame, component: DataFrame | None) -> DataFrame:
+    """The rows of lists that hold two components or more, with each row's component and the list's largest."""
+    lists = lists.select("gram", "c", "nid", "n", "pos")
+    if component is None:
+        rows = lists.withColumn("component", F.col("nid"))
+    else:
+        rows = lists.join(component, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+    sizes = rows.groupBy("gram", "component").agg(F.count("*").alias("k"))
+    held = sizes.groupBy("gram").agg(F.count("*").alias("components"), F.max_by("component", F.struct("k", "component")).alias("main"))
+    return common.materialize(rows.join(held.filter("components > 1").select("gram", "main"), "gram"), "jac-open")
 
-    return one("before", F.min_by).unionByName(one("head", F.min_by)).unionByName(one("head", F.max_by)).unionByName(one("above", F.min_by))
 
+def tried(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """At most ``TRIES`` pairs for each set: with rows before it in its lists, of other components, rarest list first.
 
-def far_pairs(lists: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Candidates of the second round: pairs of a list in different components whose sketches leave the threshold in reach.
+    The first turn walks lists by size, later ones in another random order each;
+    long lists are walked in parts, dealt anew each turn.
+    """
+    parts = F.floor(F.col("c") / LONG_LIST)
+    part = F.when(parts > 1, F.pmod(F.xxhash64("nid", F.lit(turn)), parts)).otherwise(0)
+    walk = W.partitionBy("gram", "part").orderBy(*(("n", "nid") if turn == 0 else (F.xxhash64("nid", F.lit(-turn)), "nid")))
+    me = F.struct("nid", "n", "pos", "component")
+    others = F.array(*(F.lag(me, k).over(walk) for k in range(1, LAGS + 1)), F.first(me).over(walk))
+    met = rows.withColumn("part", part).select("nid", "n", "pos", "component", others.alias("o")).withColumn("o", F.explode("o"))
+    o = F.col("o")
+    fit = met.filter(o.isNotNull() & (o["component"] != F.col("component")) & possible(F.col("n"), F.col("pos"), o["n"], o["pos"], percent))
+    best = fit.groupBy("nid", o["nid"].alias("other")).agg(F.min("pos").alias("pos"))
+    chosen = best.groupBy("nid").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "other"))), 1, TRIES).alias("o"))
+    return chosen.select("nid", F.explode("o.other").alias("other"))
+
+
+def closest(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of each set's pairs the one with the nearest sketch that leaves the threshold in reach."""
+    mine = sets.select("nid", "n", "sketch")
+    theirs = sets.select(F.col("nid").alias("other"), F.col("n").alias("m"), F.col("sketch").alias("t"))
+    near = pairs.join(mine, "nid").join(theirs, "other").withColumn("d", _distance(F.col("sketch"), F.col("t")))
+    near = near.filter(_in_reach(F.col("d"), F.col("sketch"), F.col("t"), F.col("n"), F.col("m"), percent))
+    return near.groupBy("nid").agg(F.min_by("other", "d").alias("o")).select(*_pair(F.col("nid"), F.col("o"))).distinct()
+
+
+def far_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a list in different components whose sketches leave the threshold in reach.
 
     A list's largest component is paired with the others, the others among
     themselves; what lies inside a component is never paired.
     """
-    rows = lists.select("gram", "nid", "n", "pos").join(component, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-    rows = common.materialize(rows, "jac-rows")
-    sizes = rows.groupBy("gram", "component").agg(F.count("*").alias("c"))
-    open_lists = sizes.groupBy("gram").agg(F.count("*").alias("k"), F.max_by("component", F.struct("c", "component")).alias("main")).filter("k > 1").select("gram", "main")
-    rows = common.materialize(rows.join(open_lists, "gram").join(sets.select("nid", "sketch"), "nid"), "jac-open")
+    rows = rows.join(sets.select("nid", "sketch"), "nid")
     x = rows.filter("component <> main").select("gram", *(F.col(c).alias(f"x_{c}") for c in ("nid", "n", "pos", "component", "sketch")))
     once = (F.col("component") == F.col("main")) | (F.col("x_nid") < F.col("nid"))
     fits = possible(F.col("x_n"), F.col("x_pos"), F.col("n"), F.col("pos"), percent)
+    s, t = F.col("x_sketch"), F.col("sketch")
     return (
         x.join(rows, "gram")
-        .filter((F.col("x_component") != F.col("component")) & once & fits)
-        .filter(_may_be_similar(F.col("x_sketch"), F.col("sketch"), F.col("x_n"), F.col("n"), percent))
-        .select(*_pair(F.col("x_nid"), F.col("nid")))
+        .filter((F.col("x_component") != F.col("component")) & once & fits & _in_reach(_distance(s, t), s, t, F.col("x_n"), F.col("n"), percent))
+        .groupBy(*_pair(F.col("x_nid"), F.col("nid")))
+        .agg(F.min(F.struct(_distance(s, t).alias("d"), *(c.alias(x) for c, x in zip(_pair(F.col("x_component"), F.col("component")), "pq")))).alias("x"))
+        .select("a", "b", "x.*")
     )
 
 
+def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    of = lambda c: component.select(F.col("nid").alias(c), F.col("component").alias(f"_{c}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
 def similar_sets(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFrame:
     """doc_id, rk, n_shingles, component_id of each document."""
     rows = spans.keyed(docs)
@@ -268,11 +293,21 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> D
     linkable = common.materialize(ordered(whole, percent), "jac-ordered")
     common.discard(whole)
     cuts = fragment_cuts(linkable)
-    lists = common.materialize(walked_lists(linkable, percent), "jac-lists")
-    near = verify(near_pairs(lists, percent), linkable, cuts, percent)
-    first = connected_components(near).withColumnRenamed("node", "nid")
-    far = verify(far_pairs(lists, linkable, first, percent), linkable, cuts, percent)
-    final = first if far.isEmpty() else connected_components(near.unionByName(far)).withColumnRenamed("node", "nid")
+    lists, component = open_rows(prefix_lists(linkable, percent), None), None
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        links = verify(pairs, linkable, cuts, percent)
+        if component is not None:
+            links = links.unionByName(component.select(F.col("nid").alias("a"), F.col("component").alias("b")))
+        return connected_components(links).withColumnRenamed("node", "nid")
+
+    for turn in range(TURNS):
+        component = joined(closest(tried(lists, turn, percent), linkable, percent))
+        lists = open_rows(lists, component)
+    # Of two components first the nearest pair, then all that this has not joined.
+    far = common.materialize(far_pairs(lists, linkable, percent), "jac-far")
+    component = joined(far.groupBy("p", "q").agg(F.min_by(F.struct("a", "b"), "d").alias("x")).select("x.*"))
+    final = joined(_apart(far.select("a", "b"), component))
     least = nodes.select("nid", "doc_id").join(final, "nid").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = final.join(least, "component").select("nid", "component_id")
     found = nodes.select("nid", "n1", "n2", F.col("doc_id").alias("own_id")).join(linked, "nid", "left")
