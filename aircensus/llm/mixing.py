@@ -6,14 +6,21 @@ rows, predicts each document's domain posteriors, tempered by its length so that
 membership stays soft.  Nonnegative document rates r are then fitted by
 projected-gradient least squares:
 
-    minimise  1/2 sum_k (A_k(r) - T_k)^2 / T_k,   A_k(r) = sum_d r_d n_d p_dk,
+    minimise  1/2 sum_k (A_k(r) - T_k)^2 / T_k + RIDGE/2 sum_d n_d (r_d - 1)^2,
+    A_k(r) = sum_d r_d n_d p_dk,
 
 with n_d the document's tokens, p_dk its posteriors and T_k the target tokens of
-domain k.  In the metric weighted by n_d a document's gradient is
-sum_k p_dk (A_k - T_k) / T_k, so one iteration is one aggregation of K totals and
-a clipped update of each row; the step is one over the largest eigenvalue of the
-K x K Gram matrix.  The driver sees K numbers an iteration, however many
-documents there are.
+domain k.  The ridge makes the rates unique and keeps a target that no rates can
+reach from piling weight on a few documents.  In the metric weighted by n_d a
+document's gradient is sum_k p_dk (A_k - T_k) / T_k + RIDGE (r_d - 1): all
+gradients lie in the span of the K posteriors, so the steps so far are K numbers
+y and the rates their projection, r_d = max(0, 1 - sum_k p_dk y_k).  One
+iteration is one aggregation of the K totals and of the K x K Gram matrix of the
+rows above zero, by which the gradient is scaled; steps are halved until the
+objective falls.  A handful of scans suffices, no state is kept per row, and the
+driver sees some K * K numbers a scan, however many documents there are.  The fit
+ends when the projected gradient vanishes, and raises if it does not;
+``shortfall`` tells targets that are out of reach.
 
 Nulls and empty texts have no tokens and keep the prior as posterior; they get a
 rate like any other row.  Each row gives one row, repeated rows and null ids
@@ -35,8 +42,8 @@ DOMAINS = {"good_clean": (1, 0), "good_toxic": (1, 1), "bad_clean": (0, 0), "bad
 TARGETS = {"good_clean": 0.92, "good_toxic": 0.03, "bad_clean": 0.04, "bad_toxic": 0.01}
 #: Most labelled rows of the classifier, hash buckets, units of a nat, pseudo-tokens per domain.
 SAMPLE_ROWS, BUCKETS, UNIT, SMOOTH = 20_000, 1 << 13, 1024, 500.0
-#: Most iterations; largest miss, as a share of all tokens, at which they stop; iterations between written states.
-ITERATIONS, TOLERANCE, WRITE_EVERY = 200, 1e-4, 15
+#: Weight of staying near rate 1; largest projected gradient, as a share of all tokens, at which the fit ends; most scans.
+RIDGE, TOLERANCE, SCANS = 1e-4, 1e-7, 100
 
 
 def _domain(quality: Column, toxic: Column) -> Column:
@@ -80,31 +87,59 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return raised.select("doc_id", "n_tokens", *((F.col(f"_e{k}") / total).alias(f"p{k}") for k in range(len(DOMAINS))))
 
 
+def _rate(y: np.ndarray) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p{k}") * F.lit(float(v)) for k, v in enumerate(y)), F.lit(0.0)))
+
+
+def _totals(members: DataFrame, y: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Tokens; sum of n r^2; domain totals A; Gram matrix of the rows whose rate is above zero."""
+    ks = range(len(y))
+    rows = members.withColumn("_r", _rate(y)).withColumn("_n", F.col("n_tokens").cast("double"))
+    above = F.when(F.col("_r") > 0, F.col("_n")).otherwise(F.lit(0.0))
+    pairs = [(i, j) for i in ks for j in ks if i <= j]
+    sums = [F.col("_n"), F.col("_n") * F.col("_r") * F.col("_r"), *(F.col("_n") * F.col("_r") * F.col(f"p{k}") for k in ks), *(above * F.col(f"p{i}") * F.col(f"p{j}") for i, j in pairs)]
+    got = np.array(rows.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in sums)).first(), dtype=float)
+    gram = np.zeros((len(y), len(y)))
+    for (i, j), v in zip(pairs, got[2 + len(y) :]):
+        gram[i, j] = gram[j, i] = v
+    return got[0], got[1], got[2 : 2 + len(y)], gram
+
+
 def fit_rates(members: DataFrame, targets: list[float]) -> DataFrame:
     """Adds rate: nonnegative, with expected domain totals at the targets (shares of all tokens)."""
-    ks = range(len(targets))
-    n = F.col("n_tokens").cast("double")
-    gram = members.agg(
-        F.coalesce(F.sum("n_tokens"), F.lit(0)), *(F.coalesce(F.sum(n * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)) for i in ks for j in ks)
-    ).first()
-    total, g = float(gram[0]), np.array(gram[1:], dtype=float).reshape(len(targets), len(targets))
+    y = np.zeros(len(targets))
+    total, square, have, gram = _totals(members, y)
     want = np.array(targets) * total
-    live = (want > 0) & (np.diag(g) > 0)
-    if total == 0 or not live.any():
+    live = np.flatnonzero((want > 0) & (np.diag(gram) > 0))
+    if total == 0 or not len(live):
         return members.withColumn("rate", F.lit(1.0))
-    scale = np.where(live, 1 / np.sqrt(np.where(live, want, 1)), 0)
-    step = 1 / np.linalg.eigvalsh(g * np.outer(scale, scale)).max()
-    state, rate = members.withColumn("rate", F.lit(1.0)), F.col("rate")
-    for i in range(ITERATIONS):
-        have = np.array(state.agg(*(F.sum(rate * n * F.col(f"p{k}")) for k in ks)).first(), dtype=float)
-        miss = np.where(live, have - want, 0)
-        if np.abs(miss).max() <= TOLERANCE * total:
-            break
-        pull = np.where(live, miss / np.where(live, want, 1), 0) * step
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p{k}") * F.lit(float(pull[k])) for k in ks), F.lit(0.0)))
-        if (i + 1) % WRITE_EVERY == 0:
-            state, rate = common.materialize(state.withColumn("rate", rate), "mix-rates"), F.col("rate")
-    return state.withColumn("rate", rate)
+    pull = lambda y, have: (have - want - RIDGE * want * y)[live]
+    cost = lambda y, square: (square / 2 + y @ want + RIDGE / 2 * (want * y) @ y) / total
+    step, size, now = None, 1.0, cost(y, square)
+    for _ in range(SCANS):
+        g = pull(y, have)
+        if np.abs(g).max() <= TOLERANCE * total:
+            return members.withColumn("rate", _rate(y))
+        step = np.zeros(len(y)) if step is None or size == 1.0 else step
+        if size == 1.0:
+            step[live] = np.linalg.solve(gram[np.ix_(live, live)] + RIDGE * np.diag(want[live]), g)
+        ahead = y + size * step
+        _, square, have_ahead, gram_ahead = _totals(members, ahead)
+        # The cost falls along the step by its gradient, -g, at first.
+        if cost(ahead, square) <= now - 1e-4 * size * (step[live] @ g) / total or size < 1e-6:
+            y, have, gram, now, size = ahead, have_ahead, gram_ahead, cost(ahead, square), 1.0
+        else:
+            size /= 2
+    raise RuntimeError(f"rates still move after {SCANS} scans")
+
+
+def shortfall(mixed: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """domain, target, reached: target and expected shares of all tokens under the fitted rates; a target that is missed is out of reach."""
+    shares = targets or TARGETS
+    n = F.sum(F.col("n_tokens").cast("double"))
+    reached = mixed.agg(n.alias("_n"), *(F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{k}")).alias(k) for k in DOMAINS))
+    rows = F.array(*(F.struct(F.lit(k).alias("domain"), F.lit(shares.get(k, 0.0)).alias("target"), (F.col(k) / F.col("_n")).alias("reached")) for k in DOMAINS))
+    return reached.select(F.inline(rows))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

@@ -323,30 +323,61 @@ def test_pii_discovers_by_context(spark):
 # ---- 6 -----------------------------------------------------------------------------------------
 
 
-def brute_rates(n, p, targets, iterations=4000):
-    want = np.array(targets) * n.sum()
-    live = want > 0
-    scale = np.where(live, 1 / np.sqrt(np.where(live, want, 1)), 0)
-    gram = (p * n[:, None]).T @ p
-    step = 1 / np.linalg.eigvalsh(gram * np.outer(scale, scale)).max()
-    r = np.ones(len(n))
-    for _ in range(iterations):
-        miss = np.where(live, (r * n) @ p - want, 0)
-        r = np.maximum(0, r - step * (p @ np.where(live, miss / np.where(live, want, 1), 0)))
-    return r
-
-
 def test_mixing_meets_targets(spark):
     rng = np.random.default_rng(0)
     n = rng.integers(1, 400, 300)
     p = rng.dirichlet([0.3] * 4, 300)
     table = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(300)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double, p3 double")
-    targets = [0.6, 0.2, 0.15, 0.05]
-    got = np.array([r.rate for r in mixing.fit_rates(table, targets).orderBy("doc_id").collect()])
-    assert (got >= 0).all()
-    assert np.abs((got * n) @ p / n.sum() - targets).max() <= 5e-3
-    best = brute_rates(n.astype(float), p, targets)
-    assert np.abs((got - best) * n).sum() < 0.02 * (best * n).sum()
+    p[:, 3] *= 0.002
+    p /= p.sum(axis=1, keepdims=True)
+    rare = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(300)], table.schema)
+    for members, reachable in ((table, True), (rare, False)):
+        q = np.array([r[2:] for r in members.orderBy("doc_id").collect()])
+        for targets in ([0.6, 0.2, 0.15, 0.05], [0.05, 0.05, 0.8, 0.1]):
+            got = np.array([r.rate for r in mixing.fit_rates(members, targets).orderBy("doc_id").collect()])
+            want = np.array(targets) * n.sum()
+            have = (got * n) @ q
+            if reachable:
+                assert np.abs(have - want).max() / n.sum() <= 1e-3
+            # What tells the least-squares solution: every rate is the projection of its own gradient step.
+            y = (have - want) / (mixing.RIDGE * want)
+            assert (got >= 0).all() and np.abs(got - np.maximum(0, 1 - q @ y)).max() <= 1e-2 * max(1, got.max())
+
+
+def brute_posteriors(rows, labels, buckets, prior_rows):
+    """Log-space naive Bayes in plain Python over word counts (no hash clash in so small a vocabulary)."""
+    words = {i: SPACE.findall(t or "") for i, t in rows}
+    counts = [collections.Counter() for _ in mixing.DOMAINS]
+    size = [0] * len(counts)
+    for i, quality, toxic in labels:
+        if i in words:
+            k = list(mixing.DOMAINS.values()).index((quality, toxic))
+            counts[k].update(words[i])
+            size[k] += 1
+    vocabulary = set().union(*counts)
+    out = {}
+    for i, w in words.items():
+        logit = []
+        for k, c in enumerate(counts):
+            total = 0.0
+            for x in w:
+                every = (sum(d[x] for d in counts) + 0.5) / (sum(map(lambda d: sum(d.values()), counts)) + 0.5 * buckets)
+                total += np.log((c[x] + mixing.SMOOTH * every) / (sum(c.values()) + mixing.SMOOTH))
+            logit.append(total / np.sqrt(max(len(w), 1)) + np.log((size[k] + 0.5) / (sum(size) + 0.5 * len(counts))))
+        e = np.exp(np.array(logit) - max(logit))
+        out[i] = e / e.sum()
+    assert len(vocabulary) < 60
+    return out
+
+
+def test_mixing_posteriors(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdefgh" if i % 3 else "efghijkl") * 2 for _ in range(rng.randrange(0, 60)))) for i in range(40)]
+    labels = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(30)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = brute_posteriors(rows, labels, mixing.BUCKETS, 30)
+    for r in mixing.posteriors(frame(spark, rows), table).collect():
+        assert np.abs(np.array([r.p0, r.p1, r.p2, r.p3]) - want[r.doc_id]).max() < 5e-3
 
 
 def test_mixing_edges(spark, corpus):
@@ -354,6 +385,8 @@ def test_mixing_edges(spark, corpus):
     got = mixing.mix(frame(spark, corpus), labels).collect()
     assert len(got) == len(corpus) and all(r.rate >= 0 for r in got)
     assert mixing.mix(frame(spark, []), labels).count() == 0
+    short = {r.domain: r for r in mixing.shortfall(mixing.mix(frame(spark, corpus), labels)).collect()}
+    assert set(short) == set(mixing.DOMAINS) and short["good_clean"].target == 0.92
 
 
 # ---- 9 -----------------------------------------------------------------------------------------
