@@ -1,7 +1,7 @@
 """Text features and small linear models for the learned operators.
 
 Features are computed in one vectorised pass per chunk: a few dense style
-measures, and hashed words.  Models are fitted on a bounded sample of rows
+measures.  Models are fitted on a bounded sample of rows
 (``SAMPLE_ROWS``), so what reaches the driver has a fixed size; scoring covers
 every row.
 """
@@ -85,14 +85,6 @@ def style(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.clip(np.column_stack(columns), 0, 4)
 
 
-def hashed_words(data: np.ndarray, bounds: np.ndarray, bits: int):
-    """(slot of each word lower-cased and stripped of outer marks, its document)."""
-    low = tk.LOWER_LUT[data]
-    starts, ends, firsts = tk.words(low, bounds, tk.ALNUM_LUT[low])
-    slots = (tk.word_hashes(low, starts, ends) >> np.uint64(64 - bits)).astype(np.int64)
-    return slots, np.repeat(np.arange(len(bounds) - 1), np.diff(firsts))
-
-
 def sample_ids(labels: DataFrame, column: str, fold: int, held: int, rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, label: at most ``rows`` labelled rows outside the held-out fold, the first by hash of their id."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).filter(

@@ -47,21 +47,26 @@ ROUNDS, PRIOR = 8, 0.1
 _WORD_SEED, _START_SEEDS = np.uint64(0x1F), (np.uint64(0x2F), np.uint64(0x3F))
 
 
-def terms(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (term hash, document) of a chunk: words and word beginnings."""
+def terms(data: np.ndarray, bounds: np.ndarray, known=None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (term hash, document) of a chunk: words and word beginnings, only those that ``known`` lets pass."""
     low = tk.LOWER_LUT[data]
     starts, ends, firsts = tk.words(low, bounds, tk.ALNUM_LUT[low])
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(firsts))
     prefix = tk.prefix_hash(low)
-    found = [tk.mix(tk.span_hash(prefix, starts, ends) ^ _WORD_SEED)]
-    owners = [owner]
+    found, owners = [], []
+
+    def take(h: np.ndarray, o: np.ndarray) -> None:
+        hit = slice(None) if known is None else known(h)
+        found.append(h[hit])
+        owners.append(o[hit])
+
+    take(tk.mix(tk.span_hash(prefix, starts, ends) ^ _WORD_SEED), owner)
     heads = np.flatnonzero((low & 0xC0) != 0x80)  # first bytes of code points
     first = np.searchsorted(heads, starts)
     for n, seed in zip(BEGINNINGS, _START_SEEDS):
         stop = np.append(heads, len(low))[np.minimum(first + n, len(heads))]
         long = stop <= ends
-        found.append(tk.mix(tk.span_hash(prefix, starts[long], stop[long]) ^ seed))
-        owners.append(owner[long])
+        take(tk.mix(tk.span_hash(prefix, starts[long], stop[long]) ^ seed), owner[long])
     h, o = np.concatenate(found), np.concatenate(owners)
     order = np.lexsort((h, o))
     h, o = h[order], o[order]
@@ -94,10 +99,7 @@ def induce(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray,
             for batch in it:
                 labels = np.array(batch["label"].to_pylist(), dtype=np.int64)
                 for row, data, bounds in tk.chunks(batch["text"]):
-                    h, o = terms(data, bounds)
-                    if bits is not None:
-                        hit = common.in_bitmap(bits.value, h)
-                        h, o = h[hit], o[hit]
+                    h, o = terms(data, bounds, None if bits is None else lambda x: common.in_bitmap(bits.value, x))
                     one, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
                     pos = np.bincount(inverse, weights=labels[row + o], minlength=len(one)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(common.signed(one)), pa.array(pos), pa.array(n.astype(np.int64))], schema=schema)
@@ -128,43 +130,54 @@ class Voters:
         self.voter_of = np.full(len(self.terms), -1)
         self.voter_of[np.searchsorted(self.terms, self.voters)] = np.arange(len(self.voters))
         self.count = len(self.voters) + len(PATTERNS)
-
-    def present(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of a known term, document) pairs."""
-        h, o = terms(data, bounds)
-        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-        hit = self.terms[at] == h
-        return at[hit], o[hit]
-
-    def votes(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """(documents, voters) whether each voter fires."""
-        out = np.zeros((len(bounds) - 1, self.count), bool)
-        at, o = self.present(data, bounds)
-        voter = self.voter_of[at]
-        out[o[voter >= 0], voter[voter >= 0]] = True
-        out[:, len(self.voters) :] = patterns(ft.style(data, bounds), out.any(axis=1))
-        return out
-
-    def vectors(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """(documents, 1 + terms + style) features; the first is the bias."""
+        # Most words miss this table of 64 K flags, so few are looked up.
+        self.flags = np.zeros(1 << 16, bool)
+        self.flags[self.terms >> np.uint64(48)] = True
+
+    def known(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes that are known terms."""
+        maybe = np.flatnonzero(self.flags[h >> np.uint64(48)])
+        at = np.minimum(np.searchsorted(self.terms, h[maybe]), len(self.terms) - 1)
+        return maybe[self.terms[at] == h[maybe]]
+
+    def measure(self, data: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """(known terms, voters that fire, style features) of each document."""
         x = ft.style(data, bounds)
-        known = np.zeros((len(x), len(self.terms)))
-        at, o = self.present(data, bounds)
-        known[o, at] = 1
-        return np.hstack([x[:, :1], known, x[:, 1:]])
+        h, o = terms(data, bounds, self.known)
+        at = np.searchsorted(self.terms, h)
+        cuts = np.searchsorted(o, np.arange(len(bounds)))
+        present = [at[a:b].astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:])]
+        voted = [v[v >= 0] for v in (self.voter_of[p] for p in present)]
+        style = patterns(x, np.array([len(v) > 0 for v in voted], bool))
+        fired = [np.concatenate([np.sort(v), len(self.voters) + np.flatnonzero(f)]).astype(np.int32) for v, f in zip(voted, style)]
+        return present, fired, x
+
+    def matrix(self, present: list, style: np.ndarray) -> np.ndarray:
+        """(documents, 1 + terms + style) features of the linear model; the first is the bias."""
+        known = np.zeros((len(style), len(self.terms)))
+        for i, p in enumerate(present):
+            known[i, p] = 1
+        return np.hstack([style[:, :1], known, style[:, 1:]])
 
 
-def vote_patterns(docs: DataFrame, voters) -> DataFrame:
-    """fired (voter numbers), n: the corpus' vote patterns, counted in each chunk and then combined."""
-    schema = pa.schema([("fired", pa.list_(pa.int32())), ("n", pa.int64())])
+_MEASURED = pa.schema([("doc_id", pa.int64()), ("present", pa.list_(pa.int32())), ("fired", pa.list_(pa.int32())), ("style", pa.list_(pa.float32()))])
+
+
+def measured(docs: DataFrame, voters) -> DataFrame:
+    """doc_id, known terms, voters that fire, style of each document: the one pass over the texts of the corpus."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for _, data, bounds in tk.chunks(batch["text"]):
-                one, n = np.unique(voters.value.votes(data, bounds), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(v).astype(np.int32) for v in one], schema.field(0).type), pa.array(n.astype(np.int64))], schema=schema)
+            for row, data, bounds in tk.chunks(batch["text"]):
+                present, fired, x = voters.value.measure(data, bounds)
+                arrays = [pa.array(c, f.type) for c, f in zip((present, fired, list(x.astype(np.float32))), list(_MEASURED)[1:])]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(row, len(x)), *arrays], schema=_MEASURED)
 
-    return common.materialize(docs.select("text").mapInArrow(run, "fired array<int>, n long").groupBy("fired").agg(F.sum("n").alias("n")), "tox-patterns")
+    return common.materialize(docs.mapInArrow(run, "doc_id long, present array<int>, fired array<int>, style array<float>"), "tox-measured")
+
+
+def _style(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=float).reshape(-1, len(ft.STYLE))
 
 
 class LabelModel:
@@ -231,55 +244,44 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = FOLD, held: i
     table = common.texts(docs)
     chosen = common.materialize(ft.sample_ids(labels, "toxic", fold, held, rows), "tox-sample")
     voters = docs.sparkSession.sparkContext.broadcast(Voters(*induce(table, chosen)))
-    votes = vote_patterns(table, voters)
+    rows = measured(table, voters)
+    # The corpus' vote patterns.
+    votes = common.materialize(rows.groupBy("fired").agg(F.count("*").alias("n")), "tox-patterns")
     model = LabelModel(voters.value.count, PRIOR)
     for _ in range(ROUNDS):
         model.step(votes)
     model.correlate(votes)
     for _ in range(ROUNDS // 2):
         model.step(votes)
-    w = _train(table, chosen, voters, model)
+    w = _train(rows, chosen, voters.value, model)
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bias, of_term, of_style = w[0], w[1 : 1 + len(voters.value.terms)], np.append(0, w[1 + len(voters.value.terms) :])
         for batch in it:
-            for row, data, bounds in tk.chunks(batch["text"]):
-                s = ft.sigmoid(voters.value.vectors(data, bounds) @ w)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(row, len(s)), pa.array(s)], ["doc_id", "score"])
+            present = batch["present"]
+            owner = np.repeat(np.arange(len(present)), np.asarray(present.value_lengths()))
+            from_terms = np.bincount(owner, weights=of_term[np.asarray(present.flatten())], minlength=len(present))
+            s = ft.sigmoid(bias + from_terms + _style(batch["style"]) @ of_style)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(s)], ["doc_id", "score"])
 
-    scored = table.mapInArrow(score, "doc_id long, score double")
+    scored = rows.select("doc_id", "present", "style").mapInArrow(score, "doc_id long, score double")
     held_out = F.coalesce(common.crc_mod("doc_id", fold) == held, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
-def _train(table: DataFrame, chosen: DataFrame, voters, model: LabelModel) -> np.ndarray:
+def _train(rows: DataFrame, chosen: DataFrame, voters: Voters, model: LabelModel) -> np.ndarray:
     """Weights of the linear classifier, from the posterior labels of the bounded sample."""
-    schema = pa.schema([("known", pa.list_(pa.int32())), ("style", pa.list_(pa.float64())), ("p", pa.float64()), ("label", pa.int32())])
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for row, data, bounds in tk.chunks(batch["text"]):
-                v = voters.value
-                at, o = v.present(data, bounds)
-                cuts = np.searchsorted(o, np.arange(len(bounds)))
-                known = [at[a:b].astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:])]
-                p = model.posterior(v.votes(data, bounds))
-                arrays = [pa.array(known, schema.field(0).type), pa.array(list(ft.style(data, bounds)), schema.field(1).type), pa.array(p), batch["label"].slice(row, len(p))]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-    sample = table.join(F.broadcast(chosen), "doc_id").select("text", "label")  # a bounded sample
-    got = sample.mapInArrow(run, "known array<int>, style array<double>, p double, label int").toArrow()
+    got = rows.join(F.broadcast(chosen), "doc_id").select("present", "fired", "style", "label").toArrow()  # a bounded sample
     style = np.array(got["style"].to_pylist(), dtype=float).reshape(-1, len(ft.STYLE))
-    x = np.zeros((len(style), 1 + len(voters.value.terms) + len(ft.STYLE) - 1))
-    x[:, 0] = 1
-    x[:, 1 + len(voters.value.terms) :] = style[:, 1:]
-    for i, known in enumerate(got["known"].to_pylist()):
-        x[i, 1 + np.array(known, dtype=int)] = 1
-    p = ft.to_numpy(got["p"])
+    x = voters.matrix([np.array(p, dtype=int) for p in got["present"].to_pylist()], style)
     if not len(x):
         w = np.zeros(x.shape[1])
         w[0] = np.log(PRIOR / (1 - PRIOR))
         return w
-    w = ft.fit_logistic(x, p, np.ones(len(p)), 1.0)
+    votes = np.zeros((len(x), voters.count))
+    for i, fired in enumerate(got["fired"].to_pylist()):
+        votes[i, fired] = 1
+    w = ft.fit_logistic(x, model.posterior(votes), np.ones(len(x)), 1.0)
     # The labels of the learning folds set the scale of the scores, two numbers.
     a = ft.fit_logistic(np.column_stack([np.ones(len(x)), x @ w]), ft.to_numpy(got["label"]), np.ones(len(x)), 0.1)
     w = w * max(a[1], 0.1)
