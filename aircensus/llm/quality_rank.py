@@ -31,7 +31,6 @@ FOLD, HELD, CUT = 5, 0, 0.3
 PAIRS, L2 = 24, 1.0
 
 _X = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
-_SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
 def _vectors(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -59,7 +58,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return np.zeros(x.shape[1]), 0.0, 35.0
-    winner = good[(np.arange(len(bad) * PAIRS) * 7919) % len(good)]
+    winner = np.random.default_rng(len(y)).choice(good, len(bad) * PAIRS)
     difference = x[winner] - x[np.repeat(bad, PAIRS)]
     # Both orders of each pair, so that the loss is symmetric; the bias cancels.
     both = np.concatenate([difference, -difference])
@@ -77,17 +76,22 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
     return w, scale, float(np.log(CUT / (1 - CUT)) - scale * cut)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, fold: int = FOLD, held: int = HELD, rows: int = ft.SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for each document."""
-    table = common.texts(docs)
-    w, scale, shift = fit(*labelled_vectors(table, labels, "quality", fold, held, rows))
+def scorer(docs: DataFrame, labels: DataFrame, fold: int = FOLD, held: int = HELD, rows: int = ft.SAMPLE_ROWS):
+    """A function from a text column to the score column, fitted on the labelled rows of ``docs``."""
+    w, scale, shift = fit(*labelled_vectors(common.texts(docs), labels, "quality", fold, held, rows))
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        parts = [ft.sigmoid(scale * (x @ w) + shift) for _, x in _vectors(text)]
+        return pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
 
-    def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for row, x in _vectors(batch["text"]):
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(row, len(x)), pa.array(ft.sigmoid(scale * (x @ w) + shift))], schema=_SCORED)
+    return score
 
-    scored = table.mapInArrow(score, "doc_id long, score double")
+
+def score_quality(docs: DataFrame, labels: DataFrame, fold: int = FOLD, held: int = HELD, rows: int = ft.SAMPLE_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted for each document."""
+    score = scorer(docs, labels, fold, held, rows)
+    scored = common.texts(docs).select("doc_id", score("text").alias("score"))
     held_out = F.coalesce(common.crc_mod("doc_id", fold) == held, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
