@@ -1,19 +1,21 @@
 """PII scan with bootstrapped contextual extraction.
 
 Base patterns find e-mail addresses, IPv4 addresses, card numbers (Luhn) and
-phone numbers.  The method then bootstraps: base entities are seed instances;
-the two words left of an instance are a lexical pattern; the graph of patterns
-and instances is scored in rounds on Spark (a pattern is as good as the share of
-all its occurrences in the corpus that lead to a believed instance, an instance
-as good as its best pattern); and patterns that end with high confidence and
-enough distinct seeds mark the unseen identifiers found in their slot as
+phone numbers.  The method then bootstraps: base entities are the first believed
+instances; the two words left of an instance are a lexical pattern; the graph of
+patterns and instances is scored in rounds on Spark.  A pattern is confident if
+it leads to ``MIN_SEEDS`` different believed instances and these make up a share
+of ``MIN_CONFIDENCE`` of all its occurrences in the corpus; what stands in the
+slot of a confident pattern is believed from then on, wherever it occurs, and so
+can make further patterns confident.  Rounds end when no pattern is added.
+Identifier-like tokens in the slots of confident patterns are reported as
 ``ident``.
 
 One pass over the text leaves base spans, candidates and their patterns in the
 shared folder; a second counts all occurrences of the patterns that have enough
-seeds.  The rounds work on distinct (pattern, instance) pairs with partial
-aggregation, so a pattern or identifier in a third of all rows is combined
-before it is shuffled.
+different instances.  The rounds work on distinct (pattern, instance) pairs with
+partial aggregation, so a pattern or identifier in a third of all rows is
+combined before it is shuffled.
 
 Nulls and empty texts have no spans; each input row gives one output row,
 repeated rows and null ids included; other columns are not read.
@@ -40,17 +42,16 @@ KINDS = ("email", "ip", "card", "phone", "ident")
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _EMAIL_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A start inside a run of digits can't match where the run's first digit didn't; so long runs are read once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._/@+-]*[A-Za-z0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Rounds; least distinct seeds and confidence of a pattern that may discover identifiers.
-ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 5, 0.5
+#: Least different believed instances of a confident pattern, and their least share of its occurrences.
+MIN_SEEDS, MIN_CONFIDENCE = 5, 0.5
 #: Shortest identifier-like token, and its least number of digits.
 MIN_LENGTH, MIN_DIGITS = 6, 3
-#: How far back the two words of a pattern may reach.
-CONTEXT_CHARS = 100
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 _SCHEMA = f"rid long, key long, doc_id long, base {_SPANS}, cands array<struct<start:int,end:int,seed:int,pattern:long,instance:long>>"
@@ -117,13 +118,14 @@ def candidates(text: str, base: list[tuple[int, int, int]]):
                 k += 1
             if not any(s < b and a < e for s, e in seeds[k : k + 4]):
                 slots.append((a, b, 0))
-    for a, b, seed in slots:
-        left = text[max(0, a - CONTEXT_CHARS) : a]
-        words = tk.SPACE_WORDS.findall(left)
-        if words and not left.endswith((" ", "\n", "\t", "\r", "\x0b", "\x0c")):
-            words.pop()  # the instance's own word starts with it
-        if len(words) >= 2:
-            out.append((a, b, seed, f"{words[-2]} {words[-1]}"))
+    words = [m.span() for m in tk.SPACE_WORDS.finditer(text)] if slots else []
+    at = 0
+    for a, b, seed in sorted(slots):
+        while words[at][1] <= a:  # the word that holds the instance
+            at += 1
+        if at >= 2:
+            (p, q), (r, t) = words[at - 2 : at]
+            out.append((a, b, seed, f"{text[p:q]} {text[r:t]}"))
     return out
 
 
@@ -180,25 +182,28 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return counts.join(patterns.select("pattern"), "pattern", "left_semi")
 
 
-def score_patterns(docs: DataFrame, cands: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Confident patterns of (seed, pattern, instance) rows, after scoring the graph in rounds.
+def score_patterns(docs: DataFrame, cands: DataFrame) -> DataFrame:
+    """Confident patterns of (seed, pattern, instance) rows: the fixed point of the rounds.
 
-    Instance belief starts at 1 for seeds (a token that is a seed anywhere is one
-    everywhere) and 0 for the rest.  A round sets a pattern to the believed share
-    of its occurrences, then an unseen instance to its best pattern's score.
+    Belief only grows, so the rounds end; a token that is believed anywhere is
+    believed everywhere.
     """
     pairs = common.materialize(cands.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-pairs")
-    fit = pairs.groupBy("pattern").agg(F.sum("seed").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
-    totals = common.materialize(occurrences(docs, common.materialize(fit, "pii-fit")), "pii-totals")
-    edges = common.materialize(pairs.join(totals, "pattern"), "pii-edges")
-    belief = common.materialize(pairs.groupBy("instance").agg(F.max("seed").cast("double").alias("belief")), "pii-belief")
-    for k in range(rounds):
-        scores = edges.join(belief, "instance").groupBy("pattern").agg((F.sum(F.col("belief") * F.col("n")) / F.max("total")).alias("score"))
-        scores = common.materialize(scores.filter(F.col("score") >= MIN_CONFIDENCE), "pii-scores")
-        if k + 1 < rounds:
-            lifted = edges.join(scores, "pattern").groupBy("instance").agg(F.max("score").alias("_lift"))
-            belief = common.materialize(belief.join(lifted, "instance", "left").select("instance", F.greatest("belief", F.coalesce("_lift", F.lit(0.0))).alias("belief")), "pii-belief")
-    return scores.select("pattern")
+    fit = pairs.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("led")).filter(F.col("instances") >= MIN_SEEDS)
+    fit = common.materialize(fit, "pii-fit")
+    # Patterns that lead to other words too often can never become confident.
+    hopeful = occurrences(docs, fit).join(fit.select("pattern", "led"), "pattern").filter(F.col("led") >= MIN_CONFIDENCE * F.col("total"))
+    edges = common.materialize(pairs.select("pattern", "instance", "n").join(hopeful.select("pattern", "total"), "pattern"), "pii-edges")
+    believed = common.materialize(pairs.filter("seed = 1").select("instance").distinct(), "pii-believed")
+    count = 0
+    while True:
+        lead = edges.join(believed, "instance", "left_semi").groupBy("pattern").agg(F.count("*").alias("k"), F.sum("n").alias("led"), F.max("total").alias("total"))
+        confident = common.materialize(lead.filter((F.col("k") >= MIN_SEEDS) & (F.col("led") >= MIN_CONFIDENCE * F.col("total"))).select("pattern"), "pii-confident")
+        before, count = count, confident.count()
+        if count == before:
+            return confident
+        found = edges.join(confident, "pattern", "left_semi").select("instance")
+        believed = common.materialize(believed.unionByName(found).distinct(), "pii-believed")
 
 
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
@@ -266,8 +271,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         .select(F.col("key").alias("_pii_key"), F.array_join(F.transform(F.array_sort("more"), pair), ",").alias("_pii_more")),
         "pii-found",
     )
+    none = lambda df: df.drop("_pii_key").withColumn("_pii_more", F.lit(None).cast("string"))
     if more.isEmpty():
-        out = docs.withColumn("_pii_more", F.lit(None).cast("string"))
+        out = none(docs)
     else:
-        out = docs.withColumn("_pii_key", key).join(more, "_pii_key", "left").drop("_pii_key")
+        clear, doubtful = common.split(docs.withColumn("_pii_key", key), more, "_pii_key")
+        out = doubtful.join(more, "_pii_key", "left").drop("_pii_key")
+        out = out if clear is None else none(clear).unionByName(out)
+    out = out.select(*docs.columns, "_pii_more")
     return out.withColumn(text_col, _masked(F.col(text_col).cast("string"), "_pii_more")).drop("_pii_more")
