@@ -52,7 +52,7 @@ FRAGMENTS = 8
 #: Lists longer than this are walked in salted parts.
 LONG_LIST = 4096
 #: Turns of the first round; rows before a set that it looks at in each list, and pairs that it tries, in a turn.
-TURNS, LAGS, TRIES = 3, 3, 8
+TURNS, LAGS, TRIES = 2, 3, 8
 #: Sixteenths of all shingles in the sieve, for each share of a set that may miss in a link.
 SIEVE = 1.5
 
@@ -281,7 +281,7 @@ def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFrame:
-    """doc_id, rk, n_shingles, component_id of each document."""
+    """doc_id, rk, n_shingles, component_id, and a number of the component (null for empty sets) of each document."""
     rows = spans.keyed(docs)
     sets = common.materialize(shingle_sets(rows, gram, percent), "jac-sets")
     members = common.materialize(sets.select("doc_id", "rk", "n1", "n2", "n"), "jac-members")
@@ -307,17 +307,18 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> D
     # Of two components first the nearest pair, then all that this has not joined.
     far = common.materialize(far_pairs(lists, linkable, percent), "jac-far")
     component = joined(far.groupBy("p", "q").agg(F.min_by(F.struct("a", "b"), "d").alias("x")).select("x.*"))
-    final = joined(_apart(far.select("a", "b"), component))
+    rest = common.materialize(_apart(far.select("a", "b"), component), "jac-rest")
+    final = component if rest.isEmpty() else joined(rest)
     least = nodes.select("nid", "doc_id").join(final, "nid").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = final.join(least, "component").select("nid", "component_id")
+    linked = final.join(least, "component").select("nid", "component_id", "component")
     found = nodes.select("nid", "n1", "n2", F.col("doc_id").alias("own_id")).join(linked, "nid", "left")
-    out = members.join(found.select("n1", "n2", F.coalesce("component_id", "own_id").alias("component_id")), ["n1", "n2"], "left")
-    return out.select("doc_id", "rk", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = members.join(found.select("n1", "n2", F.coalesce("component_id", "own_id").alias("component_id"), F.coalesce("component", "nid").alias("component")), ["n1", "n2"], "left")
+    return out.select("doc_id", "rk", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "component")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, gram: int = GRAM) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
-    return similar_sets(common.texts(docs, id_col, text_col), percent, gram).drop("rk")
+    return similar_sets(common.texts(docs, id_col, text_col), percent, gram).drop("rk", "component")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

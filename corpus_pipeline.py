@@ -15,25 +15,44 @@ from pyspark.sql import functions as F
 from aircensus.llm import common, decontaminate, jaccard_join, mixing, pii_scan, quality_rank
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The table with a key of id and text: rows that repeat an id are judged apart."""
+    return docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the pairwise ranking rejects; rows without an id stay."""
-    scores = quality_rank.score_quality(docs, common.table(spark, sf_dir, "labels"))
-    rejected = scores.filter("predicted = 0").select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(rejected, docs["doc_id"] == rejected["_doc_id"], "left_anti")
+    """Drops the rows that the pairwise ranking rejects."""
+    score = quality_rank.scorer(docs, common.table(spark, sf_dir, "labels"))
+    return docs.filter(score(F.col("text").cast("string")) >= quality_rank.CUT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies; rows without an id stay."""
-    groups = jaccard_join.jaccard_join(docs)
-    copies = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["_doc_id"], "left_anti")
+    """Keeps the row with the smallest id (then key) of each group of near copies; rows without words stay.
+
+    Near copies share five-word shingles at a similarity of 0.8 or more, linked
+    directly or through others; rows that repeat id and text are copies too.
+    """
+    members = jaccard_join.similar_sets(common.texts(docs), percent=80, gram=5).filter("component is not null")
+    members = common.materialize(members.select("component", "rk", F.struct(F.col("doc_id").isNull(), "doc_id", "rk").alias("order")), "pipeline-members")
+    first = members.groupBy("component").agg(F.min("order").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    grouped = members.join(first, "component")
+    copies = common.materialize(grouped.filter("rk <> first.rk").select(F.col("rk").alias("_key")).distinct(), "pipeline-copies")
+    twice = common.materialize(grouped.filter("rk = first.rk").groupBy(F.col("rk").alias("_key")).count().filter("count > 1").select("_key"), "pipeline-twice")
+    kept = common.anti(_keyed(docs), copies, "_key")
+    if not twice.isEmpty():
+        clear, doubtful = common.split(kept, twice, "_key")
+        alone = doubtful.join(twice, "_key", "left_anti").select(kept.columns)
+        once = doubtful.join(twice, "_key", "left_semi").select(kept.columns).dropDuplicates(["_key"])
+        kept = alone.unionByName(once) if clear is None else clear.unionByName(alone).unionByName(once)
+    return kept.drop("_key")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold benchmark passages; rows without an id stay."""
-    verdicts = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    bad = verdicts.filter("contaminated").select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_doc_id"], "left_anti")
+    """Drops the rows that hold benchmark passages."""
+    keyed = _keyed(docs)
+    verdicts = decontaminate.decontaminate(keyed.select(F.col("_key").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    bad = common.materialize(verdicts.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "pipeline-bad")
+    return common.anti(keyed, bad, "_key").drop("_key")
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -255,6 +255,58 @@ def test_toxicity_on_held_out(spark):
     assert toxicity.score_toxicity(frame(spark, rows[:5]), none).count() == 5
 
 
+def test_label_model_step_against_plain_python(spark):
+    """One round of expectation-maximisation and the shared weights, by hand."""
+    votes = [([0, 1], 30), ([0], 10), ([2], 5), ([5], 400), ([], 50), ([0, 1, 2], 7)]
+    table = spark.createDataFrame(votes, "fired array<int>, n long")
+    model, voters = toxicity.LabelModel(6, 0.1), 6
+    rate, n_patterns = model.rate.copy(), len(toxicity.PATTERNS)
+    odds = lambda f: np.log(0.1 / 0.9) + sum(np.log(rate[1][v] / rate[0][v]) for v in f)
+    p = [1 / (1 + np.exp(-odds(f))) for f, _ in votes]
+    toxic, total = sum(n * q for (_, n), q in zip(votes, p)), sum(n for _, n in votes)
+    want = np.zeros((2, voters))
+    for v in range(voters):
+        inside = sum(n * q for (f, n), q in zip(votes, p) if v in f)
+        outside = sum(n * (1 - q) for (f, n), q in zip(votes, p) if v in f)
+        want[:, v] = (outside + 0.05) / (total - toxic + 10), (inside + 1) / (toxic + 10)
+    want = np.clip(want, 1e-5, 0.95)
+    want[1, : voters - n_patterns] = np.maximum(want[1], want[0])[: voters - n_patterns]
+    model.step(table)
+    assert np.allclose(model.rate, want)
+    odds = lambda f: np.log(0.1 / 0.9) + sum(np.log(want[1][v] / want[0][v]) for v in f)
+    p = [1 / (1 + np.exp(-odds(f))) for f, _ in votes]
+    toxic, load = sum(n * q for (_, n), q in zip(votes, p)), np.zeros(voters)
+    for i in range(voters):
+        for j in range(voters):
+            together = sum(n * q for (f, n), q in zip(votes, p) if i in f and j in f)
+            if i != j and together:
+                a, b = want[1][i], want[1][j]
+                load[i] += min(max((together / max(toxic, 1) - a * b) / np.sqrt(a * (1 - a) * b * (1 - b)) - 0.1, 0), 1)
+    model.correlate(table)
+    assert np.allclose(model.weight, 1 / (1 + load))
+
+
+def test_bradley_terry_fit_minimises_the_pair_loss():
+    rng = np.random.default_rng(5)
+    x = np.hstack([np.ones((200, 1)), rng.normal(size=(200, 3))])
+    y = (x[:, 1] + 0.3 * rng.normal(size=200) > 0).astype(int)
+    w, scale, shift = quality_rank.fit(x, y)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    winner = np.random.default_rng(len(y)).choice(good, len(bad) * quality_rank.PAIRS)
+    difference = x[winner] - x[np.repeat(bad, quality_rank.PAIRS)]
+
+    def loss(v):
+        return np.log1p(np.exp(-difference @ v)).sum() / quality_rank.PAIRS + quality_rank.L2 / 2 * (v[1:] @ v[1:])
+
+    for k in range(1, 4):
+        for d in (-0.01, 0.01):
+            other = w.copy()
+            other[k] += d
+            assert loss(w) < loss(other)
+    scores = 1 / (1 + np.exp(-(scale * (x @ w) + shift)))
+    assert ((scores >= quality_rank.CUT) == (y == 1)).mean() > 0.8
+
+
 def test_quality_rank_on_held_out(spark):
     rng = random.Random(4)
     rows, labels = [], []
@@ -320,6 +372,37 @@ def test_pii_discovers_by_context(spark):
     assert clean[3].kept == "clash"
 
 
+def brute_ip(text):
+    rule = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    return [(m.start(), 1, m.end()) for m in rule.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+
+
+def test_pii_ip_as_written_and_in_linear_time():
+    import time
+
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choice("12.0 5x") for _ in range(rng.randrange(1, 40)))
+        assert [x for x in pii_scan.base_spans(text) if x[1] == 1] == brute_ip(text), text
+    began = time.process_time()
+    assert pii_scan.base_spans("7" * (1 << 20)) == [] and pii_scan.candidates("a b " + "7." * (1 << 19), [])[:1]
+    assert time.process_time() - began < 5
+
+
+def test_pii_discovers_in_two_hops(spark):
+    """E-mail seeds make the first pattern confident; the badges it finds make the second one so, which finds a new badge."""
+    rng = random.Random(8)
+    badge = [f"EMP-00{i}4213{i}" for i in range(8)]
+    rows = [(i, prose(rng, 30) + f" reach badge: {i}.u@mail.example.com " + prose(rng, 9)) for i in range(12)]
+    rows += [(100 + i, prose(rng, 20) + f" reach badge: {b} " + prose(rng, 5)) for i, b in enumerate(badge)]
+    rows += [(200 + i, prose(rng, 20) + f" staff no. {b} " + prose(rng, 5)) for i, b in enumerate(badge)]
+    rows += [(300, "long " * 40 + "staff no. EMP-9990001 end"), (301, "x" * 300 + " y staff no. EMP-7770001")]
+    got = {r.doc_id: r.spans for r in pii_scan.digest(pii_scan.scan_pii(frame(spark, rows))).collect()}
+    for doc, text in rows[12:]:
+        start = text.index("EMP-")
+        assert got[doc] == f"ident:{start}:{start + len(text[start:].split(' ')[0])}", doc
+
+
 # ---- 6 -----------------------------------------------------------------------------------------
 
 
