@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,14 @@ BATCH_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor and the driver can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; a private temporary folder
-    is made only where that is unset (single-machine tests).
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    session on one machine makes a private folder, and one on a cluster uses its
+    warehouse.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-")
+        alone = re.match(r"local(\[|$)", spark.sparkContext.master)
+        path = tempfile.mkdtemp(prefix="spark-shared-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -81,10 +83,6 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def batches(arrays: dict[str, pa.Array], schema: pa.Schema, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    yield from pa.table([arrays[f.name].cast(f.type) if arrays[f.name].type != f.type else arrays[f.name] for f in schema], schema=schema).to_batches(rows)
-
-
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
     """Membership bits of a column of 64-bit hashes, as a uint64 array of fixed size.
 
