@@ -3,7 +3,7 @@
 Packets: session_id, seq, log_code, payload.  A decoder takes all payloads of
 one code of an Arrow batch as a zero-padded byte matrix and gives numpy columns,
 so the work is vectorised over packets.  Decoders fail closed: an unknown
-version or a short payload gives no event and is counted as empty or as error.
+version or a short payload gives no event.
 """
 
 from __future__ import annotations
@@ -132,13 +132,11 @@ def _nr_mib(b, n):
     return [("radio", (n >= 14) & (pci <= 1007) & (freq >= 1) & (freq <= 3279165), {"freq": freq, "phy": pci})]
 
 
-def _decode_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _decode_batch(batch: pa.RecordBatch, decoders: dict[int, tuple[str, Decoder]]) -> Iterator[pa.RecordBatch]:
     codes = batch["log_code"].to_numpy(zero_copy_only=False)
     sessions, seqs = (batch[c].to_numpy(zero_copy_only=False) for c in ("session_id", "seq"))
     for code in np.unique(codes).tolist():
-        if code not in _DECODERS:
-            continue
-        rat, fn = _DECODERS[code]
+        rat, fn = decoders[code]
         rows = np.flatnonzero(codes == code)
         payloads = [p or b"" for p in batch["payload"].take(pa.array(rows)).to_pylist()]
         n = np.array([len(p) for p in payloads])
@@ -157,13 +155,17 @@ def _decode_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def decode_packets(packets: DataFrame) -> DataFrame:
-    """Events of all packets whose code has a decoder; narrow, no shuffle."""
+    """Events of all packets whose code has a decoder, those a program registered included; narrow, no shuffle.
+
+    Packets of other codes give no event; the README names the codes without a decoder.
+    """
+    decoders = dict(_DECODERS)  # travels with the job: workers see what was registered here
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            yield from _decode_batch(batch)
+            yield from _decode_batch(batch, decoders)
 
-    return packets.select(F.col("session_id").cast("long").alias("session_id"), F.col("seq").cast("long").alias("seq"), "log_code", "payload").filter(F.col("log_code").isin(*_DECODERS)).mapInArrow(run, DDL)
+    return packets.select(F.col("session_id").cast("long").alias("session_id"), F.col("seq").cast("long").alias("seq"), "log_code", "payload").filter(F.col("log_code").isin(*decoders)).mapInArrow(run, DDL)
 
 
 def frames_to_packets(df: DataFrame, column: str = "frame") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,14 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
 
     Steps that are read several times are computed once, and what they took to
-    compute stays out of later plans.  A private folder is made only where the
-    setting is unset, as in tests.
+    compute stays out of later plans.  Where the setting is unset, a session on
+    one machine makes a private folder, and one on a cluster uses its warehouse.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
+        alone = re.match(r"local(\[|$)", spark.sparkContext.master)
+        folder = tempfile.mkdtemp(prefix="spark-shared-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

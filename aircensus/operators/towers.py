@@ -42,17 +42,17 @@ def _dedup(rows: DataFrame, scope: list[str], key: list[str], fill: tuple[str, .
 FILLED = ("mcc", "mnc", "tac", "rsrp")
 
 
-def fill_from_siblings(towers: DataFrame, rows: DataFrame) -> DataFrame:
-    """Blanks of a tower from any row with its (session, technology, channel, code); flags OR-ed, seen the maximum.
+def fill_from_siblings(towers: DataFrame, rows: DataFrame, key: tuple[str, ...] = ("rat", "freq", "phy")) -> DataFrame:
+    """Blanks of a tower from the earliest row with its (technology, channel, code) in any session; flags OR-ed, seen the maximum.
 
     Siblings are aggregated before the join, so a popular key is one row.
     """
     at = F.struct("first_seq", "session_id")
-    siblings = rows.groupBy(*KEY).agg(
+    siblings = rows.groupBy(*key).agg(
         *(F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_{c}") for c in FILLED),
         F.bool_or("is_serving").alias("_serving"), F.bool_or("ever_serving").alias("_ever"), F.max("seen").alias("_seen"),
     )
-    joined = towers.join(siblings, KEY, "left")
+    joined = towers.join(siblings, list(key), "left")
     fixed = {c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in FILLED}
     flags = {"is_serving": F.col("is_serving") | F.coalesce("_serving", F.lit(False)), "ever_serving": F.col("ever_serving") | F.coalesce("_ever", F.lit(False)), "seen": F.greatest("seen", "_seen")}
     return joined.withColumns(fixed | flags).select(*towers.columns)
@@ -61,7 +61,7 @@ def fill_from_siblings(towers: DataFrame, rows: DataFrame) -> DataFrame:
 def unique_complete(registry: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Complete towers, one per technology and cell id in each scope; losers fill the winner's blanks, then siblings do."""
     best = _dedup(registry.filter(P.is_complete()), ["session_id"] if scope is None else scope, ["rat", "cid"], FILLED)
-    return fill_from_siblings(best, registry)
+    return fill_from_siblings(best, registry, (*(["session_id"] if scope is None else scope), "rat", "freq", "phy"))
 
 
 def unique_rf(registry: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -135,7 +135,7 @@ def match_dumps(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def enrich(towers: DataFrame, external: DataFrame) -> DataFrame:
-    """External LTE cells by (mcc, mnc, tac, cid): status skipped, found or missing, ext_mismatch where areas differ.
+    """External LTE cells by (mcc, mnc, tac, cid): status skipped, found or missing.
 
     Typed keys; whether the table is broadcast is left to its measured size.
     """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -440,11 +441,16 @@ def _(spark, d):
 
 
 def _sides(spark, d):
-    cells = registry_of(spark, d).filter("session_id in (0, 1)").select("session_id", *(c for c in towers.IDENTITY), "rsrp", "last_seq", "is_serving", F.col("last_seq").alias("row_no"))
-    return cells.filter("session_id = 0"), cells.filter("session_id = 1")
+    """Two surveys: the cells of the even and of the odd sessions, each cell as its latest session has it."""
+    cells = registry_of(spark, d).select("session_id", *towers.IDENTITY, "rsrp", "last_seq", "is_serving", F.col("last_seq").alias("row_no"))
+    latest = W.partitionBy(F.col("session_id") % 2, "rat", "freq", "phy").orderBy(F.desc("last_seq"), "session_id")
+    cells = cells.withColumn("_r", F.row_number().over(latest)).filter("_r = 1").drop("_r")
+    return cells.filter("session_id % 2 = 0"), cells.filter("session_id % 2 = 1")
 
 
-_DIFF = """, a AS (SELECT rat, freq, phy, cid, rsrp FROM reg WHERE session_id = 0), b AS (SELECT rat, freq, phy, cid, rsrp FROM reg WHERE session_id = 1),
+_SURVEYS = """, side AS (SELECT * FROM reg QUALIFY row_number() OVER (PARTITION BY session_id % 2, rat, freq, phy ORDER BY last_seq DESC, session_id) = 1),
+a AS (SELECT * FROM side WHERE session_id % 2 = 0), b AS (SELECT * FROM side WHERE session_id % 2 = 1)"""
+_DIFF = f"""{_SURVEYS},
 diff AS (SELECT coalesce(a.rat, b.rat) AS rat, coalesce(a.freq, b.freq) AS freq, coalesce(a.phy, b.phy) AS phy, a.cid AS our_cid, b.cid AS exp_cid,
   CASE WHEN a.rat IS NOT NULL AND b.rat IS NOT NULL THEN 'shared' WHEN a.rat IS NOT NULL THEN 'ours' ELSE 'expected' END AS side,
   CASE WHEN a.cid <> 0 AND b.cid <> 0 THEN CASE WHEN a.cid = b.cid THEN 'match' ELSE 'mismatch' END END AS cid_match, a.rsrp IS NOT NULL AND b.rsrp IS NOT NULL AS both_signal
@@ -455,7 +461,15 @@ def on_diff(name: str, body: str):
     return register(name, f"WITH {sql.REGISTRY}{_DIFF}\n{body}")
 
 
-@on_registry("g3_fill_siblings", f"SELECT session_id, rat, freq, phy, mcc, tac, rsrp, seen FROM reg WHERE {sql.COMPLETE}")
+@register(
+    "g3_fill_siblings",
+    f"""WITH {sql.REGISTRY}, sib AS (
+  SELECT rat, freq, phy, arg_min(mcc, row(first_seq, session_id)) FILTER (mcc IS NOT NULL) AS s_mcc, arg_min(tac, row(first_seq, session_id)) FILTER (tac IS NOT NULL) AS s_tac,
+         arg_min(rsrp, row(first_seq, session_id)) FILTER (rsrp IS NOT NULL) AS s_rsrp, max(seen) AS s_seen
+  FROM reg GROUP BY rat, freq, phy)
+SELECT session_id, rat, freq, phy, coalesce(mcc, s_mcc) AS mcc, coalesce(tac, s_tac) AS tac, coalesce(rsrp, s_rsrp) AS rsrp, greatest(seen, s_seen) AS seen
+FROM reg LEFT JOIN sib USING (rat, freq, phy) WHERE {sql.COMPLETE}""",
+)
 def _(spark, d):
     reg = registry_of(spark, d)
     return towers.fill_from_siblings(reg.filter(P.is_complete()), reg).select(*R.KEY, "mcc", "tac", "rsrp", "seen")
@@ -476,18 +490,23 @@ def _(spark, d):
     return towers.diff_summary(towers.diff_cells(*_sides(spark, d)))
 
 
-@on_registry("g6_match_dumps", "SELECT l.rat, l.mcc, l.mnc, l.tac, l.cid, l.freq, l.phy, l.rsrp AS left_rsrp, r.rsrp AS right_rsrp, l.last_seq AS left_last, r.last_seq AS right_last FROM reg l JOIN reg r ON l.session_id = 0 AND r.session_id = 1 AND l.rat = r.rat AND l.mcc = r.mcc AND l.mnc = r.mnc AND l.tac = r.tac AND l.cid = r.cid AND l.freq = r.freq AND l.phy = r.phy")
+@register(
+    "g6_match_dumps",
+    f"""WITH {sql.REGISTRY}{_SURVEYS}
+SELECT rat, mcc, mnc, tac, cid, freq, phy, a.rsrp AS left_rsrp, b.rsrp AS right_rsrp, a.last_seq AS left_last, b.last_seq AS right_last
+FROM a JOIN b USING (rat, mcc, mnc, tac, cid, freq, phy)""",
+)
 def _(spark, d):
     return towers.match_dumps(*_sides(spark, d))
 
 
 def _external(spark, d):
-    # Every third cell of session 0, with areas moved on some: a reference table of the same cells.
-    cells = registry_of(spark, d).filter("session_id = 0 and rat = 'LTE' and cid <> 0 and cid % 3 <> 0")
+    # Two in three identified LTE cells of all sessions: a reference table of the same cells.
+    cells = registry_of(spark, d).filter("rat = 'LTE' and cid <> 0 and cid % 3 <> 0")
     return cells.select("mcc", "mnc", F.col("tac").alias("lac"), F.col("cid").alias("cellid"), (F.col("freq") * 0.5).alias("lat"), (F.col("phy") * 0.25).alias("lon"), F.col("seen").alias("samples")).dropDuplicates(["mcc", "mnc", "lac", "cellid"])
 
 
-_EXT = ", ext AS (SELECT DISTINCT mcc, mnc, tac, cid FROM reg WHERE session_id = 0 AND rat = 'LTE' AND cid <> 0 AND cid % 3 <> 0)"
+_EXT = ", ext AS (SELECT DISTINCT mcc, mnc, tac, cid FROM reg WHERE rat = 'LTE' AND cid <> 0 AND cid % 3 <> 0)"
 _STATUS = "CASE WHEN rat <> 'LTE' OR coalesce(mcc, 0) = 0 OR coalesce(tac, 0) = 0 OR coalesce(cid, 0) = 0 THEN 'skipped' WHEN e IS NOT NULL THEN 'found' ELSE 'missing' END"
 
 

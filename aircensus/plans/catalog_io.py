@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import decode, modem_text, rollups
 from ..operators import registry as R
 from ..operators.durable import durable
@@ -147,14 +148,14 @@ def _(spark, d):
     return files.read_cells_csv(spark, path).select("rat", "arfcn", "pci", "bsic", "mcc", "mnc", "lac", "cid", "signal_dbm", "serving", "seen")
 
 
-@register("a3_read_towers_json", f"WITH {sql.REGISTRY} SELECT rat, rat || '|' || freq || '|' || phy AS key, CASE WHEN is_serving THEN '1' ELSE '0' END AS serving, CASE WHEN mcc IS NULL THEN '' ELSE mcc || '-' || lpad(mnc::VARCHAR, 2, '0') END AS mcc_mnc, coalesce(cid::VARCHAR, '') AS cid, coalesce(tac::VARCHAR, '') AS lac_or_tac, freq::VARCHAR AS channel, phy::VARCHAR AS code FROM reg WHERE session_id = 0")
+@register("a3_read_towers_json", f"WITH {sql.REGISTRY} SELECT rat, rat || '|' || freq || '|' || phy AS key, CASE WHEN is_serving THEN '1' ELSE '0' END AS serving, CASE WHEN mcc IS NULL THEN '' ELSE mcc || '-' || lpad(mnc::VARCHAR, 2, '0') END AS mcc_mnc, coalesce(cid::VARCHAR, '') AS cid, coalesce(tac::VARCHAR, '') AS lac_or_tac, freq::VARCHAR AS channel, phy::VARCHAR AS code FROM reg")
 def _(spark, d):
-    """One document of session 0's towers, written as JSON text and read back."""
+    """A document for each session and carrier, one a line, written as JSON text and read back."""
     path = _folder(spark, "document")
-    rows = files.tower_rows(registry_of(spark, d).filter("session_id = 0"))
+    rows = files.tower_rows(registry_of(spark, d))
     groups = [F.coalesce(F.collect_list(F.when(F.col("rat") == r, F.col("tower"))), F.array()).alias(r.lower()) for r in ("GSM", "LTE", "WCDMA", "NR")]
-    rows.agg(F.struct(*groups).alias("towers")).select(F.to_json(F.struct("towers")).alias("value")).write.text(path)
-    return files.read_towers_json(spark, path).select("rat", "key", "serving", "mcc_mnc", "cid", "lac_or_tac", "channel", "code")
+    rows.groupBy("session_id", "rat", S.channel("tower.radio").alias("carrier")).agg(F.struct(*groups).alias("towers")).select(F.to_json(F.struct("towers")).alias("value")).write.text(path)
+    return files.read_towers_json(spark, path, one_a_line=True).select("rat", "key", "serving", "mcc_mnc", "cid", "lac_or_tac", "channel", "code")
 
 
 @register("a4_scanner_log", f"WITH {sql.OBS} SELECT seq, CASE WHEN seq % 5 = 0 THEN '' ELSE '16:56:36' END AS time, CASE WHEN seq % 5 = 0 THEN '#' ELSE kind END AS tag, CASE WHEN seq % 5 = 0 THEN '# note ' || seq ELSE 'cell ' || freq END AS message FROM obs")

@@ -108,9 +108,12 @@ def read_tower_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"session_id long, key string, meta {_MAP}, identity {_MAP}, radio {_MAP}, signal {_MAP}, rat string").json(path)
 
 
-def read_towers_json(spark: SparkSession, path: str) -> DataFrame:
-    """A3: tower documents (v4 and v5) flattened in the order GSM, LTE, WCDMA, NR; missing keys are ''."""
-    docs = spark.read.schema(TOWER_SCHEMA).json(path, multiLine=True)
+def read_towers_json(spark: SparkSession, path: str, one_a_line: bool = False) -> DataFrame:
+    """A3: tower documents (v4 and v5) flattened in the order GSM, LTE, WCDMA, NR; missing keys are ''.
+
+    A file is one document, or has one on each line, which lets tasks share a file.
+    """
+    docs = spark.read.schema(TOWER_SCHEMA).json(path, multiLine=not one_a_line)
     out = None
     for place, rat in enumerate(("gsm", "lte", "wcdma", "nr")):
         rows = docs.select(F.lit(place).alias("rat_order"), F.lit(rat.upper()).alias("rat"), F.posexplode(f"towers.{rat}").alias("pos", "t"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -20,7 +21,7 @@ def oracle(sf_dir):
 
 
 def rows(frame):
-    plain = lambda v: "NULL" if v is None or v != v else str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
+    plain = lambda v: "NULL" if pd.isna(v) else str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
     return sorted(tuple(map(plain, r)) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 

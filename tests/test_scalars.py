@@ -28,7 +28,7 @@ def test_scalar(spark, fn, value, want):
     assert got == pytest.approx(want) if isinstance(want, float) else got == want
 
 
-@pytest.mark.parametrize(("word", "pci"), [(0x2400, 72), (0x0FD2, 466), (0x03D2, 466), (0x0FEB, 491)])
+@pytest.mark.parametrize(("word", "pci"), [(0x9600, 300), (0x0064, 100), (0x03F4, 500), (0x07FF, 15)])
 def test_packed_pci(spark, word, pci):
     assert one(spark, S.unpack_pci(F.lit(word)))["pci"] == pci
 
@@ -41,12 +41,12 @@ def test_null_is_not_valid_and_hint_bands(spark):
 
 
 def test_plmn(spark):
-    assert one(spark, S.format_plmn(F.lit(250), F.lit(1))) == "250-01"
+    assert one(spark, S.format_plmn(F.lit(262), F.lit(3))) == "262-03"
     assert one(spark, S.format_plmn(F.lit(310), F.lit(7), F.lit(3))) == "310-007"
-    assert tuple(one(spark, S.parse_plmn(F.lit("25020")))) == (250, 20)
+    assert tuple(one(spark, S.parse_plmn(F.lit("26207")))) == (262, 7)
     assert one(spark, S.parse_plmn(F.lit("099-01"))) is None
     assert one(spark, S.operator_label(F.lit(""))) == "Unknown PLMN"
-    assert tuple(one(spark, S.decode_plmn(F.unhex(F.lit("52F002"))))) == (250, 20)
+    assert tuple(one(spark, S.decode_plmn(F.unhex(F.lit("62F210"))))) == (262, 1)
 
 
 def test_spans(spark):
