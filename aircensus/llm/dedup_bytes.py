@@ -204,7 +204,10 @@ def repeated_spans(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     classes = common.materialize(kept.groupBy("m", "f").agg(F.count("*").alias("copies"), F.min(F.struct("rk", "lo")).alias("one")), "bytes-classes")
     common.release(docs.sparkSession)
     copied = classes.filter("copies > 1").select("m", "f")
-    whole = kept.join(copied, ["m", "f"], "left_semi").select("rk", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + length - 1).alias("end"))
+    whole = kept.drop("doc_id").join(copied, ["m", "f"], "left_semi").select("rk", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + length - 1).alias("end"))
+    whole = common.materialize(whole, "bytes-whole")
+    common.discard(kept)
+    common.release(docs.sparkSession)
     mixed = common.materialize(classes.groupBy("m").agg(F.count("*").alias("k")).filter("k > 1"), "bytes-mixed")
     chosen = classes.join(mixed, "m", "left_semi").select("one.rk", "one.lo")
     contexts = common.materialize(find_contexts(docs, chosen, mixed, length), "bytes-contexts")
