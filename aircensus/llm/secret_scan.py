@@ -4,12 +4,16 @@ Three base patterns find assigned credentials, access-key ids and long hex
 strings.  The method then decodes base64 and hex candidates and reports one only
 if what it decodes to has the structure of a secret:
 
-* ``pem``: a PEM private-key block whose body is DER with exactly nested lengths,
-  or the length-prefixed OpenSSH container;
-* ``der``: a bare base64 or hex run that decodes to a DER private key (an outer
-  SEQUENCE that fills the run, a version INTEGER, then key fields);
-* ``jwt``: a signed token whose header is a JSON object that names ``alg`` and
-  whose claims are a JSON object.
+* ``pem``: a PEM private-key block (line ends as such or escaped) whose body is
+  DER with exactly nested lengths, or the length-prefixed OpenSSH container;
+* ``der``: a base64 or hex run that decodes to such a key: PKCS#1, DSA, SEC1, or
+  PKCS#8, whose octets must hold the key of its algorithm in turn;
+* ``jwt``: a signed token whose header is a JSON object that names ``alg``, whose
+  claims are a JSON object, and whose signature has the length of that algorithm.
+
+What decodes to text is searched in the same way, ``DEPTH`` times at most, and
+the outer run is reported under the kind of what it holds.  Of nested spans of
+the method the outermost is reported.
 
 Nulls and empty texts have no spans; one row comes out for each row that goes in,
 repeated rows and null ids included; other columns are not read.
@@ -37,9 +41,18 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+#: Decodings within decodings.
+DEPTH = 3
+# Octets of signatures (least, most) by algorithm; object identifiers of key algorithms.
+SIGNATURES = {
+    "HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES256K": (64, 64), "ES384": (96, 96), "ES512": (132, 132), "EdDSA": (64, 114),
+    "RS256": (128, 1024), "RS384": (128, 1024), "RS512": (128, 1024), "PS256": (128, 1024), "PS384": (128, 1024), "PS512": (128, 1024),
+}
+RSA, DSA, EC = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a8648ce3d0201")
+EDWARDS = tuple(bytes.fromhex("2b65") + bytes([i]) for i in (0x6E, 0x6F, 0x70, 0x71))
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_BLOB = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){30,}(?![0-9A-Fa-f])")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[w-z0-9_-][A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[w-z0-9_-][A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_confirmed long, base_sha256 string, spans string"
 _ARROW = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_assign", "n_access", "n_hex", "n_confirmed")), ("base_sha256", pa.string()), ("spans", pa.string())])
@@ -102,12 +115,31 @@ def is_der_key(data: bytes) -> bool:
     version = data[parts[0][1]]
     if len(tags) >= 9 and set(tags[:9]) == {0x02}:  # nine integers
         return version in (0, 1)
+    if len(tags) == 6 and set(tags) == {0x02}:  # DSA: version, p, q, g, public, private
+        return version == 0 and all(p[2] - p[1] >= 16 for p in parts[1:])
     if tags[1:3] == [0x30, 0x04]:  # version, algorithm, octets
         algorithm = inside(parts[1])
-        return version in (0, 1) and bool(algorithm) and algorithm[0][0] == 0x06
+        if version not in (0, 1) or not algorithm or algorithm[0][0] != 0x06:
+            return False
+        return _holds_key(data[algorithm[0][1] : algorithm[0][2]], data[parts[2][1] : parts[2][2]])
     return version == 1 and len(tags) >= 2 and tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 16 and set(tags[2:]) <= {0xA0, 0xA1}
 
 
+def _holds_key(algorithm: bytes, octets: bytes) -> bool:
+    """Do the octets of a PKCS#8 key hold a key of the algorithm?"""
+    if algorithm in (RSA, EC):
+        return is_der_key(octets)
+    inner = der_elements(octets, 0, len(octets))
+    if not inner or len(inner) != 1:
+        return False
+    tag, lo, hi = inner[0]
+    if algorithm == DSA:
+        return tag == 0x02 and hi > lo
+    if algorithm in EDWARDS:
+        return tag == 0x04 and hi - lo in (32, 56, 57)
+    return hi > lo
+
+
 def is_openssh_key(data: bytes) -> bool:
     """``openssh-key-v1`` container whose length prefixes add up."""
     magic = b"openssh-key-v1\0"
@@ -137,7 +169,7 @@ def is_openssh_key(data: bytes) -> bool:
     return at == len(data)
 
 
-def is_jwt(header: str, claims: str) -> bool:
+def is_jwt(header: str, claims: str, signature: str) -> bool:
     parts = []
     for piece in (header, claims):
         raw = decode_base64(piece)
@@ -145,7 +177,20 @@ def is_jwt(header: str, claims: str) -> bool:
             parts.append(json.loads(raw) if raw else None)
         except (ValueError, RecursionError):
             return False
-    return all(isinstance(p, dict) for p in parts) and isinstance(parts[0].get("alg"), str)
+    if not all(isinstance(p, dict) for p in parts) or not isinstance(parts[0].get("alg"), str):
+        return False
+    least, most = SIGNATURES.get(parts[0]["alg"], (1, 0))
+    return least <= len(decode_base64(signature) or b"") <= most
+
+
+def structure(data: bytes, depth: int) -> int | None:
+    """Kind of the secret that decoded bytes are or, as text, hold."""
+    if is_der_key(data) or is_openssh_key(data):
+        return KINDS.index("der")
+    if depth and data.isascii() and b"\0" not in data:
+        inner = confirmed_spans(data.decode("ascii"), depth - 1)
+        return inner[0][1] if inner else None
+    return None
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -160,27 +205,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
-    """Spans whose decoded content has the structure of a secret."""
-    out = []
+def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[int, int, int]]:
+    """Spans whose decoded content has the structure of a secret; the outermost of nested ones."""
+    found = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            body = "".join(line.strip() for line in m[2].split("\n") if ":" not in line)
-            raw = decode_base64(body)
-            if raw and (is_der_key(raw) or is_openssh_key(raw)):
-                out.append((m.start(), 3, m.end()))
-    for m in _B64.finditer(text):
-        if m[0][0] in "Mb":  # what a SEQUENCE of over 29 bytes and the OpenSSH magic start with
-            raw = decode_base64(m[0])
+            lines = m[2].replace("\\r", "").replace("\\n", "\n").split("\n")
+            raw = decode_base64("".join(line.strip() for line in lines if ":" not in line))
             if raw and (is_der_key(raw) or is_openssh_key(raw)):
-                out.append((m.start(), 4, m.end()))
-    if "30" in text:
-        for m in _HEX_BLOB.finditer(text):
-            if m[0].startswith("30") and is_der_key(bytes.fromhex(m[0])):
-                out.append((m.start(), 4, m.end()))
+                found.append((m.start(), 3, m.end()))
+    for pattern, decode in ((_B64, decode_base64), (_HEX_BLOB, bytes.fromhex)):
+        for m in pattern.finditer(text):
+            raw = decode(m[0])
+            kind = structure(raw, depth) if raw else None
+            if kind is not None:
+                found.append((m.start(), kind, m.end()))
     if "." in text:
-        out += [(m.start(), 5, m.end()) for m in _JWT.finditer(text) if is_jwt(m[1], m[2])]
-    return sorted(set(out))
+        found += [(m.start(), 5, m.end()) for m in _JWT.finditer(text) if is_jwt(m[1], m[2], m[3])]
+    out: list[tuple[int, int, int]] = []
+    for a, k, b in sorted(set(found), key=lambda x: (x[0], -x[2], x[1])):
+        if not out or b > out[-1][2]:
+            out.append((a, k, b))
+    return out
 
 
 def render(spans: list[tuple[int, int, int]], kinds=KINDS) -> str:
