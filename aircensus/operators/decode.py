@@ -1,135 +1,26 @@
 """Binary packets to events: one job, a decoder per log code.
 
-Packets: session_id, seq, log_code, payload.  A decoder takes all payloads of
-one code of an Arrow batch as a zero-padded byte matrix and gives numpy columns,
-so the work is vectorised over packets.  Decoders fail closed: an unknown
-version or a short payload gives no event.
+Packets: session_id, seq, log_code, payload.  The decoders are in the modules
+``packets_*``; they take all payloads of one code of an Arrow batch at once, so
+the work is vectorised over packets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-FIELDS = ("freq", "phy", "ul_freq", "band", "mcc", "mnc", "tac", "cid", "ta")
-_SCHEMA = pa.schema([("session_id", pa.int64()), ("seq", pa.int64()), ("sub_seq", pa.int32()), ("log_code", pa.int32()), ("rat", pa.string()), ("kind", pa.string()), *((f, pa.int64()) for f in FIELDS), ("rsrp", pa.float64()), ("rsrq", pa.float64())])
-DDL = "session_id long, seq long, sub_seq int, log_code int, rat string, kind string, " + ", ".join(f"{f} long" for f in FIELDS) + ", rsrp double, rsrq double"
+from . import packets_gsm, packets_lte, packets_umts_nr  # noqa: F401  (they register their decoders)
+from .packets import ABSENT, DECODERS, LEVELS, NUMBERS, Decoder, byte_matrix, register_decoder  # noqa: F401  (register_decoder is for users)
 
-#: A decoder: (byte matrix, lengths) -> list of (kind, rows that have it, {column: values of all rows}).
-Decoder = Callable[[np.ndarray, np.ndarray], list[tuple[str, np.ndarray, dict[str, np.ndarray]]]]
-_DECODERS: dict[int, tuple[str, Decoder]] = {}
-
-
-def register_decoder(codes: int | tuple[int, ...], rat: str):
-    """L1: a decoder for some codes; the first registered for a code wins."""
-
-    def add(fn: Decoder) -> Decoder:
-        for code in (codes,) if isinstance(codes, int) else codes:
-            _DECODERS.setdefault(code, (rat, fn))
-        return fn
-
-    return add
-
-
-def le(b: np.ndarray, at: int, size: int) -> np.ndarray:
-    """Little-endian unsigned number of ``size`` bytes at a fixed place of every row."""
-    if at + size > b.shape[1]:
-        b = np.pad(b, ((0, 0), (0, at + size - b.shape[1])))
-    return sum(b[:, at + i].astype(np.int64) << (8 * i) for i in range(size))
-
-
-def _pick(version: np.ndarray, choices: dict[int, np.ndarray]) -> np.ndarray:
-    out = np.zeros(len(version), dtype=np.int64)
-    for v, values in choices.items():
-        out = np.where(version == v, values, out)
-    return out
-
-
-@register_decoder(0xB0C2, "LTE")
-def _lte_identity(b, n):
-    """Serving cell info, versions 2 and 3: radio if the key is legal, passport if the identity is."""
-    v = b[:, 0]
-    ok = ((v == 2) & (n >= 25)) | ((v == 3) & (n >= 29))
-    wide = {2: 2, 3: 4}
-    field = lambda at2, s2, at3, s3: _pick(v, {2: le(b, 1 + at2, s2), 3: le(b, 1 + at3, s3)})
-    pci = le(b, 1, 2)
-    out = {
-        "phy": pci, "freq": field(2, wide[2], 2, wide[3]), "ul_freq": field(4, 2, 6, 4), "band": field(14, 4, 18, 4), "cid": field(8, 4, 12, 4),
-        "tac": field(12, 2, 16, 2), "mcc": field(18, 2, 22, 2), "mnc": field(21, 2, 25, 2),
-    }
-    key = ok & (out["freq"] >= 1) & (out["freq"] <= 262143) & (pci <= 503)
-    known = key & (out["cid"] >= 1) & (out["cid"] <= 0x0FFFFFFF) & (out["tac"] >= 1) & (out["tac"] <= 0xFFFE) & (out["mcc"] >= 100) & (out["mcc"] <= 999)
-    radio = {k: out[k] for k in ("phy", "freq", "ul_freq", "band")}
-    return [("radio", key, radio), ("passport", known, {k: out[k] for k in ("phy", "freq", "cid", "tac", "mcc", "mnc")})]
-
-
-def unpack_pci(word: np.ndarray) -> np.ndarray:
-    """PCI of packed words: the packing that the word does not refute, low bits if both stand."""
-    low, high = word & 511, (word >> 7) & 511
-    low_ok, high_ok = (low >= 1) & (low <= 503), (high >= 1) & (high <= 503)
-    return np.where(~low_ok & high_ok, high, np.where(low_ok, low, high))
-
-
-@register_decoder(0xB17F, "LTE")
-def _lte_serving_measurement(b, n):
-    """Serving measurement, versions 4 and 5; an RSRP outside -150..-40 gives nothing."""
-    v = b[:, 0]
-    ok = ((v == 4) & (n >= 32)) | ((v == 5) & (n >= 36))
-    freq = _pick(v, {4: le(b, 4, 2), 5: le(b, 4, 4)})
-    pci = unpack_pci(_pick(v, {4: le(b, 6, 2), 5: le(b, 8, 2)}))
-    rsrp = (_pick(v, {4: le(b, 8, 4), 5: le(b, 12, 4)}) & 0xFFF) / 16 - 180
-    rsrq = (_pick(v, {4: le(b, 16, 4), 5: le(b, 20, 4)}) >> 22) / 16 - 30
-    good = ok & (rsrp >= -150) & (rsrp <= -40) & (freq >= 1) & (freq <= 262143)
-    return [("radio", good, {"freq": freq, "phy": pci}), ("signal", good, {"freq": freq, "phy": pci, "rsrp": rsrp, "rsrq": rsrq})]
-
-
-@register_decoder(0xB114, "LTE")
-def _lte_timing(b, n):
-    """Serving cell timing, version 161: timing advance up to 1282."""
-    ta = le(b, 2, 2) >> 1
-    return [("radio", (n >= 16) & (b[:, 0] == 161) & (ta <= 1282), {"ta": ta})]
-
-
-def _wcdma_identity(b, n, shift):
-    """Cell identity of 32 bytes."""
-    digits = lambda at: [b[:, at + i].astype(np.int64) for i in range(3)]
-
-    def number(d):
-        out, open_ = np.zeros(len(b), np.int64), np.ones(len(b), bool)
-        for x in d:
-            open_ = open_ & ((x & 15) != 15)
-            out = np.where(open_, out * 10 + (x & 15), out)
-        return out
-
-    if b.shape[1] < 32:
-        b = np.pad(b, ((0, 0), (0, 32 - b.shape[1])))
-    out = {"ul_freq": le(b, 0, 4), "freq": le(b, 4, 4), "cid": le(b, 8, 4) & 0x0FFFFFFF, "mcc": number(digits(18)), "mnc": number(digits(21)), "tac": le(b, 24, 4) & 0xFFFF}
-    out["phy"] = le(b, 16, 2) >> shift
-    good = (n >= 32) & (out["mcc"] >= 1) & (out["mcc"] <= 999) & (out["phy"] <= 511) & (out["freq"] >= 1) & (out["freq"] <= 16383)
-    return [("passport", good, out), ("radio", good, {k: out[k] for k in ("freq", "phy", "ul_freq")}), ("serving", good, {k: out[k] for k in ("freq", "phy")})]
-
-
-@register_decoder(0x4027, "WCDMA")
-def _wcdma_cell_id(b, n):
-    """The PSC lies in the upper twelve bits."""
-    return _wcdma_identity(b, n, 4)
-
-
-@register_decoder(0x4127, "WCDMA")
-def _wcdma_serving(b, n):
-    return _wcdma_identity(b, n, 0)
-
-
-@register_decoder(0xB822, "NR")
-def _nr_mib(b, n):
-    """Master information: PCI and channel."""
-    pci, freq = le(b, 4, 2), le(b, 6, 4)
-    return [("radio", (n >= 14) & (pci <= 1007) & (freq >= 1) & (freq <= 3279165), {"freq": freq, "phy": pci})]
+_SCHEMA = pa.schema([("session_id", pa.int64()), ("seq", pa.int64()), ("sub_seq", pa.int32()), ("log_code", pa.int32()), ("rat", pa.string()), ("kind", pa.string()), *((f, pa.int64()) for f in NUMBERS), *((f, pa.float64()) for f in LEVELS)])
+DDL = "session_id long, seq long, sub_seq int, log_code int, rat string, kind string, " + ", ".join([f"{f} long" for f in NUMBERS] + [f"{f} double" for f in LEVELS])
 
 
 def _decode_batch(batch: pa.RecordBatch, decoders: dict[int, tuple[str, Decoder]]) -> Iterator[pa.RecordBatch]:
@@ -138,28 +29,25 @@ def _decode_batch(batch: pa.RecordBatch, decoders: dict[int, tuple[str, Decoder]
     for code in np.unique(codes).tolist():
         rat, fn = decoders[code]
         rows = np.flatnonzero(codes == code)
-        payloads = [p or b"" for p in batch["payload"].take(pa.array(rows)).to_pylist()]
-        n = np.array([len(p) for p in payloads])
-        b = np.zeros((len(rows), max(int(n.max()), 4)), dtype=np.uint8)
-        for i, p in enumerate(payloads):
-            b[i, : len(p)] = np.frombuffer(p, dtype=np.uint8)
-        for sub, (kind, has, values) in enumerate(fn(b, n)):
+        payloads = batch["payload"].take(pa.array(rows))
+        b, n = byte_matrix(payloads), pc.fill_null(pc.binary_length(payloads), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for sub, (kind, has, values, *own) in enumerate(fn(b, n)):
             at = np.flatnonzero(has)
             if len(at):
                 size = len(at)
                 columns = [sessions[rows[at]], seqs[rows[at]], np.full(size, sub), np.full(size, code)]
-                arrays = [pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)] + [pa.array([rat] * size), pa.array([kind] * size)]
-                arrays += [pa.array(values[f][at], pa.int64()) if f in values else pa.nulls(size, pa.int64()) for f in FIELDS]
-                arrays += [pa.array(values[f][at], pa.float64()) if f in values else pa.nulls(size, pa.float64()) for f in ("rsrp", "rsrq")]
+                arrays = [pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)] + [pa.array([own[0] if own else rat] * size), pa.array([kind] * size)]
+                arrays += [pa.array(values[f][at], pa.int64(), mask=values[f][at] == ABSENT) if f in values else pa.nulls(size, pa.int64()) for f in NUMBERS]
+                arrays += [pa.array(values[f][at], pa.float64(), from_pandas=True) if f in values else pa.nulls(size, pa.float64()) for f in LEVELS]
                 yield pa.RecordBatch.from_arrays(arrays, schema=_SCHEMA)
 
 
 def decode_packets(packets: DataFrame) -> DataFrame:
-    """Events of all packets whose code has a decoder, those a program registered included; narrow, no shuffle.
+    """Events of all packets whose code has a decoder, those a program registered included; narrow, no shuffle.
 
-    Packets of other codes give no event; the README names the codes without a decoder.
+    Packets of other codes, short ones, unknown versions and null payloads give no event.
     """
-    decoders = dict(_DECODERS)  # travels with the job: workers see what was registered here
+    decoders = dict(DECODERS)  # travels with the job: workers see what was registered here
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -168,6 +56,62 @@ def decode_packets(packets: DataFrame) -> DataFrame:
     return packets.select(F.col("session_id").cast("long").alias("session_id"), F.col("seq").cast("long").alias("seq"), "log_code", "payload").filter(F.col("log_code").isin(*decoders)).mapInArrow(run, DDL)
 
 
+# fixed values: channel by pdu, for families of versions, and for all versions that are in none
+RRC_CHANNELS = (
+    ((2, 3, 4, 6, 7, 8, 13, 22), {1: "MIB", 2: "BCCH_DL_SCH", 5: "DL_CCCH", 6: "DL_DCCH", 7: "UL_CCCH", 8: "UL_DCCH"}),
+    ((9, 12), {8: "MIB", 9: "BCCH_DL_SCH", 12: "DL_CCCH", 13: "DL_DCCH", 14: "UL_CCCH", 15: "UL_DCCH"}),
+    ((14, 15, 16, 20, 24, 25), {1: "MIB", 2: "BCCH_DL_SCH", 6: "DL_CCCH", 7: "DL_DCCH", 8: "UL_CCCH", 9: "UL_DCCH", 55: "BCCH_DL_SCH"}),
+    ((19, 26, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36), {1: "MIB", 3: "BCCH_DL_SCH", 8: "DL_CCCH", 9: "DL_DCCH", 10: "UL_CCCH", 11: "UL_DCCH", 46: "BCCH_DL_SCH"}),
+)
+RRC_OTHER = {
+    1: "MIB", 2: "BCCH_DL_SCH", 3: "BCCH_DL_SCH", 9: "BCCH_DL_SCH", 5: "DL_CCCH", 6: "DL_CCCH", 8: "DL_CCCH", 12: "DL_CCCH", 7: "DL_DCCH", 13: "DL_DCCH",
+    10: "UL_CCCH", 14: "UL_CCCH", 11: "UL_DCCH", 15: "UL_DCCH",
+}
+
+
+_RRC_FIELDS = ("version", "pci", "earfcn", "pdu", "pdu_len", "segment_id", "head")
+
+
+def _rrc_struct(front: pa.Array, size: pa.Array) -> pa.Array:
+    ok, fields = packets_lte.rrc_header(byte_matrix(front), size.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    columns = [pa.array(fields[f], pa.int32(), mask=~ok | (fields[f] == ABSENT)) for f in _RRC_FIELDS]
+    return pa.StructArray.from_arrays(columns, list(_RRC_FIELDS), mask=pa.array(~ok))
+
+
+def _rrc_channel(version: Column, pdu: Column) -> Column:
+    table = lambda names: F.element_at(F.create_map(*(F.lit(x) for item in names.items() for x in item)), pdu.cast("int"))
+    out = F
+    for versions, names in RRC_CHANNELS:
+        out = out.when(version.isin(*versions), table(names))
+    return out.otherwise(table(RRC_OTHER))
+
+
+def decode_rrc_header(packets: DataFrame, payload: str = "payload") -> DataFrame:
+    """Adds version, pci, earfcn, pdu, pdu_len, segment_id, body and channel of RRC wrappers; narrow, only the first bytes go through the Arrow pass.
+
+    The body is everything after the header, whatever length it declares.  A
+    payload that does not decode is tried once more without its first byte if
+    that is at most 4; if that fails too, all eight columns are null.  The
+    channel is null for paging and other channels without a decoder.
+    """
+    p = F.col(payload)
+    # not deterministic for the planner: a filter on a field must not repeat the pass
+    header = F.arrow_udf(_rrc_struct, ", ".join(f"{f} int" for f in _RRC_FIELDS)).asNondeterministic()
+    out = packets.withColumn("_h", header(F.substring(p, 1, packets_lte.RRC_LONGEST + 1), F.octet_length(p)))
+    named = out.withColumns({c: F.col(f"_h.{c}") for c in _RRC_FIELDS[:-1]} | {"body": p.substr(F.col("_h.head") + 1, F.lit(1 << 30))})
+    return named.withColumn("channel", _rrc_channel(F.col("version"), F.col("pdu"))).drop("_h")
+
+
+def surround_hints(packets: DataFrame) -> DataFrame:
+    """GSM channel hints of modem events (code 0), from the event itself and, if it has one, from the ``hdr_earfcn`` of its journal line, which comes later and wins."""
+    events = packets.filter("log_code = 0")
+    told = decode_packets(events).filter("kind = 'hint'").select("session_id", "seq", "freq")
+    if "hdr_earfcn" not in packets.columns:
+        return told
+    lines = events.filter(F.col("hdr_earfcn").between(1, 1023)).select("session_id", "seq", F.col("hdr_earfcn").cast("long").alias("line"))
+    return told.join(lines, ["session_id", "seq"], "full").select("session_id", "seq", F.coalesce("line", "freq").alias("freq"))
+
+
 def frames_to_packets(df: DataFrame, column: str = "frame") -> DataFrame:
     """Log frames to (log_code, ts_ticks, payload): the classic header repeats the length, the short one does not.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, catalog_io
+from . import catalog, catalog_io, catalog_packets
 
 QUERIES, ORACLE_SQL = catalog.QUERIES, catalog.ORACLE_SQL
-__all__ = ["QUERIES", "ORACLE_SQL", "catalog_io"]
+__all__ = ["QUERIES", "ORACLE_SQL", "catalog_io", "catalog_packets"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aircensus.operators import decode, modem_text, ranking
 from aircensus.operators import registry as R
+from aircensus.operators.packets import le
 
 SAMPLE = """
 +CMGRMI: Main_Info,4,1,1,0,2,512,0,4,0
@@ -59,11 +60,11 @@ def test_golden_packets(spark):
 
 
 def test_a_decoder_of_the_program_reaches_the_workers(spark, monkeypatch):
-    monkeypatch.setattr(decode, "_DECODERS", dict(decode._DECODERS))
+    monkeypatch.delitem(decode.DECODERS, 0x7A01, raising=False)
 
     @decode.register_decoder(0x7A01, "GSM")
     def _own(b, n):
-        return [("radio", n >= 4, {"freq": decode.le(b, 0, 2), "phy": decode.le(b, 2, 2)})]
+        return [("radio", n >= 4, {"freq": le(b, 0, 2), "phy": le(b, 2, 2)})]
 
     got = decode.decode_packets(packets(spark, (0x7A01, "10000500"), (0x7A01, "10"), (0x7A02, "10000500"))).collect()
     assert [(r.rat, r.freq, r.phy) for r in got] == [("GSM", 16, 5)]
