@@ -7,7 +7,8 @@ n-grams' log ratios over their number; every document at or above the threshold
 is kept, without any draw.
 
 The target is counted on all documents labelled good, the raw corpus on all
-documents.  Ratios are whole numbers of 1/1024 nat, so sums do not depend on
+documents.  Up to ``MOST_IDS`` ids of good texts are broadcast, so no text moves;
+beyond that the same join shuffles the texts.  Ratios are whole numbers of 1/1024 nat, so sums do not depend on
 their order.
 
 Nulls and empty texts have no words, and base_failed like all short texts.  Each
@@ -28,6 +29,8 @@ from . import native_text as nt
 ORDERS, BUCKETS, SMOOTH = (1, 2), 1 << 14, 0.5
 #: Units of a nat; least mean ratio kept.
 UNIT, THRESHOLD = 1024, -0.1
+#: Most ids of texts labelled good that are broadcast (some 64 MB in a task's table); more are joined by a shuffle.
+MOST_IDS = 1 << 20
 #: Bits of a packed key that hold a word's place.
 _PLACE = 20
 
@@ -95,8 +98,10 @@ def base_measures(df: DataFrame) -> DataFrame:
 def ratios(prepared: DataFrame, labels: DataFrame) -> list[list[int]]:
     """For each order, the log ratio of each bucket in whole units; all counting is on the executors."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality = 1")
-    # Only the texts labelled good are shuffled; their words are made after the join.
-    good = prepared.select("doc_id", "text").join(usable.select("doc_id"), "doc_id", "left_semi").withColumn("words", nt.words(F.col("text")))
+    ids = usable.select("doc_id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+    # Words are made after the join, so that where ids are too many to broadcast only texts are shuffled.
+    good = prepared.select("doc_id", "text").join(ids, "doc_id", "left_semi").withColumn("words", nt.words(F.col("text")))
     marked = prepared.select("words", F.lit(0).alias("target")).unionByName(good.select("words", F.lit(1).alias("target")))
 
     def shifted(buckets: Column, by: int) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,6 +139,49 @@ def test_quality_rules(spark, corpus):
     assert {r.ratio for r in quality_rules.apply_rules(frame(spark, rows), none).collect()} == {0}
 
 
+def brute_ratios(rows, good):
+    """(floor of the mean log ratio, whether it passes) of each row, with the hashes that Spark documents."""
+
+    def buckets(text, n):
+        w, out = SPACE.findall(text or ""), []
+        for i in range(len(w) - n + 1):
+            h = 42
+            for word in w[i : i + n]:
+                h = xxhash.xxh64_intdigest(word.encode(), h)
+            out.append((h - (1 << 64) * (h >> 63)) % quality_rules.BUCKETS)
+        return out
+
+    totals, numbers, b = [0] * len(rows), [0] * len(rows), quality_rules.BUCKETS
+    for n in quality_rules.ORDERS:
+        grams = [buckets(t, n) for _, t in rows]
+        raw = collections.Counter(x for g in grams for x in g)
+        target = collections.Counter(x for (i, _), g in zip(rows, grams) if i in good for x in g)
+        n_raw, n_target = sum(raw.values()) + 0.5 * b, sum(target.values())
+        for k, g in enumerate(grams):
+            for x in g:
+                p = (raw[x] + 0.5) / n_raw
+                totals[k] += round(1024 * math.log((target[x] + 0.5 * b * p) / (n_target + 0.5 * b) / p))
+            numbers[k] += len(g)
+    return [(math.floor(t / max(n, 1)), t >= int(quality_rules.THRESHOLD * 1024) * max(n, 1)) for t, n in zip(totals, numbers)]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_quality_ratio_against_plain_python(spark, corpus, monkeypatch, most):
+    monkeypatch.setattr(quality_rules, "MOST_IDS", most)  # 0: ids are joined by a shuffle
+    labels = spark.createDataFrame([(i, 1, "x") for i in range(20)] + [(i, 0, "x") for i in range(20, 30)] + [(None, 1, "x"), (3, 1, "x"), (4, None, "x")], "doc_id long, quality int, text string")
+    got = quality_rules.apply_rules(frame(spark, corpus), labels)
+    want = [(i, r, ok and not brute_base(t)[5]) for (i, t), (r, ok) in zip(corpus, brute_ratios(corpus, set(range(20))))]
+    assert result(got, "doc_id", "ratio", "kept") == sorted(want, key=str)
+
+
+def test_quality_rules_on_a_very_long_text_and_an_empty_table(spark):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    text = "\n".join(f"line {i} of w{i % 977} and w{i % 53}" for i in range(40_000))
+    got = quality_rules.apply_rules(frame(spark, [(1, text)]), labels).first()
+    assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words, got.base_failed) == brute_base(text)
+    assert quality_rules.apply_rules(frame(spark, []), labels).count() == 0
+
+
 def test_quality_rules_target_counts_all_good_rows(spark):
     ids = [r.id for r in spark.range(25_000).orderBy(F.xxhash64("id")).collect()]
     docs = frame(spark, [(i, "late texts say this" if k >= 20_000 else "early ones have that") for k, i in enumerate(ids)])
