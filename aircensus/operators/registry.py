@@ -197,6 +197,20 @@ def build_registry(events: DataFrame) -> DataFrame:
     return registry_of_bound(bind_events(events))
 
 
+def cell_fields() -> list[Column]:
+    """R3 and R4 as aggregates of a cell's events: the first full identity, the first valid value of each field, the last valid RSRP.
+
+    Batch and stream share them; ``seq`` decides, so the order of arrival does not matter.
+    """
+    passport, at = F.col("kind") == "passport", F.col("seq")
+    first = lambda c: F.min_by(F.col(c), F.when(passport & (F.col(c) != 0), at))
+    return [
+        F.min_by(F.struct("mcc", "mnc", "tac", "cid"), F.when(passport & _full(), at)).alias("_full"),
+        *(first(c).alias(f"_{c}") for c in ("mcc", "mnc", "tac", "cid")),
+        F.max_by("rsrp", F.when((F.col("kind") == "signal") & S.valid_rsrp("rsrp"), at)).alias("rsrp"),
+    ]
+
+
 def registry_of_bound(bound: DataFrame) -> DataFrame:
     """The registry of events that are bound already."""
     nb = neighbour_rows(bound)
@@ -204,18 +218,13 @@ def registry_of_bound(bound: DataFrame) -> DataFrame:
     told = nb.select("session_id", "seq", "rat", "freq", "phy", F.lit("told").alias("kind"), F.col("nb_mcc").alias("mcc"), F.col("nb_mnc").alias("mnc"))
     every = heard.select("session_id", "seq", "rat", "freq", "phy", "kind", "mcc", "mnc", "cid", "tac", "rsrp", "wall_time").unionByName(told, allowMissingColumns=True)
     at = F.col("seq")
-    passport, signal = F.col("kind") == "passport", F.col("kind") == "signal"
     own = F.col("kind") != "told"
-    first = lambda c: F.min_by(F.col(c), F.when(passport & (F.col(c) != 0), at))
-    full = passport & _full()
     # One pass and one shuffle for everything that depends on the cell alone.
     cells = every.groupBy(*KEY).agg(
         F.min("seq").alias("first_seq"), F.count(F.when(own, 1)).alias("seen"), F.max(F.when(own, at)).alias("last_seq"),
         F.min(F.when(own, F.col("wall_time"))).alias("first_seen"), F.max(F.when(own, F.col("wall_time"))).alias("last_seen"),
-        F.min_by(F.struct("mcc", "mnc", "tac", "cid"), F.when(full, at)).alias("_full"),
-        *(first(c).alias(f"_{c}") for c in ("mcc", "mnc", "tac", "cid")),
         F.min_by(F.struct("mcc", "mnc"), F.when((F.col("kind") == "told") & F.col("mcc").isNotNull(), at)).alias("_told"),
-        F.max_by("rsrp", F.when(signal & S.valid_rsrp("rsrp"), at)).alias("rsrp"),
+        *cell_fields(),
     )
     hard = F.coalesce("_full.mcc", "_mcc")
     cells = cells.select(
@@ -229,30 +238,3 @@ def registry_of_bound(bound: DataFrame) -> DataFrame:
     flags = serving_flags(bound)
     no = F.lit(False)
     return owned.join(flags, KEY, "left").withColumns({"is_serving": F.coalesce("is_serving", no), "ever_serving": F.coalesce("ever_serving", no)})
-
-
-def fold_session(events):
-    """Ordered fold over one session's events (a pandas frame): the exact rules, for cross-checks."""
-    import pandas as pd
-
-    cells: dict[tuple, dict] = {}
-    serving: dict[str, tuple] = {}
-
-    def cell(key):
-        return cells.setdefault(key, {"seen": 0, "rsrp": None, "is_serving": False})
-
-    for e in events.sort_values("seq").itertuples():
-        key = (e.rat, e.freq, e.phy)
-        if e.kind == "neighbour":
-            continue
-        c = cell(key)
-        c["seen"] += 1
-        if e.kind == "signal" and -150 <= e.rsrp <= -40:
-            c["rsrp"] = e.rsrp
-        if e.kind == "serving":
-            if e.rat in serving:
-                cells[serving[e.rat]]["is_serving"] = False
-            serving[e.rat] = key
-            c["is_serving"] = True
-    rows = [(*k, c["seen"], c["rsrp"], c["is_serving"]) for k, c in cells.items()]
-    return pd.DataFrame(rows, columns=["rat", "freq", "phy", "seen", "rsrp", "is_serving"])

@@ -266,9 +266,11 @@ def _drain(spark, stream: DataFrame, mode: str) -> DataFrame:
 
 @register("k1_stream_registry", f"WITH {sql.OBS}, s AS (SELECT session_id, rat, arg_max((freq, phy), seq) AS at FROM obs WHERE kind = 'serving' GROUP BY ALL) SELECT o.session_id, o.rat, o.freq, o.phy, count(*) AS seen, arg_max(rsrp, seq) FILTER (WHERE kind = 'signal' AND rsrp BETWEEN -150 AND -40) AS rsrp, coalesce(any_value(s.at = (o.freq, o.phy)), FALSE) AS is_serving FROM obs o LEFT JOIN s USING (session_id, rat) WHERE kind <> 'neighbour' GROUP BY ALL")
 def _(spark, d):
-    out = _drain(spark, live.stream_registry(_stream(spark, d), delay="3650 days", ttl="36500 days"), "update")
-    last = out.groupBy(*R.KEY).agg(F.max_by(F.struct("seen", "rsrp", "is_serving"), "batch_id").alias("c"))
-    return last.select(*R.KEY, "c.*")
+    cells = _drain(spark, live.stream_cells(_stream(spark, d), period=None, delay="3650 days"), "update")
+    cells = cells.groupBy(*R.KEY).agg(F.max_by(F.struct("seen", "rsrp"), "batch_id").alias("c")).select(*R.KEY, "c.*")
+    serving = _drain(spark, live.stream_serving(_stream(spark, d), period=None, delay="3650 days"), "update")
+    serving = serving.groupBy("session_id", "rat").agg(F.max_by("at", "batch_id").alias("at"))
+    return live.with_serving(cells, serving)
 
 
 @register("k2_stream_identified", f"WITH {sql.OBS} SELECT DISTINCT session_id, cid AS eci FROM obs WHERE rat = 'LTE' AND kind = 'passport' AND cid IS NOT NULL AND phy <> 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,27 +18,52 @@ CSV_COLUMNS = [c.split()[0] for c in CSV_SCHEMA.split(", ")]
 _CSV_TYPES = dict(c.split() for c in CSV_SCHEMA.split(", "))
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """session_id, block, pos, line: the lines of text files, which Spark splits into blocks.
+
+    A block is one split of a file and is read by one task from its start, so
+    ``pos`` rises with the lines of a block, and blocks are ordered by where they start.
+    """
+    meta = F.col("_metadata")
+    return spark.read.text(path).select(
+        meta["file_path"].alias("session_id"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line")
+    )
+
+
+def _carried(blocks: DataFrame, **totals: Column) -> DataFrame:
+    """Per block, what the blocks before it in its file add up to; a row for each block only."""
+    before = W.partitionBy("session_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    return blocks.select("session_id", "block", *(e.over(before).alias(c) for c, e in totals.items()))
+
+
 def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A1: (packets, errors) of text journals; a file is one session.
 
     A header line names code, channel and cell; the next RAW line consumes it.
     ``#`` and blank lines are skipped; RAW lines without a header or with bad
-    hex are errors.  Files are read whole, so a file is the unit of work.
+    hex are errors.  Files are split like any text: windows run in one block of a
+    file, and a header or number that crosses into the next block is carried by
+    a row for each block.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("session_id"), "value")
-    lines = files.select("session_id", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    lines = lines.filter("trim(line) <> '' and not startswith(ltrim(line), '#')")
-    raw = F.regexp_extract("line", r"^\s*RAW:\s*(.*)$", 1)
-    lines = lines.withColumns({"is_raw": F.col("line").rlike(r"^\s*RAW:"), "is_head": F.col("line").rlike(r"0x[0-9A-Fa-f]{4}\b")})
-    order = W.partitionBy("session_id").orderBy("line_no")
-    lines = lines.filter("is_raw or is_head")
-    lines = lines.withColumns({"head": F.lag("line").over(order), "fresh": ~F.coalesce(F.lag("is_raw").over(order), F.lit(True)), "hex": F.regexp_replace(raw, r"\s", "")})
-    packets = lines.filter("is_raw").withColumn("payload", F.try_to_binary("hex", F.lit("hex")))
-    bad = ~F.col("fresh") | F.col("payload").isNull() | (F.col("hex") == "")
+    key = ["session_id", "block"]
+    order = W.partitionBy(*key).orderBy("pos")
+    noted = F.trim("line").eqNullSafe("") | F.startswith(F.ltrim("line"), F.lit("#"))
+    lines = _numbered_lines(spark, path).withColumns({"is_raw": ~noted & F.col("line").rlike(r"^\s*RAW:"), "is_head": ~noted & F.col("line").rlike(r"0x[0-9A-Fa-f]{4}\b")})
+    last = F.max_by(F.struct("line", "is_raw"), F.when(F.col("is_raw") | F.col("is_head"), F.col("pos")))
+    blocks = lines.groupBy(*key).agg(F.count("*").alias("n"), last.alias("last"))
+    carried = _carried(blocks, lines_before=F.sum("n"), carry=F.last("last", ignorenulls=True))
+    lines = lines.withColumn("line_no", F.row_number().over(order)).filter("is_raw or is_head")
+    lines = lines.withColumn("own", F.lag(F.struct("line", "is_raw")).over(order)).join(carried, key)
+    lines = lines.withColumns({"before": F.coalesce("own", "carry"), "line_no": F.col("line_no") + F.coalesce("lines_before", F.lit(0)) - 1})
+    packets = lines.filter("is_raw").withColumn("hex", F.regexp_replace(F.regexp_extract("line", r"^\s*RAW:\s*(.*)$", 1), r"\s", ""))
+    packets = packets.withColumns({"head": F.col("before.line"), "payload": F.try_to_binary("hex", F.lit("hex"))})
+    bad = F.coalesce("before.is_raw", F.lit(True)) | F.col("payload").isNull() | (F.col("hex") == "")
     number = lambda pattern: F.regexp_extract("head", pattern, 1).try_cast("int")
     wall = F.when(F.locate("]", F.col("head")) >= 21, F.regexp_extract("head", r"\[([0-9 :-]{19})", 1).try_cast("timestamp"))
-    good = packets.filter(~bad).select(
-        "session_id", F.row_number().over(order).cast("long").alias("seq"), F.conv(F.regexp_extract("head", r"0x([0-9A-Fa-f]{4})", 1), 16, 10).cast("int").alias("log_code"),
+    good = packets.filter(~bad)
+    counts = _carried(good.groupBy(*key).agg(F.count("*").alias("n")), packets_before=F.sum("n"))
+    good = good.withColumn("nth", F.row_number().over(order)).join(counts, key).select(
+        "session_id", (F.col("nth") + F.coalesce("packets_before", F.lit(0))).alias("seq"), F.conv(F.regexp_extract("head", r"0x([0-9A-Fa-f]{4})", 1), 16, 10).cast("int").alias("log_code"),
         wall.alias("wall_time"), "payload", number(r"(?i)e?arfcn=([0-9]+)").alias("hdr_earfcn"), number(r"(?i)pci=([0-9]+)").alias("hdr_pci"), number(r"pdu=([0-9]+)").alias("hdr_pdu"),
     )
     return good, packets.filter(bad).select("session_id", "line_no", "line")

@@ -1,74 +1,48 @@
 """Structured Streaming forms: registry state, first alerts, snapshots, counts and sessions.
 
-Late rows are dropped by watermark and state expires by event time; both are
-policy of this library.
+Late rows are dropped by watermark and state expires by event time where a
+period or window says so; both are policy of this library.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import predicates as P
+from ..operators import registry as R
+
+def _per(events: DataFrame, keys: list[str], period: str | None, delay: str):
+    marked = events.withWatermark("wall_time", delay)
+    return marked.groupBy(*keys, F.window("wall_time", period).alias("period")) if period else marked.groupBy(*keys)
+
+
+def stream_cells(events: DataFrame, period: str | None = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """K1: changed cells of each session as events arrive, by the rules of the batch registry.
+
+    State is one row per (session_id, rat, freq, phy), combined before the
+    shuffle; ``seq`` decides, so the order of arrival does not matter.  With a
+    ``period`` a cell has a row for each of them and those behind the watermark
+    are forgotten; without, all is kept as long as the query runs.
+    """
+    own = events.filter("kind <> 'neighbour'")
+    cells = _per(own, R.KEY, period, delay).agg(F.count("*").alias("seen"), *R.cell_fields())
+    identity = [F.coalesce(f"_full.{c}", f"_{c}").alias(c) for c in ("mcc", "mnc", "tac", "cid")]
+    return cells.select(*R.KEY, *(["period"] if period else []), *identity, "rsrp", "seen")
+
+
+def stream_serving(events: DataFrame, period: str | None = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """K1: the serving cell of each session and technology, as it changes; one small row of state for each."""
+    serving = events.filter("kind = 'serving'")
+    last = _per(serving, ["session_id", "rat"], period, delay).agg(F.max_by(F.struct("freq", "phy"), "seq").alias("at"))
+    return last.select("session_id", "rat", *(["period"] if period else []), "at")
 
 
-_ROW = "session_id long, rat string, freq int, phy int, mcc int, mnc int, tac int, cid long, rsrp double, seen long, is_serving boolean"
-_STATE = "cells string"
-
-
-def fold(cells: dict, events: pd.DataFrame) -> set:
-    """Apply ordered events to a session's cells; returns the changed keys."""
-    changed = set()
-    for e in events.sort_values("seq").itertuples():
-        if e.kind == "neighbour":
-            continue
-        key = f"{e.rat}|{e.freq}|{e.phy}"
-        c = cells.setdefault(key, {"mcc": None, "mnc": None, "tac": None, "cid": None, "rsrp": None, "seen": 0, "is_serving": False})
-        c["seen"] += 1
-        if e.kind == "passport":
-            full = lambda x: bool(x["cid"] and x["tac"] and x["mcc"])
-            new = {k: None if pd.isna(v) or v == 0 else int(v) for k, v in (("mcc", e.mcc), ("mnc", e.mnc), ("tac", e.tac), ("cid", e.cid))}
-            if not full(c) and full(new):
-                c.update(new)
-            elif not full(c):
-                c.update({k: v for k, v in new.items() if c[k] is None})
-        elif e.kind == "signal" and -150 <= e.rsrp <= -40:
-            c["rsrp"] = float(e.rsrp)
-        elif e.kind == "serving":
-            for other, o in cells.items():
-                if o["is_serving"] and other.startswith(e.rat + "|") and other != key:
-                    o["is_serving"] = False
-                    changed.add(other)
-            c["is_serving"] = True
-        changed.add(key)
-    return changed
-
-
-def stream_registry(events: DataFrame, ttl: str = "2 hours", delay: str = "10 minutes") -> DataFrame:
-    """K1: changed cells of each session as events arrive; a session without events for ``ttl`` is forgotten."""
-    import json
-
-    hours = pd.Timedelta(ttl)
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        cells = json.loads(state.get[0]) if state.exists else {}
-        changed: set = set()
-        for frame in frames:
-            changed |= fold(cells, frame)
-        state.update((json.dumps(cells),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + int(hours.total_seconds() * 1000))
-        rows = [(key[0], *(lambda r: (r[0], int(r[1]), int(r[2])))(k.split("|")), *(cells[k][c] for c in ("mcc", "mnc", "tac", "cid", "rsrp", "seen", "is_serving"))) for k in sorted(changed)]
-        names = [c.split()[0] for c in _ROW.split(", ")]
-        yield pd.DataFrame(rows, columns=names).astype({"mcc": "Int32", "mnc": "Int32", "tac": "Int32", "cid": "Int64", "rsrp": "float64"})
-
-    return events.withWatermark("wall_time", delay).groupBy("session_id").applyInPandasWithState(update, _ROW, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+def with_serving(cells: DataFrame, serving: DataFrame) -> DataFrame:
+    """K1: the latest rows of both streams as a registry: adds is_serving."""
+    on = [c for c in ("session_id", "rat", "period") if c in cells.columns and c in serving.columns]
+    here = F.coalesce((F.col("at.freq") == F.col("freq")) & (F.col("at.phy") == F.col("phy")), F.lit(False))
+    return cells.join(serving, on, "left").withColumn("is_serving", here).drop("at")
 
 
 def stream_identified(cells: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from aircensus.operators import decode, modem_text, ranking
 from aircensus.operators import registry as R
 from aircensus.operators.packets import le
+from aircensus.sources import files
+from aircensus.streaming import live
 
 SAMPLE = """
 +CMGRMI: Main_Info,4,1,1,0,2,512,0,4,0
@@ -108,11 +110,36 @@ def test_registry_rules(spark):
     assert (serving[100, 1].is_serving, serving[100, 1].ever_serving) == (False, False) and (serving[100, 2].is_serving, serving[100, 2].ever_serving) == (True, True)
 
 
+def fold_session(events):
+    """Ordered fold over one session's events (a pandas frame): the exact rules, for cross-checks."""
+    cells: dict[tuple, dict] = {}
+    serving: dict[str, tuple] = {}
+
+    def cell(key):
+        return cells.setdefault(key, {"seen": 0, "rsrp": None, "is_serving": False})
+
+    for e in events.sort_values("seq").itertuples():
+        key = (e.rat, e.freq, e.phy)
+        if e.kind == "neighbour":
+            continue
+        c = cell(key)
+        c["seen"] += 1
+        if e.kind == "signal" and -150 <= e.rsrp <= -40:
+            c["rsrp"] = e.rsrp
+        if e.kind == "serving":
+            if e.rat in serving:
+                cells[serving[e.rat]]["is_serving"] = False
+            serving[e.rat] = key
+            c["is_serving"] = True
+    rows = [(*k, c["seen"], c["rsrp"], c["is_serving"]) for k, c in cells.items()]
+    return pd.DataFrame(rows, columns=["rat", "freq", "phy", "seen", "rsrp", "is_serving"])
+
+
 def test_registry_equals_the_ordered_fold_whatever_the_partitioning(spark):
     rng = random.Random(1)
     rows = [dict(kind=rng.choice(["radio", "signal", "serving"]), freq=rng.choice([375, 1596]), phy=rng.randrange(1, 6), rsrp=rng.randrange(-170, -30) / 1.0) for _ in range(200)]
     df = events(spark, *rows)
-    want = R.fold_session(pd.DataFrame([r.asDict() for r in df.collect()]))
+    want = fold_session(pd.DataFrame([r.asDict() for r in df.collect()]))
     want = {(r.freq, r.phy): (r.seen, r.rsrp, r.is_serving) for r in want.itertuples()}
     for parts in (1, 5):
         got = {k: (r.seen, r.rsrp, r.is_serving) for k, r in cells(R.build_registry(df.repartition(parts).orderBy(F.rand(3)))).items()}
@@ -127,3 +154,50 @@ def test_packing_vote_locks(spark):
     words = spark.createDataFrame([(0, i, w) for i, w in enumerate([0x0FD2, 0x03D2, 0x0FEB, 0x2400])], "session_id long, seq long, word int")
     got = {r.seq: r for r in ranking.vote_packing(words).collect()}
     assert got[1].locked is None and got[2].locked == "LSB" and [got[i].pci for i in range(3)] == [466, 466, 491]
+
+
+def test_streamed_cells_follow_the_rules_of_the_batch(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [dict(kind=rng.choice(["radio", "signal", "serving"]), freq=rng.choice([375, 1596]), phy=rng.randrange(1, 6), rsrp=rng.randrange(-170, -30) / 1.0) for _ in range(120)]
+    df = events(spark, *rows)
+    wanted = {k: (r.seen, r.rsrp, r.is_serving) for k, r in cells(R.build_registry(df)).items()}
+    timed = df.withColumn("wall_time", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
+    timed.orderBy(F.rand(2)).repartition(6).write.parquet(f"{tmp_path}/in")
+
+    def drain(stream, name):
+        stream.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    source = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+    told = drain(live.stream_cells(source), "k1_cells").groupBy(*R.KEY, "period").agg(F.max_by(F.struct("rsrp", "seen"), "seen").alias("c")).select(*R.KEY, "period", "c.*")
+    assert told.count() == len(wanted)
+    emitted = {(r.session_id, r.rat, r["at"]) for r in drain(live.stream_serving(source), "k1_serving").collect()}
+    assert {(r.session_id, r.rat, r["at"]) for r in live.stream_serving(timed, None).collect()} <= emitted
+    got = {(r.freq, r.phy): (r.seen, r.rsrp, r.is_serving) for r in live.with_serving(told.drop("period"), live.stream_serving(timed, None)).collect()}
+    assert got == wanted
+
+
+def test_journal_pairs_lines_across_blocks(spark, tmp_path):
+    text = "RAW: 01\n" + "".join(f"[2026-01-02 03:04:05] rx 0xB0C{i % 9} EARFCN={i} pci={i % 504} pdu={i}\n# note {i}\n\n  RAW: {i % 256:02X} AB\n" + ("RAW: 00\n" if i % 5 == 0 else "") + ("0xB0C1 x\nRAW: zz\n" if i % 7 == 0 else "") for i in range(300))
+    (tmp_path / "journal.txt").write_text(text)
+    want, errors, head = [], [], None
+    for n, line in enumerate(text.split("\n")):
+        if line.strip().startswith("RAW:"):
+            body = line.split(":", 1)[1].replace(" ", "")
+            if head and body != "zz":
+                want.append((len(want) + 1, int(head.split("pdu=")[1]), body))
+            else:
+                errors.append((n, line))
+            head = None
+        elif "0x" in line:
+            head = line
+    key, small = "spark.sql.files.maxPartitionBytes", 700
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, small)
+        packets, bad = files.read_journal(spark, str(tmp_path / "journal.txt"))
+        assert spark.read.text(str(tmp_path / "journal.txt")).rdd.getNumPartitions() > 5
+        assert sorted((r.seq, r.hdr_pdu, r.payload.hex().upper()) for r in packets.collect()) == want
+        assert sorted((r.line_no, r.line) for r in bad.collect()) == errors
+    finally:
+        spark.conf.set(key, old)
