@@ -71,15 +71,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id and the text, under those names, whatever else the table has.
-
-    Python tasks get Arrow batches of at most ``BATCH_BYTES``: the default bound
-    of 10,000 rows says nothing about texts.
-    """
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+def small_batches(spark: SparkSession) -> None:
+    """Python tasks get Arrow batches of at most ``BATCH_BYTES``: the default bound of 10,000 rows says nothing about wide rows."""
+    conf, key = spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(conf.get(key, "67108864b").rstrip("b")) > BATCH_BYTES:
         conf.set(key, f"{BATCH_BYTES}b")
+
+
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Only the id and the text, under those names, whatever else the table has."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
