@@ -17,10 +17,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import packets_gsm, packets_lte, packets_umts_nr  # noqa: F401  (they register their decoders)
+from . import registry as R
 from .packets import ABSENT, DECODERS, LEVELS, NUMBERS, Decoder, byte_matrix, register_decoder  # noqa: F401  (register_decoder is for users)
 
-_SCHEMA = pa.schema([("session_id", pa.int64()), ("seq", pa.int64()), ("sub_seq", pa.int32()), ("log_code", pa.int32()), ("rat", pa.string()), ("kind", pa.string()), *((f, pa.int64()) for f in NUMBERS), *((f, pa.float64()) for f in LEVELS)])
-DDL = "session_id long, seq long, sub_seq int, log_code int, rat string, kind string, " + ", ".join([f"{f} long" for f in NUMBERS] + [f"{f} double" for f in LEVELS])
+_SCHEMA = pa.schema([("session_id", pa.int64()), ("seq", pa.int64()), ("sub_seq", pa.int32()), ("log_code", pa.int32()), ("wall_time", pa.timestamp("us", tz="UTC")), ("rat", pa.string()), ("kind", pa.string()), *((f, pa.int64()) for f in NUMBERS), *((f, pa.float64()) for f in LEVELS)])
+DDL = "session_id long, seq long, sub_seq int, log_code int, wall_time timestamp, rat string, kind string, " + ", ".join([f"{f} long" for f in NUMBERS] + [f"{f} double" for f in LEVELS])
 
 
 def _decode_batch(batch: pa.RecordBatch, decoders: dict[int, tuple[str, Decoder]]) -> Iterator[pa.RecordBatch]:
@@ -36,7 +37,8 @@ def _decode_batch(batch: pa.RecordBatch, decoders: dict[int, tuple[str, Decoder]
             if len(at):
                 size = len(at)
                 columns = [sessions[rows[at]], seqs[rows[at]], np.full(size, sub), np.full(size, code)]
-                arrays = [pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)] + [pa.array([own[0] if own else rat] * size), pa.array([kind] * size)]
+                times = batch["wall_time"].take(pa.array(rows[at])).cast(_SCHEMA.field("wall_time").type)
+                arrays = [*(pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)), times] + [pa.array([own[0] if own else rat] * size), pa.array([kind] * size)]
                 arrays += [pa.array(values[f][at], pa.int64(), mask=values[f][at] == ABSENT) if f in values else pa.nulls(size, pa.int64()) for f in NUMBERS]
                 arrays += [pa.array(values[f][at], pa.float64(), from_pandas=True) if f in values else pa.nulls(size, pa.float64()) for f in LEVELS]
                 yield pa.RecordBatch.from_arrays(arrays, schema=_SCHEMA)
@@ -45,7 +47,7 @@ def _decode_batch(batch: pa.RecordBatch, decoders: dict[int, tuple[str, Decoder]
 def decode_packets(packets: DataFrame) -> DataFrame:
     """Events of all packets whose code has a decoder, those a program registered included; narrow, no shuffle.
 
-    Packets of other codes, short ones, unknown versions and null payloads give no event.
+    Packets of other codes, short ones, unknown versions and null payloads give no event.  Times are the packets', if they have them.
     """
     decoders = dict(DECODERS)  # travels with the job: workers see what was registered here
 
@@ -53,7 +55,8 @@ def decode_packets(packets: DataFrame) -> DataFrame:
         for batch in it:
             yield from _decode_batch(batch, decoders)
 
-    return packets.select(F.col("session_id").cast("long").alias("session_id"), F.col("seq").cast("long").alias("seq"), "log_code", "payload").filter(F.col("log_code").isin(*decoders)).mapInArrow(run, DDL)
+    time = F.col("wall_time") if "wall_time" in packets.columns else F.lit(None)
+    return packets.select(F.col("session_id").cast("long").alias("session_id"), F.col("seq").cast("long").alias("seq"), "log_code", time.cast("timestamp").alias("wall_time"), "payload").filter(F.col("log_code").isin(*decoders)).mapInArrow(run, DDL)
 
 
 # fixed values: channel by pdu, for families of versions, and for all versions that are in none
@@ -148,6 +151,30 @@ def bind_keys(events: DataFrame) -> DataFrame:
     return events.withColumn("_k", sticky).withColumns({"freq": F.coalesce("freq", "_k.freq"), "phy": F.coalesce("phy", "_k.phy")}).drop("_k")
 
 
+def registry_events(decoded: DataFrame) -> DataFrame:
+    """Decoded packets as events of the registry.
+
+    A cell that a packet measures or lists becomes a neighbour report without a
+    teller, which ``registry.bind_serving`` finds; a channel without a code is one
+    without nb_phy.  The PLMN of a registration is a radio parameter.  Hints
+    are no events; see ``surround_hints``.
+    """
+    told, foreign, registered = F.col("kind").isin("meas_nb", "gsm_nb", "wcdma_nb"), F.col("kind") == "inter_carriers", F.col("kind") == "registration"
+    lists = told | foreign
+    own = lambda c: F.when(~registered, F.col(c))
+    whole = {c: F.col(c).cast("int") for c in NUMBERS if c != "cid"}
+    out = decoded.filter("kind <> 'hint'").withColumns(whole)
+    keys = {f"nb_{c}": F.when(lists, F.col(c)) for c in ("freq", "phy")} | {c: F.when(~lists, F.col(c)) for c in ("freq", "phy")}
+    plmn = {f"emm_{c}": F.when(registered, F.col(c)) for c in ("mcc", "mnc")} | {c: own(c) for c in ("mcc", "mnc")}
+    source = F.when(told, "meas").when(foreign, "inter")
+    return out.withColumns(keys | plmn | {"nb_source": source, "kind": F.when(lists, "neighbour").otherwise(F.col("kind"))})
+
+
+def packets_to_registry(packets: DataFrame) -> DataFrame:
+    """The registry of the cells that packets tell of."""
+    return R.build_registry(registry_events(decode_packets(packets)), surround_hints(packets))
+
+
 def reassemble_rrc(segments: DataFrame) -> DataFrame:
     """Bodies sent in segments 1..7 per (session, earfcn, pci): 7 closes a message, which needs segment 1; of repeated ids the last counts."""
     order = W.partitionBy("session_id", "earfcn", "pci").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)

@@ -19,9 +19,20 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        alone = re.match(r"local(\[|$)", spark.sparkContext.master)
-        folder = tempfile.mkdtemp(prefix="spark-shared-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
+        alone, warehouse = re.match(r"local(\[|$)", spark.sparkContext.master), spark.conf.get("spark.sql.warehouse.dir")
+        if not alone and warehouse.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-shared-") if alone else f"{warehouse}/_intermediate"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def is_there(df: DataFrame) -> bool:
+    """Is the table that ``durable`` wrote still there?"""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)

@@ -12,7 +12,7 @@ from ..functions import predicates as P
 from ..functions import scalars as S
 from ..operators import ranking, rollups, towers
 from ..operators import registry as R
-from ..operators.durable import durable
+from ..operators.durable import durable, is_there
 from . import sql
 from .feed import observations
 
@@ -40,8 +40,24 @@ def on_registry(name: str, body: str):
     return register(name, f"WITH {sql.REGISTRY}\n{body}")
 
 
+#: Tables that queries of one application share: (application, path, name) -> table.
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries need, made once for an application and a path."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SHARED or not is_there(_SHARED[key]):
+        _SHARED[key] = durable(make(), name)
+    return _SHARED[key]
+
+
+def bound_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared(spark, sf_dir, "bound", lambda: R.bind_events(observations(spark, sf_dir)))
+
+
 def registry_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return durable(R.build_registry(observations(spark, sf_dir)), "registry")
+    return shared(spark, sf_dir, "registry", lambda: R.registry_of_bound(bound_of(spark, sf_dir)))
 
 
 def _told(bound: DataFrame) -> DataFrame:
@@ -52,8 +68,7 @@ def _told(bound: DataFrame) -> DataFrame:
 
 def snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(registry, told) of one binding of the events."""
-    bound = R.bind_events(observations(spark, sf_dir))
-    return durable(R.registry_of_bound(bound), "registry"), durable(_told(bound), "told")
+    return registry_of(spark, sf_dir), shared(spark, sf_dir, "told", lambda: _told(bound_of(spark, sf_dir)))
 
 
 # ---- B: scalars --------------------------------------------------------------------------------
@@ -240,29 +255,49 @@ def _(spark, d):
     return R.asof_serving(observations(spark, d)).select("session_id", "seq", "serving_freq", "serving_phy")
 
 
-@register("r2_seen_stats", f"WITH {sql.OBS} SELECT session_id, rat, freq, phy, count(*) AS seen, min(seq) AS first_seq, max(seq) AS last_seq, min(wall_time) AS first_seen, max(wall_time) AS last_seen FROM obs WHERE kind <> 'neighbour' GROUP BY ALL")
+@register(
+    "r2_seen_stats",
+    f"WITH {sql.OBS} SELECT session_id, rat, freq, phy, count(*) AS seen, min(seq) AS first_seq, max(seq) AS last_seq, arg_min(wall_time, seq) AS first_seen, arg_max(wall_time, seq) AS last_seen"
+    " FROM obs WHERE kind <> 'neighbour' GROUP BY ALL",
+)
 def _(spark, d):
     return R.seen_stats(observations(spark, d))
 
 
-@register("r3_merge_passport", f"WITH {sql.OBS} SELECT session_id, rat, freq, phy, coalesce(arg_min(mcc, seq) FILTER (WHERE cid IS NOT NULL), arg_min(mcc, seq)) AS mcc, coalesce(arg_min(mnc, seq) FILTER (WHERE cid IS NOT NULL), arg_min(mnc, seq)) AS mnc, arg_min(tac, seq) FILTER (WHERE cid IS NOT NULL) AS tac, arg_min(cid, seq) FILTER (WHERE cid IS NOT NULL) AS cid FROM obs WHERE kind = 'passport' GROUP BY ALL")
+_PASSPORTS = f"""WITH {sql.OBS},
+p AS (SELECT *, cid IS NOT NULL AND tac IS NOT NULL AS whole, bool_or(cid IS NOT NULL) OVER w AND bool_or(tac IS NOT NULL) OVER w AND count(*) OVER w > 0 AS was FROM obs WHERE kind = 'passport'
+  WINDOW w AS (PARTITION BY session_id, rat, freq, phy ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT session_id, rat, freq, phy, arg_min({{'mnc': mnc, 'tac': tac, 'cid': cid}}, seq) FILTER (WHERE whole AND NOT coalesce(was, FALSE)) AS won, arg_min(mnc, seq) AS mnc,
+    arg_min(tac, seq) FILTER (WHERE tac IS NOT NULL) AS tac, arg_min(cid, seq) FILTER (WHERE cid IS NOT NULL) AS cid,
+    arg_max(mnc_digits, seq) FILTER (WHERE mnc_digits IN (2, 3)) AS mnc_digits, arg_max(rac, seq) FILTER (WHERE rac <> 0) AS rac FROM p GROUP BY ALL)
+SELECT session_id, rat, freq, phy, 250 AS mcc, coalesce(won.mnc, mnc) AS mnc, coalesce(won.tac, tac) AS tac, coalesce(won.cid, cid) AS cid, mnc_digits, rac FROM m"""
+
+
+@register("r3_merge_passport", _PASSPORTS)
 def _(spark, d):
     return R.merge_passport(observations(spark, d))
 
 
-@register("r4_latest_signal", f"WITH {sql.OBS} SELECT session_id, rat, freq, phy, arg_max(rsrp, seq) AS rsrp FROM obs WHERE kind = 'signal' AND rsrp BETWEEN -150 AND -40 GROUP BY ALL")
+@register(
+    "r4_latest_signal",
+    f"WITH {sql.OBS}, x AS (SELECT *, seq AS tick FROM obs WHERE kind = 'signal') SELECT session_id, rat, freq, phy, {sql.LAST_LEVELS % {'among': 'TRUE'}} FROM x GROUP BY session_id, rat, freq, phy",
+)
 def _(spark, d):
     return R.latest_signal(observations(spark, d))
 
 
-@register("r5_latest_radio", f"WITH {sql.OBS} SELECT session_id, rat, freq, phy, max(seq) AS radio_seq, arg_max(i, seq) AS carrier_index, arg_max(j, seq) FILTER (WHERE j <> 0) AS code_index FROM obs WHERE kind = 'radio' GROUP BY ALL")
+@register(
+    "r5_latest_radio",
+    f"WITH {sql.OBS}, x AS (SELECT *, seq AS tick FROM obs WHERE kind = 'radio')"
+    f" SELECT session_id, rat, freq, phy, max(seq) AS radio_seq, {sql.LAST_PARAMETERS % {'among': 'TRUE'}} FROM x GROUP BY session_id, rat, freq, phy",
+)
 def _(spark, d):
     return R.latest_radio(observations(spark, d))
 
 
 @register("r6_promote_weak", f"WITH {sql.PROMOTED} SELECT session_id, rat, seq, freq, phy, kind, cid, tac FROM promoted")
 def _(spark, d):
-    return R.promote_weak(observations(spark, d)).select("session_id", "rat", "seq", "freq", "phy", "kind", "cid", "tac")
+    return R.promote_weak(R.expand_neighbours(observations(spark, d))).select("session_id", "rat", "seq", "freq", "phy", "kind", "cid", "tac")
 
 
 @register("r7_bind_gsm", f"WITH {sql.OBS}, {sql.GSM_BOUND} SELECT session_id, seq, freq, phy, cid FROM bound")
@@ -284,23 +319,38 @@ def _(spark, d):
 
 @on_registry("r10_serving_flags", "SELECT session_id, rat, freq, phy, is_serving, ever_serving FROM flags")
 def _(spark, d):
-    return R.serving_flags(R.promote_weak(R.bind_gsm(observations(spark, d))))
+    return R.serving_flags(bound_of(spark, d))
+
+
+@on_registry("r11_neighbour_rows", "SELECT session_id, seq, nb_freq AS freq, nb_phy AS phy, CASE WHEN nb_freq = freq THEN mcc END AS nb_mcc, phy AS from_phy FROM obs WHERE kind = 'neighbour' AND nb_phy BETWEEN 1 AND 503")
+def _(spark, d):
+    return R.neighbour_rows(observations(spark, d)).select("session_id", "seq", "freq", "phy", "nb_mcc", "from_phy")
 
 
-@on_registry("r11_neighbour_rows", "SELECT session_id, seq, nb_freq AS freq, nb_phy AS phy, CASE WHEN nb_freq = freq THEN mcc END AS nb_mcc, phy AS from_phy FROM promoted WHERE kind = 'neighbour' AND nb_phy BETWEEN 1 AND 503")
+@on_registry("r12_neighbour_lists", "SELECT session_id, freq, phy, nb_freq, string_agg(DISTINCT nb_phy::VARCHAR, ',' ORDER BY nb_phy::VARCHAR) AS pcis, count(*) AS reports, arg_max(nb_thresh_high, seq) FILTER (WHERE nb_thresh_high <> 0) AS nb_thresh_high"
+    " FROM obs WHERE kind = 'neighbour' AND rat = 'LTE' AND phy <> 0 AND nb_phy BETWEEN 1 AND 503 GROUP BY session_id, freq, phy, nb_freq")
 def _(spark, d):
-    return R.neighbour_rows(R.promote_weak(observations(spark, d))).select("session_id", "seq", "freq", "phy", "nb_mcc", "from_phy")
+    lists = R.merge_neighbour_lists(observations(spark, d))
+    return lists.select("session_id", "freq", "phy", "nb_freq", F.array_join(F.array_sort(F.transform("pcis", lambda x: x.cast("string"))), ",").alias("pcis"), "reports", "nb_thresh_high")
 
 
-@on_registry("r12_neighbour_lists", "SELECT session_id, freq, phy, nb_freq, string_agg(DISTINCT nb_phy::VARCHAR, ',' ORDER BY nb_phy::VARCHAR) AS pcis, sum(reports)::BIGINT AS reports FROM (SELECT session_id, freq, phy, nb_freq, nb_phy, count(*) AS reports FROM promoted WHERE kind = 'neighbour' AND rat = 'LTE' AND phy <> 0 AND nb_phy BETWEEN 1 AND 503 GROUP BY ALL) GROUP BY ALL")
+@on_registry(
+    "r12_measured_neighbours",
+    "SELECT session_id, freq, phy, nb_phy, count(*) AS reports, arg_max(rsrp, seq) AS rsrp, arg_max(rsrq, seq) AS rsrq, arg_max(rssi, seq) FILTER (WHERE rssi IS NOT NULL) AS rssi,"
+    " arg_max(nb_offset, seq) FILTER (WHERE nb_offset <> 0) AS nb_offset FROM obs WHERE kind = 'neighbour' AND nb_freq = freq AND nb_phy <= 503 GROUP BY session_id, freq, phy, nb_phy",
+)
 def _(spark, d):
-    lists = R.merge_neighbour_lists(R.promote_weak(observations(spark, d)))
-    return lists.select("session_id", "freq", "phy", "nb_freq", F.array_join(F.array_sort(F.transform("pcis", lambda x: x.cast("string"))), ",").alias("pcis"), "reports")
+    return R.merge_measured(observations(spark, d)).select("session_id", "freq", "phy", "nb_phy", "reports", "rsrp", "rsrq", "rssi", "nb_offset")
+
+
+_REGISTRY = (
+    "mcc mnc tac cid mnc_digits rac barred rsrp rsrq rssi snr rscp rxlev ul_freq bandwidth ta rrc_state emm_state emm_substate barring_emergency seen first_seq last_seq plmn_source is_serving ever_serving"
+).split()
 
 
-@on_registry("r13_registry", "SELECT session_id, rat, freq, phy, mcc, mnc, tac, cid, rsrp, seen, first_seq, last_seq, plmn_source, is_serving, ever_serving FROM reg")
+@on_registry("r13_registry", f"SELECT session_id, rat, freq, phy, {', '.join(_REGISTRY)} FROM reg")
 def _(spark, d):
-    return registry_of(spark, d).select(*R.KEY, "mcc", "mnc", "tac", "cid", "rsrp", "seen", "first_seq", "last_seq", "plmn_source", "is_serving", "ever_serving")
+    return registry_of(spark, d).select(*R.KEY, *_REGISTRY)
 
 
 # ---- F: predicates -----------------------------------------------------------------------------
@@ -572,7 +622,7 @@ def _(spark, d):
 
 @register("g15_bare_carriers", f"WITH {sql.REGISTRY}{_ADVERTISED} SELECT t.session_id, t.nb_freq AS freq, t.nb_freq < 36000 AND t.nb_freq <> 32768 AS fdd FROM told0 t JOIN served s ON s.session_id = t.session_id AND s.freq = t.freq AND s.phy = t.phy WHERE t.nb_freq <> t.freq AND NOT EXISTS (FROM reg r WHERE r.rat = 'LTE' AND r.phy <> 0 AND r.session_id = t.session_id AND r.freq = t.nb_freq) GROUP BY ALL HAVING max(t.nb_phy) <= 0")
 def _(spark, d):
-    told = R.promote_weak(observations(spark, d)).filter("kind = 'neighbour' and rat = 'LTE' and phy <> 0 and nb_phy <= 503")
+    told = observations(spark, d).filter("kind = 'neighbour' and rat = 'LTE' and phy <> 0 and nb_phy <= 503")
     return ranking.bare_carriers(registry_of(spark, d), told)
 
 

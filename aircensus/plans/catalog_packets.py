@@ -232,3 +232,49 @@ def _(spark, d):
     near = ("00000100", "0101", le_hex(F.lit(32), 2), freq, "01000000", le_hex(F.col("phy") + 2 * 1024, 4), *beam(F.col("seq") % 1500, 160), *beam(F.col("seq") * 7 % 1500, 170))
     packets = _packets(spark, d, "NR", "j % 3", (0xB823, _layout(*cell)), (0xB992, _layout(*serving)), (0xB97F, _layout(*near)))
     return decode.decode_packets(packets).select("session_id", "seq", "kind", "freq", "phy", "ul_freq", "band", "cid", "tac", "rsrp", "rsrq", "snr")
+
+
+# ---- C11, R13: from packets to the registry --------------------------------------------------------
+
+# What the packets of LTE cells mean, in the columns of the observations; seq * 8 + place orders the events of a packet.
+_TOLD = sql.OBS.replace("obs AS (", "obs0 AS (") + f""",
+l AS (SELECT *, {{'freq': freq, 'phy': phy}} AS key, kind = 'signal' AND rsrp BETWEEN -150 AND -40 AS good FROM obs0 WHERE rat = 'LTE' AND phy BETWEEN 1 AND 485),
+l1 AS (SELECT *, last_value(CASE WHEN good OR kind = 'serving' THEN key END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM l),
+l2 AS (SELECT l1.*, (SELECT arg_min(p.mnc, p.seq) FROM l p WHERE p.kind = 'passport' AND p.cid IS NOT NULL AND p.tac IS NOT NULL AND p.session_id = l1.session_id AND p.key = l1.s AND p.seq < l1.seq) AS s_mnc FROM l1),
+e AS (
+  SELECT session_id, seq * 8 AS seq, wall_time, 'radio' AS kind, freq, phy, NULL::INT AS mcc, NULL::INT AS mnc, NULL::INT AS tac, NULL::BIGINT AS cid,
+    NULL::DOUBLE AS rsrp, NULL::DOUBLE AS rsrq, NULL::DOUBLE AS rssi, ul_freq, NULL::INT AS ta, NULL::INT AS nb_freq, NULL::INT AS nb_phy FROM l WHERE kind = 'passport'
+  UNION ALL SELECT session_id, seq * 8 + 1, wall_time, 'passport', freq, phy, mcc, mnc, tac, cid, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM l WHERE kind = 'passport' AND cid IS NOT NULL AND tac IS NOT NULL
+  UNION ALL SELECT session_id, seq * 8 + place, wall_time, k, freq, phy, NULL, NULL, NULL, NULL, CASE k WHEN 'signal' THEN rsrp END, CASE k WHEN 'signal' THEN (seq % 480) / 16 - 30 END,
+    CASE k WHEN 'signal' THEN (seq % 1000) / 16 - 110 END, NULL, NULL, NULL, NULL FROM (SELECT *, unnest(['radio', 'signal', 'serving']) AS k, unnest([0, 1, 2]) AS place FROM l WHERE good)
+  UNION ALL SELECT session_id, seq * 8 + place, wall_time, k, freq, phy, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+    FROM (SELECT *, unnest(['radio', 'serving']) AS k, unnest([0, 1]) AS place FROM l WHERE kind = 'serving')
+  UNION ALL SELECT session_id, seq * 8, wall_time, 'radio', s.freq, s.phy, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, seq % 1283, NULL, NULL FROM l1 WHERE kind = 'radio' AND s IS NOT NULL
+  UNION ALL SELECT session_id, seq * 8, wall_time, 'neighbour', s.freq, s.phy, CASE WHEN s_mnc IS NOT NULL THEN 250 END, s_mnc, NULL, NULL, (400 + seq % 2000) / 16 - 180, -20, NULL, NULL, NULL, freq, phy + 18
+    FROM l2 WHERE kind = 'neighbour' AND (400 + seq % 2000) / 16 - 180 BETWEEN -150 AND -40),
+obs AS (SELECT *, 'LTE' AS rat, 'meas' AS nb_source, NULL::DOUBLE AS snr, NULL::DOUBLE AS rscp, NULL::DOUBLE AS rxlev, NULL::INT AS bandwidth, NULL::INT AS rrc_state, NULL::INT AS emm_state,
+    NULL::INT AS emm_substate, NULL::BOOLEAN AS barring_emergency, NULL::INT AS mnc_digits, NULL::INT AS rac, NULL::BOOLEAN AS barred, NULL::INT AS nb_thresh_high, NULL::INT AS nb_offset FROM e)"""
+
+
+@register(
+    "c11_packets_to_registry",
+    f"WITH {sql.REGISTRY.replace(sql.OBS, _TOLD).rstrip().rstrip(',')}"
+    " SELECT session_id, rat, freq, phy, mcc, mnc, tac, cid, rsrp, rsrq, rssi, ul_freq, ta, seen, first_seq // 8 AS first_seq, last_seq // 8 AS last_seq, plmn_source, is_serving, ever_serving FROM reg",
+)
+def _(spark, d):
+    """Identity (B0C2), measurement (B17F), serving (B197), timing (B114) and neighbour (B180) packets, of which the last two bear no key of the cell that told them."""
+    area, cid = F.col("tac").isNotNull() & F.col("cid").isNotNull(), F.coalesce("cid", F.lit(0))
+    level, raw = 400 + F.col("seq") % 2000, ((F.col("rsrp") + 180) * 16).cast("long")
+    pci, freq = le_hex("phy", 2), le_hex("freq", 4)
+    kinds = F.array_position(F.array(*map(F.lit, ("passport", "signal", "serving", "radio", "neighbour"))), F.col("kind"))
+    obs = observations(spark, d).filter("rat = 'LTE' and phy between 1 and 485").withColumn("k", kinds - 1)
+    code, payload = _choose(
+        "k", (0xB0C2, _layout("03", pci, freq, le_hex("ul_freq", 4), "0000", le_hex(F.when(area, cid).otherwise(0), 4), le_hex(F.when(area, F.col("tac")).otherwise(0), 2), _zeros(4), le_hex("mcc", 2), "02", le_hex("mnc", 2), "00")),
+        (0xB17F, _layout("05000000", freq, pci, "0000", le_hex(raw, 4), _zeros(4), le_hex((F.col("seq") % 480) * (1 << 22), 4), le_hex((F.col("seq") % 1000) * (1 << 11), 4))),
+        (0xB197, _layout("0200", "0000", freq, pci, "0000")), (0xB114, _layout("A100", le_hex((F.col("seq") % 1283) * 2, 2), _zeros(12))),
+        (0xB180, _layout("05000000", freq, le_hex(F.lit(1 << 6), 4), le_hex((F.col("phy") + 18).cast("long") * (1 << 23) + level, 4), _zeros(4), le_hex(F.lit(160 << 12), 4), _zeros(20))),
+    )
+    cells = decode.packets_to_registry(obs.select("session_id", "seq", "wall_time", code, payload))
+    return cells.select(
+        "session_id", "rat", "freq", "phy", "mcc", "mnc", "tac", "cid", "rsrp", "rsrq", "rssi", "ul_freq", "ta", "seen", "first_seq", "last_seq", "plmn_source", "is_serving", "ever_serving"
+    )

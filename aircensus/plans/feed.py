@@ -19,10 +19,28 @@ _COLUMNS = {
     " WHEN event_id % 10 = 7 THEN 10562 + i * 20 WHEN event_id % 10 = 8 THEN 10 + i * 70 ELSE 620000 + i * 100 END AS INT)",
     "phy": "CAST(CASE WHEN event_id % 10 = 7 THEN j * 8 WHEN event_id % 10 = 8 THEN j ELSE j * 18 END AS INT)",
     "mcc": "CAST(250 AS INT)",
-    "mnc": "CAST(CASE i % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 20 ELSE 99 END AS INT)",
+    # A cell's network and area now and then differ from what it said before, and parts of an identity may lack.
+    "mnc": "CAST(CASE (i + CAST(event_id % 13 = 0 AS INT)) % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 20 ELSE 99 END AS INT)",
     "cid": "CAST(CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 10 <= 6 THEN (200000 + j % 10) * 256 + i ELSE 1000 + i * 31 + j END AS BIGINT)",
-    "tac": "CAST(CASE WHEN event_id % 3 = 0 THEN NULL ELSE 17000 + j % 10 END AS INT)",
+    "tac": "CAST(CASE WHEN event_id % 4 = 0 THEN NULL ELSE 17000 + j % 10 + 100 * CAST(event_id % 17 = 0 AS INT) END AS INT)",
+    "mnc_digits": "CAST(CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS INT)",
+    "rac": "CAST(event_id % 6 AS INT)",
+    "barred": "event_id % 5 = 0",
     "rsrp": "CAST(((event_id * 13 + user_id) % 1700) * 0.0625 - 140 AS DOUBLE)",
+    "rsrq": "CAST(((event_id * 7 + user_id) % 640) * 0.0625 - 35 AS DOUBLE)",
+    "rssi": "CAST(CASE WHEN event_id % 2 = 1 THEN ((event_id * 5) % 800) * 0.125 - 110 END AS DOUBLE)",
+    "snr": "CAST(CASE WHEN event_id % 3 > 0 THEN (event_id % 50) * 0.5 - 5 END AS DOUBLE)",
+    "rscp": "CAST(CASE WHEN event_id % 5 > 0 THEN -((event_id * 3) % 120) ELSE 0 END AS DOUBLE)",
+    "rxlev": "CAST(-((event_id * 11) % 64) AS DOUBLE)",
+    "ul_freq": "CAST(CASE WHEN event_id % 3 > 0 THEN 18000 + event_id % 100 ELSE 0 END AS INT)",
+    "bandwidth": "CAST((event_id % 5) * 5 AS INT)",
+    "ta": "CAST(event_id % 7 AS INT)",
+    "rrc_state": "CAST(event_id % 5 - 1 AS INT)",
+    "emm_state": "CAST(event_id % 4 - 1 AS INT)",
+    "emm_substate": "CAST(CASE WHEN event_id % 3 > 0 THEN event_id % 9 END AS INT)",
+    "barring_emergency": "event_id % 2 = 0",
+    "nb_thresh_high": "CAST(event_id % 8 AS INT)",
+    "nb_offset": "CAST(event_id % 5 AS INT)",
     "nb_freq": "CAST(CASE WHEN event_id % 10 > 6 THEN NULL WHEN event_id % 2 = 0 THEN CASE i WHEN 0 THEN 375 WHEN 1 THEN 1596 WHEN 2 THEN 3200 WHEN 3 THEN 6275 WHEN 4 THEN 37900 WHEN 5 THEN 38950 ELSE 32768 END"
     " ELSE CASE i WHEN 6 THEN 375 WHEN 0 THEN 1596 WHEN 1 THEN 3200 WHEN 2 THEN 6275 WHEN 3 THEN 37900 WHEN 4 THEN 38950 ELSE 32768 END END AS INT)",
     "nb_phy": "CAST(CASE WHEN event_id % 10 > 6 THEN NULL ELSE ((j + 1) % 31) * 18 END AS INT)",

@@ -11,53 +11,115 @@ FULL_WCDMA = "(rat = 'WCDMA' AND cid <> 0 AND tac <> 0 AND mcc <> 0 AND phy BETW
 COMPLETE = "(mcc <> 0 AND cid <> 0 AND tac <> 0 AND freq <> 0 AND (rat IN ('GSM', 'WCDMA') OR phy <> 0))"
 GHOST = "(rat = 'LTE' AND (NOT phy BETWEEN 1 AND 503 OR (NOT is_serving AND coalesce(cid, 0) = 0 AND coalesce(rsrp > -45, FALSE))))"
 
+_LEVELS = "rsrp, rsrq, rssi, snr, rscp, rxlev"
+_PARAMETERS = "ul_freq, bandwidth, ta, rrc_state, emm_state, emm_substate, barring_emergency"
+_EXTRAS = "mnc_digits, rac, barred"
+_NEIGHBOUR = "nb_freq, nb_phy, nb_source, nb_thresh_high, nb_offset"
+_REST = f"{_LEVELS}, {_PARAMETERS}, {_EXTRAS}, {_NEIGHBOUR}"
+_NULLS = lambda names: ", ".join(f"NULL AS {n}" for n in names.split(", "))
+
+# Reports name cells (told, heard), then LTE rows without a code find theirs.
 PROMOTED = (
     OBS
-    + """,
-lte1 AS (SELECT *, (phy <> 0 AND row_number() OVER (PARTITION BY session_id, freq, phy ORDER BY seq) = 1)::INT AS fresh FROM obs WHERE rat = 'LTE'),
-lte2 AS (SELECT *, coalesce(sum(fresh) OVER pw, 0) AS pcis, max(CASE WHEN phy <> 0 THEN phy END) OVER pw AS only_phy,
-    first_value(CASE WHEN phy <> 0 THEN phy END IGNORE NULLS) OVER fw AS next_phy FROM lte1
-  WINDOW pw AS (PARTITION BY session_id, freq ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-         fw AS (PARTITION BY session_id, freq ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
-lte3 AS (SELECT *, phy = 0 AND kind = 'passport' AND pcis = 1 AS alone, phy = 0 AND kind = 'passport' AND pcis > 1 AND cid IS NULL AS spread FROM lte2),
+    + f""",
+named AS (SELECT * FROM obs WHERE kind = 'neighbour' AND nb_freq IS NOT NULL AND nb_phy BETWEEN 1 AND 503),
+placed AS (
+  SELECT session_id, seq, seq * 8 AS tick, wall_time, rat, kind, freq, phy, mcc, mnc, cid, tac, {_REST} FROM obs
+  UNION ALL
+  SELECT session_id, seq, seq * 8 + 1, wall_time, rat, 'told', nb_freq, nb_phy, CASE WHEN nb_freq = freq THEN mcc END, CASE WHEN nb_freq = freq THEN mnc END, NULL, NULL,
+    {_NULLS(_LEVELS)}, {_NULLS(_PARAMETERS)}, {_NULLS(_EXTRAS)}, {_NEIGHBOUR} FROM named
+  UNION ALL
+  SELECT session_id, seq, seq * 8 + 2, wall_time, rat, 'heard', nb_freq, nb_phy, NULL, NULL, NULL, NULL,
+    {_LEVELS}, {_NULLS(_PARAMETERS)}, {_NULLS(_EXTRAS)}, {_NEIGHBOUR} FROM named WHERE nb_source <> 'inter' AND rsrp <> 0),
+lte AS (SELECT * FROM placed WHERE rat = 'LTE' AND kind <> 'neighbour'),
+lte1 AS (SELECT *, (phy <> 0 AND row_number() OVER (PARTITION BY session_id, freq, phy ORDER BY tick) = 1)::INT AS fresh FROM lte),
+lte2 AS (SELECT *, coalesce(sum(fresh) OVER w, 0) AS pcis, max(CASE WHEN phy <> 0 THEN phy END) OVER w AS only_phy FROM lte1
+  WINDOW w AS (PARTITION BY session_id, freq ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lte3 AS (SELECT *, phy = 0 AND kind = 'passport' AND pcis > 1 AND cid IS NULL AS spread FROM lte2),
+lte4 AS (SELECT *, first_value(CASE WHEN phy <> 0 THEN {{'phy': phy, 'tick': tick}} WHEN spread THEN {{'phy': -1, 'tick': tick}} END IGNORE NULLS) OVER w AS turn FROM lte3
+  WINDOW w AS (PARTITION BY session_id, freq ORDER BY tick ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+rooms AS (SELECT session_id, freq, phy AS to_phy, min(tick) AS first_at, min(tick) FILTER (WHERE kind IN ('signal', 'heard')) AS own_at,
+    arg_min(cid, tick) FILTER (WHERE kind = 'passport' AND cid IS NOT NULL) AS id, min(tick) FILTER (WHERE kind = 'passport' AND cid IS NOT NULL) AS id_at
+  FROM lte WHERE phy <> 0 GROUP BY ALL),
+homes AS (SELECT w.session_id, w.freq, w.tick, count(*) AS homes, min(p.to_phy) AS home FROM lte4 w JOIN rooms p ON p.session_id = w.session_id AND p.freq = w.freq
+  WHERE w.phy = 0 AND w.kind = 'passport' AND w.cid IS NOT NULL AND p.first_at < w.tick AND NOT coalesce(p.id_at < w.tick AND p.id <> w.cid, FALSE) GROUP BY ALL),
+weak1 AS (SELECT l.*, home, l.kind = 'passport' AND CASE WHEN l.cid IS NULL THEN pcis = 1 ELSE coalesce(homes = 1, FALSE) END AS alone
+  FROM lte4 l LEFT JOIN homes h ON h.session_id = l.session_id AND h.freq = l.freq AND h.tick = l.tick WHERE l.phy = 0),
+weak2 AS (SELECT *, NOT alone AND coalesce(turn.phy = -1, FALSE) AS ended, CASE WHEN NOT alone THEN turn.tick END AS waits,
+    CASE WHEN NOT alone THEN coalesce(turn.phy, 0) WHEN cid IS NULL THEN only_phy ELSE home END AS to_phy FROM weak1),
+weak3 AS (SELECT w.*, own_at, min(CASE WHEN kind = 'signal' THEN waits END) OVER (PARTITION BY w.session_id, w.freq, w.to_phy) AS batch
+  FROM weak2 w LEFT JOIN rooms r ON r.session_id = w.session_id AND r.freq = w.freq AND r.to_phy = w.to_phy WHERE NOT spread AND (NOT ended OR kind = 'serving')),
 promoted AS (
-  SELECT session_id, seq, wall_time, rat, kind, freq, phy, mcc, mnc, cid, tac, rsrp, nb_freq, nb_phy, nb_source FROM obs WHERE rat <> 'LTE'
+  SELECT session_id, seq, tick, wall_time, rat, kind, freq, phy, mcc, mnc, cid, tac, FALSE AS waited, {_REST} FROM placed WHERE NOT (rat = 'LTE' AND phy = 0 AND kind <> 'neighbour')
   UNION ALL
-  SELECT session_id, seq, wall_time, rat, kind, freq, CASE WHEN alone THEN only_phy WHEN phy = 0 THEN coalesce(next_phy, 0) ELSE phy END, mcc, mnc,
-    CASE WHEN phy = 0 AND kind = 'passport' AND NOT alone THEN NULL ELSE cid END, CASE WHEN phy = 0 AND kind = 'passport' AND NOT alone THEN NULL ELSE tac END, rsrp, nb_freq, nb_phy, nb_source
-  FROM lte3 WHERE NOT spread
+  SELECT session_id, seq, tick, wall_time, rat, CASE WHEN ended THEN 'gone' WHEN kind = 'signal' AND (coalesce(own_at < waits, FALSE) OR coalesce(batch < waits, FALSE)) THEN 'silent' ELSE kind END,
+    freq, to_phy, mcc, mnc, CASE WHEN kind <> 'passport' OR alone THEN cid END, CASE WHEN kind <> 'passport' OR alone THEN tac END, waits IS NOT NULL, {_REST} FROM weak3
   UNION ALL
-  SELECT w.session_id, w.seq, w.wall_time, w.rat, w.kind, w.freq, p.phy, w.mcc, w.mnc, w.cid, w.tac, w.rsrp, w.nb_freq, w.nb_phy, w.nb_source
-  FROM lte3 w JOIN lte1 p ON w.spread AND p.fresh = 1 AND p.session_id = w.session_id AND p.freq = w.freq AND p.seq < w.seq)"""
+  SELECT w.session_id, seq, tick, wall_time, rat, kind, w.freq, p.to_phy, mcc, mnc, cid, tac, FALSE, {_REST}
+  FROM lte4 w JOIN rooms p ON w.spread AND p.session_id = w.session_id AND p.freq = w.freq AND p.first_at < w.tick)"""
 )
 
+_KEY = "session_id, rat, freq, phy"
+_ID, _AREA, _NET = "coalesce(cid BETWEEN 1 AND 268435455, FALSE)", "coalesce(tac BETWEEN 1 AND 65534, FALSE)", "coalesce(mcc <> 0, FALSE)"
+_FULL = f"({_ID} AND {_AREA} AND {_NET})"
+LAST_LEVELS = f"""arg_max_null(rsrp, tick) FILTER (WHERE %(among)s AND (rat = 'NR' OR rsrp BETWEEN -150 AND -40)) AS rsrp,
+    arg_max_null(rsrq, tick) FILTER (WHERE %(among)s AND (rat = 'NR' OR rat = 'LTE' AND rsrq BETWEEN -30 AND -1)) AS rsrq,
+    arg_max(rssi, tick) FILTER (WHERE %(among)s AND rat = 'LTE' AND rssi IS NOT NULL) AS rssi,
+    arg_max_null(snr, tick) FILTER (WHERE %(among)s AND (rat = 'NR' OR rat IN ('LTE', 'GSM') AND snr IS NOT NULL)) AS snr,
+    arg_max(rscp, tick) FILTER (WHERE %(among)s AND rat = 'WCDMA' AND rscp <> 0) AS rscp, arg_max(rxlev, tick) FILTER (WHERE %(among)s AND rat = 'GSM' AND rxlev <> 0) AS rxlev"""
+LAST_PARAMETERS = """arg_max(ul_freq, tick) FILTER (WHERE %(among)s AND ul_freq <> 0) AS ul_freq, arg_max(bandwidth, tick) FILTER (WHERE %(among)s AND bandwidth <> 0) AS bandwidth,
+    arg_max(ta, tick) FILTER (WHERE %(among)s AND ta <> 0) AS ta, arg_max(rrc_state, tick) FILTER (WHERE %(among)s AND rrc_state >= 0) AS rrc_state,
+    arg_max(emm_state, tick) FILTER (WHERE %(among)s AND emm_state >= 0) AS emm_state, arg_max_null(emm_substate, tick) FILTER (WHERE %(among)s AND emm_state >= 0) AS emm_substate,
+    arg_max(barring_emergency, tick) FILTER (WHERE %(among)s AND rat = 'LTE') AS barring_emergency"""
+
+# What bears on a cell's identity, in order: passports, told and soft PLMNs, lost ids, begins and ends of serving.
 REGISTRY = (
     PROMOTED
-    + """,
-heard AS (SELECT session_id, seq, wall_time, rat, freq, phy, kind, mcc, mnc, cid, tac, rsrp FROM promoted WHERE kind <> 'neighbour'
-  UNION ALL SELECT session_id, seq, NULL, rat, nb_freq, nb_phy, 'told', CASE WHEN nb_freq = freq THEN mcc END, CASE WHEN nb_freq = freq THEN mnc END, NULL, NULL, NULL
-  FROM promoted WHERE kind = 'neighbour' AND nb_phy BETWEEN 1 AND 503),
-cells0 AS (SELECT session_id, rat, freq, phy, min(seq) AS first_seq, count(*) FILTER (WHERE kind <> 'told') AS seen, max(seq) FILTER (WHERE kind <> 'told') AS last_seq,
-    arg_max(rsrp, seq) FILTER (WHERE kind = 'signal' AND rsrp BETWEEN -150 AND -40) AS rsrp,
-    arg_min(mcc, seq) FILTER (WHERE kind = 'passport') AS p_mcc, coalesce(arg_min(mnc, seq) FILTER (WHERE kind = 'passport' AND cid IS NOT NULL), arg_min(mnc, seq) FILTER (WHERE kind = 'passport')) AS p_mnc,
-    arg_min(tac, seq) FILTER (WHERE kind = 'passport' AND cid IS NOT NULL) AS tac0, arg_min(cid, seq) FILTER (WHERE kind = 'passport' AND cid IS NOT NULL) AS cid0,
-    arg_min(mcc, seq) FILTER (WHERE kind = 'told' AND mcc IS NOT NULL) AS t_mcc, arg_min(mnc, seq) FILTER (WHERE kind = 'told' AND mcc IS NOT NULL) AS t_mnc
-  FROM heard GROUP BY session_id, rat, freq, phy),
-cells1 AS (SELECT *, coalesce(p_mcc, t_mcc) AS mcc0, CASE WHEN p_mcc IS NOT NULL THEN p_mnc ELSE t_mnc END AS mnc0 FROM cells0),
-ann AS (SELECT session_id, freq, seq, mcc, mnc FROM promoted WHERE kind = 'passport' AND rat = 'LTE'),
-soft AS (SELECT c.session_id, c.freq, c.phy, arg_min(a.mcc, a.seq) AS s_mcc, arg_min(a.mnc, a.seq) AS s_mnc FROM cells1 c
-  JOIN ann a ON a.session_id = c.session_id AND a.freq = c.freq AND a.seq > c.first_seq WHERE c.rat = 'LTE' AND c.mcc0 IS NULL GROUP BY ALL),
-owners AS (SELECT session_id, cid, arg_max(freq, seq) AS ofreq, arg_max(phy, seq) AS ophy FROM promoted WHERE kind = 'passport' AND rat = 'LTE' AND phy <> 0 AND cid IS NOT NULL GROUP BY ALL),
-sv AS (SELECT *, lead(seq) OVER (PARTITION BY session_id, rat ORDER BY seq) AS until FROM promoted WHERE kind = 'serving'),
-flags AS (SELECT session_id, rat, freq, phy, bool_or(until IS NULL) AS is_serving, bool_or(coalesce(id_at < coalesce(until, 4611686018427387904), FALSE)) AS ever_serving
-  FROM sv LEFT JOIN (SELECT session_id, rat, freq, phy, min(seq) AS id_at FROM promoted WHERE kind = 'passport' AND cid IS NOT NULL GROUP BY ALL) USING (session_id, rat, freq, phy) GROUP BY ALL),
-reg AS (SELECT c.session_id, c.rat, c.freq, c.phy, first_seq, last_seq, seen, rsrp, coalesce(mcc0, s_mcc) AS mcc, coalesce(mnc0, s_mnc) AS mnc,
-    CASE WHEN c.rat = 'LTE' AND (ofreq <> c.freq OR ophy <> c.phy) THEN NULL ELSE tac0 END AS tac, CASE WHEN c.rat = 'LTE' AND (ofreq <> c.freq OR ophy <> c.phy) THEN NULL ELSE cid0 END AS cid,
-    CASE WHEN p_mcc IS NOT NULL THEN 'hard' WHEN t_mcc IS NOT NULL THEN 'neighbour' WHEN s_mcc IS NOT NULL THEN 'fanout' END AS plmn_source,
+    + f""",
+heard AS (SELECT * FROM promoted WHERE kind NOT IN ('neighbour', 'gone')),
+cells0 AS (SELECT {_KEY}, min(seq) AS first_seq, count(*) FILTER (WHERE kind NOT IN ('told', 'heard')) AS seen, max(seq) FILTER (WHERE kind NOT IN ('told', 'heard')) AS last_seq,
+    {LAST_LEVELS % {"among": "kind IN ('signal', 'heard')"}},
+    {LAST_PARAMETERS % {"among": "kind = 'radio'"}}
+  FROM heard GROUP BY {_KEY}),
+births AS (SELECT session_id, freq, phy, min(tick) AS tick FROM heard WHERE rat = 'LTE' GROUP BY ALL),
+soft AS (SELECT b.session_id, b.freq, b.phy, min(a.tick) AS tick, arg_min(a.mcc, a.tick) AS mcc, arg_min(a.mnc, a.tick) AS mnc FROM births b
+  JOIN promoted a ON a.kind = 'passport' AND a.rat = 'LTE' AND a.phy <> 0 AND a.mcc <> 0 AND a.session_id = b.session_id AND a.freq = b.freq AND a.tick > b.tick WHERE b.phy <> 0 GROUP BY ALL),
+claims AS (SELECT session_id, cid, freq, phy, tick, lag({{'freq': freq, 'phy': phy}}) OVER (PARTITION BY session_id, cid ORDER BY tick) AS prior
+  FROM promoted WHERE kind = 'passport' AND rat = 'LTE' AND phy <> 0 AND cid <> 0),
+served AS (SELECT * FROM (SELECT {_KEY}, tick, kind, waited, lead(tick) OVER (PARTITION BY session_id, rat ORDER BY tick) AS until FROM promoted WHERE kind IN ('serving', 'gone')) WHERE kind = 'serving'),
+marks AS (
+  SELECT {_KEY}, tick, 'p' AS what, mcc, mnc, tac, cid, waited, {_EXTRAS} FROM promoted WHERE kind = 'passport'
+  UNION ALL SELECT {_KEY}, tick, 't', mcc, mnc, NULL, NULL, NULL, NULL, NULL, NULL FROM promoted WHERE kind = 'told' AND mcc <> 0
+  UNION ALL SELECT session_id, 'LTE', freq, phy, tick, 's', mcc, mnc, NULL, NULL, NULL, NULL, NULL, NULL FROM soft
+  UNION ALL SELECT session_id, 'LTE', prior.freq, prior.phy, tick, 'x', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM claims WHERE prior.freq <> freq OR prior.phy <> phy
+  UNION ALL SELECT {_KEY}, tick, 'b', NULL, NULL, NULL, NULL, waited, NULL, NULL, NULL FROM served
+  UNION ALL SELECT {_KEY}, until, 'e', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM served WHERE until IS NOT NULL),
+marks1 AS (SELECT *, (what = 'p' AND {_ID}) AS id_ok, (what = 'p' AND {_AREA}) AS area_ok, (what = 'p' AND {_NET}) AS net_ok, (what = 'p' AND {_FULL}) AS all_ok,
+    sum((what = 'x')::INT) OVER (PARTITION BY {_KEY} ORDER BY tick, what <> 'e' ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS life FROM marks),
+marks2 AS (SELECT *,
+    coalesce(bool_or(id_ok) OVER l AND bool_or(area_ok) OVER l AND bool_or(what IN ('t', 's') OR net_ok) OVER r, FALSE) AS was,
+    last_value(CASE WHEN id_ok THEN TRUE WHEN what = 'x' THEN FALSE END IGNORE NULLS) OVER n AS holds, last_value(CASE what WHEN 'b' THEN TRUE WHEN 'e' THEN FALSE END IGNORE NULLS) OVER n AS serves
+  FROM marks1
+  WINDOW l AS (PARTITION BY {_KEY}, life ORDER BY tick, what <> 'e' ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    r AS (PARTITION BY {_KEY} ORDER BY tick, what <> 'e' ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    n AS (PARTITION BY {_KEY} ORDER BY tick, what <> 'e' ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+marks3 AS (SELECT *, all_ok AND NOT was AS won, max(life) OVER (PARTITION BY {_KEY}) AS last_life FROM marks2),
+named_cells AS (SELECT {_KEY},
+    coalesce(arg_max(cid, tick) FILTER (WHERE won AND life = last_life), arg_min(cid, tick) FILTER (WHERE id_ok AND life = last_life)) AS cid0,
+    coalesce(arg_max(tac, tick) FILTER (WHERE won AND life = last_life), arg_min(tac, tick) FILTER (WHERE area_ok AND life = last_life)) AS tac0,
+    arg_max({{'mcc': mcc, 'mnc': mnc}}, tick) FILTER (WHERE won) AS won_net, arg_min({{'mcc': mcc, 'mnc': mnc}}, tick) FILTER (WHERE net_ok) AS own_net,
+    arg_min({{'mcc': mcc, 'mnc': mnc, 'what': what}}, tick) FILTER (WHERE net_ok OR what IN ('t', 's')) AS first_net,
+    arg_max(mnc_digits, tick) FILTER (WHERE what = 'p' AND mnc_digits IN (2, 3)) AS mnc_digits, arg_max(rac, tick) FILTER (WHERE what = 'p' AND rac <> 0) AS rac,
+    arg_max(barred, tick) FILTER (WHERE all_ok OR NOT was AND (id_ok OR net_ok)) AS barred,
+    coalesce(bool_or(holds AND serves AND what IN ('p', 'b') AND NOT waited), FALSE) AS ever_serving, coalesce(arg_max(serves, (tick, what <> 'e')), FALSE) AS is_serving, bool_or(what = 'b') AS served
+  FROM marks3 GROUP BY {_KEY}),
+nets AS (SELECT *, CASE WHEN won_net IS NOT NULL THEN 'won' WHEN first_net.what = 't' THEN 'told' WHEN own_net IS NOT NULL THEN 'own' WHEN first_net IS NOT NULL THEN 'soft' END AS source FROM named_cells),
+flags AS (SELECT {_KEY}, is_serving, ever_serving FROM named_cells WHERE served),
+reg AS (SELECT c.session_id, c.rat, c.freq, c.phy, first_seq, last_seq, seen, {_LEVELS}, {_PARAMETERS}, mnc_digits, rac, barred, tac0 AS tac, cid0 AS cid,
+    CASE source WHEN 'won' THEN won_net.mcc WHEN 'own' THEN own_net.mcc ELSE first_net.mcc END AS mcc, CASE source WHEN 'won' THEN won_net.mnc WHEN 'own' THEN own_net.mnc ELSE first_net.mnc END AS mnc,
+    CASE WHEN source IN ('won', 'own') THEN 'hard' WHEN source = 'told' THEN 'neighbour' WHEN source = 'soft' THEN 'fanout' END AS plmn_source,
     coalesce(is_serving, FALSE) AS is_serving, coalesce(ever_serving, FALSE) AS ever_serving
-  FROM cells1 c LEFT JOIN soft s ON c.rat = 'LTE' AND s.session_id = c.session_id AND s.freq = c.freq AND s.phy = c.phy
-  LEFT JOIN owners o ON o.session_id = c.session_id AND o.cid = c.cid0
-  LEFT JOIN flags f ON f.session_id = c.session_id AND f.rat = c.rat AND f.freq = c.freq AND f.phy = c.phy),
+  FROM cells0 c LEFT JOIN nets n ON n.session_id = c.session_id AND n.rat = c.rat AND n.freq = c.freq AND n.phy = c.phy),
 told0 AS (SELECT * FROM promoted WHERE kind = 'neighbour' AND rat = 'LTE' AND phy <> 0 AND nb_phy <= 503),
 told AS (SELECT session_id, rat, freq, phy, nb_freq, nb_phy, any_value(nb_source) AS source FROM promoted WHERE kind = 'neighbour' AND rat = 'LTE' AND phy <> 0 AND nb_phy BETWEEN 1 AND 503 GROUP BY ALL),
 camps AS (SELECT session_id, mcc, mnc, count(*) AS plmn_camps FROM reg WHERE rat = 'LTE' AND ever_serving AND mcc <> 0 GROUP BY ALL),
@@ -66,10 +128,18 @@ frontier AS (SELECT r.session_id, r.freq, count(*) FILTER (WHERE """
     + """) AS full_on_earfcn, coalesce(max(plmn_camps) FILTER (WHERE ever_serving), 0) AS max_plmn_camps FROM reg r LEFT JOIN camps USING (session_id, mcc, mnc) WHERE rat = 'LTE' GROUP BY ALL)"""
 )
 
+# GSM passports of which some lack a channel: to the cell that has the id by then, to a serving cell that has none or the same, or to {0, cid} until a cell claims it.
 GSM_BOUND = """
 g AS (SELECT session_id, seq, kind, CASE WHEN kind = 'passport' AND seq % 20 < 10 THEN 0 ELSE freq END AS freq, phy, cid FROM obs WHERE rat = 'GSM'),
-g2 AS (SELECT *, last_value(CASE WHEN kind = 'serving' THEN freq END IGNORE NULLS) OVER w AS sf, last_value(CASE WHEN kind = 'serving' THEN phy END IGNORE NULLS) OVER w AS sp FROM g
+g2 AS (SELECT *, last_value(CASE WHEN kind = 'serving' THEN {'freq': freq, 'phy': phy} END IGNORE NULLS) OVER w AS s FROM g
   WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-homes AS (SELECT session_id, cid, arg_min(freq, seq) AS hf, arg_min(phy, seq) AS hp FROM g WHERE kind = 'passport' AND freq <> 0 AND cid IS NOT NULL GROUP BY ALL),
-bound AS (SELECT g2.session_id, seq, CASE WHEN freq = 0 THEN coalesce(hf, sf, 0) ELSE freq END AS freq, CASE WHEN freq = 0 THEN coalesce(hp, sp, g2.cid, 0) ELSE phy END AS phy, g2.cid
-  FROM g2 LEFT JOIN homes ON homes.session_id = g2.session_id AND homes.cid = g2.cid WHERE kind = 'passport')"""
+put AS (SELECT * FROM g WHERE kind = 'passport' AND freq <> 0 AND cid IS NOT NULL),
+asked AS (SELECT a.session_id, a.seq, a.phy, a.cid, a.s,
+    (SELECT min({'freq': p.freq, 'phy': p.phy}) FROM put p WHERE p.session_id = a.session_id AND p.cid = a.cid AND p.seq < a.seq) AS home,
+    (SELECT arg_min({'freq': p.freq, 'phy': p.phy}, p.seq) FROM put p WHERE p.session_id = a.session_id AND p.cid = a.cid AND p.seq > a.seq) AS later,
+    (SELECT arg_min(p.cid, p.seq) FROM put p WHERE p.session_id = a.session_id AND p.freq = a.s.freq AND p.phy = a.s.phy AND p.seq < a.seq) AS served_cid
+  FROM g2 a WHERE kind = 'passport' AND freq = 0),
+found AS (SELECT *, CASE WHEN home IS NOT NULL THEN home WHEN s IS NOT NULL AND (cid IS NULL OR served_cid IS NULL OR served_cid = cid) THEN s
+    WHEN cid IS NOT NULL AND later IS NOT NULL THEN later WHEN cid IS NOT NULL THEN {'freq': 0, 'phy': cid::INT} END AS f FROM asked),
+bound AS (SELECT session_id, seq, f.freq AS freq, f.phy AS phy, cid FROM found WHERE f IS NOT NULL
+  UNION ALL SELECT session_id, seq, freq, phy, cid FROM g WHERE kind = 'passport' AND freq <> 0)"""

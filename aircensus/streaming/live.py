@@ -10,25 +10,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..operators import merge as M
 from ..operators import registry as R
 
+
 def _per(events: DataFrame, keys: list[str], period: str | None, delay: str):
     marked = events.withWatermark("wall_time", delay)
     return marked.groupBy(*keys, F.window("wall_time", period).alias("period")) if period else marked.groupBy(*keys)
 
 
 def stream_cells(events: DataFrame, period: str | None = "1 day", delay: str = "10 minutes") -> DataFrame:
-    """K1: changed cells of each session as events arrive, by the rules of the batch registry.
+    """K1: changed cells of each session as events arrive, by the rules of the batch registry.
 
     State is one row per (session_id, rat, freq, phy), combined before the
     shuffle; ``seq`` decides, so the order of arrival does not matter.  With a
     ``period`` a cell has a row for each of them and those behind the watermark
     are forgotten; without, all is kept as long as the query runs.
     """
-    own = events.filter("kind <> 'neighbour'")
-    cells = _per(own, R.KEY, period, delay).agg(F.count("*").alias("seen"), *R.cell_fields())
-    identity = [F.coalesce(f"_full.{c}", f"_{c}").alias(c) for c in ("mcc", "mnc", "tac", "cid")]
-    return cells.select(*R.KEY, *(["period"] if period else []), *identity, "rsrp", "seen")
+    own = R.with_at(events).filter("kind <> 'neighbour'")
+    kind = lambda k: F.col("kind") == k
+    levels, radio = M.present(M.SIGNAL, own.columns), M.present(M.RADIO, own.columns)
+    cells = _per(own, R.KEY, period, delay).agg(F.count("*").alias("seen"), *M.identity_fields(kind("passport")), *M.last_fields(levels, kind("signal"), own.columns), *M.last_fields(radio, kind("radio"), own.columns))
+    return cells.select(*R.KEY, *(["period"] if period else []), *(c.alias(n) for n, c in M.identity().items()), *M.fields(levels), *M.fields(radio), "seen")
 
 
 def stream_serving(events: DataFrame, period: str | None = "1 day", delay: str = "10 minutes") -> DataFrame:
