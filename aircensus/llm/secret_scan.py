@@ -4,10 +4,13 @@ Three base patterns find assigned credentials, access-key ids and long hex
 strings.  The method then decodes base64 and hex candidates and reports one only
 if what it decodes to has the structure of a secret:
 
-* ``pem``: a PEM private-key block (line ends as such or escaped) whose body is
-  DER with exactly nested lengths, or the length-prefixed OpenSSH container;
+* ``pem``: a PEM private-key block (line ends as such or escaped, header lines
+  or none) whose body is DER with exactly nested lengths, the length-prefixed
+  OpenSSH container, or whole cipher blocks under a ``DEK-Info`` header;
 * ``der``: a base64 or hex run that decodes to such a key: PKCS#1, DSA, SEC1, or
-  PKCS#8, whose octets must hold the key of its algorithm in turn;
+  PKCS#8, whose octets must hold the key of its algorithm in turn, or name the
+  password scheme, salt and rounds by which they are encrypted.  The run may be
+  wrapped over lines, and the key may begin anywhere in it, as behind a path;
 * ``jwt``: a signed token whose header is a JSON object that names ``alg``, whose
   claims are a JSON object, and whose signature has the length of that algorithm.
 
@@ -40,7 +43,8 @@ _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*(?:-(?!----)[^-]*)*)-----END \1-----")
+_DEK = re.compile(r"^DEK-Info:\s*([A-Z0-9-]+),([0-9A-Fa-f]+)\s*$", re.M)
 #: Decodings within decodings.
 DEPTH = 3
 # Octets of signatures (least, most) by algorithm; object identifiers of key algorithms.
@@ -50,6 +54,15 @@ SIGNATURES = {
 }
 RSA, DSA, EC = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a8648ce3d0201")
 EDWARDS = tuple(bytes.fromhex("2b65") + bytes([i]) for i in (0x6E, 0x6F, 0x70, 0x71))
+#: Password schemes of encrypted PKCS#8 keys: the first also names a key derivation and a cipher.
+PBES2 = bytes.fromhex("2a864886f70d01050d")
+PBES1 = tuple(bytes.fromhex("2a864886f70d0105") + bytes([i]) for i in (1, 3, 4, 6, 10, 11)) + tuple(bytes.fromhex("2a864886f70d010c01") + bytes([i]) for i in range(1, 7))
+DERIVATIONS = (bytes.fromhex("2a864886f70d01050c"), bytes.fromhex("2b06010401da47040b"))  # PBKDF2, scrypt
+#: Least octets of an RSA modulus and of each of its primes.
+MODULUS, PRIME = 60, 24
+#: Where a base64 DER sequence can begin.
+_SEQUENCE = re.compile("M[A-I]")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,100}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/]{1,100}={0,2}")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_BLOB = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){30,}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[w-z0-9_-][A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
@@ -108,13 +121,13 @@ def is_der_key(data: bytes) -> bool:
     tags = [p[0] for p in parts]
     inside = lambda p: der_elements(data, p[1], p[2])
     if tags[:2] == [0x30, 0x04] and len(tags) == 2:  # encrypted: algorithm, octets
-        algorithm = inside(parts[0])
-        return bool(algorithm) and algorithm[0][0] == 0x06
+        return parts[1][2] - parts[1][1] >= 16 and _is_password_scheme(data, inside(parts[0]))
     if tags[0] != 0x02 or parts[0][2] - parts[0][1] != 1:
         return False
     version = data[parts[0][1]]
     if len(tags) >= 9 and set(tags[:9]) == {0x02}:  # nine integers
-        return version in (0, 1)
+        sizes = [p[2] - p[1] for p in parts]
+        return version in (0, 1) and sizes[1] >= MODULUS and min(sizes[4:6]) >= PRIME
     if len(tags) == 6 and set(tags) == {0x02}:  # DSA: version, p, q, g, public, private
         return version == 0 and all(p[2] - p[1] >= 16 for p in parts[1:])
     if tags[1:3] == [0x30, 0x04]:  # version, algorithm, octets
@@ -125,6 +138,23 @@ def is_der_key(data: bytes) -> bool:
     return version == 1 and len(tags) >= 2 and tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 16 and set(tags[2:]) <= {0xA0, 0xA1}
 
 
+def _is_password_scheme(data: bytes, algorithm: list[tuple[int, int, int]] | None) -> bool:
+    """Is it a scheme of PKCS#5 or PKCS#12 with its salt and rounds?"""
+    if not algorithm or [p[0] for p in algorithm] != [0x06, 0x30]:
+        return False
+    name, parameters = data[algorithm[0][1] : algorithm[0][2]], der_elements(data, *algorithm[1][1:])
+    tags = [p[0] for p in parameters or ()]
+    if name in PBES1:
+        return tags == [0x04, 0x02]
+    if name != PBES2 or tags != [0x30, 0x30]:
+        return False
+    steps = [der_elements(data, *p[1:]) for p in parameters]
+    if not all(step and step[0][0] == 0x06 for step in steps) or len(steps[0]) != 2:
+        return False
+    salted = der_elements(data, *steps[0][1][1:])
+    return data[steps[0][0][1] : steps[0][0][2]] in DERIVATIONS and [p[0] for p in salted or ()][:2] == [0x04, 0x02]
+
+
 def _holds_key(algorithm: bytes, octets: bytes) -> bool:
     """Do the octets of a PKCS#8 key hold a key of the algorithm?"""
     if algorithm in (RSA, EC):
@@ -205,6 +235,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _is_encrypted_pem(body: str, raw: bytes | None) -> bool:
+    """Whole blocks of the cipher that a header names, with an initial vector of its size."""
+    dek = _DEK.search(body)
+    block = (16 if dek and dek[1].startswith(("AES", "CAMELLIA", "SEED", "ARIA")) else 8) if dek else 0
+    return bool(block and raw) and "ENCRYPTED" in body and len(dek[2]) == 2 * block and len(raw) >= 4 * block and len(raw) % block == 0
+
+
+def _key_at(text: str, at: int) -> int | None:
+    """Characters of base64 text from ``at`` on that are exactly a DER key."""
+    head = decode_base64(text[at : at + 8])
+    if not head or head[0] != 0x30 or len(head) < 6:
+        return None
+    long = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if long > 4:
+        return None
+    octets = 2 + long + (int.from_bytes(head[2 : 2 + long], "big") if long else head[1])
+    size = -(-octets * 8 // 6)
+    if octets < 40 or at + size > len(text):
+        return None
+    raw = decode_base64(text[at : at + size])
+    return size if raw and len(raw) == octets and is_der_key(raw) else None
+
+
+def _inner_keys(text: str, start: int) -> Iterator[tuple[int, int, int]]:
+    """Keys that begin anywhere in a run of base64 characters at ``start``; padding belongs to them."""
+    to = 0
+    for m in _SEQUENCE.finditer(text):
+        if m.start() >= to and (size := _key_at(text, m.start())):
+            to = m.start() + size
+            to += len(text[to : to + 2]) - len(text[to : to + 2].lstrip("="))
+            yield start + m.start(), KINDS.index("der"), start + to
+
+
+def _wrapped_keys(m: re.Match) -> Iterator[tuple[int, int, int]]:
+    """Keys in lines of base64: found in the characters without the line ends, told in places of the text."""
+    places = [i for i, c in enumerate(m[0]) if not c.isspace()]
+    for a, kind, b in _inner_keys("".join(m[0].split()), 0):
+        yield m.start() + places[a], kind, m.start() + places[b - 1] + 1
+
+
 def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[int, int, int]]:
     """Spans whose decoded content has the structure of a secret; the outermost of nested ones."""
     found = []
@@ -212,7 +282,7 @@ def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[int, int, int]]
         for m in _PEM.finditer(text):
             lines = m[2].replace("\\r", "").replace("\\n", "\n").split("\n")
             raw = decode_base64("".join(line.strip() for line in lines if ":" not in line))
-            if raw and (is_der_key(raw) or is_openssh_key(raw)):
+            if raw and (is_der_key(raw) or is_openssh_key(raw) or _is_encrypted_pem("\n".join(lines), raw)):
                 found.append((m.start(), 3, m.end()))
     for pattern, decode in ((_B64, decode_base64), (_HEX_BLOB, bytes.fromhex)):
         for m in pattern.finditer(text):
@@ -220,6 +290,11 @@ def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[int, int, int]]
             kind = structure(raw, depth) if raw else None
             if kind is not None:
                 found.append((m.start(), kind, m.end()))
+            elif pattern is _B64:
+                found += _inner_keys(m[0], m.start())
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            found += _wrapped_keys(m)
     if "." in text:
         found += [(m.start(), 5, m.end()) for m in _JWT.finditer(text) if is_jwt(m[1], m[2], m[3])]
     out: list[tuple[int, int, int]] = []

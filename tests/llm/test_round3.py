@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import collections
 import random
 import re
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aircensus.llm import collocations, hard_negatives, simhash
+from aircensus.llm import collocations, hard_negatives, secret_scan, simhash
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -254,3 +255,62 @@ def test_hard_negatives_of_empty_tables(spark):
     assert hard_negatives.hard_negatives(table, F.col("label"), F.col("vec_id") % 50 == 0).count() == 0
     lone = spark.createDataFrame([(1, [0.5], 1), (2, [0.5], 2)], "vec_id long, embedding array<float>, label int")
     assert hard_negatives.hard_negatives(lone, F.col("label"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+# ---- 5: forms of keys -----------------------------------------------------------------------------
+
+
+def tlv(tag, body):
+    size = bytes([len(body)]) if len(body) < 128 else (n := (len(body).bit_length() + 7) // 8) and bytes([0x80 | n]) + len(body).to_bytes(n, "big")
+    return bytes([tag]) + size + body
+
+
+def rsa_key(octets=64):
+    half = b"\x7f" + b"p" * (octets // 2)
+    numbers = [b"\0", b"\x7e" + b"n" * octets, b"\1\0\1", b"\x7d" + b"d" * octets, half, half, half, half, half]
+    return tlv(0x30, b"".join(tlv(2, x) for x in numbers))
+
+
+def found_in(text):
+    return [(secret_scan.KINDS[k], text[a:b]) for a, k, b in secret_scan.confirmed_spans(text)]
+
+
+def test_a_digest_is_no_key():
+    """The wrapping of a SHA-256 inside a signature, and nine integers of one byte."""
+    digest = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("608648016503040201")) + tlv(5, b"")) + tlv(4, b"h" * 32))
+    assert found_in(digest.hex()) == [] and not secret_scan.is_der_key(digest)
+    assert not secret_scan.is_der_key(tlv(0x30, tlv(2, b"\0") + tlv(2, b"\1") * 8))
+
+
+def test_encrypted_keys_name_their_scheme():
+    rounds = tlv(0x30, tlv(4, b"saltsalt") + tlv(2, b"\x08\0"))
+    pbes2 = tlv(0x30, tlv(6, secret_scan.PBES2) + tlv(0x30, tlv(0x30, tlv(6, secret_scan.DERIVATIONS[0]) + rounds) + tlv(0x30, tlv(6, bytes.fromhex("60864801650304012a")) + tlv(4, b"v" * 16))))
+    pbes1 = tlv(0x30, tlv(6, secret_scan.PBES1[0]) + rounds)
+    for scheme in (pbes2, pbes1):
+        assert secret_scan.is_der_key(tlv(0x30, scheme + tlv(4, b"c" * 64)))
+    assert not secret_scan.is_der_key(tlv(0x30, tlv(0x30, tlv(6, secret_scan.PBES2) + tlv(5, b"")) + tlv(4, b"c" * 64)))
+
+
+def test_armour_with_headers():
+    body = base64.encodebytes(rsa_key()).decode()
+    plain = f"-----BEGIN RSA PRIVATE KEY-----\nComment: old-key\n\n{body}-----END RSA PRIVATE KEY-----"
+    secret = base64.encodebytes(bytes(range(256))).decode()
+    locked = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{secret}-----END RSA PRIVATE KEY-----"
+    assert found_in(f"x {plain} y") == [("pem", plain)] and found_in(locked) == [("pem", locked)]
+    assert found_in(locked.replace("AES-128-CBC,", "DES-EDE3-CBC,")) == [] and found_in(locked.replace(secret, secret[:-9] + "\n")) == []
+
+
+def test_wrapped_and_prefixed_runs():
+    code = base64.b64encode(rsa_key()).decode()
+    lines = "\n".join(code[i : i + 64] for i in range(0, len(code), 64))
+    assert found_in(f"key:\n{lines}\nthe end") == [("der", lines)]
+    assert found_in(f"key:\r\n{lines.replace(chr(10), chr(13) + chr(10) + '  ')}") == [("der", lines.replace("\n", "\r\n  "))]
+    for prefix in ("/home/x/", "https://host/a/b/", "ab/", "abc/"):
+        assert found_in(f"at {prefix}{code} end") == [("der", code)]
+    assert found_in("/" + "M" * 500 + " " + "MIIB" * 400) == []
+    assert found_in("see " + base64.b64encode(code.encode()).decode()) == [("der", base64.b64encode(code.encode()).decode())]
+
+
+def test_long_runs_are_read_once():
+    text = ("MIIEpAIBAAKCAQEA" * 20_000 + "\n") * 2 + "-----BEGIN PRIVATE KEY-----\n" * 20_000
+    assert found_in(text) == []
