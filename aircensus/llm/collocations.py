@@ -46,8 +46,8 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 BUDGET = 1 << 19
 #: log2 of the slots of prefixes.
 SLOTS_LOG2 = 18
-#: Keys that a task gathers before it counts equal ones.
-GATHER = 1 << 20
+#: Keys that a task gathers before it counts equal ones, suffixes of a block.
+GATHER, BLOCK = 1 << 19, 1 << 16
 
 #: Bytes that part pieces, and those that part words, after lower-casing.
 _CUT = np.zeros(256, dtype=bool)
@@ -116,25 +116,54 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class _Tally:
-    """Columns of keys, counted by their first column when there are many."""
+    """Columns of keys, counted by their first column whenever there are many; they leave only if equal ones no longer make room.
 
-    def __init__(self, schema: pa.Schema):
-        self.schema, self.parts, self.size = schema, [], 0
+    ``write`` turns the other columns and the counts into batches.
+    """
+
+    def __init__(self, write):
+        self.write, self.parts, self.size = write, [], 0
 
     def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append(columns)
-        self.size += len(columns[0])
+        if len(columns[0]):
+            self.parts.append((*columns, np.ones(len(columns[0]), np.int64)))
+            self.size += len(columns[0])
         if self.size >= GATHER:
-            yield from self.flush()
+            self._count()
+            if self.size > GATHER // 2:
+                yield from self.flush()
+
+    def _count(self) -> None:
+        columns = [np.concatenate(c) for c in zip(*self.parts)]
+        order = np.argsort(columns[0], kind="stable")
+        key = columns[0][order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        self.parts = [(*(c[order[first]] for c in columns[:-1]), np.add.reduceat(columns[-1][order], first))]
+        self.size = len(first)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.size:
-            columns = [np.concatenate(c) for c in zip(*self.parts)]
-            self.parts, self.size = [], 0
-            _, at, n = np.unique(columns[0], return_index=True, return_counts=True)
-            columns = [c[at] for c in columns[1:]] + [n]
-            for lo in range(0, len(n), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(common.signed(c[lo : lo + 20_000].astype(np.uint64))) for c in columns], schema=self.schema)
+            self._count()
+            (_, *columns), self.parts, self.size = self.parts[0], [], 0
+            yield from self.write([common.signed(c.astype(np.uint64)) for c in columns])
+
+
+def _as_rows(schema: pa.Schema):
+    def write(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(columns[0]), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 20_000]) for c in columns], schema=schema)
+
+    return write
+
+
+def _as_blocks(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The suffixes of each group as blocks of whole numbers, a suffix a row; the first column is the group."""
+    order = np.argsort(columns[0], kind="stable")
+    group, table = columns[0][order], np.stack(columns[1:], axis=1)[order]
+    cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(group)]):
+        for at in range(lo, hi, BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array(group[at : at + 1]), pa.array([table[at : min(hi, at + BLOCK)].tobytes()], pa.binary())], ["group", "block"])
 
 
 def _longs(names: list[str]) -> tuple[str, pa.Schema]:
@@ -169,7 +198,7 @@ def prefix_counts(docs: DataFrame, depth: int, words, pairs, over: dict) -> Data
     ddl, schema = _longs([*names, "f"])
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally(schema)
+        tally = _Tally(_as_rows(schema))
         for batch in it:
             for *_, h, joined in _chunks(batch):
                 at = np.flatnonzero(_places(h, joined, words.value, pairs.value if pairs else None) >= depth)
@@ -208,12 +237,10 @@ def pack(totals: dict[int, int], budget: int) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame, words, pairs, over: dict, group) -> DataFrame:
-    """group, w1 .. w5 (0 beyond the end), k (words), p (words of the prefix), f: the suffixes longer than their prefix."""
-    names = ["group", *(f"w{i + 1}" for i in range(LONGEST)), "k", "p", "f"]
-    ddl, schema = _longs(names)
+    """group, block: the suffixes longer than their prefix, as rows of five words (0 beyond the end), number of words, words of the prefix, count."""
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally(schema)
+        tally = _Tally(_as_blocks)
         for batch in it:
             for *_, h, joined in _chunks(batch):
                 length = _places(h, joined, words.value, pairs.value)
@@ -233,14 +260,13 @@ def suffixes(docs: DataFrame, words, pairs, over: dict, group) -> DataFrame:
                     g = _grams(h, at, p + 1)
         yield from tally.flush()
 
-    return docs.mapInArrow(emit, ddl)
+    return docs.mapInArrow(emit, "group long, block binary")
 
 
 def subtrees(rows: pa.Table, least: int) -> pa.Table:
     """words, f: the nodes below the prefixes of a group with ``least`` occurrences or more."""
-    names = [f"w{i + 1}" for i in range(LONGEST)]
-    w = np.stack([rows[c].to_numpy() for c in names])
-    k, p, f = (rows[c].to_numpy() for c in ("k", "p", "f"))
+    table = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, LONGEST + 3) for b in rows["block"].to_pylist()]).T
+    w, (k, p, f) = table[:LONGEST], table[LONGEST:]
     order = np.lexsort(w[::-1])
     w, k, p, f = w[:, order], k[order], p[order], f[order]
     changed = np.zeros(len(k), dtype=bool)
