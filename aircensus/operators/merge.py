@@ -61,6 +61,7 @@ PASSPORT = (*_each("band_ind q_rx_lev_min q_rx_lev_min_offset rac", "{} <> 0"),
 #: Flags that only a full identity, or one that fills a gap, may set.
 FLAGS = ("barred", "reselection_allowed", "reserved", "csg")
 #: Of a neighbour that a cell measures, and of a carrier that it advertises.
+SOURCES = ("meas", "intra", "inter", "geran", "gsm", "utra", "wcdma")  # of a neighbour, the first that names it wins
 MEASURED = (*_each("rsrp rsrq rssi snr", "{} is not null"), *_each("nb_offset", "{} <> 0"))
 CARRIER = _each("nb_thresh_high nb_thresh_low nb_rx_lev_min nb_priority nb_bandwidth", "{} <> 0")
 

@@ -122,11 +122,32 @@ def rank_allowed(registry: DataFrame, keys: DataFrame, n: int = 16, full_walk: b
     return _rank(_with_camps(out, registry), _general_order(full_walk), n).select(*CELL, "rsrp", "place")
 
 
-def rank_wcdma(registry: DataFrame, n: int = 16) -> DataFrame:
-    """WCDMA rows by concrete code, camps of the operator, completeness, strength."""
-    rows = registry.filter((F.col("rat") == "WCDMA") & F.col("freq").between(1, 16383) & F.col("phy").between(0, 511) & ~F.col("ever_serving"))
-    camps = registry.filter("rat = 'WCDMA' and ever_serving and mcc <> 0").groupBy("session_id", "mcc", "mnc").agg(F.count("*").alias("plmn_camps"))
-    out = rows.join(camps, ["session_id", "mcc", "mnc"], "left").withColumns({"plmn_camps": F.coalesce("plmn_camps", F.lit(0)), "rsrp": F.coalesce("rsrp", F.lit(TOLD)), "has_full": P.is_full_wcdma()})
+SEED = -158.0
+
+
+def rank_wcdma(registry: DataFrame, told: DataFrame | None = None, n: int = 16) -> DataFrame:
+    """WCDMA targets: concrete codes before channels, then rare operators, what is incomplete, and strength.
+
+    Candidates are the rows that never served, the neighbours that WCDMA cells name
+    (-155 without a level) and the channels that LTE cells name (code 0, -158);
+    both take the teller's PLMN.  A key keeps its strongest level, and the PLMN of
+    its complete candidate, else of the strongest that has one.
+    """
+    legal = F.col("freq").between(1, 16383) & F.col("phy").between(0, 511)
+    level = F.coalesce("rscp", "rsrp") if "rscp" in registry.columns else F.col("rsrp")
+    wcdma = registry.filter("rat = 'WCDMA'")
+    heard = F.when((level > -120) & (level < 0), level).otherwise(UNKNOWN)
+    every = wcdma.filter(~F.col("ever_serving") | (F.col("phy") == 0)).select(*CELL, heard.alias("rsrp"), "mcc", "mnc", F.coalesce(P.is_full_wcdma(), F.lit(False)).alias("has_full"))
+    if told is not None:
+        named = told.filter(F.col("source").isin("wcdma", "utra")).join(registry.select("session_id", "rat", "freq", "phy", "mcc", "mnc"), ["session_id", "rat", "freq", "phy"], "left")
+        seed = F.col("source") == "utra"
+        weight = F.when(seed, SEED).otherwise(F.coalesce("m_rscp", F.lit(TOLD)) if "m_rscp" in told.columns else F.lit(TOLD))
+        every = every.unionByName(named.select("session_id", F.col("nb_freq").alias("freq"), F.when(seed, 0).otherwise(F.col("nb_phy")).alias("phy"), weight.alias("rsrp"), "mcc", "mnc", F.lit(False).alias("has_full")))
+    by = F.when(F.coalesce(F.col("mcc") != 0, F.lit(False)), F.struct("has_full", "rsrp", "mcc", "mnc"))
+    best = every.filter(legal).groupBy(*CELL).agg(F.max("rsrp").alias("rsrp"), F.bool_or("has_full").alias("has_full"), F.max(by).alias("_p"))
+    best = best.withColumns({"mcc": F.col("_p.mcc"), "mnc": F.col("_p.mnc")}).drop("_p")
+    camps = wcdma.filter("ever_serving and mcc <> 0").groupBy("session_id", "mcc", "mnc").agg(F.count("*").alias("plmn_camps"))
+    out = best.join(camps, ["session_id", "mcc", "mnc"], "left").withColumn("plmn_camps", F.coalesce("plmn_camps", F.lit(0)))
     order = [(F.col("phy") > 0).desc(), F.col("plmn_camps").asc(), F.col("has_full").asc(), F.col("rsrp").desc(), F.col("freq").asc(), F.col("phy").asc()]
     return _rank(out, order, n).select(*CELL, "rsrp", "place")
 

@@ -185,7 +185,7 @@ def expand_neighbours(events: DataFrame) -> DataFrame:
         return rows
     level = {"LTE": "rsrp", "NR": "rsrp", "GSM": "rxlev", "WCDMA": "rscp"}
     measured = reduce(lambda a, b: a | b, ((F.col("rat") == r) & F.coalesce(F.col(c) != 0, F.lit(False)) for r, c in level.items() if c in rows.columns), F.lit(False))
-    heard = F.when(measured & ~_no(F.col("nb_source") == "inter"), "heard")
+    heard = F.when(measured & _no((F.col("rat") != "LTE") | (F.col("nb_source") == "meas")), "heard")
     cgi = F.when(F.col("cgi_cid") != 0, "named") if "cgi_cid" in rows.columns else F.lit(None).cast("string")
     kinds = F.array_compact(F.array("kind", F.lit("told"), heard, cgi))
     out = rows.withColumn("_k", F.explode(F.when(_no(_legal()), kinds).otherwise(F.array("kind"))))
@@ -213,6 +213,23 @@ def merge_neighbour_lists(events: DataFrame) -> DataFrame:
     )
 
 
+def told_neighbours(events: DataFrame) -> DataFrame:
+    """Each neighbour that a cell names, once: the first source in the order of ``merge.SOURCES``, and what it measured last.
+
+    A carrier or channel told without a code has a null nb_phy.  Measured levels
+    (m_*) are those of the source that measures; c_* is a reported identity.
+    """
+    rows = with_at(events).filter("kind = 'neighbour' and nb_freq is not null")
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, M.SOURCES)), F.col("nb_source")), F.lit(99))
+    levels = [c for c in ("rsrp", "rsrq", "snr", "rssi") if c in rows.columns]
+    measured = [F.max_by(c, F.when((F.col("nb_source") == "meas") & F.col(c).isNotNull(), F.col("at"))).alias(f"m_{c}") for c in levels]
+    if "rscp" in rows.columns:
+        measured.append(F.max_by("rscp", F.when((F.col("nb_source") == "wcdma") & (F.col("rscp") != 0), F.col("at"))).alias("m_rscp"))
+    if "cgi_cid" in rows.columns:
+        measured += [F.min_by(f"cgi_{c}", F.when(F.col("cgi_cid") != 0, F.col("at"))).alias(f"c_{c}") for c in M.IDENTITY]
+    return rows.groupBy(*KEY, "nb_freq", "nb_phy").agg(F.min_by("nb_source", rank).alias("source"), F.count("*").alias("reports"), *measured)
+
+
 def merge_measured(events: DataFrame) -> DataFrame:
     """What each LTE or NR cell measures of each neighbour on its own carrier: the last of each level, the last offset that is not zero."""
     rows = with_at(events)

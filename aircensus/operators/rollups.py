@@ -96,7 +96,7 @@ def site_tree(registry: DataFrame) -> DataFrame:
         (~F.col("is_serving")).alias("a"), (~F.col("ever_serving")).alias("b"), (-F.coalesce("rsrp", F.lit(-999.0))).alias("c"), "freq", "phy", "session_id"
     )
     grouped = towers.groupBy(S.format_plmn("mcc", "mnc").alias("plmn"), S.enb_id("cid").alias("enb")).agg(
-        F.count("*").alias("cells"), F.max("rsrp").alias("best_rsrp"), F.min_by("tac", F.struct("freq", "phy", "session_id")).alias("tac"), F.array_sort(F.collect_list(cell)).alias("_cells")
+        F.count("*").alias("cells"), F.max("rsrp").alias("best_rsrp"), F.min_by("tac", F.when(F.col("tac").isNotNull(), F.struct("freq", "phy", "session_id"))).alias("tac"), F.array_sort(F.collect_list(cell)).alias("_cells")
     )
     listed = F.array_join(F.transform("_cells", lambda c: F.concat_ws("/", c["freq"], c["phy"])), ";")
     return grouped.withColumn("cell_list", listed).drop("_cells")

@@ -11,19 +11,32 @@ from ..functions import scalars as S
 from .registry import KEY
 
 
+OVERLAID = ("rsrp", "rsrq", "snr", "rssi")
+
+
 def resolve_neighbours(registry: DataFrame, told: DataFrame) -> DataFrame:
     """Each cell's neighbours, once, with what the registry knows of them.
 
-    ``told``: session_id, rat, freq, phy (the teller), nb_freq, nb_phy, source,
-    reports.  Only keys are joined; a miss is a stub with resolved = false.  The
-    teller itself is dropped; of several sources 'meas' comes first.
+    ``told``: what ``registry.told_neighbours`` gives.  Only keys are joined; a miss
+    is a stub with resolved = false, which a carrier without a code always is.  The
+    teller itself is dropped.  A level that the teller measured goes before the
+    registry's, an identity that it reported fills what the registry lacks.
     """
-    rank = F.when(F.col("source") == "meas", 0).otherwise(1)
-    once = W.partitionBy(*KEY, "nb_freq", "nb_phy").orderBy(rank)
-    own = (F.col("nb_freq") == F.col("freq")) & (F.col("nb_phy") == F.col("phy"))
-    edges = told.filter(~own).withColumn("_r", F.row_number().over(once)).filter("_r = 1").drop("_r")
-    known = registry.select("session_id", "rat", F.col("freq").alias("nb_freq"), F.col("phy").alias("nb_phy"), F.col("cid").alias("nb_cid"), F.col("tac").alias("nb_tac"), F.col("rsrp").alias("nb_rsrp"), F.lit(True).alias("resolved"))
-    return edges.join(known, ["session_id", "rat", "nb_freq", "nb_phy"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    edges = told.filter(~F.coalesce((F.col("nb_freq") == F.col("freq")) & (F.col("nb_phy") == F.col("phy")), F.lit(False)))
+    levels = [c for c in OVERLAID if f"m_{c}" in told.columns]
+    fields = ["mcc", "mnc", "tac", "cid"]
+    known = registry.select("session_id", "rat", F.col("freq").alias("nb_freq"), F.col("phy").alias("nb_phy"), *(F.col(c).alias(f"nb_{c}") for c in (*fields, *dict.fromkeys(("rsrp", *levels)))), F.lit(True).alias("resolved"))
+    out = edges.join(known, ["session_id", "rat", "nb_freq", "nb_phy"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    over = {f"nb_{c}": F.coalesce(f"m_{c}", f"nb_{c}") for c in levels}
+    blanks = {f"nb_{c}": F.coalesce(f"nb_{c}", f"c_{c}") for c in fields if f"c_{c}" in told.columns}
+    return out.withColumns(over | blanks) if over or blanks else out
+
+
+def with_carriers(told: DataFrame) -> DataFrame:
+    """Adds a row without a code for each foreign carrier of which a cell names codes."""
+    inter = told.filter("source = 'inter' and nb_phy is not null").select(*KEY, "nb_freq").distinct()
+    stubs = told.filter("source = 'inter' and nb_phy is null").select(*KEY, "nb_freq")
+    return told.unionByName(inter.join(stubs, [*KEY, "nb_freq"], "left_anti").withColumns({"nb_phy": F.lit(None).cast("int"), "source": F.lit("inter"), "reports": F.lit(0).cast("long")}), allowMissingColumns=True)
 
 
 def _winner(scope: list[str], key: list[str]):

@@ -60,15 +60,14 @@ def registry_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared(spark, sf_dir, "registry", lambda: R.registry_of_bound(bound_of(spark, sf_dir)))
 
 
-def _told(bound: DataFrame) -> DataFrame:
-    """session_id, rat, freq, phy, nb_freq, nb_phy, source, reports: what each cell tells of its neighbours."""
-    lists = R.merge_neighbour_lists(bound)
-    return lists.select("session_id", "rat", "freq", "phy", "nb_freq", F.explode("pcis").alias("nb_phy"), "source", "reports")
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each cell tells of its neighbours, of all sources."""
+    return shared(spark, sf_dir, "lists", lambda: R.told_neighbours(bound_of(spark, sf_dir)))
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(registry, told) of one binding of the events."""
-    return registry_of(spark, sf_dir), shared(spark, sf_dir, "told", lambda: _told(bound_of(spark, sf_dir)))
+    return registry_of(spark, sf_dir), _lists(spark, sf_dir).filter("rat = 'LTE' and phy <> 0 and nb_phy between 1 and 503")
 
 
 # ---- B: scalars --------------------------------------------------------------------------------
@@ -322,7 +321,7 @@ def _(spark, d):
     return R.serving_flags(bound_of(spark, d))
 
 
-@on_registry("r11_neighbour_rows", "SELECT session_id, seq, nb_freq AS freq, nb_phy AS phy, CASE WHEN nb_freq = freq THEN mcc END AS nb_mcc, phy AS from_phy FROM obs WHERE kind = 'neighbour' AND nb_phy BETWEEN 1 AND 503")
+@on_registry("r11_neighbour_rows", "SELECT session_id, seq, nb_freq AS freq, nb_phy AS phy, CASE WHEN nb_freq = freq AND rat = 'LTE' THEN mcc END AS nb_mcc, phy AS from_phy FROM named WHERE TRUE")
 def _(spark, d):
     return R.neighbour_rows(observations(spark, d)).select("session_id", "seq", "freq", "phy", "nb_mcc", "from_phy")
 
@@ -337,7 +336,7 @@ def _(spark, d):
 @on_registry(
     "r12_measured_neighbours",
     "SELECT session_id, freq, phy, nb_phy, count(*) AS reports, arg_max(rsrp, seq) AS rsrp, arg_max(rsrq, seq) AS rsrq, arg_max(rssi, seq) FILTER (WHERE rssi IS NOT NULL) AS rssi,"
-    " arg_max(nb_offset, seq) FILTER (WHERE nb_offset <> 0) AS nb_offset FROM obs WHERE kind = 'neighbour' AND nb_freq = freq AND nb_phy <= 503 GROUP BY session_id, freq, phy, nb_phy",
+    " arg_max(nb_offset, seq) FILTER (WHERE nb_offset <> 0) AS nb_offset FROM obs WHERE kind = 'neighbour' AND rat = 'LTE' AND nb_freq = freq AND nb_phy <= 503 GROUP BY session_id, freq, phy, nb_phy",
 )
 def _(spark, d):
     return R.merge_measured(observations(spark, d)).select("session_id", "freq", "phy", "nb_phy", "reports", "rsrp", "rsrq", "rssi", "nb_offset")
@@ -483,16 +482,27 @@ def _(spark, d):
 
 @on_registry(
     "g1_resolve_neighbours",
-    "SELECT t.session_id, t.freq, t.phy, t.nb_freq, t.nb_phy, r.cid AS nb_cid, r.rsrp AS nb_rsrp, r.phy IS NOT NULL AS resolved FROM told t LEFT JOIN reg r ON r.session_id = t.session_id AND r.rat = t.rat AND r.freq = t.nb_freq AND r.phy = t.nb_phy WHERE NOT (t.nb_freq = t.freq AND t.nb_phy = t.phy)",
+    "SELECT t.session_id, t.freq, t.phy, t.nb_freq, t.nb_phy, r.cid AS nb_cid, coalesce(m_rsrp, r.rsrp) AS nb_rsrp, coalesce(m_rsrq, r.rsrq) AS nb_rsrq, r.phy IS NOT NULL AS resolved FROM told t LEFT JOIN reg r ON r.session_id = t.session_id AND r.rat = t.rat AND r.freq = t.nb_freq AND r.phy = t.nb_phy WHERE NOT (t.nb_freq = t.freq AND t.nb_phy = t.phy)",
 )
 def _(spark, d):
     out = towers.resolve_neighbours(*snapshot(spark, d))
-    return out.select("session_id", "freq", "phy", "nb_freq", "nb_phy", "nb_cid", "nb_rsrp", "resolved")
+    return out.select("session_id", "freq", "phy", "nb_freq", "nb_phy", "nb_cid", "nb_rsrp", "nb_rsrq", "resolved")
+
+
+@on_registry(
+    "g2_neighbour_sources",
+    "SELECT session_id, rat, freq, phy, nb_freq, nb_phy, source, reports FROM lists WHERE NOT coalesce(nb_freq = freq AND nb_phy = phy, FALSE)"
+    " UNION ALL SELECT DISTINCT session_id, rat, freq, phy, nb_freq, NULL::INT, 'inter', 0 FROM lists l WHERE source = 'inter' AND nb_phy IS NOT NULL"
+    " AND NOT EXISTS (FROM lists k WHERE k.session_id = l.session_id AND k.rat = l.rat AND k.freq = l.freq AND k.phy = l.phy AND k.nb_freq = l.nb_freq AND k.nb_phy IS NULL AND k.source = 'inter')",
+)
+def _(spark, d):
+    out = towers.resolve_neighbours(registry_of(spark, d), towers.with_carriers(_lists(spark, d)))
+    return out.select(*R.KEY, "nb_freq", "nb_phy", "source", "reports")
 
 
 def _sides(spark, d):
     """Two surveys: the cells of the even and of the odd sessions, each cell as its latest session has it."""
-    cells = registry_of(spark, d).select("session_id", *towers.IDENTITY, "rsrp", "last_seq", "is_serving", F.col("last_seq").alias("row_no"))
+    cells = registry_of(spark, d).select("session_id", *towers.IDENTITY, "rsrp", "last_seq", "is_serving", F.coalesce("last_seq", "first_seq").alias("row_no"))
     latest = W.partitionBy(F.col("session_id") % 2, "rat", "freq", "phy").orderBy(F.desc("last_seq"), "session_id")
     cells = cells.withColumn("_r", F.row_number().over(latest)).filter("_r = 1").drop("_r")
     return cells.filter("session_id % 2 = 0"), cells.filter("session_id % 2 = 1")
@@ -620,9 +630,14 @@ def _(spark, d):
     return ranking.pending_keys(*snapshot(spark, d))
 
 
-@register("g15_bare_carriers", f"WITH {sql.REGISTRY}{_ADVERTISED} SELECT t.session_id, t.nb_freq AS freq, t.nb_freq < 36000 AND t.nb_freq <> 32768 AS fdd FROM told0 t JOIN served s ON s.session_id = t.session_id AND s.freq = t.freq AND s.phy = t.phy WHERE t.nb_freq <> t.freq AND NOT EXISTS (FROM reg r WHERE r.rat = 'LTE' AND r.phy <> 0 AND r.session_id = t.session_id AND r.freq = t.nb_freq) GROUP BY ALL HAVING max(t.nb_phy) <= 0")
+@register(
+    "g15_bare_carriers",
+    f"WITH {sql.REGISTRY}{_ADVERTISED} SELECT t.session_id, t.nb_freq AS freq, t.nb_freq < 36000 AND t.nb_freq <> 32768 AS fdd FROM lists t"
+    " JOIN served s ON s.session_id = t.session_id AND s.freq = t.freq AND s.phy = t.phy WHERE t.rat = 'LTE' AND t.source <> 'utra' AND t.nb_freq <> t.freq"
+    " AND NOT EXISTS (FROM reg r WHERE r.rat = 'LTE' AND r.phy <> 0 AND r.session_id = t.session_id AND r.freq = t.nb_freq) GROUP BY ALL HAVING count(*) FILTER (WHERE t.nb_phy > 0) = 0",
+)
 def _(spark, d):
-    told = observations(spark, d).filter("kind = 'neighbour' and rat = 'LTE' and phy <> 0 and nb_phy <= 503")
+    told = _lists(spark, d).filter("rat = 'LTE' and phy <> 0 and source <> 'utra'")
     return ranking.bare_carriers(registry_of(spark, d), told)
 
 
@@ -667,7 +682,7 @@ def _(spark, d):
 
 
 _WALK = f""", own AS (SELECT session_id, freq, phy, coalesce(rsrp, -160) AS rsrp, coalesce({sql.FULL_LTE}, FALSE) AS f, mcc, mnc, ever_serving AS camped FROM reg WHERE rat = 'LTE'
-  UNION ALL SELECT session_id, nb_freq, nb_phy, -155, FALSE, NULL, NULL, FALSE FROM told),
+  UNION ALL SELECT session_id, nb_freq, nb_phy, -155, FALSE, NULL, NULL, FALSE FROM told WHERE source IN ('meas', 'inter')),
 tg AS (SELECT session_id, freq, phy, max(rsrp)::DOUBLE AS rsrp, bool_or(f) AS has_full, bool_or(camped) AS camped, arg_max(mcc, (f, rsrp)) FILTER (WHERE mcc <> 0) AS mcc, arg_max(mnc, (f, rsrp)) FILTER (WHERE mcc <> 0) AS mnc FROM own WHERE {_BANDED} GROUP BY ALL)"""
 _CAMPS = "greatest(coalesce(c.plmn_camps, 0), coalesce(max_plmn_camps, 0)) AS camps, coalesce(full_on_earfcn, 0) AS n FROM {} t LEFT JOIN frontier USING (session_id, freq) LEFT JOIN camps c USING (session_id, mcc, mnc)"
 _GENERAL = f"{_FDD} DESC, n > 0, camps, rsrp > -154 DESC, n, has_full, rsrp DESC, freq, phy"
@@ -699,11 +714,18 @@ def _(spark, d):
 
 @register(
     "i9_rank_wcdma",
-    f"WITH {sql.REGISTRY}, c AS (SELECT session_id, mcc, mnc, count(*) AS k FROM reg WHERE rat = 'WCDMA' AND ever_serving AND mcc <> 0 GROUP BY ALL), z AS (SELECT r.session_id, freq, phy, coalesce(rsrp, -155)::DOUBLE AS rsrp, coalesce(k, 0) AS k, coalesce({sql.FULL_WCDMA}, FALSE) AS f FROM reg r LEFT JOIN c USING (session_id, mcc, mnc) WHERE rat = 'WCDMA' AND freq BETWEEN 1 AND 16383 AND phy BETWEEN 0 AND 511 AND NOT ever_serving)"
-    " SELECT session_id, freq, phy, rsrp, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY phy > 0 DESC, k, f, rsrp DESC, freq, phy) AS place FROM z) WHERE place <= 16",
+    f"""WITH {sql.REGISTRY},
+c AS (SELECT session_id, mcc, mnc, count(*) AS k FROM reg WHERE rat = 'WCDMA' AND ever_serving AND mcc <> 0 GROUP BY ALL),
+x AS (SELECT session_id, freq, phy, CASE WHEN coalesce(rscp, rsrp) > -120 AND coalesce(rscp, rsrp) < 0 THEN coalesce(rscp, rsrp) ELSE -160 END AS level, mcc, mnc, coalesce({sql.FULL_WCDMA}, FALSE) AS f
+    FROM reg WHERE rat = 'WCDMA' AND (NOT ever_serving OR phy = 0)
+  UNION ALL SELECT l.session_id, nb_freq, CASE source WHEN 'utra' THEN 0 ELSE nb_phy END, CASE source WHEN 'utra' THEN -158 ELSE coalesce(m_rscp, -155) END, mcc, mnc, FALSE
+    FROM lists l LEFT JOIN reg r ON r.session_id = l.session_id AND r.rat = l.rat AND r.freq = l.freq AND r.phy = l.phy WHERE source IN ('wcdma', 'utra')),
+z AS (SELECT session_id, freq, phy, max(level)::DOUBLE AS rsrp, bool_or(f) AS f, max((f, level, mcc, mnc)) FILTER (WHERE mcc <> 0) AS p FROM x WHERE freq BETWEEN 1 AND 16383 AND phy BETWEEN 0 AND 511 GROUP BY ALL),
+y AS (SELECT z.session_id, freq, phy, rsrp, f, coalesce(k, 0) AS k FROM z LEFT JOIN c ON c.session_id = z.session_id AND c.mcc = p[3] AND c.mnc = p[4])
+SELECT session_id, freq, phy, rsrp, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY phy > 0 DESC, k, f, rsrp DESC, freq, phy) AS place FROM y) WHERE place <= 16""",
 )
 def _(spark, d):
-    return ranking.rank_wcdma(registry_of(spark, d))
+    return ranking.rank_wcdma(registry_of(spark, d), _lists(spark, d))
 
 
 @on_registry("i10_order_by_signal", "SELECT session_id, rat, freq, phy, is_serving, rsrp FROM reg")

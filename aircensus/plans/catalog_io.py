@@ -14,7 +14,7 @@ from ..operators.durable import durable
 from ..sources import files
 from ..streaming import live
 from . import sql
-from .catalog import observations, register, registry_of
+from .catalog import _lists, observations, register, registry_of
 from .catalog_packets import le_hex
 
 
@@ -36,7 +36,7 @@ def _text(fmt: str, *columns):
 
 # ---- T: modem text -----------------------------------------------------------------------------
 
-_SERVED = "rat = 'LTE' AND cid IS NOT NULL"
+_SERVED = "rat = 'LTE' AND cid IS NOT NULL AND tac IS NOT NULL"
 
 
 def _cmgrmi(spark, d) -> DataFrame:
@@ -45,7 +45,7 @@ def _cmgrmi(spark, d) -> DataFrame:
     inter = F.when(F.col("nb_source") == "inter", _text("\r\n+CMGRMI: LTE_Inter,1,Freq1,%d,2,0,0,0\r\n+CMGRMI: LTE_InterFreq1_Cell1,%d,-100,-946,-756,0", "nb_freq", "nb_phy"))
     intra = _text("\r\n+CMGRMI: LTE_Intra_Cell1,%d,-112,-914,-599,0", "nb_phy")
     head = _text("+CMGRMI: Main_Info,4,1\r\n+CMGRMI: Serving_Cell,%d,%d,%02d,%d,%d,%d,1,4,4,17,%d,-112,%d,-599,0", "freq", "mcc", "mnc", "tac", (F.col("seq") % 2000).cast("int"), "cid", "phy", level)
-    return _replies(lte, F.concat(head, F.coalesce(inter, intra), F.lit("\r\nOK")))
+    return _replies(lte, F.concat(head, F.coalesce(inter, intra, F.lit("")), F.lit("\r\nOK")))
 
 
 _CELLS = f"""WITH {sql.OBS}, l AS (SELECT * FROM obs WHERE {_SERVED}), s AS (SELECT *, phy BETWEEN 1 AND 503 AS ok FROM l),
@@ -67,25 +67,25 @@ def _(spark, d):
 
 
 def _cpsi(spark, d) -> DataFrame:
-    obs = observations(spark, d).filter("rat in ('LTE', 'WCDMA') AND cid IS NOT NULL")
+    obs = observations(spark, d).filter("rat in ('LTE', 'WCDMA') AND cid IS NOT NULL AND tac IS NOT NULL")
     lte = _text("+CPSI: LTE,Online,250-%02d,0x%X,%d,%d,EUTRAN-BAND7,%d,3,3,-69,-900,-661,20", "mnc", "tac", "cid", "phy", "freq")
     wcdma = _text("+CPSI: WCDMA,Online,250-%02d,0x%X,%d,WCDMA IMT 2000,%d,%d,0,4.0,%d,32,46,500", "mnc", "tac", "cid", "phy", "freq", (F.col("seq") % 121).cast("int"))
-    noise = F.lit("+CPSI: LTE,Online,250-20,0x4D07,200468759,0,EUTRAN-BAND0,4294967295,3,3,-69,-900,-661,20\r\n")
+    noise = F.lit("+CPSI: LTE,Online,250-20,0x1234,1234567,0,EUTRAN-BAND0,4294967295,3,3,-69,-900,-661,20\r\n")
     return _replies(obs, F.concat(noise, F.when(F.col("rat") == "LTE", lte).otherwise(wcdma), F.lit("\r\n+CPSI: NO SERVICE,Online\r\nOK")))
 
 
-@register("t3_cpsi", f"WITH {sql.OBS} SELECT session_id, seq, rat, mcc, mnc, tac, cid, freq, phy, CASE rat WHEN 'LTE' THEN -90.0::DOUBLE ELSE (seq % 121 - 116)::DOUBLE END AS level FROM obs WHERE cid IS NOT NULL AND (rat = 'LTE' AND phy BETWEEN 1 AND 503 OR rat = 'WCDMA')")
+@register("t3_cpsi", f"WITH {sql.OBS} SELECT session_id, seq, rat, mcc, mnc, tac, cid, freq, phy, CASE rat WHEN 'LTE' THEN -90.0::DOUBLE ELSE (seq % 121 - 116)::DOUBLE END AS level FROM obs WHERE cid IS NOT NULL AND tac IS NOT NULL AND (rat = 'LTE' AND phy BETWEEN 1 AND 503 OR rat = 'WCDMA')")
 def _(spark, d):
     return modem_text.parse_cpsi(_cpsi(spark, d)).select("session_id", "seq", "rat", "mcc", "mnc", "tac", "cid", "freq", "phy", "level")
 
 
-@register("t4_cereg", f"WITH {sql.OBS} SELECT session_id, seq, tac, cid FROM obs WHERE cid IS NOT NULL")
+@register("t4_cereg", f"WITH {sql.OBS} SELECT session_id, seq, tac, cid FROM obs WHERE cid IS NOT NULL AND tac IS NOT NULL")
 def _(spark, d):
     obs = observations(spark, d).select("session_id", "seq", F.coalesce("tac", F.lit(0)).alias("tac"), F.coalesce("cid", F.lit(0)).alias("cid"))
     return modem_text.parse_cereg(_replies(obs, _text('+CEREG: 2,1,"%X","%X",7\r\nOK', "tac", "cid")))
 
 
-@register("t4_cnwinfo", f"WITH {sql.OBS} SELECT session_id, seq, mcc, mnc, cid FROM obs WHERE rat = 'LTE' AND cid IS NOT NULL")
+@register("t4_cnwinfo", f"WITH {sql.OBS} SELECT session_id, seq, mcc, mnc, cid FROM obs WHERE {_SERVED}")
 def _(spark, d):
     obs = observations(spark, d).filter(_SERVED)
     return modem_text.parse_cnwinfo(_replies(obs, _text("+CNWINFO: LTE,%d%02d%d,17\r\nOK", "mcc", "mnc", "cid")))
@@ -103,7 +103,7 @@ def _(spark, d):
 
 @register("t6_observed_rat", f"WITH {sql.OBS} SELECT session_id, seq, CASE WHEN rat = 'LTE' OR rat = 'WCDMA' THEN rat WHEN rat = 'NR' THEN 'NR' WHEN j % 2 = 0 THEN 'GSM' ELSE 'NO_SERVICE' END AS observed FROM obs")
 def _(spark, d):
-    line = F.when(F.col("rat") == "LTE", "+CPSI: LTE,Limited").when(F.col("rat") == "WCDMA", "+CPSI: WCDMA,Online,250-20,0x4D07,4487261,B,38,10563,0,4.0,69").when(F.col("rat") == "NR", "+CPSI: NR5G_SA,Online").when(F.col("j") % 2 == 0, "+CPSI: GSM,Online").otherwise("+CPSI: NO SERVICE,Online")
+    line = F.when(F.col("rat") == "LTE", "+CPSI: LTE,Limited").when(F.col("rat") == "WCDMA", "+CPSI: WCDMA,Online,250-20,0x1234,7654321,B,38,10563,0,4.0,69").when(F.col("rat") == "NR", "+CPSI: NR5G_SA,Online").when(F.col("j") % 2 == 0, "+CPSI: GSM,Online").otherwise("+CPSI: NO SERVICE,Online")
     return modem_text.observed_rat(_replies(observations(spark, d), line))
 
 
@@ -165,19 +165,57 @@ def _(spark, d):
     return files.parse_scanner_log(observations(spark, d).select("seq", line.alias("line"))).drop("line")
 
 
-@register("a5_write_cells_csv", f"WITH {sql.REGISTRY} SELECT count(*) AS lines, count(*) FILTER (WHERE coalesce(cid, 0) <> 0) AS with_cid, count(rsrp) AS with_signal FROM reg")
+_A5 = f"""WITH {sql.REGISTRY},
+t AS (SELECT session_id, rat, freq, phy, CASE WHEN source IN ('wcdma', 'utra') THEN 'u' ELSE 'l' END AS g, nb_freq, nb_phy, coalesce(m_rsrp, m_rscp) AS level FROM lists WHERE source <> 'inter'),
+n AS (SELECT session_id, rat, freq, phy, count(*) FILTER (WHERE g = 'l') AS nl, count(*) FILTER (WHERE g = 'u') AS nu,
+    string_agg(nb_phy || coalesce(':' || trunc(level)::INT, ''), ';' ORDER BY nb_freq, nb_phy) FILTER (WHERE g = 'l') AS l,
+    string_agg(nb_freq || coalesce('/' || nb_phy, '') || coalesce(':' || trunc(level)::INT, ''), ';' ORDER BY nb_freq, nb_phy NULLS FIRST) FILTER (WHERE g = 'u') AS u FROM t GROUP BY ALL)
+SELECT r.rat, r.freq AS arfcn, CASE WHEN r.rat <> 'GSM' THEN r.phy END AS pci, CASE WHEN r.rat = 'GSM' THEN r.phy END AS bsic, mcc, mnc, nullif(tac, 0) AS lac, nullif(cid, 0) AS cid, trunc(coalesce(rsrp, rscp, rxlev)) AS signal_dbm, rsrq, snr,
+  is_serving::INT AS serving, seen::INT AS seen, bandwidth, ul_freq AS ul_arfcn, nullif(nl, 0)::INT AS nb_lte, nullif(nu, 0)::INT AS nb_umts, l AS nb_lte_detail, u AS nb_umts_detail
+FROM reg r LEFT JOIN n ON n.session_id = r.session_id AND n.rat = r.rat AND n.freq = r.freq AND n.phy = r.phy"""
+
+
+@register("a5_write_cells_csv", _A5)
 def _(spark, d):
     path = _folder(spark, "cells")
-    files.write_cells_csv(registry_of(spark, d), path)
-    raw = spark.read.option("header", True).csv(path)
-    return raw.agg(F.count("*").alias("lines"), F.count("cid").alias("with_cid"), F.count("signal_dbm").alias("with_signal"))
+    files.write_cells_csv(registry_of(spark, d), path, _lists(spark, d))
+    back = files.read_cells_csv(spark, path)
+    return back.select("rat", "arfcn", "pci", "bsic", "mcc", "mnc", "lac", "cid", "signal_dbm", "rsrq", "snr", "serving", "seen", "bandwidth", "ul_arfcn", "nb_lte", "nb_umts", "nb_lte_detail", "nb_umts_detail")
 
 
-@register("a6_write_towers_json", f"WITH {sql.REGISTRY} SELECT session_id, rat, rat || '|' || freq || '|' || phy AS key, coalesce(rsrp::VARCHAR, '') <> '' AS has_signal FROM reg")
-def _(spark, d):
+def _documents(spark, d, mode: str) -> str:
     path = _folder(spark, "towers")
-    files.write_towers_json(registry_of(spark, d), path)
-    return files.read_tower_rows(spark, path).select("session_id", "rat", "key", (F.element_at("signal", F.lit("rxl")) != "").alias("has_signal"))
+    files.write_towers_json(registry_of(spark, d), path, _lists(spark, d), mode)
+    return path
+
+
+_TOWER = "rat, rat || '|' || freq || '|' || phy AS key, CASE WHEN mcc IS NULL THEN '' ELSE mcc || '-' || lpad(mnc::VARCHAR, 2, '0') END AS mcc_mnc, coalesce(cid::VARCHAR, '') AS cid, freq::VARCHAR AS channel, phy::VARCHAR AS code, coalesce(coalesce(rsrp, rscp, rxlev)::VARCHAR, '') AS rxl"
+
+
+@register("a6_write_towers_json", f"WITH {sql.REGISTRY.rstrip().rstrip(',')} SELECT {_TOWER} FROM reg WHERE freq <> 0")
+def _(spark, d):
+    """Survey documents, written and read back."""
+    return files.read_towers_json(spark, _documents(spark, d, "survey"), one_a_line=True).select("rat", "key", "mcc_mnc", "cid", "channel", "code", "rxl")
+
+
+@register(
+    "a6_tower_neighbours",
+    f"""WITH {sql.REGISTRY},
+e AS (SELECT session_id, rat, freq, phy, nb_freq, nb_phy, source, m_rsrp, m_rscp FROM lists WHERE NOT coalesce(nb_freq = freq AND nb_phy = phy, FALSE)
+  UNION ALL SELECT DISTINCT session_id, rat, freq, phy, nb_freq, NULL::INT, 'inter', NULL::DOUBLE, NULL::DOUBLE FROM lists l WHERE source = 'inter' AND nb_phy IS NOT NULL
+    AND NOT EXISTS (FROM lists k WHERE k.session_id = l.session_id AND k.rat = l.rat AND k.freq = l.freq AND k.phy = l.phy AND k.nb_freq = l.nb_freq AND k.nb_phy IS NULL AND k.source = 'inter'))
+SELECT e.rat || '|' || e.freq || '|' || e.phy AS key, CASE WHEN source IN ('wcdma', 'utra') THEN 'nb_umts' ELSE 'nb_lte' END AS nb_group, CASE WHEN source IN ('wcdma', 'utra') THEN 'WCDMA' ELSE 'LTE' END AS nb_rat,
+  CASE WHEN r.rat IS NULL THEN '0' ELSE '1' END AS resolved, e.nb_freq::VARCHAR AS channel, coalesce(e.nb_phy::VARCHAR, '') AS code, coalesce(r.cid::VARCHAR, '') AS cid, coalesce(coalesce(m_rsrp, r.rsrp, m_rscp)::VARCHAR, '') AS rxl
+FROM e JOIN reg t ON t.session_id = e.session_id AND t.rat = e.rat AND t.freq = e.freq AND t.phy = e.phy
+LEFT JOIN reg r ON r.session_id = e.session_id AND r.rat = e.rat AND r.freq = e.nb_freq AND r.phy = e.nb_phy""",
+)
+def _(spark, d):
+    return files.read_tower_neighbours(spark, _documents(spark, d, "survey"), one_a_line=True).drop("pos")
+
+
+@register("a6_complete_towers", f"WITH {sql.REGISTRY.rstrip().rstrip(',')} SELECT rat || '|' || freq || '|' || phy AS key FROM (SELECT *, row_number() OVER (PARTITION BY session_id, rat, cid ORDER BY last_seq DESC NULLS LAST, phy <> 0 DESC, seen DESC NULLS LAST, freq, phy) AS rn FROM reg WHERE {sql.COMPLETE}) WHERE rn = 1")
+def _(spark, d):
+    return files.read_towers_json(spark, _documents(spark, d, "complete"), one_a_line=True).select("key")
 
 
 # ---- C: packets --------------------------------------------------------------------------------
@@ -190,7 +228,7 @@ def _identity_packets(spark, d) -> DataFrame:
     return obs.select("session_id", "seq", F.lit(0xB0C2).alias("log_code"), F.unhex(body).alias("payload"))
 
 
-@register("c4_decode_packets", f"WITH {sql.OBS} SELECT session_id, seq, k AS kind, freq::BIGINT AS freq, phy::BIGINT AS phy, CASE k WHEN 'passport' THEN cid END AS cid, CASE k WHEN 'passport' THEN mnc::BIGINT END AS mnc FROM (SELECT *, unnest(CASE WHEN cid IS NOT NULL THEN ['radio', 'passport'] ELSE ['radio'] END) AS k FROM obs WHERE rat = 'LTE' AND phy <= 503)")
+@register("c4_decode_packets", f"WITH {sql.OBS} SELECT session_id, seq, k AS kind, freq::BIGINT AS freq, phy::BIGINT AS phy, CASE k WHEN 'passport' THEN cid END AS cid, CASE k WHEN 'passport' THEN mnc::BIGINT END AS mnc FROM (SELECT *, unnest(CASE WHEN cid IS NOT NULL AND tac IS NOT NULL THEN ['radio', 'passport'] ELSE ['radio'] END) AS k FROM obs WHERE rat = 'LTE' AND phy <= 503)")
 def _(spark, d):
     return decode.decode_packets(_identity_packets(spark, d)).select("session_id", "seq", "kind", "freq", "phy", "cid", "mnc")
 
@@ -236,7 +274,7 @@ def _(spark, d):
     return out.withColumn("payload", F.hex("payload"))
 
 
-@register("c11_bind_keys", f"WITH {sql.OBS} SELECT session_id, seq, 1 AS sub_seq, freq::BIGINT AS freq, phy::BIGINT AS phy FROM obs WHERE rat = 'LTE' AND phy <= 503 AND cid IS NOT NULL")
+@register("c11_bind_keys", f"WITH {sql.OBS} SELECT session_id, seq, 1 AS sub_seq, freq::BIGINT AS freq, phy::BIGINT AS phy FROM obs WHERE rat = 'LTE' AND phy <= 503 AND cid IS NOT NULL AND tac IS NOT NULL")
 def _(spark, d):
     events = decode.decode_packets(_identity_packets(spark, d))
     loose = events.withColumns({c: F.when(F.col("kind") == "radio", F.col(c)) for c in ("freq", "phy")})
@@ -249,7 +287,7 @@ def _(spark, d):
 def _stream(spark, d) -> DataFrame:
     """The observations as a file stream."""
     path = _folder(spark, "stream-in")
-    observations(spark, d).select("session_id", "seq", F.col("wall_time").cast("timestamp").alias("wall_time"), "rat", "freq", "phy", "kind", "mcc", "mnc", "tac", "cid", "rsrp", "i").write.parquet(path)
+    observations(spark, d).withColumn("wall_time", F.col("wall_time").cast("timestamp")).write.parquet(path)
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
@@ -264,7 +302,7 @@ def _drain(spark, stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path}/part=*")
 
 
-@register("k1_stream_registry", f"WITH {sql.OBS}, s AS (SELECT session_id, rat, arg_max((freq, phy), seq) AS at FROM obs WHERE kind = 'serving' GROUP BY ALL) SELECT o.session_id, o.rat, o.freq, o.phy, count(*) AS seen, arg_max(rsrp, seq) FILTER (WHERE kind = 'signal' AND rsrp BETWEEN -150 AND -40) AS rsrp, coalesce(any_value(s.at = (o.freq, o.phy)), FALSE) AS is_serving FROM obs o LEFT JOIN s USING (session_id, rat) WHERE kind <> 'neighbour' GROUP BY ALL")
+@register("k1_stream_registry", f"WITH {sql.OBS}, s AS (SELECT session_id, rat, arg_max((freq, phy), seq) AS at FROM obs WHERE kind = 'serving' GROUP BY ALL) SELECT o.session_id, o.rat, o.freq, o.phy, count(*) AS seen, arg_max(rsrp, seq) FILTER (WHERE kind = 'signal' AND (rat = 'NR' OR rsrp BETWEEN -150 AND -40)) AS rsrp, coalesce(any_value(s.at = (o.freq, o.phy)), FALSE) AS is_serving FROM obs o LEFT JOIN s USING (session_id, rat) WHERE kind <> 'neighbour' GROUP BY ALL")
 def _(spark, d):
     cells = _drain(spark, live.stream_cells(_stream(spark, d), period=None, delay="3650 days"), "update")
     cells = cells.groupBy(*R.KEY).agg(F.max_by(F.struct("seen", "rsrp"), "batch_id").alias("c")).select(*R.KEY, "c.*")
@@ -273,17 +311,18 @@ def _(spark, d):
     return live.with_serving(cells, serving)
 
 
-@register("k2_stream_identified", f"WITH {sql.OBS} SELECT DISTINCT session_id, cid AS eci FROM obs WHERE rat = 'LTE' AND kind = 'passport' AND cid IS NOT NULL AND phy <> 0")
+@register("k2_stream_identified", f"WITH {sql.OBS} SELECT DISTINCT session_id, cid AS eci FROM obs WHERE rat = 'LTE' AND kind = 'passport' AND cid IS NOT NULL AND tac IS NOT NULL AND phy <> 0")
 def _(spark, d):
     passports = _stream(spark, d).filter("kind = 'passport'")
     return _drain(spark, live.stream_identified(passports, delay="36500 days"), "append").select("session_id", "eci")
 
 
-@register("k4_publish_snapshots", f"WITH {sql.OBS} SELECT count(*) AS published, count(DISTINCT seq) AS events FROM obs")
+@register("k4_publish_snapshots", f"WITH {sql.OBS} SELECT session_id, seq, rat, freq, phy, kind, cid FROM obs")
 def _(spark, d):
     path = _folder(spark, "snapshots")
     live.publish_snapshots(_stream(spark, d), path, _folder(spark, "snapshots-state"), None).awaitTermination()
-    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").agg(F.count("*").alias("published"), F.count_distinct("seq").alias("events"))
+    live.latest_snapshot(spark, path).limit(1).count()
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").select("session_id", "seq", "rat", "freq", "phy", "kind", "cid")
 
 
 @register("k5_stream_code_counts", f"WITH {sql.OBS} SELECT date_trunc('hour', wall_time) AS start, (45056 + i)::INT AS log_code, count(*) AS packets FROM obs GROUP BY ALL")

@@ -164,8 +164,8 @@ def _(spark, d):
 @register("c7_gsm", f"""WITH {sql.OBS}, g AS (SELECT *, -((seq % 1600) // 16) AS level FROM obs WHERE rat = 'GSM')
 SELECT session_id, seq, unnest(['radio', 'serving']) AS kind, freq::BIGINT AS freq, phy::BIGINT AS phy, NULL::BIGINT AS cid, NULL::BIGINT AS tac, NULL::BIGINT AS mnc,
     NULL::BIGINT AS rxlev, NULL::BIGINT AS max_tx, NULL::BIGINT AS rxlev_min, NULL::BIGINT AS reselect_offset, NULL::BIGINT AS penalty_time, NULL::DOUBLE AS snr FROM g WHERE i = 0 AND cid IS NULL
-UNION ALL SELECT session_id, seq, unnest(['radio', 'serving', 'passport']), freq, phy, unnest([NULL, NULL, cid]), unnest([NULL, NULL, tac]), unnest([NULL, NULL, mnc]), NULL, NULL, NULL, NULL, NULL, NULL FROM g WHERE i = 0 AND cid IS NOT NULL
-UNION ALL SELECT session_id, seq, unnest(['radio', 'passport']), NULL, NULL, unnest([NULL, cid]), unnest([NULL, tac]), unnest([NULL, mnc]), NULL, unnest([5, NULL]), unnest([8, NULL]), unnest([j, NULL]), unnest([17, NULL]), NULL FROM g WHERE i IN (1, 2) AND cid IS NOT NULL
+UNION ALL SELECT session_id, seq, unnest(['radio', 'serving', 'passport']), freq, phy, unnest([NULL, NULL, cid]), unnest([NULL, NULL, coalesce(tac, 0)]), unnest([NULL, NULL, mnc]), NULL, NULL, NULL, NULL, NULL, NULL FROM g WHERE i = 0 AND cid IS NOT NULL
+UNION ALL SELECT session_id, seq, unnest(['radio', 'passport']), NULL, NULL, unnest([NULL, cid]), unnest([NULL, coalesce(tac, 0)]), unnest([NULL, mnc]), NULL, unnest([5, NULL]), unnest([8, NULL]), unnest([j, NULL]), unnest([17, NULL]), NULL FROM g WHERE i IN (1, 2) AND cid IS NOT NULL
 UNION ALL SELECT session_id, seq, unnest(['radio', 'passport']), NULL, NULL, NULL, unnest([NULL, coalesce(tac, 0)]), unnest([NULL, mnc]), NULL, unnest([5, NULL]), unnest([8, NULL]), NULL, NULL, NULL FROM g WHERE i = 3
 UNION ALL SELECT session_id, seq, 'gsm_nb', unnest([freq, freq + 1]), unnest([phy, NULL]), NULL, NULL, NULL, level, NULL, NULL, NULL, NULL, NULL FROM g WHERE i = 4
 UNION ALL SELECT session_id, seq, 'gsm_nb', freq, NULL, NULL, NULL, NULL, level, NULL, NULL, NULL, NULL, NULL FROM g WHERE i = 5
@@ -204,7 +204,7 @@ def _(spark, d):
 # ---- C8, C9: WCDMA and NR -------------------------------------------------------------------------
 
 
-@register("c8_ranks", f"""WITH {sql.OBS}, w AS (SELECT *, greatest(-(seq % 100) - 21, -140) AS rscp, -((seq % 40) // 2) AS ecio FROM obs WHERE rat = 'WCDMA')
+@register("c8_ranks", f"""WITH {sql.OBS}, w AS (SELECT * EXCLUDE (rscp), greatest(-(seq % 100) - 21, -140) AS rscp, -((seq % 40) // 2) AS ecio FROM obs WHERE rat = 'WCDMA')
 SELECT session_id, seq, 'WCDMA' AS rat, unnest(['radio', 'signal', 'serving']) AS kind, freq::BIGINT AS freq, phy::BIGINT AS phy, unnest([NULL, rscp, NULL])::BIGINT AS rscp, unnest([NULL, ecio, NULL])::BIGINT AS ecio, NULL::BIGINT AS rxlev FROM w WHERE j % 2 = 0
 UNION ALL SELECT session_id, seq, 'WCDMA', 'wcdma_nb', freq, phy + 1, rscp, ecio, NULL FROM w WHERE j % 2 = 0
 UNION ALL SELECT session_id, seq, 'GSM', 'gsm_nb', 10 + i, j, NULL, NULL, -(seq % 100) FROM w WHERE j % 2 = 0

@@ -41,10 +41,12 @@ _COLUMNS = {
     "barring_emergency": "event_id % 2 = 0",
     "nb_thresh_high": "CAST(event_id % 8 AS INT)",
     "nb_offset": "CAST(event_id % 5 AS INT)",
-    "nb_freq": "CAST(CASE WHEN event_id % 10 > 6 THEN NULL WHEN event_id % 2 = 0 THEN CASE i WHEN 0 THEN 375 WHEN 1 THEN 1596 WHEN 2 THEN 3200 WHEN 3 THEN 6275 WHEN 4 THEN 37900 WHEN 5 THEN 38950 ELSE 32768 END"
+    # LTE cells tell of their own carrier, of foreign ones (some without a code), and of WCDMA channels; WCDMA cells of their own channel.
+    "nb_source": "CASE WHEN event_id % 10 > 7 THEN NULL WHEN event_id % 10 = 7 THEN 'wcdma' WHEN event_id % 8 = 0 THEN 'intra' WHEN event_id % 2 = 0 THEN 'meas' WHEN event_id % 7 = 0 THEN 'utra' ELSE 'inter' END",
+    "nb_freq": "CAST(CASE WHEN event_id % 10 > 7 THEN NULL WHEN event_id % 10 = 7 THEN 10562 + i * 20 WHEN event_id % 2 = 1 AND event_id % 7 = 0 THEN 10572 + i * 20 WHEN event_id % 2 = 1 AND event_id % 11 = 0 THEN 2850 + i"
+    " WHEN event_id % 2 = 0 THEN CASE i WHEN 0 THEN 375 WHEN 1 THEN 1596 WHEN 2 THEN 3200 WHEN 3 THEN 6275 WHEN 4 THEN 37900 WHEN 5 THEN 38950 ELSE 32768 END"
     " ELSE CASE i WHEN 6 THEN 375 WHEN 0 THEN 1596 WHEN 1 THEN 3200 WHEN 2 THEN 6275 WHEN 3 THEN 37900 WHEN 4 THEN 38950 ELSE 32768 END END AS INT)",
-    "nb_phy": "CAST(CASE WHEN event_id % 10 > 6 THEN NULL ELSE ((j + 1) % 31) * 18 END AS INT)",
-    "nb_source": "CASE WHEN event_id % 10 > 6 THEN NULL WHEN event_id % 2 = 0 THEN 'meas' ELSE 'inter' END",
+    "nb_phy": "CAST(CASE WHEN event_id % 10 > 7 OR event_id % 10 <> 7 AND event_id % 2 = 1 AND (event_id % 7 = 0 OR event_id % 11 = 0) THEN NULL WHEN event_id % 10 = 7 THEN ((j + 1) % 31) * 8 ELSE ((j + 1) % 31) * 18 END AS INT)",
     "i": "CAST(i AS INT)",
     "j": "CAST(j AS INT)",
 }

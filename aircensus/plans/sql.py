@@ -22,15 +22,15 @@ _NULLS = lambda names: ", ".join(f"NULL AS {n}" for n in names.split(", "))  # n
 PROMOTED = (
     OBS
     + f""",
-named AS (SELECT * FROM obs WHERE kind = 'neighbour' AND nb_freq IS NOT NULL AND nb_phy BETWEEN 1 AND 503),
+named AS (SELECT * FROM obs WHERE kind = 'neighbour' AND nb_freq IS NOT NULL AND CASE rat WHEN 'LTE' THEN nb_phy BETWEEN 1 AND 503 ELSE nb_freq <> 0 AND nb_phy IS NOT NULL END),
 placed AS (
   SELECT session_id, seq, seq * 8 AS tick, wall_time, rat, kind, freq, phy, mcc, mnc, cid, tac, {_REST} FROM obs
   UNION ALL
-  SELECT session_id, seq, seq * 8 + 1, wall_time, rat, 'told', nb_freq, nb_phy, CASE WHEN nb_freq = freq THEN mcc END, CASE WHEN nb_freq = freq THEN mnc END, NULL, NULL,
+  SELECT session_id, seq, seq * 8 + 1, wall_time, rat, 'told', nb_freq, nb_phy, CASE WHEN nb_freq = freq AND rat = 'LTE' THEN mcc END, CASE WHEN nb_freq = freq AND rat = 'LTE' THEN mnc END, NULL, NULL,
     {_NULLS(_LEVELS)}, {_NULLS(_PARAMETERS)}, {_NULLS(_EXTRAS)}, {_NEIGHBOUR} FROM named
   UNION ALL
   SELECT session_id, seq, seq * 8 + 2, wall_time, rat, 'heard', nb_freq, nb_phy, NULL, NULL, NULL, NULL,
-    {_LEVELS}, {_NULLS(_PARAMETERS)}, {_NULLS(_EXTRAS)}, {_NEIGHBOUR} FROM named WHERE nb_source <> 'inter' AND rsrp <> 0),
+    {_LEVELS}, {_NULLS(_PARAMETERS)}, {_NULLS(_EXTRAS)}, {_NEIGHBOUR} FROM named WHERE CASE rat WHEN 'LTE' THEN nb_source = 'meas' AND rsrp <> 0 ELSE rscp <> 0 END),
 lte AS (SELECT * FROM placed WHERE rat = 'LTE' AND kind <> 'neighbour'),
 lte1 AS (SELECT *, (phy <> 0 AND row_number() OVER (PARTITION BY session_id, freq, phy ORDER BY tick) = 1)::INT AS fresh FROM lte),
 lte2 AS (SELECT *, coalesce(sum(fresh) OVER w, 0) AS pcis, max(CASE WHEN phy <> 0 THEN phy END) OVER w AS only_phy FROM lte1
@@ -86,14 +86,14 @@ soft AS (SELECT b.session_id, b.freq, b.phy, min(a.tick) AS tick, arg_min(a.mcc,
   JOIN promoted a ON a.kind = 'passport' AND a.rat = 'LTE' AND a.phy <> 0 AND a.mcc <> 0 AND a.session_id = b.session_id AND a.freq = b.freq AND a.tick > b.tick WHERE b.phy <> 0 GROUP BY ALL),
 claims AS (SELECT session_id, cid, freq, phy, tick, lag({{'freq': freq, 'phy': phy}}) OVER (PARTITION BY session_id, cid ORDER BY tick) AS prior
   FROM promoted WHERE kind = 'passport' AND rat = 'LTE' AND phy <> 0 AND cid <> 0),
-served AS (SELECT * FROM (SELECT {_KEY}, tick, kind, waited, lead(tick) OVER (PARTITION BY session_id, rat ORDER BY tick) AS until FROM promoted WHERE kind IN ('serving', 'gone')) WHERE kind = 'serving'),
+serving_times AS (SELECT * FROM (SELECT {_KEY}, tick, kind, waited, lead(tick) OVER (PARTITION BY session_id, rat ORDER BY tick) AS until FROM promoted WHERE kind IN ('serving', 'gone')) WHERE kind = 'serving'),
 marks AS (
   SELECT {_KEY}, tick, 'p' AS what, mcc, mnc, tac, cid, waited, {_EXTRAS} FROM promoted WHERE kind = 'passport'
   UNION ALL SELECT {_KEY}, tick, 't', mcc, mnc, NULL, NULL, NULL, NULL, NULL, NULL FROM promoted WHERE kind = 'told' AND mcc <> 0
   UNION ALL SELECT session_id, 'LTE', freq, phy, tick, 's', mcc, mnc, NULL, NULL, NULL, NULL, NULL, NULL FROM soft
   UNION ALL SELECT session_id, 'LTE', prior.freq, prior.phy, tick, 'x', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM claims WHERE prior.freq <> freq OR prior.phy <> phy
-  UNION ALL SELECT {_KEY}, tick, 'b', NULL, NULL, NULL, NULL, waited, NULL, NULL, NULL FROM served
-  UNION ALL SELECT {_KEY}, until, 'e', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM served WHERE until IS NOT NULL),
+  UNION ALL SELECT {_KEY}, tick, 'b', NULL, NULL, NULL, NULL, waited, NULL, NULL, NULL FROM serving_times
+  UNION ALL SELECT {_KEY}, until, 'e', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM serving_times WHERE until IS NOT NULL),
 marks1 AS (SELECT *, (what = 'p' AND {_ID}) AS id_ok, (what = 'p' AND {_AREA}) AS area_ok, (what = 'p' AND {_NET}) AS net_ok, (what = 'p' AND {_FULL}) AS all_ok,
     sum((what = 'x')::INT) OVER (PARTITION BY {_KEY} ORDER BY tick, what <> 'e' ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS life FROM marks),
 marks2 AS (SELECT *,
@@ -120,8 +120,10 @@ reg AS (SELECT c.session_id, c.rat, c.freq, c.phy, first_seq, last_seq, seen, {_
     CASE WHEN source IN ('won', 'own') THEN 'hard' WHEN source = 'told' THEN 'neighbour' WHEN source = 'soft' THEN 'fanout' END AS plmn_source,
     coalesce(is_serving, FALSE) AS is_serving, coalesce(ever_serving, FALSE) AS ever_serving
   FROM cells0 c LEFT JOIN nets n ON n.session_id = c.session_id AND n.rat = c.rat AND n.freq = c.freq AND n.phy = c.phy),
-told0 AS (SELECT * FROM promoted WHERE kind = 'neighbour' AND rat = 'LTE' AND phy <> 0 AND nb_phy <= 503),
-told AS (SELECT session_id, rat, freq, phy, nb_freq, nb_phy, any_value(nb_source) AS source FROM promoted WHERE kind = 'neighbour' AND rat = 'LTE' AND phy <> 0 AND nb_phy BETWEEN 1 AND 503 GROUP BY ALL),
+lists AS (SELECT session_id, rat, freq, phy, nb_freq, nb_phy, arg_min(nb_source, CASE nb_source WHEN 'meas' THEN 0 WHEN 'intra' THEN 1 WHEN 'inter' THEN 2 WHEN 'utra' THEN 3 ELSE 4 END) AS source, count(*) AS reports,
+    arg_max(rsrp, tick) FILTER (WHERE nb_source = 'meas') AS m_rsrp, arg_max(rsrq, tick) FILTER (WHERE nb_source = 'meas') AS m_rsrq, arg_max(rscp, tick) FILTER (WHERE nb_source = 'wcdma' AND rscp <> 0) AS m_rscp
+  FROM promoted WHERE kind = 'neighbour' AND nb_freq IS NOT NULL GROUP BY ALL),
+told AS (SELECT * FROM lists WHERE rat = 'LTE' AND phy <> 0 AND nb_phy BETWEEN 1 AND 503),
 camps AS (SELECT session_id, mcc, mnc, count(*) AS plmn_camps FROM reg WHERE rat = 'LTE' AND ever_serving AND mcc <> 0 GROUP BY ALL),
 frontier AS (SELECT r.session_id, r.freq, count(*) FILTER (WHERE """
     + FULL_LTE

@@ -6,7 +6,9 @@ period or window says so; both are policy of this library.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -54,13 +56,64 @@ def stream_identified(cells: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return known.withWatermark("wall_time", delay).dropDuplicatesWithinWatermark(["session_id", "eci"])
 
 
-def publish_snapshots(stream: DataFrame, path: str, checkpoint: str, interval: str | None = "500 milliseconds"):
-    """K4: starts a query that writes each batch to its own folder; a repeated batch overwrites it."""
+def _path(spark: SparkSession, text: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(text)
+
+
+def _rename(spark: SparkSession, source: str, target: str, overwrite: bool = False) -> None:
+    """Rename inside one file system, which a reader sees as a whole or not at all."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    files = fs.FileContext.getFileContext(_path(spark, target).toUri(), spark._jsc.hadoopConfiguration())
+    how = fs.Options.Rename
+    options = spark._sc._gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE if overwrite else how.NONE
+    files.rename(_path(spark, source), _path(spark, target), options)
+
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def publish_batch(batch: DataFrame, batch_id: int, path: str) -> bool:
+    """K4: publishes a snapshot; False if it was there already.
 
-    writer = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+    The rows go to a staging folder, which is renamed when it is whole; then a
+    pointer file is replaced.  A batch that is repeated after a failure is written
+    and renamed once; readers see snapshots as they are, never half of one.
+    """
+    spark = batch.sparkSession
+    target = f"{path}/batch={batch_id}"
+    fs = _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+    new = not fs.exists(_path(spark, target))
+    if new:
+        staging = f"{path}/_staging/{batch_id}-{uuid.uuid4().hex}"
+        batch.write.parquet(staging)
+        _rename(spark, staging, target)
+    if new or latest_snapshot_id(spark, path) != batch_id:
+        pointer = f"{path}/_latest-{uuid.uuid4().hex}"
+        out = fs.create(_path(spark, pointer))
+        out.writeBytes(str(batch_id))
+        out.close()
+        _rename(spark, pointer, f"{path}/_latest", overwrite=True)
+    return new
+
+
+def latest_snapshot_id(spark: SparkSession, path: str) -> int | None:
+    """Number of the snapshot that the pointer names."""
+    fs = _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(_path(spark, f"{path}/_latest")):
+        return None
+    found = fs.open(_path(spark, f"{path}/_latest"))
+    try:
+        return int(found.readLine())
+    finally:
+        found.close()
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """K4: the snapshot that was published last."""
+    return spark.read.parquet(f"{path}/batch={latest_snapshot_id(spark, path)}")
+
+
+def publish_snapshots(stream: DataFrame, path: str, checkpoint: str, interval: str | None = "500 milliseconds"):
+    """K4: starts a query that publishes each batch as a snapshot, no more often than ``interval``."""
+    writer = stream.writeStream.foreachBatch(lambda batch, batch_id: publish_batch(batch, batch_id, path)).outputMode("update").option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
