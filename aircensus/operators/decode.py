@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import packets_gsm, packets_lte, packets_umts_nr  # noqa: F401  (they register their decoders)
 from . import registry as R
-from .packets import ABSENT, DECODERS, LEVELS, NUMBERS, Decoder, byte_matrix, register_decoder  # noqa: F401  (register_decoder is for users)
+from .packets import ABSENT, DECODERS, LEVELS, NUMBERS, Decoder, byte_matrix, length_classes, register_decoder  # noqa: F401  (register_decoder is for users)
 
 _SCHEMA = pa.schema([("session_id", pa.int64()), ("seq", pa.int64()), ("sub_seq", pa.int32()), ("log_code", pa.int32()), ("wall_time", pa.timestamp("us", tz="UTC")), ("rat", pa.string()), ("kind", pa.string()), *((f, pa.int64()) for f in NUMBERS), *((f, pa.float64()) for f in LEVELS)])
 DDL = "session_id long, seq long, sub_seq int, log_code int, wall_time timestamp, rat string, kind string, " + ", ".join([f"{f} long" for f in NUMBERS] + [f"{f} double" for f in LEVELS])
@@ -27,11 +27,12 @@ DDL = "session_id long, seq long, sub_seq int, log_code int, wall_time timestamp
 def _decode_batch(batch: pa.RecordBatch, decoders: dict[int, tuple[str, Decoder]]) -> Iterator[pa.RecordBatch]:
     codes = batch["log_code"].to_numpy(zero_copy_only=False)
     sessions, seqs = (batch[c].to_numpy(zero_copy_only=False) for c in ("session_id", "seq"))
-    for code in np.unique(codes).tolist():
+    lengths = pc.fill_null(pc.binary_length(batch["payload"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    groups = ((code, rows[part]) for code in np.unique(codes).tolist() for rows in (np.flatnonzero(codes == code),) for part in length_classes(lengths[rows]))
+    for code, rows in groups:
         rat, fn = decoders[code]
-        rows = np.flatnonzero(codes == code)
         payloads = batch["payload"].take(pa.array(rows))
-        b, n = byte_matrix(payloads), pc.fill_null(pc.binary_length(payloads), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        b, n = byte_matrix(payloads), lengths[rows]
         for sub, (kind, has, values, *own) in enumerate(fn(b, n)):
             at = np.flatnonzero(has)
             if len(at):

@@ -51,36 +51,61 @@ def parse_cmgrmi(df: DataFrame) -> DataFrame:
 
     Signals are tenths of dB; values no cell can have are dropped.  Carrier
     numbers of LTE_Inter resolve the cells listed under them; of repeated
-    neighbours the strongest stays; copies of the serving cell go.
+    neighbours the strongest stays; copies of the serving cell go.  All of a reply
+    lies in its row, so array functions do it without a shuffle.
     """
-    rows = tagged_lines(df, "CMGRMI")
-    tag = _tok(0)
-    serving = (
-        rows.filter((tag == "Serving_Cell") & (F.size("tok") >= 14))
-        .select(
-            *KEY, "pos", _int(_tok(1)).alias("earfcn"), _int(_tok(2)).alias("mcc"), _int(_tok(3)).alias("mnc"), _int(_tok(4)).alias("tac"),
-            F.when(_int(_tok(5)).between(1, 1282), _int(_tok(5))).alias("ta"), _long(_tok(6)).alias("cid"), S.bw_from_index(_int(_tok(8))).alias("dl_bw"),
-            _int(_tok(11)).alias("pci"), _tenths(_tok(12)).alias("rsrq"), _tenths(_tok(13)).alias("rsrp"),
-        )
-        .filter(S.valid_earfcn("earfcn") & F.col("pci").between(1, 503) & S.sane_plmn("mcc", "mnc") & S.has_identity("cid", "tac"))
-        .groupBy(*KEY).agg(F.max_by(F.struct("earfcn", "mcc", "mnc", "tac", "ta", "cid", "dl_bw", "pci", "rsrq", "rsrp"), "pos").alias("s")).select(*KEY, "s.*")
-    )
+    split = lambda line: F.split(F.regexp_replace(line, '[ "]', ""), ",")
+    lines = df.select(*KEY, F.transform(F.regexp_extract_all("reply", F.lit(r"\+CMGRMI:([^\r\n]*)"), F.lit(1)), split).alias("lines"))
+    tagged = lambda ok, size: F.filter("lines", lambda t: ok(F.get(t, 0)) & (F.size(t) >= size))
+
+    def serving(t: Column) -> Column:
+        ta = _int(F.get(t, 5))
+        return F.struct(
+            _int(F.get(t, 1)).alias("earfcn"), _int(F.get(t, 11)).alias("pci"), _int(F.get(t, 2)).alias("mcc"), _int(F.get(t, 3)).alias("mnc"), _int(F.get(t, 4)).alias("tac"),
+            F.when(ta.between(1, 1282), ta).alias("ta"), _long(F.get(t, 6)).alias("cid"), S.bw_from_index(_int(F.get(t, 8))).alias("dl_bw"), _tenths(F.get(t, 12)).alias("rsrq"), _tenths(F.get(t, 13)).alias("rsrp"),
+        )
+
+    def whole(s: Column) -> Column:
+        return S.valid_earfcn(s["earfcn"]) & s["pci"].between(1, 503) & S.sane_plmn(s["mcc"], s["mnc"]) & S.has_identity(s["cid"], s["tac"])
+
     # LTE_Inter: Freq<n>,<earfcn> pairs give each carrier number its channel.
-    pairs = rows.filter(tag == "LTE_Inter").select(*KEY, F.posexplode("tok").alias("i", "t"), "tok").filter("t like 'Freq%'")
-    carriers = pairs.select(*KEY, _int(F.substring("t", 5, 9)).alias("n"), _int(F.get("tok", F.col("i") + 1)).alias("earfcn")).filter(S.valid_earfcn("earfcn"))
-    carriers = carriers.groupBy(*KEY, "n").agg(F.max("earfcn").alias("earfcn"))
-    cell = lambda e, p, q, r: [*KEY, e.alias("earfcn"), _int(p).alias("pci"), _tenths(q).alias("rsrq"), _tenths(r).alias("rsrp")]
-    ca = rows.filter((tag == "CA_Scell") & (F.size("tok") >= 9)).select(*cell(_int(_tok(1)), _tok(2), _tok(7), _tok(8)), F.lit("inter").alias("source"))
-    intra = rows.filter(tag.like("LTE_Intra_Cell%") & (F.size("tok") >= 4)).join(serving.select(*KEY, F.col("earfcn").alias("_e")), KEY).select(*cell(F.col("_e"), _tok(1), _tok(2), _tok(3)), F.lit("meas").alias("source"))
-    inter = (
-        rows.filter(tag.like("LTE_InterFreq%") & (F.size("tok") >= 4)).withColumn("n", _int(F.regexp_extract(tag, "^LTE_InterFreq([0-9]+)_Cell", 1)))
-        .join(carriers.withColumnRenamed("earfcn", "_e"), [*KEY, "n"]).select(*cell(F.col("_e"), _tok(1), _tok(2), _tok(3)), F.lit("inter").alias("source"))
-    )
-    told = ca.unionByName(intra).unionByName(inter).filter(S.valid_earfcn("earfcn") & F.col("pci").between(1, 503))
-    told = told.withColumns({"rsrp": F.when(S.valid_rsrp("rsrp"), F.col("rsrp")), "rsrq": F.when(F.col("rsrq").between(-30, -1), F.col("rsrq"))})
-    best = told.groupBy(*KEY, "earfcn", "pci").agg(F.max_by(F.struct("rsrq", "rsrp", "source"), F.coalesce("rsrp", F.lit(-999.0))).alias("b")).select(*KEY, "earfcn", "pci", "b.*")
-    near = best.join(serving.select(*KEY, "earfcn", "pci"), [*KEY, "earfcn", "pci"], "left_anti")
-    return serving.withColumn("kind", F.lit("serving")).unionByName(near.withColumn("kind", F.lit("neighbour")), allowMissingColumns=True)
+    def pairs(t: Column) -> Column:
+        named = F.transform(t, lambda x, i: F.struct(F.when(x.startswith("Freq"), _int(F.substring(x, 5, 9))).alias("n"), _int(F.get(t, i + 1)).alias("earfcn")))
+        return F.filter(named, lambda p: p["n"].isNotNull() & S.valid_earfcn(p["earfcn"]))
+
+    served = F.filter(F.transform(tagged(lambda x: x == "Serving_Cell", 14), serving), lambda s: F.coalesce(whole(s), F.lit(False)))
+    known = lines.select(*KEY, "lines", F.get(served, F.size(served) - 1).alias("s"), F.flatten(F.transform(tagged(lambda x: x == "LTE_Inter", 1), pairs)).alias("carriers"))
+
+    def cell(earfcn: Column, p: Column, q: Column, r: Column, source: str) -> Column:
+        rsrq, rsrp = _tenths(q), _tenths(r)
+        rsrp, rsrq = F.when(S.valid_rsrp(rsrp), rsrp), F.when(rsrq.between(-30, -1), rsrq)
+        return F.struct(earfcn.alias("earfcn"), _int(p).alias("pci"), F.coalesce(rsrp, F.lit(-999.0)).alias("level"), rsrq.alias("rsrq"), rsrp.alias("rsrp"), F.lit(source).alias("source"))
+
+    def inter(t: Column) -> Column:
+        n = _int(F.regexp_extract(F.get(t, 0), "^LTE_InterFreq([0-9]+)_Cell", 1))
+        channel = F.array_max(F.transform(F.filter("carriers", lambda c: c["n"] == n), lambda c: c["earfcn"]))
+        return cell(channel, F.get(t, 1), F.get(t, 2), F.get(t, 3), "inter")
+
+    told = F.concat(
+        F.transform(tagged(lambda x: x == "CA_Scell", 9), lambda t: cell(_int(F.get(t, 1)), F.get(t, 2), F.get(t, 7), F.get(t, 8), "inter")),
+        F.transform(tagged(lambda x: x.startswith("LTE_Intra_Cell"), 4), lambda t: cell(F.col("s.earfcn"), F.get(t, 1), F.get(t, 2), F.get(t, 3), "meas")),
+        F.transform(tagged(lambda x: x.startswith("LTE_InterFreq"), 4), inter),
+    )
+    legal = lambda c: F.coalesce(S.valid_earfcn(c["earfcn"]) & c["pci"].between(1, 503), F.lit(False))
+    own = lambda c: F.coalesce((c["earfcn"] == F.col("s.earfcn")) & (c["pci"] == F.col("s.pci")), F.lit(False))
+    near = known.select(*KEY, "s", F.filter(told, lambda c: legal(c) & ~own(c)).alias("told"))
+    same = lambda k: F.filter("told", lambda c: (c["earfcn"] == k["col1"]) & (c["pci"] == k["col2"]))
+    best = F.transform(F.transform("told", lambda c: F.struct(c["earfcn"].alias("col1"), c["pci"].alias("col2"))), lambda k: F.array_max(same(k)))
+    names = ("earfcn", "pci", "mcc", "mnc", "tac", "ta", "cid", "dl_bw", "rsrq", "rsrp")
+    types = {"cid": "long", "rsrq": "double", "rsrp": "double"}
+
+    def row(kind: str, get) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), *(get(n).cast(types.get(n, "int")).alias(n) for n in names), get("source").cast("string").alias("source"))
+
+    first = F.when(F.col("s").isNotNull(), F.array(row("serving", lambda n: F.lit(None) if n == "source" else F.col(f"s.{n}")))).otherwise(F.array())
+    others = F.transform(F.array_distinct(best), lambda c: row("neighbour", lambda n: c[n] if n in ("earfcn", "pci", "rsrq", "rsrp", "source") else F.lit(None)))
+    cells = near.select(*KEY, F.explode(F.concat(first, others)).alias("c"))
+    return cells.select(*KEY, *(F.col(f"c.{n}").alias(n) for n in names), "c.source", "c.kind")
 
 
 def cmgrmi_events(cells: DataFrame) -> DataFrame:

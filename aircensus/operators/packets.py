@@ -38,13 +38,32 @@ def register_decoder(codes: int | tuple[int, ...], rat: str):
 
 def byte_matrix(payloads: pa.Array) -> np.ndarray:
     """Payloads as rows of bytes, zero-padded to the longest and at least four wide; null is empty."""
-    parts = [p or b"" for p in payloads.to_pylist()]
-    b = np.zeros((len(parts), max([4, *map(len, parts)])), dtype=np.uint8)
-    for i, p in enumerate(parts):
-        b[i, : len(p)] = np.frombuffer(p, dtype=np.uint8)
+    held = payloads.cast(pa.large_binary()).fill_null(b"") if len(payloads) else payloads.cast(pa.large_binary())
+    _, offsets, data = held.buffers()
+    at = np.frombuffer(offsets, np.int64)[held.offset : held.offset + len(held) + 1]
+    sizes = np.diff(at)
+    b = np.zeros((len(held), max(4, int(sizes.max(initial=0)))), dtype=np.uint8)
+    if data is not None and len(held):
+        b[np.arange(b.shape[1]) < sizes[:, None]] = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
     return b
 
 
+#: Bytes of a matrix at most, but for one payload.
+MATRIX = 1 << 24
+
+
+def length_classes(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in groups of like length whose padded matrix stays under ``MATRIX`` bytes, so one long payload does not widen the others."""
+    order = np.argsort(sizes, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and sizes[order[hi]] <= max(64, 2 * sizes[order[lo]]) and (hi + 1 - lo) * int(sizes[order[hi]]) <= MATRIX:
+            hi += 1
+        yield np.sort(order[lo:hi])
+        lo = hi
+
+
 def at(b: np.ndarray, where: np.ndarray | int, size: int, big: bool = False) -> np.ndarray:
     """Unsigned number of ``size`` bytes at a place of each row, which may differ by row; bytes beyond the matrix are zero."""
     where = np.broadcast_to(np.asarray(where, dtype=np.int64), len(b))

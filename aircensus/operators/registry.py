@@ -52,8 +52,9 @@ def _before(*by: str):
     return W.partitionBy(*by).orderBy("at").rowsBetween(W.unboundedPreceding, -1)
 
 
-def _after(*by: str):
-    return W.partitionBy(*by).orderBy("at").rowsBetween(1, W.unboundedFollowing)
+def _next(value: Column, *by: str) -> Column:
+    """The first value that is not null after each row: a running last against the order, which costs no more per row than one."""
+    return F.last(value, ignorenulls=True).over(W.partitionBy(*by).orderBy(F.desc("at")).rowsBetween(W.unboundedPreceding, -1))
 
 
 def asof_serving(events: DataFrame) -> DataFrame:
@@ -83,6 +84,8 @@ def bind_serving(events: DataFrame) -> DataFrame:
         inner = bare & F.col("_k").isNotNull() & (F.col("rat") == "LTE")
         rows = rows.withColumn("_k", sticky).withColumns({c: F.when(inner, F.col(f"_k.{c}")).otherwise(F.col(c)) for c in ("freq", "phy")}).drop("_k")
     open_ = bare & (F.col("kind") != "passport")
+    if rows.filter(open_).isEmpty():
+        return rows
     serves = F.when((F.col("kind") == "serving") & ~bare, F.struct("freq", "phy"))
     same = W.partitionBy("session_id", "rat")
     earlier = F.last(serves, ignorenulls=True).over(same.orderBy("seq").rangeBetween(W.unboundedPreceding, -1))
@@ -262,11 +265,11 @@ def promote_weak(events: DataFrame) -> DataFrame:
     marked = rows.filter(lte).select(*CARRIER, "phy", "at", "kind", "cid", "mcc").join(carriers, CARRIER, "left_semi")
     first = F.row_number().over(W.partitionBy(*CARRIER, "phy").orderBy("at")) == 1
     marked = marked.withColumn("_new", F.when(strong & first, 1).otherwise(0))
-    past, future = _before(*CARRIER), _after(*CARRIER)
+    past = _before(*CARRIER)
     seen = marked.withColumns({"_pcis": F.coalesce(F.sum("_new").over(past), F.lit(0)), "_only": F.max(F.when(strong, F.col("phy"))).over(past)})
     spread = ~strong & passport & _zero("cid") & M.has_plmn() & (F.col("_pcis") > 1)
     turn = F.when(strong, F.struct("phy", "at")).when(spread, F.struct(F.lit(-1).cast("int").alias("phy"), "at"))
-    seen = durable(seen.withColumns({"_spread": spread, "_next": F.first(turn, ignorenulls=True).over(future)}).filter(~strong), "weak-turns")
+    seen = durable(seen.withColumns({"_spread": spread, "_next": _next(turn, *CARRIER)}).filter(~strong), "weak-turns")
 
     # Rows of a carrier are at most 503, so passports meet few of them.
     there = rows.filter(lte & strong).join(carriers, CARRIER, "left_semi").groupBy(*CARRIER, F.col("phy").alias("_phy"))
@@ -327,7 +330,7 @@ def bind_gsm(events: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     name = ["session_id", "rat", "cid"]
     key = F.struct("freq", "phy", "at")
     both = placed.select(*name, "at", key.alias("_k")).unionByName(asked.filter(~_zero("cid")).select(*name, "at", F.lit(None).cast(placed.select(key.alias("k")).schema["k"].dataType).alias("_k")))
-    homes = both.withColumns({"_home": F.min("_k").over(_before(*name)), "_later": F.first("_k", ignorenulls=True).over(_after(*name))}).filter("_k is null")
+    homes = both.withColumns({"_home": F.min("_k").over(_before(*name)), "_later": _next(F.col("_k"), *name)}).filter("_k is null")
     homes = homes.withColumn("_left", F.row_number().over(W.partitionBy(*name, "_later").orderBy(F.desc("at")))).select(*name[:2], "at", "_home", "_later", "_left")
     serving = rows.filter((F.col("kind") == "serving") & ~_zero("freq"))
     served = asof_serving(serving.select(*KEY, "at", "kind").unionByName(asked.select(*KEY, "at", "kind"))).filter("kind = 'passport'")
@@ -378,7 +381,7 @@ def promote_gsm(events: DataFrame) -> DataFrame:
     there = rows.filter(gsm & ~_zero("phy")).select(*CARRIER, "phy", "at", "kind").join(channels, CARRIER, "left_semi")
     turn = F.when((F.col("kind") == "told") & ~_zero("phy"), F.struct("phy", "at"))
     stream = waiting.select(*CARRIER, "phy", "at", "kind").unionByName(there)
-    turns = stream.withColumn("_next", F.first(turn, ignorenulls=True).over(_after(*CARRIER))).filter(_zero("phy")).select(*CARRIER, "at", F.col("_next.phy").alias("_to"), F.col("_next.at").alias("_waits"))
+    turns = stream.withColumn("_next", _next(turn, *CARRIER)).filter(_zero("phy")).select(*CARRIER, "at", F.col("_next.phy").alias("_to"), F.col("_next.at").alias("_waits"))
     own = there.groupBy(*CARRIER, F.col("phy").alias("_to")).agg(F.min(F.when(F.col("kind").isin("signal", "heard"), F.col("at"))).alias("_own"), F.min("at").alias("_born"))
     moved = waiting.join(turns, [*CARRIER, "at"])
     met = _hushed(moved, own)
@@ -398,8 +401,8 @@ def soft_plmns(births: DataFrame, events: DataFrame) -> DataFrame:
     """
     told = with_at(events).filter("kind = 'passport' and rat = 'LTE' and phy <> 0 and mcc <> 0").select(*CARRIER, "at", F.struct("mcc", "mnc", "at").alias("_p"), F.lit(None).cast("int").alias("phy"))
     born = births.select(*CARRIER, "at", F.lit(None).cast(told.schema["_p"].dataType).alias("_p"), "phy")
-    ordered = W.partitionBy(*CARRIER).orderBy("at", F.col("phy").isNotNull()).rowsBetween(1, W.unboundedFollowing)
-    found = told.unionByName(born).withColumn("_p", F.when(F.col("phy").isNotNull(), F.first("_p", ignorenulls=True).over(ordered))).filter("phy is not null and phy <> 0 and _p is not null")
+    ordered = W.partitionBy(*CARRIER).orderBy(F.desc("at"), F.col("phy").isNull()).rowsBetween(W.unboundedPreceding, -1)
+    found = told.unionByName(born).withColumn("_p", F.when(F.col("phy").isNotNull(), F.last("_p", ignorenulls=True).over(ordered))).filter("phy is not null and phy <> 0 and _p is not null")
     return found.select("session_id", F.lit("LTE").alias("rat"), "freq", "phy", "_p.at", "_p.mcc", "_p.mnc")
 
 
@@ -507,7 +510,9 @@ def bind_events(events: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     that they move, and everything else stays a scan of that table.
     """
     placed = durable(expand_neighbours(teller_plmn(bind_serving(events))), "bound-events")
-    return promote_gsm(promote_weak(bind_gsm(placed, hints)))
+    bound = promote_gsm(promote_weak(bind_gsm(placed, hints)))
+    bound._written_to = placed._written_to
+    return bound
 
 
 def build_registry(events: DataFrame, hints: DataFrame | None = None) -> DataFrame:

@@ -147,12 +147,17 @@ def match_dumps(left: DataFrame, right: DataFrame) -> DataFrame:
     return joined.select(*IDENTITY, F.col("rsrp").alias("left_rsrp"), F.col("_r.rsrp").alias("right_rsrp"), F.col("last_seq").alias("left_last"), F.col("_r.last_seq").alias("right_last"))
 
 
+#: What an external table may say of a cell beside its identity.
+EXTERNAL = ("lat", "lon", "range", "samples", "average_signal")
+
+
 def enrich(towers: DataFrame, external: DataFrame) -> DataFrame:
-    """External LTE cells by (mcc, mnc, tac, cid): status skipped, found or missing.
+    """External LTE cells by (mcc, mnc, tac, cid): status skipped, found or missing, with the external fields (ext_*).
 
     Typed keys; whether the table is broadcast is left to its measured size.
     """
-    ext = external.select("mcc", "mnc", F.col("lac").alias("tac"), F.col("cellid").alias("cid"), "lat", "lon", "samples")
+    here = [c for c in ("radio", *EXTERNAL) if c in external.columns]
+    ext = external.select("mcc", "mnc", F.col("lac").alias("tac"), F.col("cellid").alias("cid"), *(F.col(c).alias(f"ext_{c}") for c in here))
     usable = (F.col("rat") == "LTE") & (F.col("mcc") != 0) & (F.col("tac") != 0) & (F.col("cid") != 0)
     out = towers.join(ext.withColumn("_found", F.lit(True)), ["mcc", "mnc", "tac", "cid"], "left")
     usable = F.coalesce(usable, F.lit(False))
@@ -160,12 +165,34 @@ def enrich(towers: DataFrame, external: DataFrame) -> DataFrame:
     return out.withColumn("status", status).drop("_found")
 
 
+def unmatched_sites(enriched: DataFrame) -> DataFrame:
+    """Per session and LTE site (eNB): its cells, how many are missing outside, and whether one is."""
+    cells = enriched.filter("rat = 'LTE' and cid <> 0")
+    return cells.groupBy("session_id", S.enb_id("cid").alias("enb")).agg(F.count("*").alias("cells"), F.count_if(F.col("status") == "missing").alias("missing")).withColumn("unmatched", F.col("missing") > 0)
+
+
+def labelled_diffs(enriched: DataFrame) -> DataFrame:
+    """The field union of a survey's LTE cell and the external row, all labels; external fields of other cells are blank."""
+    band, found = S.lte_band("freq"), F.col("status") == "found"
+    both = {"Radio": ("rat", "ext_radio"), "MCC": ("mcc", "mcc"), "MNC": ("mnc", "mnc"), "TAC / LAC": ("tac", "tac"), "CID": ("cid", "cid")}
+    ours = {
+        "eNB": S.enb_id("cid"), "Sector (ncell)": S.sector("cid"), "EARFCN": F.col("freq"), "PCI": F.col("phy"), "Band": band["name"], "Duplex": band["duplex"], "DL MHz": F.round(band["dl_mhz"], 4),
+        "UL MHz": F.round(band["ul_mhz"], 4), "Bandwidth MHz": F.col("bandwidth"), "RSRP": F.col("rsrp"), "RSRQ": F.col("rsrq"), "RSSI": F.col("rssi"),
+    }
+    theirs = {"Latitude": "ext_lat", "Longitude": "ext_lon", "Range m": "ext_range", "Samples": "ext_samples", "Avg signal": "ext_average_signal"}
+    there = lambda c: F.when(found, F.col(c)) if c in enriched.columns else F.lit(None)
+    columns = {f"our {k}": F.col(a) for k, (a, _) in both.items()} | {f"ext {k}": there(b) for k, (_, b) in both.items()} | {f"our {k}": c for k, c in ours.items()} | {f"ext {k}": there(c) for k, c in theirs.items()}
+    blank = F.lit(None).cast("string")
+    wide = enriched.filter("rat = 'LTE'").withColumns(columns | {f"ext {k}": blank for k in ours} | {f"our {k}": blank for k in theirs})
+    return field_diffs(wide, {k: (f"our {k}", f"ext {k}") for k in (*both, *ours, *theirs)})
+
+
 def field_diffs(enriched: DataFrame, labels: dict[str, tuple[str, str]]) -> DataFrame:
     """One row per label and cell: ours, ext, verdict; ``labels`` names the two columns of each.
 
     Numbers are compared without leading zeros, text in lower case; two blanks give no row.
     """
-    text = lambda c: F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit(""))
+    text = lambda c: F.coalesce(F.lower(F.trim(F.col(f"`{c}`").cast("string"))), F.lit(""))
     plain = lambda v: F.when(v.rlike("^0+[0-9]"), F.regexp_replace(v, "^0+(?=[0-9])", "")).otherwise(v)
     items = [F.struct(F.lit(k).alias("label"), plain(text(a)).alias("ours"), plain(text(b)).alias("ext")) for k, (a, b) in labels.items()]
     rows = enriched.select(*KEY, F.explode(F.array(*items)).alias("d")).select(*KEY, "d.*").filter("ours <> '' or ext <> ''")

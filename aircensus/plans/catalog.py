@@ -45,10 +45,10 @@ _SHARED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries need, made once for an application and a path."""
+    """A written table that several queries need, made once for an application and a path."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _SHARED or not is_there(_SHARED[key]):
-        _SHARED[key] = durable(make(), name)
+        _SHARED[key] = make()
     return _SHARED[key]
 
 
@@ -57,12 +57,12 @@ def bound_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared(spark, sf_dir, "registry", lambda: R.registry_of_bound(bound_of(spark, sf_dir)))
+    return shared(spark, sf_dir, "registry", lambda: durable(R.registry_of_bound(bound_of(spark, sf_dir)), "registry"))
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each cell tells of its neighbours, of all sources."""
-    return shared(spark, sf_dir, "lists", lambda: R.told_neighbours(bound_of(spark, sf_dir)))
+    return shared(spark, sf_dir, "lists", lambda: durable(R.told_neighbours(bound_of(spark, sf_dir)), "lists"))
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -563,7 +563,7 @@ def _(spark, d):
 def _external(spark, d):
     # Two in three identified LTE cells of all sessions: a reference table of the same cells.
     cells = registry_of(spark, d).filter("rat = 'LTE' and cid <> 0 and cid % 3 <> 0")
-    return cells.select("mcc", "mnc", F.col("tac").alias("lac"), F.col("cid").alias("cellid"), (F.col("freq") * 0.5).alias("lat"), (F.col("phy") * 0.25).alias("lon"), F.col("seen").alias("samples")).dropDuplicates(["mcc", "mnc", "lac", "cellid"])
+    return cells.select("mcc", "mnc", F.col("tac").alias("lac"), F.col("cid").alias("cellid"), (F.col("freq") * 0.5).alias("lat"), (F.col("phy") * 0.25).alias("lon"), F.col("mnc").alias("samples"), F.lit("LTE").alias("radio")).dropDuplicates(["mcc", "mnc", "lac", "cellid"])
 
 
 _EXT = ", ext AS (SELECT DISTINCT mcc, mnc, tac, cid FROM reg WHERE rat = 'LTE' AND cid <> 0 AND cid % 3 <> 0)"
@@ -575,6 +575,35 @@ def _(spark, d):
     return towers.enrich(registry_of(spark, d), _external(spark, d)).select(*R.KEY, "status")
 
 
+@register(
+    "g7_unmatched_sites",
+    f"WITH {sql.REGISTRY}{_EXT} SELECT session_id, (cid // 256) % 1048576 AS enb, count(*) AS cells, count(*) FILTER (WHERE {_STATUS} = 'missing') AS missing, count(*) FILTER (WHERE {_STATUS} = 'missing') > 0 AS unmatched"
+    " FROM reg LEFT JOIN (SELECT *, 1 AS e FROM ext) USING (mcc, mnc, tac, cid) WHERE rat = 'LTE' AND cid <> 0 GROUP BY 1, 2",
+)
+def _(spark, d):
+    return towers.unmatched_sites(towers.enrich(registry_of(spark, d), _external(spark, d)))
+
+
+_LABELS = (
+    ("Radio", "rat", "CASE WHEN f THEN 'LTE' END"), ("MCC", "mcc", "CASE WHEN f THEN mcc END"), ("MNC", "mnc", "CASE WHEN f THEN mnc END"), ("TAC / LAC", "tac", "CASE WHEN f THEN tac END"), ("CID", "cid", "CASE WHEN f THEN cid END"),
+    ("eNB", "(cid // 256) % 1048576", "NULL"), ("Sector (ncell)", "cid % 256", "NULL"), ("EARFCN", "freq", "NULL"), ("PCI", "phy", "NULL"), ("Band", "'B' || band", "NULL"), ("Duplex", "duplex", "NULL"),
+    ("DL MHz", "round(dl + 0.1::DOUBLE * (freq - lo), 4)", "NULL"), ("UL MHz", "round(CASE duplex WHEN 'FDD' THEN ul ELSE dl END + 0.1::DOUBLE * (freq - lo), 4)", "NULL"), ("Bandwidth MHz", "bandwidth", "NULL"),
+    ("RSRP", "rsrp", "NULL"), ("RSRQ", "rsrq", "NULL"), ("RSSI", "rssi", "NULL"), ("Samples", "NULL", "CASE WHEN f THEN mnc END"),
+)
+
+
+@register(
+    "g8_labelled_diffs",
+    f"WITH {sql.REGISTRY}{_EXT}, bands(band, duplex, lo, hi, dl, ul) AS (VALUES {_BANDS}),"
+    f" l AS (SELECT r.*, b.*, {_STATUS} = 'found' AS f FROM reg r LEFT JOIN (SELECT *, 1 AS e FROM ext) USING (mcc, mnc, tac, cid) LEFT JOIN bands b ON r.freq BETWEEN lo AND hi WHERE rat = 'LTE'), x AS ("
+    + " UNION ALL ".join(f"SELECT session_id, rat, freq, phy, '{k}' AS label, lower(coalesce(({a})::VARCHAR, '')) AS ours, lower(coalesce(({b})::VARCHAR, '')) AS ext FROM l" for k, a, b in _LABELS)
+    + ") SELECT *, CASE WHEN ours = ext THEN 'Match' WHEN ext = '' THEN 'OursOnly' WHEN ours = '' THEN 'ExtOnly' ELSE 'Mismatch' END AS verdict, CASE WHEN ours <> '' THEN ours ELSE ext END AS merged FROM x WHERE ours <> '' OR ext <> ''",
+)
+def _(spark, d):
+    """All labels but the two of the place, whose numbers are of another cell with the same identity."""
+    return towers.labelled_diffs(towers.enrich(registry_of(spark, d), _external(spark, d))).filter("label not in ('Latitude', 'Longitude')")
+
+
 @register(
     "g8_field_diffs",
     f"WITH {sql.REGISTRY}, x AS (SELECT session_id, rat, freq, phy, coalesce(tac::VARCHAR, '') AS ours, coalesce(CASE WHEN seen % 4 = 0 THEN NULL WHEN seen % 4 = 1 THEN seen ELSE tac END::VARCHAR, '') AS ext FROM reg)"
@@ -583,7 +612,7 @@ def _(spark, d):
 def _(spark, d):
     other = F.when(F.col("seen") % 4 == 0, F.lit(None)).when(F.col("seen") % 4 == 1, F.col("seen")).otherwise(F.col("tac"))
     padded = F.when(other.isNotNull(), F.concat(F.lit("00"), other.cast("string")))
-    return towers.field_diffs(registry_of(spark, d).withColumn("ext_tac", F.when(F.col("seen") > 0, padded).otherwise(padded)), {"tac": ("tac", "ext_tac")})
+    return towers.field_diffs(registry_of(spark, d).withColumn("ext_tac", padded), {"tac": ("tac", "ext_tac")})
 
 
 @on_registry("g9_neighbour_edges", "SELECT DISTINCT t.session_id, least(a.cid, b.cid) AS a, greatest(a.cid, b.cid) AS b FROM told t JOIN reg a ON a.session_id = t.session_id AND a.rat = t.rat AND a.freq = t.freq AND a.phy = t.phy JOIN reg b ON b.session_id = t.session_id AND b.rat = t.rat AND b.freq = t.nb_freq AND b.phy = t.nb_phy WHERE a.cid <> 0 AND b.cid <> 0 AND a.cid <> b.cid")
