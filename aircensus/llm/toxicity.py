@@ -38,13 +38,13 @@ LEXICON = (
     "dumm", "idioten", "abschaum", "arschloch", "versager", "imbécile", "connard", "ordure", "crétin", "estúpido", "idiota", "basura", "imbécil",
 )
 #: Induced voters and linear-model terms at most; least support; least share of positives among a voter's documents.
-VOTERS, TERMS, SUPPORT, PRECISION = 64, 256, 4, 0.8
+VOTERS, TERMS, SUPPORT, PRECISION = 256, 1024, 4, 0.8
 #: Code points of the word beginnings that count as terms.
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 7, 8)
 #: Rounds of expectation-maximisation, before and after correlations are known; prior share of toxic documents.
 ROUNDS, PRIOR = 8, 0.1
 
-_WORD_SEED, _START_SEEDS = np.uint64(0x1F), (np.uint64(0x2F), np.uint64(0x3F))
+_WORD_SEED, _START_SEEDS = np.uint64(0x1F), tuple(np.uint64(0x2F + 16 * i) for i in range(len(BEGINNINGS)))
 
 
 def terms(data: np.ndarray, bounds: np.ndarray, known=None) -> tuple[np.ndarray, np.ndarray]:
