@@ -139,7 +139,7 @@ def _(spark, d):
     return packets.select("seq", F.col("hdr_pdu").cast("long").alias("n"), "log_code", "hdr_earfcn", "hdr_pci", F.hex("payload").alias("payload"))
 
 
-_CSV = f"SELECT rat, freq AS arfcn, CASE WHEN rat <> 'GSM' THEN phy END AS pci, CASE WHEN rat = 'GSM' THEN phy END AS bsic, mcc, CASE WHEN mcc <> 0 THEN mnc END AS mnc, tac AS lac, cid, trunc(rsrp) AS signal_dbm, is_serving::INT AS serving, seen::INT AS seen FROM reg"
+_CSV = f"SELECT rat, freq AS arfcn, CASE WHEN rat <> 'GSM' THEN phy END AS pci, CASE WHEN rat = 'GSM' THEN phy END AS bsic, mcc, CASE WHEN mcc <> 0 THEN mnc END AS mnc, tac AS lac, cid, trunc(coalesce(rsrp, rscp, rxlev)) AS signal_dbm, is_serving::INT AS serving, seen::INT AS seen FROM reg"
 
 
 @register("a2_read_cells_csv", f"WITH {sql.REGISTRY} {_CSV}")
