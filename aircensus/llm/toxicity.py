@@ -38,9 +38,9 @@ LEXICON = (
     "dumm", "idioten", "abschaum", "arschloch", "versager", "imbécile", "connard", "ordure", "crétin", "estúpido", "idiota", "basura", "imbécil",
 )
 #: Induced voters and linear-model terms at most; least support; least share of positives among a voter's documents.
-VOTERS, TERMS, SUPPORT, PRECISION = 256, 1024, 4, 0.8
+VOTERS, TERMS, SUPPORT, PRECISION = 128, 256, 4, 0.8
 #: Code points of the word beginnings that count as terms.
-BEGINNINGS = (4, 5, 7, 8)
+BEGINNINGS = (5, 7)
 #: Rounds of expectation-maximisation, before and after correlations are known; prior share of toxic documents.
 ROUNDS, PRIOR = 8, 0.1
 
