@@ -6,7 +6,22 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: HotSpot leaves methods of more bytes than this to its interpreter.
+COMPILED_BYTES = 8000
+
+
+def compiled_rows(spark: SparkSession) -> None:
+    """Steps over wide rows run compiled.
+
+    Spark puts all columns of a step into one method.  One that is too long for
+    HotSpot's compiler is interpreted, some ten times slower; below this limit
+    Spark splits it by columns instead.  A lower limit that is set already stays.
+    """
+    conf, key = spark.conf, "spark.sql.codegen.hugeMethodLimit"
+    if int(conf.get(key, "65535")) > COMPILED_BYTES:
+        conf.set(key, str(COMPILED_BYTES))
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import merge as M
-from .durable import durable
+from .durable import compiled_rows, durable
 
 KEY = ["session_id", "rat", "freq", "phy"]
 CARRIER = ["session_id", "freq"]
@@ -509,6 +509,7 @@ def bind_events(events: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     They are written once, before the late bindings; those write only the rows
     that they move, and everything else stays a scan of that table.
     """
+    compiled_rows(events.sparkSession)
     placed = durable(expand_neighbours(teller_plmn(bind_serving(events))), "bound-events")
     bound = promote_gsm(promote_weak(bind_gsm(placed, hints)))
     bound._written_to = placed._written_to
@@ -522,6 +523,7 @@ def build_registry(events: DataFrame, hints: DataFrame | None = None) -> DataFra
 
 def registry_of_bound(bound: DataFrame) -> DataFrame:
     """The registry of events that are bound already."""
+    compiled_rows(bound.sparkSession)
     rows = with_at(bound).filter("kind not in ('neighbour', 'gone')")
     own = ~F.col("kind").isin("told", "heard", "named") | ((F.col("rat") == "GSM") & (F.col("kind") == "told"))
     heard = F.col("kind").isin("signal", "heard")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.durable import compiled_rows
+
 # name -> expression over event_id, user_id, ts, event_type, i (carrier), j (code)
 _COLUMNS = {
     "session_id": "user_id % 5",
@@ -59,6 +61,7 @@ OBS_SQL = (
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event of one session per row of ``events``; ``seq`` orders a session."""
+    compiled_rows(spark)
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     parts = raw.selectExpr("event_id", "user_id", "ts", "event_type", "(event_id * 31 + user_id * 5) % 7 AS i", "(event_id * 17 + user_id * 3) % 31 AS j")
     return parts.selectExpr(*(f"{e} AS {n}" for n, e in _COLUMNS.items()))
