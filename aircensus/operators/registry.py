@@ -83,6 +83,9 @@ def bind_serving(events: DataFrame) -> DataFrame:
         sticky = F.last(key, ignorenulls=True).over(packet)
         inner = bare & F.col("_k").isNotNull() & (F.col("rat") == "LTE")
         rows = rows.withColumn("_k", sticky).withColumns({c: F.when(inner, F.col(f"_k.{c}")).otherwise(F.col(c)) for c in ("freq", "phy")}).drop("_k")
+        # Events of packets are decoded here, once, whatever reads them later.
+        compiled_rows(rows.sparkSession)
+        rows = durable(rows, "keyed-events")
     open_ = bare & (F.col("kind") != "passport")
     if rows.filter(open_).isEmpty():
         return rows
@@ -92,7 +95,7 @@ def bind_serving(events: DataFrame) -> DataFrame:
     now = F.last(serves, ignorenulls=True).over(_before("session_id", "rat"))
     served = rows.filter(open_ | (F.col("kind") == "serving")).withColumn("_s", F.coalesce(earlier, now)).filter(open_)
     bound = served.filter(F.col("_s").isNotNull() | (F.col("kind") == "neighbour")).withColumns({c: F.col(f"_s.{c}") for c in ("freq", "phy")})
-    return rows.filter(~open_).unionByName(bound.select(*rows.columns))
+    return rows.filter(~open_).unionByName(durable(bound.select(*rows.columns), "served-events"))
 
 
 def seen_stats(events: DataFrame) -> DataFrame:
