@@ -126,28 +126,39 @@ def _told(keys: DataFrame, column: str):
     return log2, keys.sparkSession.sparkContext.broadcast(bits)
 
 
+def _hit(log2: int, bits):
+    """A function from a batch with the hashed column ``_h`` to whether each row may be among the told keys."""
+
+    def hit(batch: pa.RecordBatch) -> np.ndarray:
+        slot = batch["_h"].to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - log2)
+        return (bits.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+
+    return hit
+
+
 def _sieved(df: DataFrame, column: str, log2: int, bits, wanted: bool) -> DataFrame:
-    names = df.columns
+    names, hit = df.columns, _hit(log2, bits)
 
     def keep(it):
         for batch in it:
-            slot = batch["_h"].to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - log2)
-            hit = (bits.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
-            yield batch.filter(pa.array(hit == wanted)).select(names)
+            yield batch.filter(pa.array(hit(batch) == wanted)).select(names)
 
     return df.withColumn("_h", F.xxhash64(column)).mapInArrow(keep, df.schema)
 
 
-def semi(df: DataFrame, keys: DataFrame, column: str, exact: bool = False) -> DataFrame:
-    """Rows of ``df`` whose 64-bit ``column`` is among ``keys``; a few more unless ``exact``.
+def sieve(df: DataFrame, keys: DataFrame, column: str):
+    """(rows, filter of their batches) for an Arrow pass over the rows whose 64-bit ``column`` is among ``keys``; a few more may stay.
 
     Up to ``MOST_KEYS`` keys are told to the tasks as a bitmap of 16 bits a key,
-    so only rows that stay are shuffled, if any; more keys are joined.
+    and the pass itself drops the other rows: a pass of its own for that would
+    hold a second Python worker on each core.  More keys are joined.
     """
     keys = keys.select(column).distinct()
     told = _told(keys, column)
-    few = df if told is None else _sieved(df, column, *told, True)
-    return few.join(keys, column, "left_semi").select(df.columns) if exact or told is None else few
+    if told is None:
+        return df.join(keys, column, "left_semi").select(df.columns), lambda batch: batch
+    hit = _hit(*told)
+    return df.withColumn("_h", F.xxhash64(column)), lambda batch: batch.filter(pa.array(hit(batch)))
 
 
 def split(df: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame | None, DataFrame]:

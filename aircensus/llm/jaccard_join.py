@@ -107,16 +107,17 @@ def parity_sketch(own: np.ndarray) -> np.ndarray:
 def whole_sets(docs: DataFrame, alive: DataFrame, gram: int) -> DataFrame:
     """nid, n, grams, sketch of the sets of ``alive``, read again from the row that stands for each."""
 
+    rows, wanted = common.sieve(docs, alive.select("rk"), "rk")
+
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in map(wanted, it):
             for lo in range(0, batch.num_rows, 500):
                 out = [(*name, common.signed(own), parity_sketch(own)) for _, own, name in _sets(batch["text"].slice(lo, 500), gram)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _GRAMS_ARROW)], schema=_GRAMS_ARROW)
 
-    rows = common.semi(docs, alive.select("rk"), "rk")
     # Rows that repeat their id and text have one key; each set is taken once.
-    found = rows.select("text").mapInArrow(emit, _GRAMS).join(alive.select("nid", "n1", "n2", "n"), ["n1", "n2"])
+    found = rows.drop("doc_id", "rk").mapInArrow(emit, _GRAMS).join(alive.select("nid", "n1", "n2", "n"), ["n1", "n2"])
     return found.groupBy("nid").agg(*(F.first(c).alias(c) for c in ("n", "grams", "sketch")))
 
 

@@ -38,12 +38,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     grouped = members.join(first, "component")
     copies = common.materialize(grouped.filter("rk <> first.rk").select(F.col("rk").alias("_key")).distinct(), "pipeline-copies")
     twice = common.materialize(grouped.filter("rk = first.rk").groupBy(F.col("rk").alias("_key")).count().filter("count > 1").select("_key"), "pipeline-twice")
-    kept = common.anti(_keyed(docs), copies, "_key")
+    # One sieve for both: only rows that may be copies, or stand for copies of their own key, are joined.
+    clear, doubtful = common.split(_keyed(docs), copies.unionByName(twice), "_key")
+    kept = doubtful.join(copies, "_key", "left_anti").select(doubtful.columns)
     if not twice.isEmpty():
-        clear, doubtful = common.split(kept, twice, "_key")
-        alone = doubtful.join(twice, "_key", "left_anti").select(kept.columns)
-        once = doubtful.join(twice, "_key", "left_semi").select(kept.columns).dropDuplicates(["_key"])
-        kept = alone.unionByName(once) if clear is None else clear.unionByName(alone).unionByName(once)
+        once = kept.join(twice, "_key", "left_semi").select(kept.columns).dropDuplicates(["_key"])
+        kept = kept.join(twice, "_key", "left_anti").select(kept.columns).unionByName(once)
+    kept = kept if clear is None else clear.unionByName(kept)
     return kept.drop("_key")
 
 
